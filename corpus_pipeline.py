@@ -1,15 +1,54 @@
-"""A corpus pipeline out of the training-data operators (part of the subpackage ``llm``)."""
+"""A corpus pipeline out of the training-data operators (part of the subpackage ``llm``).
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's ``docs``.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lexloom.llm import decontaminate, mixing, ngram_join, quality_model, token_shards
+from lexloom.llm.shared import Workspace
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality_model.keep_good(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that all sources weigh the same, in a shuffled order."""
+    return mixing.mix_sources(docs, mixing.source_rates(docs)).select(*docs.columns)
+
+
+def token_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shards' index: the place, first document and checksum of every sequence."""
+    return token_shards.shard_index(docs)
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", without_near_duplicates), ("decontamination", without_benchmark), ("mixing", mixed), ("token_shards", token_index)]
+
+#: The classifier, the pruning and the permutation have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, work = _table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = work.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality_model
+from . import decontaminate, mixing, ngram_join, quality_model, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_index(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similarity_classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "copies")
@@ -20,5 +28,33 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op6_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs, mixing.source_rates(docs)).select("doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_shards, op3_decontamination, op4_ngram_join, op6_quality_classifier, op7_source_mixing, op10_toxicity)}
+
+ORACLE_SQL = {
+    "op7_source_mixing": """
+WITH rates AS (
+  SELECT coalesce(source, chr(0) || 'null') AS k, coalesce(sum(length(text)), 0) AS chars FROM documents GROUP BY 1
+), rated AS (
+  SELECT k, least(CASE WHEN chars > 0 THEN 1.0 / (SELECT count(*)::DOUBLE FROM rates) * (SELECT sum(chars)::DOUBLE FROM rates) / chars ELSE 0 END, 30.0)::DOUBLE AS rate FROM rates
+), terms AS (
+  SELECT k, rate, i.i, CASE WHEN rate = 0 THEN CASE WHEN i.i = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-rate + i.i * ln(rate) - lgamma(i.i + 1)) END AS term FROM rated, range(0, 150) AS i(i)
+), cdf AS (
+  SELECT k, i, sum(term) OVER (PARTITION BY k ORDER BY i) AS upto FROM terms
+), lists AS (
+  SELECT k, list(upto ORDER BY i) AS upto FROM cdf GROUP BY k
+), counted AS (
+  SELECT d.*, len(list_filter(l.upto, lambda c: c <= ('0x' || substr(md5('7|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0)) AS n
+  FROM documents d JOIN lists l ON coalesce(d.source, chr(0) || 'null') = l.k
+)
+SELECT doc_id, text, lang, source, n_chars, c.c::INTEGER AS copy, md5('order7|' || coalesce(doc_id::VARCHAR, '') || '|' || c.c::VARCHAR) AS mix_key
+FROM counted, range(0, n) AS c(c)""",
+}
