@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, quality_model, token_shards, toxicity
+from . import decontaminate, licenses, mixing, ngram_join, quality_model, quality_rules, token_shards, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shard_index(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "copies")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,11 +41,39 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.source_rates(docs)).select("doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_shards, op3_decontamination, op4_ngram_join, op6_quality_classifier, op7_source_mixing, op10_toxicity)}
+_ALL = (
+    op1_license_scan, op2_token_shards, op3_decontamination, op4_ngram_join, op5_quality_rules, op6_quality_classifier, op7_source_mixing, op8_url_filter, op9_warc_revisits, op10_toxicity,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _url_sql() -> str:
+    def hits(terms: tuple[str, ...]) -> str:
+        return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INTEGER" for t in terms)
+
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    return f"""
+WITH rules(verdict, rule_host, rule_path) AS (VALUES {rules}),
+u AS (SELECT page_id, coalesce(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS low, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+p AS (SELECT page_id, low, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM u),
+t AS (SELECT *, {hits(url_filter.STRICT)} AS strict_terms, {hits(url_filter.SOFT)} AS soft_terms FROM p),
+r AS (SELECT t.*, (SELECT max_by({{'rule': rule_host || rule_path, 'verdict': verdict}}, length(rule_host || rule_path)) FROM rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best FROM t)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN strict_terms > 0 OR soft_terms >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_terms, soft_terms FROM r"""
+
 
 ORACLE_SQL = {
     "op7_source_mixing": """
@@ -57,4 +93,19 @@ WITH rates AS (
 )
 SELECT doc_id, text, lang, source, n_chars, c.c::INTEGER AS copy, md5('order7|' || coalesce(doc_id::VARCHAR, '') || '|' || c.c::VARCHAR) AS mix_key
 FROM counted, range(0, n) AS c(c)""",
+    "op1_license_scan": licenses.oracle_sql(),
+    "op8_url_filter": _url_sql(),
+    "op9_warc_revisits": """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), h AS (
+  SELECT page_id, url, octet_length(encode(html)) AS n, sha1(html) AS hexed FROM p
+), d AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hexed, 1 + 10 * (k // 8), 10))::BIGINT >> (5 * (7 - k % 8))) & 31)::INTEGER, 1)), '') AS digest FROM h
+), f AS (
+  SELECT digest, min(page_id) AS first FROM d GROUP BY 1
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, url FROM d JOIN f USING (digest)""",
 }
