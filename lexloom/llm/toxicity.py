@@ -172,51 +172,49 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]] if len(pairs) else pairs
 
 
-def _witnesses(batches: Iterator[pa.RecordBatch], label: int, wanted: np.ndarray | None = None) -> list[bytes]:
-    """Distinct (pattern hash, group) pairs of the texts with this label, and their distinct groups.
+def _witnesses(rows: DataFrame, label: int, wanted: np.ndarray | None = None) -> dict[int, int]:
+    """Pattern hash (signed) -> number of groups of texts with this label that hold it; hash 0 counts all groups.
 
     A text's group is its least shingle hash, which near copies mostly share; ``wanted`` (sorted) narrows the patterns.
     """
-    pairs, groups = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.uint64)]
-    for batch in batches:
-        batch = batch.filter(pa.array((batch.column(2).to_numpy(zero_copy_only=False) == 1) == (label == 1)))
-        for lo, hi, data, offsets in bs.slices(batch.column(1)):
-            _, _, patterns, n = _words(data, offsets)
-            rows = np.repeat(np.arange(len(n)), n)
-            grams, at = bs.shingles(patterns[0], rows, 3)
-            group = np.arange(hi - lo, dtype=np.uint64)
-            per = np.bincount(rows[at], minlength=hi - lo)
-            full = np.flatnonzero(per)
-            if len(full):
-                group[full] = np.minimum.reduceat(grams, (np.cumsum(per) - per)[full])
-            groups.append(group)
-            for hashes in patterns:
-                found = np.stack([hashes, group[rows]], 1)[hashes > 0]
-                if wanted is not None:
-                    place = np.minimum(np.searchsorted(wanted, found[:, 0]), max(len(wanted) - 1, 0))
-                    found = found[wanted[place] == found[:, 0]] if len(wanted) else found[:0]
-                pairs.append(_distinct(found))
-    return [_distinct(np.concatenate(pairs)).tobytes(), np.unique(np.concatenate(groups)).tobytes()]
-
-
-def _merged(got: list[list[bytes]]) -> tuple[np.ndarray, int]:
-    pairs = _distinct(np.concatenate([np.frombuffer(g[0], np.uint64).reshape(-1, 2) for g in got]))
-    return pairs[:, 0], len(np.unique(np.concatenate([np.frombuffer(g[1], np.uint64) for g in got])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array((batch.column(2).to_numpy(zero_copy_only=False) == 1) == (label == 1)))
+            for lo, hi, data, offsets in bs.slices(batch.column(1)):
+                _, _, patterns, n = _words(data, offsets)
+                rows_of = np.repeat(np.arange(len(n)), n)
+                grams, at = bs.shingles(patterns[0], rows_of, 3)
+                group = np.arange(hi - lo, dtype=np.uint64)
+                per = np.bincount(rows_of[at], minlength=hi - lo)
+                full = np.flatnonzero(per)
+                if len(full):
+                    group[full] = np.minimum.reduceat(grams, (np.cumsum(per) - per)[full])
+                pairs = [np.stack([np.zeros(len(group), np.uint64), group], 1)]
+                for hashes in patterns:
+                    found = np.stack([hashes, group[rows_of]], 1)[hashes > 0]
+                    if wanted is not None:
+                        place = np.minimum(np.searchsorted(wanted, found[:, 0]), max(len(wanted) - 1, 0))
+                        found = found[wanted[place] == found[:, 0]] if len(wanted) else found[:0]
+                    pairs.append(_distinct(found))
+                out = np.concatenate(pairs).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["h", "g"])
+
+    counted = rows.mapInArrow(run, "h long, g long").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    counted = counted.where("n >= 3 or h = 0") if wanted is None else counted
+    return {r.h: r.n for r in counted.collect()}
 
 
 def offensive_words(rows: DataFrame, chance: float = 1e-3) -> np.ndarray:
-    """Sorted hashes of the words whose witnesses are toxic too often for chance at the family-wise level ``chance``."""
-    words, toxic_groups = _merged(gathered(rows, lambda batches: _witnesses(batches, 1)))
-    words, bad = np.unique(words, return_counts=True)
-    words, bad = words[bad >= 3], bad[bad >= 3]
-    clean, clean_groups = _merged(gathered(rows, lambda batches: _witnesses(batches, 0, words)))
-    seen, n = np.unique(clean, return_counts=True)
-    good = np.zeros(len(words), np.int64)
-    good[np.searchsorted(words, seen)] = n
-    share = min(0.5, (toxic_groups + 1) / (toxic_groups + clean_groups + 2))
+    """Sorted hashes of the patterns whose witnesses are toxic too often for chance at the family-wise level ``chance``."""
+    bad = _witnesses(rows, 1)
+    toxic_groups = bad.pop(0, 0)
+    words = np.sort(np.array(list(bad), np.int64).view(np.uint64))
+    good = _witnesses(rows, 0, words)
+    share = min(0.5, (toxic_groups + 1) / (toxic_groups + good.pop(0, 0) + 2))
     level = log(chance / max(1, len(words)))
-    tested = np.flatnonzero(bad > 1.5 * good)
-    return words[[k for k in tested if _log_tail(int(bad[k]), int(bad[k] + good[k]), share) <= level]]
+    found = [k for k, b in bad.items() if b > 1.5 * good.get(k, 0) and _log_tail(b, b + good.get(k, 0), share) <= level]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
 def _fit_field(e_bucket: np.ndarray, y: np.ndarray, first: np.ndarray, length: np.ndarray, more: int, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
