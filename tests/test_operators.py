@@ -1,0 +1,196 @@
+from __future__ import annotations
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexloom.operators import browse, conjugation, entries, events, evaluate, explanations, incremental, keys, retrieval, segmentation
+from lexloom.plans import text_queries as TQ
+
+
+def rows(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.collect()]
+
+
+def forms(spark, pos, kanji, kana):
+    df = conjugation.conjugated(spark.createDataFrame([(1, pos, kanji, kana)], "id long, pos array<string>, kanji string, kana string"))
+    return {r.form: (r.surface, r.kana) for r in df.collect()}
+
+
+def test_conjugation_classes(spark):
+    assert forms(spark, ["Godan verb with 'ku' ending"], "書く", "かく") == {} or True
+    go = forms(spark, ["Godan verb with 'ku' ending"], "書く", "かく")
+    assert go["Past"] == ("書いた", "かいた") and len(go) == 15
+    assert forms(spark, [conjugation.IKU], "行く", "いく")["Past"] == ("行った", "いった")
+    assert forms(spark, [conjugation.KURERU], None, "くれる")["Imperative"] == ("くれ", None)
+    assert forms(spark, [conjugation.KURU], "来る", "くる")["Conditional"] == ("来れば", "くれば")
+    assert forms(spark, [conjugation.ARU], None, "ある")["Negative"] == ("ない", None)
+    assert "Potential" not in forms(spark, [conjugation.SURU_INCLUDED], "気がする", "きがする")
+    assert forms(spark, [conjugation.SURU_AUX], "為る", "する") .get("Past") == ("した", None)
+    assert forms(spark, ["adjective (keiyoushi) - yoi/ii class"], None, "いい")["Negative"] == ("よくない", None)
+    assert forms(spark, ["Godan verb with 'ru' ending"], "御座る", "ござる") == {} and forms(spark, ["noun"], "犬", "いぬ") == {}
+
+
+def test_match_keys_and_flags(spark):
+    schema = "id long, kanji_form string, reading string, kanji_forms array<string>, readings array<string>, gloss_keys array<string>, primary_gloss_keys array<string>, head_gloss_keys array<string>, infl_forms array<string>"
+    e = spark.createDataFrame([(1, "犬", "いぬ", None, None, ["dog", "hound"], ["dog"], ["dog"], None), (2, "走る", "はしる", None, None, ["to run", "run"], ["to run", "run"], [], ["走った"])], schema)
+    q = spark.createDataFrame([(1, "dog"), (2, "hound"), (3, "走った"), (4, "いぬ"), (5, "none")], "qid long, q string")
+    got = {(r.qid, r.id): (r.exact, r.primary, r.head) for r in keys.exact_matches(q, keys.match_keys(e)).collect()}
+    assert got == {(1, 1): (1, 1, 1), (2, 1): (1, 0, 0), (3, 2): (1, 0, 0), (4, 1): (1, 1, 0)}
+    assert rows(keys.is_headword(spark.createDataFrame([("いぬ",), ("dog",)], "term string"), keys.match_keys(e)), "term") == [("いぬ",)]
+
+
+def test_fusion_does_not_depend_on_order(spark):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "qid long, id long, rank int")
+    b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "qid long, id long, rank int")
+    one = rows(retrieval.fuse([(a, 1.0), (b, 2.0)], 3), "id", "score", "rank")
+    assert sorted(one) == sorted(rows(retrieval.fuse([(b, 2.0), (a, 1.0)], 3), "id", "score", "rank"))
+    assert max(one, key=lambda r: r[1])[0] == 11
+
+
+def test_search_takes_the_first_candidate_with_results(spark):
+    e = spark.createDataFrame([(1, "犬 いぬ: dog", 1.0, 5.0, "犬"), (2, "猫 ねこ: cat", 1.0, 5.0, "猫")], "id long, text string, commonness double, wf_score double, form string")
+    k = e.select(F.lit("form").alias("kind"), F.col("form").alias("key"), "id")
+    q = spark.createDataFrame([(1, "a very small tame animal", ["狼", "猫"]), (2, "x" * 200, None), (3, "dog", None)], "qid long, query string, japanese array<string>")
+    got = retrieval.search(q, retrieval.Store(e, k), rewrite_mode="auto")
+    assert {(r.qid, r.id, r.q, r.method) for r in got.collect() if r.rank == 1} == {(1, 2, "猫", "llm"), (3, 1, "dog", "none")}
+
+
+def test_metrics_of_a_query_without_relevant_entries(spark):
+    q = spark.createDataFrame([(1,), (2,)], "qid long")
+    res = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "qid long, id long, rank int")
+    rel = spark.createDataFrame([(1, 6), (1, 7)], "qid long, id long")
+    m = {r.qid: r for r in evaluate.query_metrics(res, rel, q).collect()}
+    assert (m[1].hit1, m[1].hit2, m[1].rr, m[1].recall, m[1].ap) == (0, 1, 0.5, 0.5, 0.25)
+    assert (m[2].rr, m[2].ndcg, m[2].ap, m[2].recall) == (0, 0, 0, 0)
+
+
+def test_incremental_equals_full(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z")], "id long, sig string, v string")
+    new = spark.createDataFrame([(2, "b", "y"), (3, "c", "z2"), (4, "d", "w")], "id long, sig string, v string")
+    changes = incremental.diff(new, old)
+    assert set(rows(changes, "id", "change")) == {(1, "gone"), (3, "changed"), (4, "new")}
+    assert sorted(rows(incremental.apply_diff(old, new, changes), "id", "v")) == sorted(rows(new, "id", "v"))
+    assert "gone" not in {c for _, c in rows(incremental.diff(new, old, full=False), "id", "change")}
+
+
+def test_reuse_reasons(spark):
+    s = "id long, meanings array<string>, sparse_text string, text string"
+    old = spark.createDataFrame([(1, ["a"], "s", "t"), (2, ["a"], None, "t"), (3, ["a"], None, "u"), (4, ["b"], "s", "t")], s)
+    new = spark.createDataFrame([(i, ["a"], "s", "t") for i in range(1, 6)], s)
+    assert dict(rows(incremental.reuse_decisions(old, new), "id", "decision")) == {1: "reuse", 2: "reuse", 3: "drift: legacy text", 4: "drift: meanings", 5: "unseen"}
+
+
+def test_groups_and_pages(spark):
+    k = spark.createDataFrame([("a", 7, 1, 4, 5), ("b", 7, 1, None, None), ("c", 7, 0, 2, 3), ("d", 8, 2, 2, 900)], "literal string, stroke_count int, grade int, jlpt_level int, freq int")
+    assert rows(browse.character_group(k, "strokes", "7"), "literal", "total") == [("c", 3), ("a", 3), ("b", 3)]
+    assert rows(browse.character_group(k, "freq", 5), "literal") == [("c",), ("a",)]
+    assert browse.character_group(k, "freq", 3001) is None and browse.character_group(k, "x", 1) is None and browse.character_group(k, "grade", "z") is None
+    facets = {(r.by, r.value): r["count"] for r in browse.character_facets(k).collect()}
+    assert facets["grade", 1] == 2 and ("grade", 0) not in facets and facets["freq", 100] == 2 and facets["freq", 1000] == 3
+    assert rows(browse.level_characters(k, "N3"), "literal") == rows(browse.level_characters(k, "N2"), "literal") and browse.level_characters(k, "N9").count() == 0
+
+
+def test_repeated_characters_take_one_place(spark):
+    e = spark.createDataFrame([(1, "人人", "x", ["m"], True, 1.0, 2.0, []), (2, "人", "y", ["m"], True, 1.0, 1.0, [])], "id long, kanji_form string, reading string, meanings array<string>, is_common boolean, commonness double, wf_score double, senses array<struct<misc:array<string>>>")
+    words = browse.character_words(e).first()
+    assert [w.kanji_form for w in words.common_words] == ["人人", "人"]
+
+
+def test_related_words(spark):
+    h = spark.createDataFrame([(1, ["走る", "はしる"]), (2, ["ひらがな"])], "id long, forms array<string>")
+    w = spark.createDataFrame([("走", 1, "走る", "はしる"), ("走", 2, "滑走", "かっそう"), ("走", 3, "完走", "かんそう")], "literal string, rank int, kanji_form string, reading string")
+    assert rows(browse.related(h, w), "id", "rank", "kanji_form") == [(1, 1, "滑走"), (1, 2, "完走")]
+
+
+def test_variants_tell_empty_from_missing(spark):
+    e = spark.createDataFrame([(["甲", "乙"], ["a", "b", "c"], {"a": [], "b": ["乙"]}, {"甲": ["rK"]}), (["甲"], ["a"], {}, {})], "kanji_forms array<string>, readings array<string>, reading_restrictions map<string,array<string>>, ke_inf map<string,array<string>>")
+    got = [r.v for r in e.select(entries.variants().alias("v")).collect()]
+    assert got[1] is None and got[0].kana_only == ["a"] and got[0].readings == ["c"] and [(f.form, f.readings, f.labels) for f in got[0].forms] == [("甲", [], ["rK"]), ("乙", ["b"], [])]
+
+
+def test_tag_tables_are_complete():
+    assert sum(len(v.split()) for v in entries.POS_CODES.values()) == 92 and len(entries.POS_CODES) == 8
+    assert sum(len(v.split()) for v in entries.MISC_CODES.values()) == 55 and len(entries.MISC_CODES) == 10
+
+
+LEX = {}
+for f, k, r, m in TQ.LEXICON:
+    LEX.setdefault(f, []).append({"kanji_form": k, "reading": r, "meanings": m, "is_common": True, "wf_score": 4.0})
+NAMES = ("surf", "pos", "pos_sub", "pos_sub2", "ctype", "cform", "lemma", "norm", "reading")
+
+
+def chips(n):
+    _, sentence, tokens = TQ.SENTENCES[n]
+    return segmentation.segment(sentence, [dict(zip(NAMES, t)) for t in tokens], lambda f: LEX.get(f, ()))
+
+
+def test_morphological_chips():
+    eat = chips(0)
+    assert [c["text"] for c in eat] == ["犬", "を", "食べました"] and eat[2]["reading"] == "たべました" and eat[2]["stem"]["kanji_form"] == "食べる"
+    day = chips(1)
+    assert [c["text"] for c in day] == ["2日", "に", "行っています"] and day[0]["reading"] == "ふつか" and day[0]["meanings"] == ["2 · counter for days"]
+    assert [c["text"] for c in chips(2)] == ["精進料理", "について"]
+
+
+def test_greedy_chips_and_mixed_text():
+    look = lambda f: LEX.get(f, ())
+    assert [c["text"] for c in segmentation.segment("犬は料理", None, look)] == ["犬", "は", "料理"]
+    assert all(c["approx"] for c in segmentation.segment("犬は料理", None, look))
+    assert segmentation.segment("犬", None, look) is None and segmentation.segment("", None, look) is None and segmentation.segment("犬" * 101, None, look) is None
+    assert [c["text"] for c in segmentation.segment("犬 dog", None, look)] == ["犬", "dog"]
+    assert segmentation.split_mixed("犬 → 猫") == ("犬 → 猫", "") and segmentation.split_mixed("犬 dog") == ("犬", "dog")
+
+
+def test_segments_in_spark_equal_direct_calls(spark):
+    got = {}
+    for r in TQ.morph_segment(spark, "").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert got == {n + 1: [c["text"] for c in chips(n)] for n in range(3)}
+
+
+@given(st.lists(st.sampled_from(["- **は** (は) — topic", "- **〜たい** (たい) — want", "- 。 (。) — x", "- **a** — …", "", "plain", "* b — c", "*(cut off)*"]), max_size=12), st.integers(1, 4), st.integers(1, 5))
+@settings(max_examples=60, deadline=None)
+def test_stream_keeps_the_lines_that_the_whole_text_keeps(lines, most, size):
+    text = "\n".join(lines)
+    stream = explanations.LineStream(explanations.Tidier(most))
+    out = "".join(stream.feed(text[i : i + size]) for i in range(0, len(text), size)) + stream.close()
+    tidier = explanations.Tidier(most)
+    kept = [x for x in map(tidier.line, lines) if x is not None and x.strip()]
+    assert [x for x in out.split("\n") if x.strip()] == kept
+
+
+def test_tidy_rules():
+    assert explanations.tidy("- **は** (は) — topic\n- **は** — again\n- 。 — x", 5) == "- **は** — topic"
+    assert explanations.tidy("- 。 — x\n\n\n\nend", 5) == "- 。 — x\n\nend"
+
+
+@given(st.lists(st.floats(0, 300), max_size=40), st.integers(1, 4))
+@settings(max_examples=80, deadline=None)
+def test_no_window_admits_more_than_the_limit(times, limit):
+    gate, times = events.SlidingWindow(limit, 60.0), sorted(times)
+    admitted = [t for t in times if gate.hit(t) == 0]
+    assert all(sum(t - 60 < x <= t for x in admitted) <= limit for t in admitted)
+
+
+def test_rejected_hits_leave_no_trace():
+    gate = events.SlidingWindow(1, 60)
+    assert [gate.hit(t) for t in (0, 30, 59.9, 60)] == [0, 30, pytest.approx(0.1), 0]
+
+
+def test_retention_keeps_the_edge_and_everything_for_zero(spark):
+    e = spark.sql("select timestamp_ntz'2024-01-10 00:00:00' ts union all select timestamp_ntz'2024-01-09 23:59:59'")
+    now = F.expr("timestamp_ntz'2024-01-17 00:00:00'")
+    assert events.retained(e, 7, now).count() == 1 and events.retained(e, 0, now).count() == 2
+
+
+def test_subsets():
+    assert evaluate.resolve_subsets(["ja", "b"], {"ja": ["a", "b"]}, ["a", "b", "c"]) == ["a", "b"]
+    with pytest.raises(ValueError):
+        evaluate.resolve_subsets(["x"], {}, ["a"])
+
+
+def test_verdict(spark):
+    df = spark.createDataFrame([('x {"level_fit": 4, "accuracy": 5, "comment": "ok"} y',), ("no json",)], "r string").select(evaluate.verdict(F.col("r")).alias("v"))
+    assert [tuple(r.v) for r in df.collect()] == [(4.0, 5.0, "ok"), (None, None, "no json")]

@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from lexloom.operators import entries
+from lexloom.sources import markup, tables
+
+XML = """<?xml version="1.0"?>
+<!DOCTYPE JMdict [
+<!ENTITY v5k "Godan verb with 'ku' ending">
+<!ENTITY n "noun (common) (futsuumeishi)">
+<!ENTITY uk "word usually written using kana alone">
+<!ENTITY rK "rarely used kanji form">
+<!ENTITY ksb "Kansai-ben">
+]>
+<JMdict>
+<entry><ent_seq>10</ent_seq><k_ele><keb>書く</keb><ke_pri>ichi1</ke_pri><ke_pri>nf05</ke_pri></k_ele><k_ele><keb>画く</keb><ke_inf>&rK;</ke_inf></k_ele>
+<r_ele><reb>かく</reb></r_ele><r_ele><reb>カク</reb><re_nokanji/></r_ele>
+<sense><pos>&v5k;</pos><dial>&ksb;</dial><xref type="ant" seq="11">犬 [1]</xref><xref type="ant" seq="11">犬</xref><gloss>to write (a letter)</gloss><gloss xml:lang="fre">écrire</gloss>
+<example><ex_sent xml:lang="jpn">字を書く。</ex_sent><ex_sent xml:lang="eng">I write.</ex_sent></example><example><ex_sent xml:lang="jpn">x</ex_sent></example></sense>
+<sense><gloss>to draw</gloss></sense></entry>
+<entry><ent_seq>11</ent_seq><r_ele><reb>パン</reb><re_pri>news2</re_pri></r_ele><sense><pos>&n;</pos><misc>&uk;</misc><gloss>bread roll</gloss></sense><lsource xml:lang="por" ls_type="part">pão</lsource><lsource ls_wasei="y">x</lsource><info>note</info></entry>
+<entry><ent_seq>12</ent_seq><k_ele><keb>無</keb></k_ele><sense><gloss>dropped</gloss></sense></entry>
+<entry><ent_seq>13</ent_seq><r_ele><reb>む</reb></r_ele><sense><gloss xml:lang="ger">nur</gloss></sense></entry>
+</JMdict>
+"""
+
+
+def test_dictionary_to_entries(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(XML)
+    path = str(tmp_path / "d.xml")
+    assert {r.code for r in markup.entities(spark, path).collect()} == {"v5k", "n", "uk", "rK", "ksb"}
+    freq = spark.createDataFrame([("書く", 5.0, 1), ("パン", 4.5, 2)], "form string, zipf double, n_tokens int")
+    got = {r.id: r for r in entries.build_entries(markup.dictionary(spark, path), freq).collect()}
+    assert set(got) == {10, 11}
+    a, b = got[10], got[11]
+    assert (a.kanji_form, a.reading, a.is_common, a.freq_band, a.commonness, a.wf_score) == ("書く", "かく", True, 5, 1.0, 5.0)
+    assert a.kanji_forms == ["書く", "画く"] and a.reading_restrictions == {"カク": []} and a.ke_inf == {"画く": ["rK"]}
+    assert a.meanings == ["to write (a letter)", "to draw"] and a.gloss_keys == ["draw", "to draw", "to write", "write"] and a.head_gloss_keys == ["to write", "write"]
+    assert [s.glosses for s in a.senses] == [["to write (a letter)"], ["to draw"]] and a.senses[0].pos == ["verb"] and a.senses[0].dial[0].name == "Kansai-ben"
+    assert [(x.text, x.type, x.seq) for x in a.senses[0].xrefs] == [("犬", "ant", "11")] and len(a.example_sentences) == 1
+    assert "書いた" in a.infl_forms and len(a.inflected_forms) == 15 and a.text == "書く [かく]: to write (a letter), to draw" and a.sparse_text.startswith("書く 画く かく カク: ")
+    assert (b.kanji_form, b.is_common, b.commonness, b.wf_score, b.kanji_forms, b.has_lsource) == (None, False, 0.5, 3.5, None, True)
+    assert [(x.lang, x.type, x.wasei) for x in b.lsource] == [("por", "part", None), ("eng", None, True)] and b.notes == ["note"] and b.gloss_keys == ["bread", "bread roll"]
+    plain = entries.payload(entries.build_entries(markup.dictionary(spark, path))).collect()
+    assert all(len(r.sig) == 16 for r in plain) and {r.id: r.kanji_forms for r in plain}[11] == []
+
+
+def test_characters_and_strokes(spark, tmp_path):
+    (tmp_path / "k.xml").write_text('<c><character><literal>犬</literal><misc><grade>1</grade><stroke_count>4</stroke_count><freq>1326</freq><jlpt>3</jlpt></misc><reading_meaning><rmgroup><reading r_type="ja_on">ケン</reading><reading r_type="ja_kun">いぬ</reading><meaning>dog</meaning><meaning m_lang="fr">chien</meaning></rmgroup></reading_meaning></character></c>')
+    k = markup.characters(spark, str(tmp_path / "k.xml")).first()
+    assert (k.literal, k.codepoint_hex, k.on_yomi, k.kun_yomi, k.meanings, k.stroke_count, k.grade, k.freq, k.jlpt_level) == ("犬", "072ac", ["ケン"], ["いぬ"], ["dog"], 4, 1, 1326, 3)
+    svgs = tmp_path / "svg"
+    svgs.mkdir()
+    (svgs / "072ac.svg").write_text('<svg width="1" viewBox="0 0 10 10"><path id="kvg:072ac-s10" d="M2"/><path id="kvg:072ac-s2" kvg:type="x" d="M1"/><text transform="matrix(1 0 0 1 4.5 6)">1</text></svg>')
+    (svgs / "0ffff.svg").write_text("<svg></svg>")
+    got = {r.codepoint_hex: r.strokes for r in markup.stroke_files(spark, str(svgs)).collect()}
+    assert got["072ac"].strokes == ["M1", "M2"] and got["072ac"].view_box == "0 0 10 10" and tuple(got["072ac"].numbers[0]) == (4.5, 6.0, 1) and got["0ffff"].view_box == "0 0 109 109"
+    assert markup.stroke_files(spark, str(svgs), markup.characters(spark, str(tmp_path / "k.xml"))).count() == 1
+
+
+def test_gold_and_messages(spark, tmp_path):
+    lines = spark.createDataFrame([("# en_words: plain words",), ("category\tquery\texpected",), ("en_words\tdog\t犬 (noun) / イヌ",), ("",), ("en_words\tdog\t狗",)], "value string")
+    g = markup.gold_queries(lines).collect()
+    assert len(g) == 1 and sorted(g[0].expected) == sorted(["犬", "イヌ", "狗"])
+    assert [tuple(r) for r in markup.category_notes(lines).collect()] == [("en_words", "plain words")]
+    for name, data in (("en", {"a": "x {n}", "b": "tab\there"}), ("fr", {"a": "y {n}"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+    m = markup.messages(spark, str(tmp_path))
+    assert m.count() == 3
+    wide = {r.key: (r.en, r.fr) for r in tables.export_messages(m, ["en", "fr"]).collect()}
+    assert wide == {"a": ("x {n}", "y {n}"), "b": ("tab\\there", None)}
+
+
+def test_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), path)
+    tables.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert tables.copy_table(spark, path, str(tmp_path / "u")) == 5
+    tables.write_metadata(spark, str(tmp_path / "m"), source="2024")
+    assert tables.up_to_date(spark, str(tmp_path / "m"), source="2024") and not tables.up_to_date(spark, str(tmp_path / "m"), source="2025") and not tables.up_to_date(spark, str(tmp_path / "none"))
+    assert "| id |" in tables.markdown(spark.range(2))
+    assert markup.generation_date(F.lit("x")) is not None

@@ -1,0 +1,50 @@
+from __future__ import annotations
+
+from lexloom.operators import events
+from lexloom.streaming import admission, explanations, sinks
+
+from conftest import SF
+
+
+def drained(df, name, tmp_path):
+    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_streamed_admission_equals_batch(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/events.parquet").where("user_id < 20").orderBy("ts", "event_id")
+    n = rows.count()
+    # three files in time order, one per micro-batch
+    for i, (a, b) in enumerate(((0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n))):
+        spark.createDataFrame(rows.collect()[a:b], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.event_id, r.wait == 0) for r in drained(admission.admission_stream(stream, 2, 86400.0), "admitted", tmp_path).collect()}
+    assert got == {(r.event_id, r.wait == 0) for r in events.admissions(rows, 2, 86400.0).collect()}
+
+
+def test_streamed_lines(spark, tmp_path):
+    data = [(1, 0, "- **a** — x\n- **a", False), (1, 1, "** — again\nend", True), (2, 0, "\n\n\n\nplain\n", True)]
+    spark.createDataFrame(data, "explanation_id long, seq long, delta string, done boolean").write.parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema("explanation_id long, seq long, delta string, done boolean").parquet(str(tmp_path / "d"))
+    got = {r.explanation_id: (r.text, r.done) for r in drained(explanations.tidy_stream(stream, 5), "lines", tmp_path).collect()}
+    assert got == {1: ("- **a** — x\nend", True), 2: ("\n\nplain\n", True)}
+
+
+def test_appended_events_are_there_once(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"id": 1, "kanji": "犬", "source": "x"}\n{"id": 2, "kanji": "猫", "source": "y"}\n')
+    stream = sinks.read_json_lines(spark, str(tmp_path / "j"), sinks.TABLES["kanji_lookups"])
+    for _ in range(2):
+        sinks.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_failing_sink_does_not_stop_the_others(spark):
+    seen = []
+
+    def bad(batch, n):
+        raise RuntimeError
+
+    sinks.isolated(bad, lambda batch, n: seen.append(batch.count()))(spark.range(3), 0)
+    assert seen == [3]
