@@ -178,6 +178,7 @@ def search(queries: DataFrame, store: Store, n: int = 5, mode: str = "auto", rew
     """
     ja = queries["japanese"] if "japanese" in queries.columns else None
     vec = "qv" if "qv" in queries.columns else None
+    store = store if vec else Store(store.entries, store.keys)  # without query vectors the dense arms stay out
     ok = queries.where(~T.too_long("query"))
     asked = ok.withColumn("__r", T.rewrite(F.lower(T.one_spaced("query")), rewrite_mode, japanese=ja))
     tried = F.array_distinct(F.when(F.lit(mode == "auto"), F.concat(F.col("__r.japanese"), F.array("__r.query"))).otherwise(F.array("__r.query")))
