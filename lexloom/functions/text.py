@@ -78,10 +78,11 @@ def normalise(c: Column | str) -> Column:
 def heuristic_rewrite(c: Column | str) -> Column:
     """What a question-shaped query asks for; null where no frame fits."""
     q = normalise(c)
-    parts = [F.when(q.rlike(f"(?U){frame}"), F.regexp_extract(q, f"(?U){frame}", 1)) for frame in FRAMES]
-    asked = F.coalesce(*parts)
+    # the frames as alternatives: the first that fits has the only group that matches
+    any_frame = "(?U)" + "|".join(f"(?:{frame})" for frame in FRAMES)
+    asked = F.when(q.rlike(any_frame), F.regexp_replace(q, any_frame, "".join(f"${n}" for n in range(1, len(FRAMES) + 1))))
     out = F.regexp_replace(F.regexp_replace(stripped(asked), f"(?U){ARTICLE}", ""), f"(?U){TRAILING}", "")
-    return F.when(~is_japanese(q) & (out != ""), out)
+    return F.when(~is_japanese(c) & (out != ""), out)
 
 
 def rewrite(c: Column | str, mode: str = "heuristic", english: Column | None = None, japanese: Column | None = None) -> Column:

@@ -96,12 +96,15 @@ def related(headwords: DataFrame, words: DataFrame, n: int = 8) -> DataFrame:
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "rank", "kanji_form", "reading")
 
 
-def neighbours(pairs: DataFrame, n: int = 8) -> DataFrame:
-    """(id, rank, other, shared): the entries that share most terms; ``pairs`` has term, id."""
-    other = pairs.select("term", F.col("id").alias("other"))
-    shared = pairs.join(other, "term").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
-    return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def related_by_terms(heads: DataFrame, top: DataFrame, n: int = 8) -> DataFrame:
+    """(id, rank, other): what the terms of a head list, in the order of terms and then of ranks, each once.
+
+    ``heads`` has id and terms, ``top`` (term, rank, other) a bounded list for each term, so no term's pairs multiply.
+    """
+    pool = heads.select("id", F.posexplode(F.array_distinct("terms")).alias("t", "term")).join(top, "term")
+    first = pool.groupBy("id", "other").agg(F.min(F.struct("t", "rank")).alias("at"))
+    w = Window.partitionBy("id").orderBy("at", "other")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "rank", "other")
 
 
 def loanwords(entries: DataFrame) -> DataFrame:

@@ -185,18 +185,23 @@ def promote_segments(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.promoted(q, found, q.select("qid", F.posexplode(F.split("q", " ")).alias("pos", "surface")))
 
 
-@query(f"""SELECT term, rank, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY c DESC, wf DESC, id) AS rank
-FROM (SELECT doc_id AS id, coalesce(quality, 0) AS c, round(ln(1 + n_chars), 3) AS wf, unnest(list_distinct({S.tokens("text")})) AS term FROM documents LEFT JOIN labels USING (doc_id))) WHERE rank <= 10""")
+_TOP10 = f"""SELECT term, rank, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY c DESC, wf DESC, id) AS rank
+FROM (SELECT doc_id AS id, coalesce(quality, 0) AS c, round(ln(1 + n_chars), 3) AS wf, unnest(list_distinct({S.tokens("text")})) AS term FROM documents LEFT JOIN labels USING (doc_id))) WHERE rank <= 10"""
+
+
+@query(_TOP10)
 def inverted_index_top10(spark: SparkSession, d: str) -> DataFrame:
     docs = entries(spark, d)
     return browse.inverted_top(docs, T.tokens("text"), [F.col("commonness"), F.col("wf_score")])
 
 
-@query(f"""WITH t AS (SELECT item_id AS id, unnest(list_distinct({S.tokens("text")})) AS term FROM benchmark), p AS (SELECT a.id, b.id AS other, count(*) AS shared FROM t a JOIN t b USING (term) WHERE a.id <> b.id GROUP BY 1, 2)
-SELECT id, rank, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS rank FROM p) WHERE rank <= 8""")
+@query(f"""WITH top AS ({_TOP10}), t AS (SELECT item_id AS id, {S.tokens("text")} AS ts FROM benchmark), h AS (SELECT id, unnest(ts) AS term, generate_subscripts(ts, 1) AS n FROM t),
+p AS (SELECT h.id, top.id AS other, min(n * 100 + rank) AS pl FROM (SELECT id, term, min(n) AS n FROM h GROUP BY 1, 2) h JOIN top USING (term) GROUP BY 1, 2)
+SELECT id, rank, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY pl, other) AS rank FROM p) WHERE rank <= 8""")
 def related_items(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
-    return browse.neighbours(pairs).select("id", "rank", "other", "shared")
+    """Documents that an item's words list among their ten best, in the order of the words."""
+    top = browse.inverted_top(entries(spark, d), T.tokens("text"), [F.col("commonness"), F.col("wf_score")]).withColumnRenamed("id", "other")
+    return browse.related_by_terms(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.tokens("text").alias("terms")), top)
 
 
 def _vector_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
