@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import bare
+from .shared import bare, bound_batches
 
 Q, RATE, LEAST, BLOCK = 12, 1 / 16, 24, 1 << 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -198,6 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` whose text holds no passage, with their columns: one pass for each block of the benchmark."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text, rate):
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .components import components
-from .shared import Workspace, bare, whole_groups
+from .shared import Workspace, bare, bound_batches, whole_groups
 
 HASHES, BAND = 64, 4
 _SALT = np.random.default_rng(11).integers(1, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -341,6 +341,7 @@ def similarity_classes(
     Rows without words have class_id = id and no links.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     work = work or Workspace(spark, "ngram-join")
     feats = work.table(features(docs, id_col, text_col, width), "features")
     nodes = work.table(feats.where("n_words > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(id_col).alias("rep")), "nodes")

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import Workspace, bare, held_out
+from .shared import Workspace, bare, bound_batches, held_out
 from .training import gathered, sigmoid, temperature, training_rows, unit_hash
 
 BUCKETS, DIM, LAGS = 1 << 15, 24, (1, 2, 3)
 CAPS = BUCKETS  # the last row: the mark of capitalised words
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def index_vectors() -> np.ndarray:
@@ -170,6 +170,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with their columns: one pass without a shuffle."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,6 +45,25 @@ def _local_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch between the JVM and Python: long texts must not add up to large batches.
+ARROW_BYTES = 8 << 20
+
+
+def bare(df: DataFrame, *wanted: str) -> DataFrame:
+    """Only the wanted columns, so that extra or clashing names of the input can't interfere; bounds Arrow batches too."""
+    bound_batches(df.sparkSession)
+    return df.select(*[df[c] for c in wanted])
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``ARROW_BYTES`` unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "64m")).lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:] in ("k", "m", "g") else int(now)
+    if size <= 0 or size > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A bounded driver-side list as a local relation (no Python on the executors)."""
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(_names(schema), r)) for r in rows], schema=_arrow(schema)))
@@ -61,11 +80,6 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[t]) for n, t in (part.split() for part in schema.split(","))])
 
 
-def bare(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns, so that extra or clashing names of the input can't interfere."""
-    return df.select(*[df[c] for c in wanted])
-
-
 def held_out(doc_id: str | Column) -> Column:
     """The rows kept from training: crc32 of the id as text leaves 1 when divided by 3."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

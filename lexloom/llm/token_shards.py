@@ -140,8 +140,8 @@ class Shards:
 
         return self.packed.select("part", "first", "n", "docs", "tokens", "crcs").mapInArrow(run, "slot long, shard long, offset long, doc_id long, n_tokens int, crc long")
 
-    def read(self, first: int = 0, count: int | None = None) -> DataFrame:
-        """(slot, ids) of ``count`` slots from ``first``: only the shards that hold them are opened."""
+    def read(self, first: int = 0, count: int | None = None, checksums: bool = False) -> DataFrame:
+        """(slot, ids) of ``count`` slots from ``first``, or (slot, found) with checksums: only the shards that hold them are opened."""
         spark, length, per, sequences = self.packed.sparkSession, self.length, self.per_shard, self.sequences
         last = min(sequences, sequences if count is None else first + count)
         files = spark.read.format("binaryFile").load(self.path).select("path", "content")
@@ -155,12 +155,13 @@ class Shards:
                     a, b = max(0, first - k * per), min(len(ids), last - k * per)
                     for at in range(a, b, 2048):
                         part = ids[at : min(at + 2048, b)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part)) + k * per), pa.array([r.tobytes() for r in part], pa.binary())], names=["slot", "ids"])
+                        held = pa.array([zlib.crc32(r) for r in part], pa.int64()) if checksums else pa.array([r.tobytes() for r in part], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part)) + k * per), held], names=["slot", "found" if checksums else "ids"])
 
-        return files.select(shard.alias("k"), "content").mapInArrow(run, "slot long, ids binary")
+        return files.select(shard.alias("k"), "content").mapInArrow(run, "slot long, found long" if checksums else "slot long, ids binary")
 
 
-def write_shards(docs: DataFrame, key: int = 1234567, length: int = 1024, shard_bytes: int = 1 << 24, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> Shards:
+def write_shards(docs: DataFrame, key: int = 1234567, length: int = 1024, shard_bytes: int = 1 << 23, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> Shards:
     """Tokenise ``docs`` and write the shards; ``shard_bytes`` bounds a shard and so the memory of the task that writes it."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "shards")
@@ -203,14 +204,8 @@ def write_shards(docs: DataFrame, key: int = 1234567, length: int = 1024, shard_
             yield pa.RecordBatch.from_arrays([pa.array([page.tobytes()], pa.binary())], names=["value"])
 
     if total:
-        # block rows are large, so few of them make up a batch
-        rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        spark.conf.set(rows, "8")
-        try:
-            dealt = packed.select("part", "first", "n", "ids").mapInArrow(deal, "shard int, slots binary, ids binary")
-            dealt.repartitionById(shards, "shard").mapInArrow(fill, "value binary").select(F.col("value").cast("string").alias("value")).write.text(out.path)
-        finally:
-            spark.conf.set(rows, before)
+        dealt = packed.select("part", "first", "n", "ids").mapInArrow(deal, "shard int, slots binary, ids binary")
+        dealt.repartitionById(shards, "shard").mapInArrow(fill, "value binary").select(F.col("value").cast("string").alias("value")).write.text(out.path)
     return out
 
 
@@ -221,9 +216,5 @@ def shard_index(docs: DataFrame, **options) -> DataFrame:
     if not shards.sequences:
         return shards.manifest().withColumn("intact", F.lit(True))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(1)], pa.int64())], names=["slot", "found"])
-
-    found = shards.read().mapInArrow(check, "slot long, found long")
+    found = shards.read(checksums=True)
     return shards.manifest().join(found, "slot", "left").select("slot", "shard", "offset", "doc_id", "n_tokens", F.col("found").alias("crc"), F.coalesce(F.col("found") == F.col("crc"), F.lit(False)).alias("intact"))

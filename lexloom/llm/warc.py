@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, bound_batches
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,6 +120,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds[: len(names)]], names=names)
 
+    bound_batches(spark)
     files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"part-[^/]*$") & (F.col("length") > 0))
     return files.select("content").mapInArrow(run, schema)
 
