@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .shared import bare, bound_batches
 
-Q, RATE, LEAST, BLOCK = 12, 1 / 16, 24, 1 << 24
+Q, RATE, LEAST, BLOCK = 10, 0.08, 24, 1 << 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,13 +44,13 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """Hashes of the Q-grams (Q = 12) at each position."""
+    """Hashes of the Q-grams (Q = 10) at each position."""
     h1 = bs._RANDOM[data]
+    m2, m4 = (np.uint64(pow(int(_MUL), k, 1 << 64)) for k in (2, 4))
     h2 = h1[:-1] * _MUL + h1[1:]
-    h4 = h2[:-2] * np.uint64(pow(int(_MUL), 2, 1 << 64)) + h2[2:]
-    m4 = np.uint64(pow(int(_MUL), 4, 1 << 64))
+    h4 = h2[:-2] * m2 + h2[2:]
     h8 = h4[:-4] * m4 + h4[4:]
-    out = h8[:-4] * m4 + h4[8:]
+    out = h8[:-2] * m2 + h2[8:]
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
