@@ -165,3 +165,8 @@ def jlpt_scale(level: Column) -> Column:
 def codepoint_hex(c: Column | str) -> Column:
     """Five hex digits, as stroke files are named."""
     return F.format_string("%05x", F.ascii(col(c)))
+
+
+def kana_label(kana: Column, romaji: Column, local: Column) -> Column:
+    """A chart cell's label: the locale's transliteration (map kana -> text) where there is one, else the common one."""
+    return F.coalesce(F.try_element_at(local, kana), romaji, kana)

@@ -40,6 +40,16 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
+def page_count(total: Column, limit: int) -> Column:
+    """Pages of ``limit`` rows, one at least."""
+    return F.greatest(F.ceil(total / limit), F.lit(1)).cast("int")
+
+
+def clamped_page(wanted: Column, pages: Column) -> Column:
+    """A page number within 1 and the number of pages; 1 where it is no number."""
+    return F.greatest(F.least(F.coalesce(wanted.try_cast("int"), F.lit(1)), pages), F.lit(1))
+
+
 def character_group(kanji: DataFrame, by: str, value: int | str, n: int = 40, offset: int = 0) -> DataFrame | None:
     """A page of a group, most used first; the frequency group is cumulative.  None for an unknown key or a value out of bounds."""
     try:

@@ -205,3 +205,15 @@ def common_subset(entries: DataFrame, band: int = 24) -> DataFrame:
 def without_names(entries: DataFrame) -> DataFrame:
     """Entries none of whose senses is a name."""
     return entries.where(~F.exists("senses", lambda s: F.coalesce(F.array_contains(s["misc"], "name"), F.lit(False))))
+
+
+def entry_totals(entries: DataFrame) -> DataFrame:
+    """(entries, common, examples): one row for the build's report."""
+    return entries.agg(F.count("*").alias("entries"), F.sum(F.col("is_common").cast("long")).alias("common"), F.sum(F.size("example_sentences").cast("long")).alias("examples"))
+
+
+def split_senses(sense: Column, pos: int = 3, misc: int = 3, xrefs: int = 6) -> Column:
+    """What a result shows of a sense: a few tags, a few references, and antonyms apart."""
+    other = F.filter(sense["xrefs"], lambda x: x["type"] != "ant")
+    opposite = F.filter(sense["xrefs"], lambda x: x["type"] == "ant")
+    return F.struct(F.slice(sense["pos"], 1, pos).alias("pos"), F.slice(sense["misc"], 1, misc).alias("misc"), F.slice(other, 1, xrefs).alias("xrefs"), opposite.alias("antonyms"))

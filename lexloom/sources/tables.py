@@ -100,10 +100,30 @@ def copy_table(spark: SparkSession, source: str, target: str) -> int:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256, complete): gzip files are read through their codec, and complete says whether the end mark is there."""
+    """(path, length, sha256) of the files of a folder."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def has_end_mark(spark: SparkSession, path: str, mark: str) -> bool:
+    """Whether a text file, compressed or not, goes on to its end mark: a cut download doesn't."""
+    return spark.read.text(path).where(F.col("value").contains(mark)).limit(1).count() > 0
+
+
+def expire(spark: SparkSession, path: str, days: int, now: str, ts_col: str = "ts") -> int:
+    """Rewrite an event table without what is older than ``days`` before ``now``; the number of rows that went.
+
+    To be scheduled: writes never expire anything themselves.
+    """
+    from ..operators.events import retained
+
+    old = spark.read.parquet(path)
+    kept = retained(old, days, F.lit(now).cast(dict(old.dtypes)[ts_col]), ts_col)
+    before, after = old.count(), kept.count()
+    if after < before:
+        replace_table(kept, path)
+    return before - after
+
+
 def export_messages(messages: DataFrame, locales: list[str]) -> DataFrame:
     """(key, one column for each locale) with backslashes, tabs and line feeds escaped."""
     text = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))

@@ -19,7 +19,6 @@ def forms(spark, pos, kanji, kana):
 
 
 def test_conjugation_classes(spark):
-    assert forms(spark, ["Godan verb with 'ku' ending"], "書く", "かく") == {} or True
     go = forms(spark, ["Godan verb with 'ku' ending"], "書く", "かく")
     assert go["Past"] == ("書いた", "かいた") and len(go) == 15
     assert forms(spark, [conjugation.IKU], "行く", "いく")["Past"] == ("行った", "いった")
@@ -27,7 +26,7 @@ def test_conjugation_classes(spark):
     assert forms(spark, [conjugation.KURU], "来る", "くる")["Conditional"] == ("来れば", "くれば")
     assert forms(spark, [conjugation.ARU], None, "ある")["Negative"] == ("ない", None)
     assert "Potential" not in forms(spark, [conjugation.SURU_INCLUDED], "気がする", "きがする")
-    assert forms(spark, [conjugation.SURU_AUX], "為る", "する") .get("Past") == ("した", None)
+    assert forms(spark, [conjugation.SURU_AUX], "為る", "する").get("Past") == ("した", None)
     assert forms(spark, ["adjective (keiyoushi) - yoi/ii class"], None, "いい")["Negative"] == ("よくない", None)
     assert forms(spark, ["Godan verb with 'ru' ending"], "御座る", "ござる") == {} and forms(spark, ["noun"], "犬", "いぬ") == {}
 
@@ -194,3 +193,22 @@ def test_subsets():
 def test_verdict(spark):
     df = spark.createDataFrame([('x {"level_fit": 4, "accuracy": 5, "comment": "ok"} y',), ("no json",)], "r string").select(evaluate.verdict(F.col("r")).alias("v"))
     assert [tuple(r.v) for r in df.collect()] == [(4.0, 5.0, "ok"), (None, None, "no json")]
+
+
+def test_page_numbers(spark):
+    df = spark.createDataFrame([(0, "3"), (41, "9"), (41, "x")], "total long, p string")
+    pages = browse.page_count(F.col("total"), 20)
+    assert rows(df.select(pages.alias("n"), browse.clamped_page(F.col("p"), pages).alias("at")), "n", "at") == [(1, 1), (3, 3), (3, 1)]
+
+
+def test_shown_senses(spark):
+    x = F.expr("array(named_struct('text', 'a', 'type', 'ant'), named_struct('text', 'b', 'type', 'see'))")
+    sense = F.struct(F.array(*map(F.lit, "abcd")).alias("pos"), F.array(F.lit("m")).alias("misc"), x.alias("xrefs"))
+    r = spark.range(1).select(entries.split_senses(sense).alias("s")).first().s
+    assert r.pos == ["a", "b", "c"] and [v.text for v in r.xrefs] == ["b"] and [v.text for v in r.antonyms] == ["a"]
+
+
+def test_neighbour_lists_are_linear(spark):
+    heads = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c"])], "id long, terms array<string>")
+    top = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("b", 1, 8)], "term string, rank int, other long")
+    assert rows(browse.related_by_terms(heads, top), "id", "rank", "other") == [(1, 1, 8), (1, 2, 7)]

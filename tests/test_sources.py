@@ -84,3 +84,12 @@ def test_tables(spark, tmp_path):
     assert tables.up_to_date(spark, str(tmp_path / "m"), source="2024") and not tables.up_to_date(spark, str(tmp_path / "m"), source="2025") and not tables.up_to_date(spark, str(tmp_path / "none"))
     assert "| id |" in tables.markdown(spark.range(2))
     assert markup.generation_date(F.lit("x")) is not None
+
+
+def test_expiry_and_end_marks(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.sql("select explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-10', interval 1 day)) ts").write.parquet(path)
+    assert tables.expire(spark, path, 0, "2024-01-10 00:00:00") == 0 and tables.expire(spark, path, 3, "2024-01-10 00:00:00") == 6 and spark.read.parquet(path).count() == 4
+    (tmp_path / "x.xml").write_text("<a>\n</a>\n")
+    assert tables.has_end_mark(spark, str(tmp_path / "x.xml"), "</a>") and not tables.has_end_mark(spark, str(tmp_path / "x.xml"), "</b>")
+    assert tables.file_digests(spark, str(tmp_path / "x.xml")).first().length == 9
