@@ -350,7 +350,7 @@ def similarity_classes(
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
     members = coarse.join(sizes, "root").join(nodes, coarse["node"] == nodes["key"]).select(F.col("root").alias("grp"), "n", "key", "sig", "copies", "rep")
     texts = docs.select(docs[id_col].alias("rep_id"), docs[text_col].alias("text"))
-    found = work.table(_verified(members.join(texts, F.col("rep").eqNullSafe(F.col("rep_id"))).drop("rep", "rep_id"), width, threshold, tolerance, block), "links")
+    found = work.table(_verified(members.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("rep_id"))).drop("rep", "rep_id"), width, threshold, tolerance, block), "links")
     classes = components(spark, found.select(F.col("key").alias("a"), F.col("root").alias("b")), work, "classes")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = nodes.select("key", "copies", "rep").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -374,7 +374,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = found.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     wordless = found.where("n_words = 0").select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
     ids = kept.select("__id", F.col("key").alias("__key")).unionByName(wordless)
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]))
+    out = docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids["__id"]))  # the list grows with the rows: one plan at every size
     if not repeated:
         return out.select(*[docs[c] for c in docs.columns])
     return _settle(out, docs.columns, text_col, width)
