@@ -25,6 +25,9 @@ SPELLINGS = (
     ("realis", "realiz"), ("recognis", "recogniz"), ("signalling", "signaling"), ("sub license", "sublicense"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"),
 )
 
+#: Leading characters that no spelling rule changes.
+START = min(next(k for k in range(len(a) + 1) if a[: k + 1] != b[: k + 1]) for a, b in SPELLINGS)
+
 COPYRIGHT_LINE = r"(?im)^[ \t*#/;>-]*(copyright\b|\(c\)|©)[^\n]*$"
 
 #: Short licence texts.
@@ -117,19 +120,23 @@ def _digest(form: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(digest, license, kind), one row per digest: a bounded list, made of the given texts."""
+    """(digest, license, kind, start), one row per digest: a bounded list, made of the given texts."""
     table = small(spark, [tuple(k) for k in (known if known is not None else known_licenses())], "license string, kind string, text string")
     form = table.select("license", "kind", respelled(canonical(F.col("text"))).alias("form")).where("form <> ''")
-    return form.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min("kind").alias("kind"))
+    return form.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min("kind").alias("kind"), F.min(F.left("form", F.lit(START))).alias("start"))
 
 
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_digest, license, notices, n_notice_lines) of each row; ``notices`` joins the licences of lines with commas."""
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
+    table = known_digests(docs.sparkSession, known)
+    digests, starts = F.broadcast(table.select("digest", "license")), F.broadcast(table.select("start").distinct())
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     whole = texts.select("id", F.md5("text").alias("mark"), _digest(respelled(canonical(F.col("text")))).alias("digest"))
     lines = texts.select("id", F.md5("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "mark", "line_no", _digest(respelled(canonical(F.col("line")))).alias("digest"))
+    lines = lines.select("id", "mark", "line_no", canonical(F.col("line")).alias("form"))
+    # spelling rules keep a form's start, so only lines that start like a known form can match
+    lines = lines.withColumn("start", F.left("form", F.lit(START))).join(starts, "start", "left_semi")
+    lines = lines.select("id", "mark", "line_no", _digest(respelled(F.col("form"))).alias("digest"))
     # repeated rows find the same lines, so each line of an (id, text) counts once
     found = lines.join(digests, "digest").groupBy("id", "mark").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count_distinct("line_no").alias("n_notice_lines"))
     found = found.withColumnsRenamed({"id": "__id", "mark": "__mark"})
