@@ -16,7 +16,10 @@ FRAMES = (
     r"^(?:japanese (?:word |term )?for|word for|meaning of|translate)\s+(.+)$",
     r"^(?:a|an|the)\s+(?:word|term)\s+(?:for|meaning|that means)\s+(.+)$",
 )
-TRAILING = r"[\s?!.。、]+$"
+#: White space of every script: as characters to trim, and as a class for patterns (cheaper than Unicode classes by flag).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CLOSING = SPACES + "?!.。、"
 ARTICLE = r"^(?:a|an|the)\s+"
 
 #: Longest query, and longest Japanese query, in characters.
@@ -29,11 +32,11 @@ def col(c: Column | str) -> Column:
 
 def stripped(c: Column | str) -> Column:
     """Without white space (of any script) at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def one_spaced(c: Column | str) -> Column:
-    return stripped(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(col(c), f"[{WS}]+", " "), F.lit(" "))
 
 
 def n_words(c: Column | str) -> Column:
@@ -58,20 +61,25 @@ def has_separate_japanese(c: Column | str) -> Column:
 
 def gloss_key(c: Column | str) -> Column:
     """Lower case, cut at the first parenthesis, single blanks, no closing punctuation."""
-    key = F.regexp_replace(F.lower(stripped(c)), r"(?U)\s*\(.*", "")
-    return F.regexp_replace(one_spaced(key), r"(?U)[,;:.!\s]+$", "")
+    low = F.lower(stripped(c))
+    key = F.when(low.contains("("), F.regexp_replace(low, rf"[{WS}]*\(.*", "")).otherwise(low)
+    return F.rtrim(one_spaced(key), F.lit(SPACES + ",;:.!"))
 
 
 def gloss_keys(c: Column | str) -> Column:
     """The key, and the key without a leading "to "; an empty key gives none."""
-    key = gloss_key(c)
+    return keys_of(gloss_key(c))
+
+
+def keys_of(key: Column) -> Column:
+    """The same from a key."""
     bare = F.when(key.startswith("to "), F.substr(key, F.lit(4)))
     return F.when(key == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(key, bare)))
 
 
 def normalise(c: Column | str) -> Column:
     """Trimmed, without closing punctuation, in lower case unless Japanese."""
-    q = F.regexp_replace(stripped(c), f"(?U){TRAILING}", "")
+    q = F.rtrim(stripped(c), F.lit(CLOSING))
     return F.when(is_japanese(q), q).otherwise(F.lower(q))
 
 
@@ -81,7 +89,7 @@ def heuristic_rewrite(c: Column | str) -> Column:
     # the frames as alternatives: the first that fits has the only group that matches
     any_frame = "(?U)" + "|".join(f"(?:{frame})" for frame in FRAMES)
     asked = F.when(q.rlike(any_frame), F.regexp_replace(q, any_frame, "".join(f"${n}" for n in range(1, len(FRAMES) + 1))))
-    out = F.regexp_replace(F.regexp_replace(stripped(asked), f"(?U){ARTICLE}", ""), f"(?U){TRAILING}", "")
+    out = F.rtrim(F.regexp_replace(stripped(asked), f"(?U){ARTICLE}", ""), F.lit(CLOSING))
     return F.when(~is_japanese(c) & (out != ""), out)
 
 
@@ -124,7 +132,7 @@ def clean_japanese(items: Column) -> Column:
         x = F.regexp_replace(x, r"^\s*(?:[-*]|\d+[.)])\s*", "")
         x = F.regexp_replace(x, r"\s*[（(].*?[）)]\s*$", "")
         x = F.regexp_replace(stripped(x), "^[\"']+|[\"']+$", "")
-        return stripped(F.regexp_replace(x, f"(?U){TRAILING}", ""))
+        return stripped(F.rtrim(x, F.lit(CLOSING)))
 
     good = F.filter(F.transform(items, one), lambda x: (x != "") & is_japanese(x) & (F.length(x) <= 20) & ~x.rlike(r"(?U)\s"))
     return F.slice(F.array_distinct(good), 1, 3)
@@ -161,7 +169,7 @@ def hash_prefix(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Runs of letters and digits in lower case; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def western_number(c: Column | str) -> Column:

@@ -22,9 +22,10 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_keys(docs: DataFrame) -> DataFrame:
     """(kind, key, id): each sentence is a gloss; the first sentence is the primary and head gloss too."""
-    rows = docs.select("id", F.posexplode(F.split("text", r"[.\n]")).alias("n", "s")).select("id", "n", T.gloss_key("s").alias("key")).where("key <> ''")
+    rows = docs.select("id", F.posexplode(F.split("text", r"[.\n]")).alias("n", "s")).select("id", "n", T.gloss_key("s").alias("key"))
     kinds = F.when(F.col("n") == 0, F.array(F.lit(keys.ALL), F.lit(keys.PRIMARY), F.lit(keys.HEAD))).otherwise(F.array(F.lit(keys.ALL)))
-    return rows.select(F.explode(kinds).alias("kind"), "key", "id")
+    # no filter on the key, which would work it out once more below the projection
+    return rows.select(F.explode(F.when(F.col("key") != "", kinds)).alias("kind"), "key", "id")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

@@ -16,8 +16,8 @@ query = Registry()
 
 @query(f"""SELECT doc_id, {S.gloss_key("text")} AS key, CASE WHEN {S.gloss_key("text")} LIKE 'to %' THEN substr({S.gloss_key("text")}, 4) END AS bare_key, {S.normalise("text")} AS normal FROM documents""")
 def normalise_keys(spark: SparkSession, d: str) -> DataFrame:
-    keys = T.gloss_keys("text")
-    return table(spark, d, "documents").select("doc_id", T.gloss_key("text").alias("key"), F.get(keys, F.lit(1)).alias("bare_key"), T.normalise("text").alias("normal"))
+    rows = table(spark, d, "documents").select("doc_id", T.gloss_key("text").alias("key"), T.normalise("text").alias("normal"))
+    return rows.select("doc_id", "key", F.get(T.keys_of(F.col("key")), F.lit(1)).alias("bare_key"), "normal")
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 12) AS hash FROM documents")
