@@ -347,7 +347,7 @@ def similarity_classes(
     nodes = work.table(feats.where("n_words > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(id_col).alias("rep")), "nodes")
     forest = work.table(_candidates(nodes, threshold, tolerance, block), "forest")
     coarse = components(spark, forest, work, "coarse")
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
+    sizes = work.table(coarse.groupBy("root").agg(F.count("*").alias("n")), "sizes")  # written, so a large group's partition can be split
     members = coarse.join(sizes, "root").join(nodes, coarse["node"] == nodes["key"]).select(F.col("root").alias("grp"), "n", "key", "sig", "copies", "rep")
     texts = docs.select(docs[id_col].alias("rep_id"), docs[text_col].alias("text"))
     found = work.table(_verified(members.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("rep_id"))).drop("rep", "rep_id"), width, threshold, tolerance, block), "links")
@@ -355,7 +355,7 @@ def similarity_classes(
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = nodes.select("key", "copies", "rep").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     joined = work.table(joined.select("key", "copies", "rep", "root", F.coalesce("links", F.lit(0)).alias("links")), "node-links")
-    least = joined.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("least"))
+    least = work.table(joined.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("least")), "least")
     named = joined.join(least, "root").select("key", "copies", "links", F.col("least.rep").alias("class_id"), F.col("least.key").alias("rep_key"))
     rows = feats.select(id_col, "key", "n_words").join(named, "key", "left")
     return rows.select(
