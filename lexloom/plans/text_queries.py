@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import japanese as J
 from ..functions import text as T
 from ..operators import conjugation, evaluate, explanations, segmentation
+from ..sources import tables
 from . import sqltext as S
 from .registry import Registry, table
 
@@ -164,8 +165,12 @@ def _word_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_segment(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.regexp_extract(F.lower("text"), r"^([^.\n]{0,100})", 1).alias("sentence"))
-    return segmentation.segment_sentences(rows, _word_index(spark, d)).select("id", "pos", "text", "approx")
+    """Every sentence of every turn, numbered from 0; the operator's guard gives none for those above its length."""
+    turns = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("turn_id"), F.posexplode(F.split(F.lower("text"), r"[.\n]")).alias("n", "sentence"))
+    rows = turns.select(F.concat_ws("/", "turn_id", "n").alias("id"), T.stripped(F.col("sentence")).alias("sentence")).where("sentence <> ''")
+    found = segmentation.segment_sentences(rows, tables.staged(_word_index(spark, d), "word-index"))
+    at = F.length("id") - F.length(F.substring_index("id", "/", -1))
+    return found.select(F.substring(F.col("id"), F.lit(1), at - 1).alias("id"), F.substring_index("id", "/", -1).cast("int").alias("sentence"), "pos", "text", "approx")
 
 
 _M = "array<struct<surf:string,pos:string,pos_sub:string,pos_sub2:string,ctype:string,cform:string,lemma:string,norm:string,reading:string>>"
