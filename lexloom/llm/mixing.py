@@ -5,7 +5,8 @@ count is the inverse of the Poisson distribution with that mean at a number hash
 seed, so the same row always gets the same count and no state is shared.  Rows are exploded by their counts and shuffled
 globally: dealt out and sorted by a hash of id, copy and seed.
 
-``most_rate`` bounds how often the rows of a tiny source are repeated.  Defined cases: a null source is a source of its own; sources without a target weight get ``other`` (0 by default: they go);
+Rates are not bounded, so a tiny source meets its weight too; a caller may bound them by ``most_rate`` and then misses targets.
+Defined cases: a null source is a source of its own; sources without a target weight get ``other`` (0 by default: they go);
 null texts have no characters and take their source's rate; a source without characters has rate 0.  Repeated rows of one id
 get the same count.
 """
@@ -24,22 +25,32 @@ def uniform(*parts: Column | str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+#: Rates up to which the partial sums start at 0: exp(-rate) underflows near 745.
+FROM_ZERO = 500.0
+
+
 def poisson_count(u: Column, rate: Column) -> Column:
     """The least k with P(Poisson(rate) <= k) > u: the number of partial sums of the distribution that are at most u.
 
-    The sums run to rate + 12 sqrt(rate) + 20, beyond which less than 2**-52 is left.
+    The sums run to rate + 12 sqrt(rate) + 20, beyond which less than 2**-52 is left.  Above ``FROM_ZERO`` they start at
+    rate - 12 sqrt(rate) - 20, below which less than 2**-52 lies, with that term by Stirling's series.
     """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("total"), F.lit(0).alias("n"))
+    spread = 12 * F.sqrt(rate) + 20
+    large = rate > FROM_ZERO
+    low = F.when(large, F.floor(rate - spread)).otherwise(0).cast("int")
+    k0 = F.greatest(low, F.lit(1)).cast("double")
+    stirling = F.exp(k0 - rate - k0 * F.log1p((k0 - rate) / rate) - 1 / (12 * k0) + 1 / (360 * k0 * k0 * k0)) / F.sqrt(2 * F.pi() * k0)
+    first = F.when(large, stirling).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("term"), first.alias("total"), low.alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         term = acc["term"] * rate / k
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"), (acc["n"] + (acc["total"] <= u).cast("int")).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["n"])
+    return F.aggregate(F.sequence(low + 1, F.ceil(rate + spread).cast("int")), start, step, lambda acc: acc["n"])
 
 
-def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text", total: float | None = None, other: float = 0.0, most_rate: float = 30.0) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text", total: float | None = None, other: float = 0.0, most_rate: float | None = None) -> DataFrame:
     """(source_key, rate): one row per source.  Without ``weights`` all sources weigh the same; ``total`` is in characters."""
     spark = docs.sparkSession
     key = F.coalesce(docs[source_col].cast("string"), F.lit(NO_SOURCE))
@@ -54,11 +65,13 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     sums = have.agg(F.sum("weight").alias("w"), F.sum("chars").alias("c"))
     # one row of sums against one row per source
     rates = have.crossJoin(F.broadcast(sums)).select("source_key", F.when(F.col("chars") > 0, F.col("weight") / F.col("w") * (F.lit(float(total)) if total else F.col("c")) / F.col("chars")).otherwise(0.0).alias("rate"))
-    return rates.withColumn("rate", F.least("rate", F.lit(most_rate)))
+    return rates if most_rate is None else rates.withColumn("rate", F.least("rate", F.lit(float(most_rate))))
 
 
 #: Sources up to which their rates are broadcast: a few dozen bytes each.
 BROADCAST_SOURCES = 50_000
+#: Copies of a row that are listed at once: bounds the arrays that are exploded.
+CHUNK = 1 << 16
 
 
 def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", salts: int = 64) -> DataFrame:
@@ -71,7 +84,8 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str =
         salt = F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)).cast("int")
         joined = keyed.withColumn("__salt", salt).join(rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__key", "__salt"])
     counted = joined.withColumn("__count", poisson_count(uniform(id_col, seed=seed), F.col("__rate"))).where("__count > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
+    chunks = counted.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__count") - 1, F.lit(CHUNK))))
+    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("__from"), F.least(F.col("__count") - F.col("__from"), F.lit(CHUNK)) + F.col("__from") - 1)))
     shuffled = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy")))
     names = [c for c in docs.columns if c not in ("copy", "mix_key")]
     return shuffled.select(*names, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
