@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shards' index: the place, first document and checksum of every sequence."""
+    """The shards' index: the place, documents and checksum of every sequence."""
     return token_shards.shard_index(docs)
 
 

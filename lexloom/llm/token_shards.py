@@ -75,36 +75,43 @@ class Feistel:
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, ranks: bytes, length: int) -> DataFrame:
-    """Rows (part, first, n, docs, tokens, crcs, ids) of consecutive sequences of one input split."""
+    """Rows (part, first, n, docs, sizes, spans, tokens, crcs, ids) of consecutive sequences of one input split.
+
+    Each sequence holds ``spans`` pieces of documents; ``docs`` and ``sizes`` are the pieces' ids and numbers of tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, squeeze, part, first = _encoder(ranks).encode_ordinary, zstandard.ZstdCompressor(LEVEL), TaskContext.get().partitionId(), 0
-        held, owners, filled = np.zeros(0, np.uint16), np.zeros(0, np.int64), 0
+        held, owners, numbers, read = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-        def block(ids: np.ndarray, owner: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
+        def block(ids: np.ndarray, owner: np.ndarray, number: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
             rows = ids.reshape(-1, length)
             crcs = [zlib.crc32(r.tobytes()) for r in rows]
-            starts = owner[::length]
+            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]] | (np.arange(len(number)) % length == 0))
+            sizes, spans = np.diff(np.r_[cuts, len(number)]), np.bincount(cuts // length, minlength=len(rows))
             columns = [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(rows)], pa.int32())]
-            columns += [pa.array([[None if x == _NULL else int(x) for x in starts]], pa.list_(pa.int64())), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([crcs], pa.list_(pa.int64())), pa.array([squeeze.compress(ids.tobytes())], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "first", "n", "docs", "tokens", "crcs", "ids"])
+            columns += [pa.array([[None if x == _NULL else x for x in owner[cuts].tolist()]], pa.list_(pa.int64()))]
+            columns += [pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([spans.tolist()], pa.list_(pa.int32())), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([crcs], pa.list_(pa.int64())), pa.array([squeeze.compress(ids.tobytes())], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "first", "n", "docs", "sizes", "spans", "tokens", "crcs", "ids"])
 
         for batch in batches:
             whole = batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy()
             for lo, hi, _, _ in bs.slices(batch.column(1)):
                 ids = [np.array([*encode(t or ""), END], np.uint16) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 stream = np.concatenate([held, *ids])
-                owner = np.concatenate([owners, np.repeat(whole[lo:hi], [len(x) for x in ids])])
+                each = [len(x) for x in ids]
+                owner = np.concatenate([owners, np.repeat(whole[lo:hi], each)])
+                number = np.concatenate([numbers, np.repeat(np.arange(read, read + len(ids)), each)])
+                read += len(ids)
                 n = len(stream) // length
                 if n:
-                    yield block(stream[: n * length], owner[: n * length], np.full(n, length))
+                    yield block(stream[: n * length], owner[: n * length], number[: n * length], np.full(n, length))
                     first += n
-                held, owners = stream[n * length :], owner[n * length :]
+                held, owners, numbers = stream[n * length :], owner[n * length :], number[n * length :]
         if len(held):
-            filled = length - len(held)
-            yield block(np.r_[held, np.full(filled, END, np.uint16)], np.r_[owners, np.full(filled, owners[-1])], np.array([len(held)]))
+            yield block(np.r_[held, np.full(length - len(held), END, np.uint16)], owners, numbers, np.array([len(held)]))
 
-    schema = "part int, first long, n int, docs array<long>, tokens array<int>, crcs array<long>, ids binary"
+    schema = "part int, first long, n int, docs array<long>, sizes array<int>, spans array<int>, tokens array<int>, crcs array<long>, ids binary"
     return bare(docs, id_col, text_col).mapInArrow(run, schema)
 
 
@@ -128,7 +135,10 @@ class Shards:
         return 2 * self.length
 
     def manifest(self) -> DataFrame:
-        """(slot, shard, offset, doc_id, n_tokens, crc) of each sequence; doc_id is that of its first token."""
+        """(slot, shard, offset, doc_id, n_tokens, crc, docs) of each sequence; doc_id is that of its first token.
+
+        ``docs`` lists every document in the sequence (doc_id, start, n_tokens), in order; an end mark counts to its document.
+        """
         offsets, order, per, stride = self.offsets, self.order, self.per_shard, self.stride
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +146,15 @@ class Shards:
                 n = batch.column(2).to_numpy()
                 at = np.repeat(offsets[batch.column(0).to_numpy()] + batch.column(1).to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 slot = order.slots(at)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per), pa.array(slot % per * stride), *(batch.column(k).flatten() for k in (3, 4, 5))], names=["slot", "shard", "offset", "doc_id", "n_tokens", "crc"])
+                docs, sizes, spans, used, crcs = (batch.column(k).flatten() for k in range(3, 8))
+                cuts = np.r_[0, np.cumsum(spans.to_numpy())]
+                begins = np.cumsum(sizes.to_numpy()) - sizes.to_numpy()
+                starts = (begins - np.repeat(begins[cuts[:-1]], spans.to_numpy())).astype(np.int32)
+                pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([docs, pa.array(starts), sizes], names=["doc_id", "start", "n_tokens"]))
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per), pa.array(slot % per * stride), docs.take(pa.array(cuts[:-1])), used, crcs, pieces], names=["slot", "shard", "offset", "doc_id", "n_tokens", "crc", "docs"])
 
-        return self.packed.select("part", "first", "n", "docs", "tokens", "crcs").mapInArrow(run, "slot long, shard long, offset long, doc_id long, n_tokens int, crc long")
+        kinds = "slot long, shard long, offset long, doc_id long, n_tokens int, crc long, docs array<struct<doc_id:long,start:int,n_tokens:int>>"
+        return self.packed.select("part", "first", "n", "docs", "sizes", "spans", "tokens", "crcs").mapInArrow(run, kinds)
 
     def read(self, first: int = 0, count: int | None = None, checksums: bool = False) -> DataFrame:
         """(slot, ids) of ``count`` slots from ``first``, or (slot, found) with checksums: only the shards that hold them are opened."""
@@ -210,11 +226,11 @@ def write_shards(docs: DataFrame, key: int = 1234567, length: int = 1024, shard_
 
 
 def shard_index(docs: DataFrame, **options) -> DataFrame:
-    """Write the shards, read them back, and return each sequence's place with the checksum found there."""
+    """Write the shards, read them back, and return each sequence's place and documents with the checksum found there."""
     spark = docs.sparkSession
     shards = write_shards(docs, **options)
     if not shards.sequences:
         return shards.manifest().withColumn("intact", F.lit(True))
 
     found = shards.read(checksums=True)
-    return shards.manifest().join(found, "slot", "left").select("slot", "shard", "offset", "doc_id", "n_tokens", F.col("found").alias("crc"), F.coalesce(F.col("found") == F.col("crc"), F.lit(False)).alias("intact"))
+    return shards.manifest().join(found, "slot", "left").select("slot", "shard", "offset", "doc_id", "n_tokens", F.col("found").alias("crc"), F.coalesce(F.col("found") == F.col("crc"), F.lit(False)).alias("intact"), "docs")
