@@ -2,11 +2,13 @@
 
 One scan counts, for each text, words, their characters, symbols, repeated lines and words in repeated 3-word windows.
 Fixed base rules fail texts outright.  Further rules reject where a ratio of these counts passes a cutoff, and the cutoffs are
-chosen from labelled rows so that good texts are safe: for each stratum (language) and rule the cutoffs are tested from the
-mildest to the strictest, each against the exact (Clopper-Pearson) upper bound of its share of good texts rejected, and the
-last one before the first failure holds.  Fixed-sequence testing needs no correction among a rule's cutoffs; strata and rules
-share the error level evenly (Bonferroni) and rules share the risk, so with probability 1 - ``error`` no stratum loses
-more than ``risk`` of its good texts to all rules together.  A stratum with too few labels certifies nothing and keeps all.
+chosen from labelled rows so that good texts are safe: for each stratum (language) one nested sequence of joint settings of all
+rules, each a cutoff stricter than the one before, is tested against the exact (Clopper-Pearson) upper bound of the share of good
+texts that all its cutoffs reject together, and the last setting before the first failure holds.  The sequence takes the cutoffs by
+the good texts they reject in the other strata, then from mild to strict, so it doesn't depend on the labels that test it.
+Fixed-sequence testing needs no correction within a stratum; strata share the error level evenly (Bonferroni), so with
+probability 1 - ``error`` no stratum loses more than ``risk`` of its good texts to all rules together.  A stratum with
+too few labels to certify anything, whatever its texts, keeps all and takes no share of the error.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages are a stratum of their own; ids
 may be null or repeated (labels of repeated ids count once for each row).
@@ -105,19 +107,38 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
+def sequence(stats: list[dict], stratum: str) -> list[tuple[str, int]]:
+    """(rule, cutoff's number) in the order in which a stratum's settings grow; stricter cutoffs of a rule come later."""
+    cost = {(rule, j): sum(s["n"] for s in stats if s["stratum"] != stratum and s[rule] >= len(cutoffs) - j) for rule, (_, cutoffs) in RULES.items() for j in range(len(cutoffs))}
+    return sorted(cost, key=lambda x: (cost[x], (x[1] + 1) / len(RULES[x[0]][1])))
+
+
 def certified(stats: list[dict], risk: float, error: float) -> list[tuple[str, str, float]]:
-    """(stratum, rule, cutoff) of the strictest cutoffs that are safe; ``stats`` has stratum, n and a count for each cutoff."""
-    out, each = [], error / max(1, len(stats) * len(RULES))
+    """(stratum, rule, cutoff) of the strictest safe settings.
+
+    ``stats`` has rows (stratum, n, one number for each rule): n good texts, and how many of the rule's cutoffs they pass.
+    """
+    sizes: dict[str, int] = {}
     for s in stats:
-        for rule, (_, cutoffs) in RULES.items():
-            safe = None
-            for j, cutoff in enumerate(cutoffs):
-                k = s[f"{rule}_{j}"] or 0
-                if s["n"] == 0 or k / s["n"] > risk / len(RULES) or upper_bound(k, s["n"], each) > risk / len(RULES):
-                    break
-                safe = cutoff
-            if safe is not None:
-                out.append((s["stratum"], rule, safe))
+        sizes[s["stratum"]] = sizes.get(s["stratum"], 0) + s["n"]
+    # the most strata that can all certify a setting at their share of the error
+    large = sorted(sizes, key=lambda x: (-sizes[x], x))
+    able = max((k for k in range(1, len(large) + 1) if upper_bound(0, sizes[large[k - 1]], error / k) <= risk), default=0)
+    out = []
+    for stratum in sorted(large[:able]):
+        steps = sequence(stats, stratum)
+        place = {x: t for t, x in enumerate(steps)}
+        lost = [0] * len(steps)  # good texts by the first setting that rejects them
+        for s in stats:
+            if s["stratum"] == stratum and (met := [place[rule, len(cutoffs) - s[rule]] for rule, (_, cutoffs) in RULES.items() if s[rule]]):
+                lost[min(met)] += s["n"]
+        safe, k = {}, 0
+        for (rule, j), more in zip(steps, lost):
+            k += more
+            if k / sizes[stratum] > risk or upper_bound(k, sizes[stratum], error / able) > risk:
+                break
+            safe[rule] = RULES[rule][1][j]
+        out += [(stratum, rule, cutoff) for rule, cutoff in safe.items()]
     return out
 
 
@@ -131,10 +152,10 @@ def rule_quality(
     rows = rows.withColumn("stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
     failed = f"n_words < {least_words} or 100 * n_repeat_words > {repeat_percent} * n_words"
     good = labels.select(labels[id_col].alias("label_id"), labels["quality"].alias("quality")).where("quality = 1 and label_id is not null").where(~held_out("label_id")).select("label_id").distinct()
-    # counts over all good training rows that the base rules leave: one row for each stratum
-    over = [F.sum(F.expr(f"cast({ratio} > {c} as int)")).alias(f"{rule}_{j}") for rule, (ratio, cutoffs) in RULES.items() for j, c in enumerate(cutoffs)]
-    left = rows.where(f"not ({failed})").join(good, rows[id_col] == good["label_id"])
-    stats = [r.asDict() for r in left.groupBy("stratum").agg(F.count("*").alias("n"), *over).orderBy("stratum").collect()]
+    # counts over all good training rows that the base rules leave, by the cutoffs they pass: at most a few rows for each stratum
+    passed = [" + ".join(f"cast({ratio} > {c} as int)" for c in cutoffs) for ratio, cutoffs in RULES.values()]
+    left = rows.where(f"not ({failed})").join(good, rows[id_col] == good["label_id"]).select("stratum", *[F.expr(x).alias(rule) for rule, x in zip(RULES, passed)])
+    stats = [r.asDict() for r in left.groupBy("stratum", *RULES).agg(F.count("*").alias("n")).collect()]
     limits = small(spark, certified(stats, risk, error), "s string, rule string, cutoff double")
     # at most one row for each stratum with labels
     wide = limits.groupBy("s").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
