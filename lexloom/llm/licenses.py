@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text's canonical form is in lower case, without copyright lines, with every run of characters other than letters and digits
+A text's canonical form is in lower case, without copyright statements, with every run of characters other than letters and digits
 as one blank, and with equivalent spellings made one.  Its SHA-256 digest is looked up, by a hash join, among the digests of
 known licence texts and notices.  Units are the entire text and each of its lines, so a document that is a licence and a
 document that carries a licence notice are told apart.  Everything is SQL expressions; only matching lines are shuffled.
@@ -28,7 +28,12 @@ SPELLINGS = (
 #: Leading characters that no spelling rule changes.
 START = min(next(k for k in range(len(a) + 1) if a[: k + 1] != b[: k + 1]) for a, b in SPELLINGS)
 
-COPYRIGHT_LINE = r"(?im)^[ \t*#/;>-]*(copyright\b|\(c\)|©)[^\n]*$"
+#: Words after "copyright" in licence texts, whose lines may begin there; other words are a holder's name.
+_PROSE = "notices?|holders?|owners?|laws?|interests?|licen[sc]es?|statements?|disclaimers?|protections?|treat(?:y|ies)|permissions?|infringements?|management|status|rights?|act|and|or|in|is|are|to|for|as|on|may|shall|must|will|under|that|which|appears?"
+#: A line that states a copyright, in lower case: "copyright" with (c), ©, a year or a holder, or a sign with a year or "copyright".
+COPYRIGHT_LINE = rf"(?m)^[ \t*#/;>-]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9])|copyright[ \t:]+(?!(?:{_PROSE})\b)[\p{{L}}<\[{{]|\(c\)[ \t,]*(?:copyright\b|[0-9]{{4}})|©)[^\n]*$"
+#: The line pattern of the SQL, which also takes lines of licence prose; the two agree where no such line begins with "copyright" or "(c)".
+SQL_COPYRIGHT_LINE = r"(?im)^[ \t*#/;>-]*(copyright\b|\(c\)|©)[^\n]*$"
 
 #: Short licence texts.
 TEXTS = {
@@ -99,6 +104,22 @@ def known_licenses() -> list[tuple[str, str, str]]:
     return [*out, ("all-rights-reserved", "notice", "All rights reserved.")]
 
 
+#: Titles that stand above full texts, beside the names that hold the word "License".
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"), "BSD-2-Clause": ("The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)"), "ISC": ("The ISC License", "ISC License (ISC)"), "Unlicense": ("The Unlicense",), "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+
+
+def titled_licenses() -> list[tuple[str, str, str]]:
+    """(licence, kind, text): titles alone, and full texts below a title, a line "All rights reserved." or both."""
+    titles = {name: [*(t for t in NAMES.get(name, ()) if "License" in t), *TITLES.get(name, ())] for name in sorted({*NAMES, *TITLES})}
+    out = [(name, "notice", title) for name, all_titles in titles.items() for title in all_titles]
+    for name, text in TEXTS.items():
+        out += [(name, "text", "\n\n".join(filter(None, (title, rights, text)))) for title in ("", *titles.get(name, ())) for rights in ("", "All rights reserved.") if title or rights]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null for null."""
     low = F.lower(text)
@@ -121,7 +142,7 @@ def _digest(form: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(digest, license, kind, start), one row per digest: a bounded list, made of the given texts."""
-    table = small(spark, [tuple(k) for k in (known if known is not None else known_licenses())], "license string, kind string, text string")
+    table = small(spark, [tuple(k) for k in (known if known is not None else known_licenses() + titled_licenses())], "license string, kind string, text string")
     form = table.select("license", "kind", respelled(canonical(F.col("text"))).alias("form")).where("form <> ''")
     return form.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min("kind").alias("kind"), F.min(F.left("form", F.lit(START))).alias("start"))
 
@@ -148,7 +169,7 @@ def oracle_sql(known: list[tuple[str, str, str]] | None = None) -> str:
     """The same rows by DuckDB SQL over ``documents``."""
 
     def form(x: str) -> str:
-        x = rf"trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        x = rf"trim(regexp_replace(regexp_replace(lower({x}), '{SQL_COPYRIGHT_LINE}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
         for found, put in SPELLINGS:
             x = f"replace({x}, '{found}', '{put}')"
         return f"sha256({x})"
