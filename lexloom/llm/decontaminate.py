@@ -2,13 +2,19 @@
 
 Texts are compared as bytes with A-Z in lower case and every run of signs and white space as one blank.  A passage of
 length m is present if some region of the document is within k = floor(rate * m) edits of the whole passage.  Such a region
-shares at least m + 1 - q - k q q-grams with the passage, on at most k + 1 neighbouring diagonals.  One pass over the
-documents looks every q-gram up in the passages', counts hits in half-overlapping bands of 2 (k + 1) diagonals, keeps the
-bands that meet the bound, and verifies each by an alignment confined to the band.  Nothing is shuffled: the passages are
-broadcast in blocks of at most ``BLOCK`` bytes, and a larger benchmark takes more passes.
+shares at least m + 1 - q - k q of its q-grams with the passage, on at most k + 1 neighbouring diagonals; q is ``Q``, or for
+a short passage the largest length whose bound is still 1 or more, m div (k + 1), so every passage has its whole budget.
+One pass over the documents looks every q-gram up in the passages', counts hits in half-overlapping bands of 2 (k + 1)
+diagonals, keeps the bands that meet the bound, and verifies each by an alignment of 2 (k + 1) cells a row.  Nothing is
+shuffled: passages are broadcast in blocks of about ``BLOCK`` bytes, one pass for each; with more than one, each pass is
+written before the next block is read, so the driver holds one block at a time.
 
-Defined cases: passages of fewer than ``LEAST`` normalised bytes (or null) are not searched for; null and empty texts hold
-none; a passage found several times in a row of documents is reported once, at its best place.
+Defined cases: a passage of fewer than ``WHOLE`` normalised bytes counts only as whole words: it is searched with a blank
+before and after it, and every document has blanks around it.  Passages without letters or digits (or null) are in no
+document.  ``leaks`` names passages by id and so leaves out those with a null id; ``drop_contaminated`` searches them too.
+Null and empty texts hold no passage; repeated rows are judged each.  A passage found several times in a row of documents is
+reported once: fewest edits, then the earliest end, then the latest start.  A very long text is taken whole, in one slice,
+and its hits in portions; its memory is a small multiple of its bytes.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import bare, bound_batches
+from .shared import Workspace, bare, bound_batches
 
-Q, RATE, LEAST, BLOCK = 10, 0.08, 24, 1 << 24
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+Q, RATE, LEAST, WHOLE, BLOCK = 10, 0.08, 1, 24, 1 << 23
+_MUL = 0x9E3779B97F4A7C15
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,22 +49,36 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, total[offsets], places
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Hashes of the Q-grams (Q = 10) at each position."""
-    h1 = bs._RANDOM[data]
-    m2, m4 = (np.uint64(pow(int(_MUL), k, 1 << 64)) for k in (2, 4))
-    h2 = h1[:-1] * _MUL + h1[1:]
-    h4 = h2[:-2] * m2 + h2[2:]
-    h8 = h4[:-4] * m4 + h4[4:]
-    out = h8[:-2] * m2 + h2[8:]
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the q bytes from each position, put together from those of half the width."""
+    if len(data) < q:
+        return np.zeros(0, np.uint64)
+    single = bs._RANDOM[data]
+    out, width = single, 1
+    for bit in bin(q)[3:]:
+        out = out[:-width] * np.uint64(pow(_MUL, width, 1 << 64)) + out[width:]
+        width *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(_MUL) + single[width:]
+            width += 1
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a blank before and after each."""
+    n = len(offsets) - 1
+    out = np.full(len(data) + 2 * n, 32, np.uint8)
+    out[np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(n), np.diff(offsets))] = data
+    return out, offsets + 2 * np.arange(n + 1)
+
+
 @dataclass
-class Passages:
-    """A block of the benchmark, indexed by q-gram."""
+class Index:
+    """Passages that are searched by grams of one length."""
 
-    ids: np.ndarray
+    q: int
+    framed: bool
+    number: np.ndarray  # of each passage in its block
     texts: list[bytes]
     edits: np.ndarray
     least: np.ndarray
@@ -69,59 +89,35 @@ class Passages:
     near: np.ndarray  # a table of the hashes' leading bits
 
     @staticmethod
-    def of(items: list[tuple[int, str]], rate: float) -> Passages | None:
-        ids, texts = [], []
-        for i, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            norm = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            if len(norm) >= LEAST:
-                ids.append(i)
-                texts.append(norm)
-        if not ids:
-            return None
-        length = np.array([len(t) for t in texts])
-        edits = (length * rate).astype(np.int64)
-        edits = np.minimum(edits, (length - Q) // Q)  # so that the bound is at least 1
-        hashes = [_grams(np.frombuffer(t, np.uint8)) for t in texts]
-        item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes])
-        flat = np.concatenate(hashes)
+    def of(q: int, framed: bool, number: list[int], texts: list[bytes], edits: list[int]) -> Index:
+        data, length = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        begin = np.cumsum(length) - length
+        n = length + 1 - q
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+        place = (np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        flat = grams(data, q)[begin[item] + place]
         order = np.argsort(flat, kind="stable")
-        grams, begin = np.unique(flat[order], return_index=True)
+        known, first = np.unique(flat[order], return_index=True)
         near = np.zeros(1 << 20, bool)
-        near[grams >> np.uint64(44)] = True
-        return Passages(np.array(ids, np.int64), texts, edits, length + 1 - Q - edits * Q, grams, np.r_[begin, len(flat)], item[order], place[order], near)
+        near[known >> np.uint64(44)] = True
+        k = np.array(edits, np.int64)
+        return Index(q, framed, np.array(number), texts, k, n - k * q, known, np.r_[first, len(flat)].astype(np.int32), item[order], place[order], near)
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item id, edits, start, end): the best region of each passage in each row, in code points."""
-        norm, offs, places = normalise(data, offsets)
-        if len(norm) < Q:
-            return []
-        h = _grams(norm)
+    def hits(self, norm: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, items, bands) that meet the bound."""
+        h = grams(norm, self.q)
         at = np.flatnonzero(self.near[h >> np.uint64(44)])
         g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         hit = self.grams[g] == h[at]
         at, g = at[hit], g[hit]
         row = bs.row_of(at, offs)
-        inside = at + Q <= offs[row + 1]
+        inside = at + self.q <= offs[row + 1]
         at, g, row = at[inside], g[inside], row[inside]
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, it, band in self._bands(at - offs[row], g, row):
-            text, k, passage = norm[offs[r] : offs[r + 1]], int(self.edits[it]), self.texts[it]
-            lo = band * (k + 1)
-            got = align(passage, text, lo, lo + 2 * (k + 1) - 1, k)
-            if got and ((r, it) not in found or got < found[r, it]):
-                found[r, it] = got
-        out = []
-        for (r, it), (edits, a, b) in found.items():
-            first, last = places[offs[r] + a], places[offs[r] + b - 1] + 1
-            points = (data[offsets[r] : last] & 0xC0) != 0x80
-            out.append((r, int(self.ids[it]), edits, int(points[: first - offsets[r]].sum()), int(points.sum())))
-        return out
+        yield from self.bands(at - offs[row], g, row)
 
-    def _bands(self, pos: np.ndarray, g: np.ndarray, row: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int, int]]:
-        """(row, item, band) that meet the bound; rows are ascending and taken in portions of whole rows."""
-        n = self.begin[g + 1] - self.begin[g]
+    def bands(self, pos: np.ndarray, g: np.ndarray, row: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same from grams ``g`` at ``pos`` of ascending rows, taken in portions of whole rows."""
+        n = (self.begin[g + 1] - self.begin[g]).astype(np.int64)
         total = np.cumsum(n)
         start = 0
         while start < len(g):
@@ -129,60 +125,144 @@ class Passages:
             end = int(np.searchsorted(row, row[max(end, start + 1) - 1], "right"))
             part = n[start:end]
             where = np.repeat(self.begin[g[start:end]], part) + np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-            item = self.item[where]
-            diagonal = np.repeat(pos[start:end], part) - self.place[where]
-            band = diagonal // (self.edits[item] + 1)
-            code = (np.repeat(row[start:end], part) * len(self.texts) + item) << 32
-            both, times = np.unique(np.concatenate([code + band + (1 << 30), code + band - 1 + (1 << 30)]), return_counts=True)
-            which = (both >> 32) % len(self.texts)
-            for c in both[times >= self.least[which]]:
-                yield int(c >> 32) // len(self.texts), int(c >> 32) % len(self.texts), int(c & 0xFFFFFFFF) - (1 << 30)
+            item = self.item[where].astype(np.int64)
+            band = (np.repeat(pos[start:end], part) - self.place[where]) // (self.edits[item] + 1)
+            # row and item share one number; its place among the portion's leaves 32 bits for the band
+            both, pair = np.unique(np.repeat(row[start:end], part).astype(np.int64) * len(self.texts) + item, return_inverse=True)
+            code = (pair.astype(np.int64) << 32) + band + (1 << 30)
+            code, times = np.unique(np.concatenate([code, code - 1]), return_counts=True)
+            which = both[code >> 32]
+            met = times >= self.least[which % len(self.texts)]
+            yield which[met] // len(self.texts), which[met] % len(self.texts), (code[met] & 0xFFFFFFFF) - (1 << 30)
             start = end
 
+    def found(self, norm: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, passage's number, edits, end, start) of every verified band; places count the row's normalised bytes."""
+        if self.framed:
+            norm, offs = _framed(norm, offs)
+        for rows, items, bands in self.hits(norm, offs):
+            k = self.edits[items]
+            low = bands * (k + 1)
+            for n, e, a, b in align([self.texts[i] for i in items], norm, offs[rows], offs[rows + 1], low, k):
+                yield int(rows[n]), int(self.number[items[n]]), e, b - self.framed, a - self.framed
+
+
+@dataclass
+class Passages:
+    """A block of the benchmark, indexed by q-grams."""
+
+    ids: list[int | None]
+    parts: list[Index]
+
+    @staticmethod
+    def of(items: list[tuple[int | None, str]], rate: float = RATE) -> Passages | None:
+        if not 0 <= rate < 1:
+            raise ValueError("the share of edits must be in [0, 1)")
+        raw = [(t or "").encode() for _, t in items]
+        norm, offs, _ = normalise(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        whole = norm.tobytes()
+        groups: dict[tuple[int, bool], list[tuple[int, bytes, int]]] = {}
+        for n, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+            if len(text := whole[a:b].strip()) >= LEAST:
+                k, framed = int(len(text) * rate), len(text) < WHOLE
+                text = b" " + text + b" " if framed else text
+                groups.setdefault((min(Q, len(text) // (k + 1)), framed), []).append((n, text, k))
+        if not groups:
+            return None
+        return Passages([i for i, _ in items], [Index.of(*key, *map(list, zip(*rows))) for key, rows in sorted(groups.items())])
+
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int]]:
+        """(row, item id, edits, start, end): the best region of each passage in each row, in code points."""
+        norm, offs, places = normalise(data, offsets)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for part in self.parts:
+            for r, n, e, b, a in part.found(norm, offs):
+                if (r, n) not in best or (e, b, -a) < best[r, n]:
+                    best[r, n] = (e, b, -a)
+        out = []
+        for (r, n), (e, b, a) in best.items():
+            text = norm[offs[r] : offs[r + 1]]
+            letters = np.flatnonzero(text[max(-a, 0) : b] != 32) + max(-a, 0)  # a frame's blanks aren't reported
+            first, last = places[offs[r] + letters[0]], places[offs[r] + letters[-1]] + 1
+            points = (data[offsets[r] : last] & 0xC0) != 0x80
+            out.append((r, self.ids[n], e, int(points[: first - offsets[r]].sum()), int(points.sum())))
+        return out
+
+
+_EDIT, _NONE = 1 << 32, 1 << 60
+
+
+def align(passages: list[bytes], data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, k: np.ndarray, cells: int = 400_000) -> Iterator[tuple[int, int, int, int]]:
+    """(n, edits, start, end) for the n-th passage and text ``data[begin:end]``, where within k edits.
+
+    Passage byte i is compared with text bytes on the diagonals ``low`` to ``low + 2 k + 1`` only: 2 (k + 1) cells a row, rows of
+    passages with one budget side by side.  A cell holds edits and, in the lower half, how late the region starts.
+    """
+    length = np.array([len(p) for p in passages], np.int64)
+    order = np.lexsort((length, k))
+    at = 0
+    while at < len(order):
+        budget = k[order[at]]
+        width = 2 * (int(budget) + 1)
+        upto = min(int(np.searchsorted(k[order], budget, "right")), at + max(1, cells // (width + int(length[order[at]]))))
+        yield from _aligned(order[at:upto], passages, length, data, begin, end, low, int(budget), width)
+        at = upto
+
+
+def _aligned(use: np.ndarray, passages: list[bytes], length: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, budget: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    m, rows = length[use], len(use)
+    text, pattern = np.full((rows, m[-1] + width), 256, np.int16), np.full((rows, m[-1]), 257, np.int16)
+    for c, n in enumerate(use):
+        a, b = begin[n] + max(low[n], 0), min(begin[n] + low[n] + m[c] + width, end[n])
+        if a < b:
+            text[c, max(-low[n], 0) : max(-low[n], 0) + b - a] = data[a:b]
+        pattern[c, : m[c]] = np.frombuffer(passages[n], np.uint8)
+    steps = np.arange(width, dtype=np.int64) * _EDIT
+    place = low[use][:, None] + np.arange(width)
+    row = np.where((place >= 0) & (place <= (end - begin)[use][:, None]), (1 << 31) - place, _NONE)  # a region may start anywhere
+    done = 0
+    for i in range(1, int(m[-1]) + 1):
+        seen = text[:, i - 1 : i - 1 + width]
+        new = np.where(seen == 256, _NONE, row + (seen != pattern[:, i - 1 : i]) * _EDIT)
+        np.minimum(new[:, :-1], row[:, 1:] + _EDIT, out=new[:, :-1])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += steps
+        row = new
+        while done < rows and m[done] == i:  # fewest edits, then the earliest end
+            edits = row[done] >> 32
+            j = int(np.argmin(edits))
+            if edits[j] <= budget:
+                n = int(use[done])
+                yield n, int(edits[j]), int((1 << 31) - (row[done, j] & 0xFFFFFFFF)), int(low[n]) + i + j
+            done += 1
+
+
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, named: bool) -> list[DataFrame]:
+    """The benchmark's passages in parts of about ``BLOCK`` bytes."""
+    items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).where("t is not null")
+    items = (items.where("i is not null") if named else items).distinct()
+    n = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK) or 1
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b) for b in range(n)]
+
+
+def _block(part: DataFrame, rate: float) -> Passages | None:
+    """A bounded part of the benchmark on the driver."""
+    return Passages.of([(r.i, r.t) for r in part.orderBy("i", "t").collect()], rate)
+
 
-def align(passage: bytes, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the region of ``text`` nearest to the whole passage on diagonals low - k to high + k, if within k edits."""
-    begin, end = max(0, low - k), min(len(text), high + k + len(passage))
-    if begin >= end:
-        return None
-    region = text[begin:end]
-    exact = region.tobytes().find(passage)
-    if exact >= 0:
-        return 0, begin + exact, begin + exact + len(passage)
-    p = np.frombuffer(passage, np.uint8)
-    best = _edit_row(p, region, free=True)
-    at = int(np.argmin(best))
-    if best[at] > k:
-        return None
-    back = _edit_row(p[::-1], region[:at][::-1], free=False)
-    return int(best[at]), begin + at - int(np.argmin(back)), begin + at
-
-
-def _edit_row(p: np.ndarray, text: np.ndarray, free: bool) -> np.ndarray:
-    """Edits between p and the best piece of text ending at each place (free), or text's prefixes (not free)."""
-    steps = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64) if free else steps.copy()
-    for i, c in enumerate(p, 1):
-        base = np.empty_like(row)
-        base[0] = i
-        base[1:] = np.minimum(row[1:] + 1, row[:-1] + (text != c))
-        row = np.minimum.accumulate(base - steps) + steps
-    return row
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float) -> list[Passages]:
-    items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).where("i is not null and t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // BLOCK) or 1
-    parts = [items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b) for b in range(n)]
-    return [p for p in (Passages.of([(r.i, r.t) for r in part.distinct().orderBy("i", "t").collect()], rate) for part in parts) if p]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, work: Workspace | None = None
+) -> DataFrame:
     """(id, item_id, edits, start, end) of every passage found in a document; offsets count the document's code points."""
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, item_id long, edits int, start int, end int"
-    out = None
-    for block in _blocks(benchmark, item_col, item_text, rate):
+    spark, schema = docs.sparkSession, f"{id_col} {dict(docs.dtypes)[id_col]}, item_id long, edits int, start int, end int"
+    out, parts = None, _parts(benchmark, item_col, item_text, named=True)
+    if len(parts) > 1:
+        work = work or Workspace(spark, "leaks")
+    for b, part in enumerate(parts):
+        block = _block(part, rate)
+        if block is None:
+            continue
 
         def run(batches: Iterator[pa.RecordBatch], block: Passages = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -191,16 +271,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         r, *cols = (np.array(x, np.int64) for x in zip(*found))
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r + lo)), pa.array(cols[0]), *(pa.array(c.astype(np.int32)) for c in cols[1:])], names=[id_col, "item_id", "edits", "start", "end"])
 
-        part = bare(docs, id_col, text_col).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        rows = bare(docs, id_col, text_col).mapInArrow(run, schema)
+        rows = work.table(rows, f"block-{b}") if len(parts) > 1 else rows
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, work: Workspace | None = None
+) -> DataFrame:
     """The rows of ``docs`` whose text holds no passage, with their columns: one pass for each block of the benchmark."""
     bound_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text, rate):
+    at, parts, before = docs.columns.index(text_col), _parts(benchmark, item_col, item_text, named=False), None
+    if len(parts) > 1:
+        work = work or Workspace(docs.sparkSession, "clean")
+    for b, part in enumerate(parts):
+        block = _block(part, rate)
+        if block is None:
+            continue
 
         def run(batches: Iterator[pa.RecordBatch], block: Passages = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -210,4 +298,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if len(parts) > 1:
+            docs = work.table(docs, f"block-{b}")
+            if before is not None:
+                work.drop(before)
+            before = f"block-{b}"
     return docs
