@@ -80,9 +80,10 @@ ORACLE_SQL = {
 WITH rates AS (
   SELECT coalesce(source, chr(0) || 'null') AS k, coalesce(sum(length(text)), 0) AS chars FROM documents GROUP BY 1
 ), rated AS (
-  SELECT k, least(CASE WHEN chars > 0 THEN 1.0 / (SELECT count(*)::DOUBLE FROM rates) * (SELECT sum(chars)::DOUBLE FROM rates) / chars ELSE 0 END, 30.0)::DOUBLE AS rate FROM rates
+  SELECT k, (CASE WHEN chars > 0 THEN 1.0 / (SELECT count(*)::DOUBLE FROM rates) * (SELECT sum(chars)::DOUBLE FROM rates) / chars ELSE 0 END)::DOUBLE AS rate FROM rates
 ), terms AS (
-  SELECT k, rate, i.i, CASE WHEN rate = 0 THEN CASE WHEN i.i = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-rate + i.i * ln(rate) - lgamma(i.i + 1)) END AS term FROM rated, range(0, 150) AS i(i)
+  SELECT k, rate, i.i, CASE WHEN rate = 0 THEN CASE WHEN i.i = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-rate + i.i * ln(rate) - lgamma(i.i + 1)) END AS term
+  FROM rated, range(0, CAST(ceil(rate + 12 * sqrt(rate) + 21) AS BIGINT)) AS i(i)
 ), cdf AS (
   SELECT k, i, sum(term) OVER (PARTITION BY k ORDER BY i) AS upto FROM terms
 ), lists AS (

@@ -8,7 +8,8 @@ globally: dealt out and sorted by a hash of id, copy and seed.
 Rates are not bounded, so a tiny source meets its weight too; a caller may bound them by ``most_rate`` and then misses targets.
 Defined cases: a null source is a source of its own; sources without a target weight get ``other`` (0 by default: they go);
 null texts have no characters and take their source's rate; a source without characters has rate 0.  Repeated rows of one id
-get the same count.
+get the same count; null ids share one number.  Texts are only measured and carried, however long.  Input columns called
+``copy`` or ``mix_key`` stay as they are; the operator's own are then ``copy_`` or ``mix_key_``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free, small
+
 NO_SOURCE = "\u0000null"
 
 
@@ -58,8 +61,6 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     if weights is None:
         have = have.withColumn("weight", F.lit(1.0))
     else:
-        from .shared import small
-
         table = small(spark, [(NO_SOURCE if k is None else k, float(v)) for k, v in weights.items()], "source_key string, weight double")
         have = have.join(F.broadcast(table), "source_key", "left").withColumn("weight", F.coalesce("weight", F.lit(float(other))))
     sums = have.agg(F.sum("weight").alias("w"), F.sum("chars").alias("c"))
@@ -76,16 +77,17 @@ CHUNK = 1 << 16
 
 def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", salts: int = 64) -> DataFrame:
     """``docs`` repeated by their counts, with ``copy`` (from 0) and ``mix_key``; dealt out and sorted by mix_key."""
-    keyed = docs.withColumn("__key", F.coalesce(docs[source_col].cast("string"), F.lit(NO_SOURCE)))
-    rates = rates.withColumnsRenamed({"rate": "__rate", "source_key": "__key"})
+    names = docs.columns
+    copy, mix_key, own, salt, rate, count, begin = (free(c, names) for c in ("copy", "mix_key", "_source", "_salt", "_rate", "_count", "_from"))
+    keyed = docs.withColumn(own, F.coalesce(docs[source_col].cast("string"), F.lit(NO_SOURCE)))
+    rates = rates.select(F.col("source_key").alias(own), F.col("rate").alias(rate))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(rates), "__key")
+        joined = keyed.join(F.broadcast(rates), own)
     else:  # hot sources are salted
-        salt = F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)).cast("int")
-        joined = keyed.withColumn("__salt", salt).join(rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__key", "__salt"])
-    counted = joined.withColumn("__count", poisson_count(uniform(id_col, seed=seed), F.col("__rate"))).where("__count > 0")
-    chunks = counted.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__count") - 1, F.lit(CHUNK))))
-    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("__from"), F.least(F.col("__count") - F.col("__from"), F.lit(CHUNK)) + F.col("__from") - 1)))
-    shuffled = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy")))
-    names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    return shuffled.select(*names, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)).cast("int")).join(salted, [own, salt])
+    counted = joined.withColumn(count, poisson_count(uniform(id_col, seed=seed), F.col(rate))).where(F.col(count) > 0)
+    chunks = counted.withColumn(begin, F.explode(F.sequence(F.lit(0), F.col(count) - 1, F.lit(CHUNK))))
+    copies = chunks.withColumn(copy, F.explode(F.sequence(F.col(begin), F.least(F.col(count) - F.col(begin), F.lit(CHUNK)) + F.col(begin) - 1)))
+    shuffled = copies.withColumn(mix_key, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), copy)))
+    return shuffled.select(*[F.col(f"`{c}`") for c in (*names, copy, mix_key)]).repartition(mix_key).sortWithinPartitions(mix_key)

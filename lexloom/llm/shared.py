@@ -32,17 +32,39 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Remove a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.at(name))
+        self._delete(self.at(name))
+
+    def remove(self) -> None:
+        """Remove the folder with all its tables."""
+        self._delete(self.path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
+
+_LOCAL: dict[str, str] = {}
+
 
 def _local_root(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
+    """One temporary folder for each application in one process."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lexloom-"))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores after it as it needs to differ from the names that are taken."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 #: Bytes of an Arrow batch between the JVM and Python: long texts must not add up to large batches.

@@ -1,0 +1,45 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexloom.llm import catalogue, mixing
+
+from oracle import connect, differences
+
+
+def rows(spark):
+    return spark.createDataFrame([(i, "x" * (i % 7), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(7, "again", "s0")] * 3 + [(None, None, "s1")], "doc_id long, text string, source string")
+
+
+def test_salted_and_broadcast_rates_give_the_same_rows(spark, monkeypatch):
+    df = rows(spark)
+    one = sorted(map(str, mixing.mix_sources(df, mixing.source_rates(df)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix_sources(df, mixing.source_rates(df)).collect())) == one and len(one) > 100
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = rows(spark).withColumns({"copy": F.lit(77), "mix_key": F.lit("mine"), "_rate": F.lit(-1.0), "_count": F.lit("c"), "a.b": F.lit(1)})
+    got = mixing.mix_sources(df, mixing.source_rates(df))
+    assert got.columns == [*df.columns, "copy_", "mix_key_"]
+    assert {(r["copy"], r["mix_key"], r["_rate"], r["_count"], r["a.b"]) for r in got.collect()} == {(77, "mine", -1.0, "c", 1)}
+    staged = corpus_pipeline.mixed(spark, df.withColumn("lang", F.lit("en")).drop("a.b"), "")
+    assert {r["copy"] for r in staged.collect()} == {77}
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "w", "b")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, spark.createDataFrame([("a", 3.0), ("b", 3.0)], "source_key string, rate double"))
+    assert {(r.doc_id, len(r.text)) for r in got.collect()} == {(1, 1_500_000), (2, 1)}
+
+
+@pytest.mark.parametrize("small", [1, 40])
+def test_sql_meets_large_rates(spark, tmp_path, small):
+    """A source of one row beside one of thousands: its rate is far above one."""
+    docs = spark.createDataFrame([(i, "x" * 10, "en", "big", 10) for i in range(3000)] + [(9000 + i, "x" * 10, "en", "tiny", 10) for i in range(small)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = connect(str(tmp_path / "none"))
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert differences(catalogue.op7_source_mixing(spark, str(tmp_path)), con, catalogue.ORACLE_SQL["op7_source_mixing"]) == ([], [])
