@@ -7,7 +7,8 @@ products of vectors 1, 2 and 3 places apart (which see repetition), with the sha
 of its own.  Labels, language, source and id are not inputs of the score.
 
 Defined cases: null and empty texts pool to zeros and get the network's score for that; without labelled rows of both
-classes the score is the smoothed share of label 1 everywhere.  Ids may be null or repeated: each row is scored alone.
+classes the score is the smoothed share of label 1 everywhere.  Ids may be null, repeated or of any type: each row is scored
+alone, so repeated rows get equal scores.  A very long text is pooled whole, in one slice.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, hidden: int
     calibrate = unit_hash(ids, 99) < 0.2
     model = QualityModel(vectors, _network(x[~calibrate], y[~calibrate], hidden, epochs), prior)
     if calibrate.sum() > 20:
-        model.heat = max(0.5, temperature(model.logits(x[calibrate]), y[calibrate]))
+        model.heat = temperature(model.logits(x[calibrate]), y[calibrate])
     return model
 
 
@@ -182,7 +183,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col
     return docs.mapInArrow(run, docs.schema)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, work: Workspace | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    out = score(docs, fit(docs, labels, max_rows))
+    out = score(docs, fit(docs, labels, max_rows, work=work))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -8,16 +8,21 @@ texts that all its cutoffs reject together, and the last setting before the firs
 the good texts they reject in the other strata, then from mild to strict, so it doesn't depend on the labels that test it.
 Fixed-sequence testing needs no correction within a stratum; strata share the error level evenly (Bonferroni), so with
 probability 1 - ``error`` no stratum loses more than ``risk`` of its good texts to all rules together.  A stratum with
-too few labels to certify anything, whatever its texts, keeps all and takes no share of the error.
+too few labels to certify anything, whatever its texts, keeps all and takes no share of the error.  The bound holds for
+groups of near copies, each counted once at its worst member, as copies are no independent evidence.
 
-Defined cases: a null or empty text has no words and fails the base rules; null languages are a stratum of their own; ids
-may be null or repeated (labels of repeated ids count once for each row).
+Only strata that could be certified alone reach the driver, at most one for each ``least_labels`` good labelled groups; more
+than ``MOST_STRATA`` of them raise an error, as such a column isn't a stratum.
+
+Defined cases: a null or empty text has no words and fails the base rules; null languages are a stratum of their own, that of
+the empty string; ids may be null or repeated (labels of repeated ids count once for each different text); repeated rows get
+equal results.  A very long text is counted whole, in one slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +48,7 @@ RULES = {
 
 
 def count_all(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The columns of ``COUNTS`` for each row."""
+    """The columns of ``COUNTS`` for each row, and the least hash of its 3-word windows, which near copies mostly share."""
     rows_n = len(offsets) - 1
     starts, ends = bs.words(data, offsets)
     n_words = bs.counts(starts, offsets)
@@ -66,6 +71,9 @@ def count_all(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     # 3-word windows
     word_row = np.repeat(np.arange(rows_n), n_words)
     grams, at = bs.shingles(bs.span_hash(pre, starts, ends), word_row, 3)
+    witness, per_row = np.zeros(rows_n, np.uint64), np.bincount(word_row[at], minlength=rows_n)
+    if len(grams):
+        witness[per_row > 0] = np.minimum.reduceat(grams, (np.cumsum(per_row) - per_row)[per_row > 0])
     keys = bs.mix(grams + bs.mix(word_row[at].astype(np.uint64)))
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
@@ -78,7 +86,7 @@ def count_all(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     caps = bs.lexemes(data, offsets, signs=False)
     n_caps = np.bincount(bs.row_of(caps[0][caps[3]], offsets), minlength=rows_n)
     whole = [n_words, letters[offsets[1:]] - letters[offsets[:-1]], symbols[offsets[1:]] - symbols[offsets[:-1]], n_dup, np.bincount(word_row[inside], minlength=rows_n), n_lines, n_caps]
-    return [x.astype(np.int64) for x in whole]
+    return [*(x.astype(np.int64) for x in whole), witness.view(np.int64)]
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -88,25 +96,55 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", stratum_col: str = "lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in bs.slices(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *map(pa.array, count_all(data, offsets))], names=[id_col, stratum_col, *COUNTS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *map(pa.array, count_all(data, offsets))], names=[id_col, stratum_col, *COUNTS, "witness"])
 
-    schema = f"{id_col} {kinds[id_col]}, {stratum_col} {kinds[stratum_col]}, " + ", ".join(f"{c} long" for c in COUNTS)
+    schema = f"{id_col} {kinds[id_col]}, {stratum_col} {kinds[stratum_col]}, " + ", ".join(f"{c} long" for c in (*COUNTS, "witness"))
     return bare(docs, id_col, stratum_col, text_col).mapInArrow(run, schema)
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) <= k), as the incomplete beta function by its continued fraction: some dozens of steps at any size."""
+    if k >= n or p <= 0:
+        return 1.0
+    if p >= 1:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p  # I_x(a, b)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(p))
+    if x >= (a + 1) / (a + b + 2):
+        return 1 - front * _fraction(b, a, p) / b
+    return front * _fraction(a, b, x) / a
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    tiny, c = 1e-300, 1.0
+    d = 1 - (a + b) * x / (a + 1)
+    out = d = 1 / (d if abs(d) > tiny else tiny)
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return out
+
+
 def upper_bound(k: int, n: int, error: float) -> float:
     """The exact upper confidence bound of a share of which k of n were seen: P(Binomial(n, bound) <= k) = error."""
     if k >= n:
         return 1.0
-    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in range(k + 1)]
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
-        tail = sum(exp(c + (i * log(p) if i else 0.0) + (n - i) * log1p(-p)) for i, c in enumerate(logs)) if p < 1 else 0.0
-        lo, hi = (p, hi) if tail > error else (lo, p)
+        lo, hi = (p, hi) if binomial_tail(k, n, p) > error else (lo, p)
     return hi
 
 
+#: Strata that the driver takes: some dozens of numbers each.
+MOST_STRATA = 20_000
+
+
 def sequence(stats: list[dict], stratum: str) -> list[tuple[str, int]]:
     """(rule, cutoff's number) in the order in which a stratum's settings grow; stricter cutoffs of a rule come later."""
     cost = {(rule, j): sum(s["n"] for s in stats if s["stratum"] != stratum and s[rule] >= len(cutoffs) - j) for rule, (_, cutoffs) in RULES.items() for j in range(len(cutoffs))}
@@ -152,10 +190,16 @@ def rule_quality(
     rows = rows.withColumn("stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
     failed = f"n_words < {least_words} or 100 * n_repeat_words > {repeat_percent} * n_words"
     good = labels.select(labels[id_col].alias("label_id"), labels["quality"].alias("quality")).where("quality = 1 and label_id is not null").where(~held_out("label_id")).select("label_id").distinct()
-    # counts over all good training rows that the base rules leave, by the cutoffs they pass: at most a few rows for each stratum
+    # counts over all good training texts that the base rules leave, by the cutoffs they pass, each group of copies at its worst
     passed = [" + ".join(f"cast({ratio} > {c} as int)" for c in cutoffs) for ratio, cutoffs in RULES.values()]
-    left = rows.where(f"not ({failed})").join(good, rows[id_col] == good["label_id"]).select("stratum", *[F.expr(x).alias(rule) for rule, x in zip(RULES, passed)])
-    stats = [r.asDict() for r in left.groupBy("stratum", *RULES).agg(F.count("*").alias("n")).collect()]
+    left = rows.where(f"not ({failed})").join(good, rows[id_col] == good["label_id"]).select("stratum", "witness", *[F.expr(x).alias(rule) for rule, x in zip(RULES, passed)])
+    left = work.table(left.groupBy("stratum", "witness").agg(*[F.max(rule).alias(rule) for rule in RULES]), "good")
+    least_labels = ceil(log(error) / log1p(-risk))  # fewer certify nothing even alone and without a loss
+    able = left.groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= least_labels)
+    if able.limit(MOST_STRATA + 1).count() > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata with {least_labels} good labels or more")
+    counted = left.join(F.broadcast(able.select("stratum")), "stratum", "left_semi")
+    stats = [r.asDict() for r in counted.groupBy("stratum", *RULES).agg(F.count("*").alias("n")).collect()]
     limits = small(spark, certified(stats, risk, error), "s string, rule string, cutoff double")
     # at most one row for each stratum with labels
     wide = limits.groupBy("s").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])

@@ -13,19 +13,20 @@ from .shared import Workspace, held_out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y) of at most about ``max_rows`` labelled rows, none of them held out.
+    """(id, text, y) of at most about ``max_rows`` labelled rows, none of them held out; ``id`` is a hash of the row's id.
 
-    The sample is uniform by a hash of the id.  Ids with several labels take the least; null labels are ignored.
-    The sample of ids is broadcast: ``max_rows`` bounds it.
+    The sample is uniform by a hash of the id, whatever its type.  Ids with several labels take the least, ids with several
+    texts the least text, so repeated ids give one row; null labels are ignored.  The sample of ids is broadcast:
+    ``max_rows`` bounds it.
     """
-    y = labels.select(labels[id_col].alias("id"), labels[label].cast("int").alias("y")).where("id is not null and y is not null")
-    y = y.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
+    y = labels.select(labels[id_col].alias("own"), labels[label].cast("int").alias("y")).where("own is not null and y is not null")
+    y = y.where(~held_out("own")).groupBy("own").agg(F.min("y").alias("y"))
     n = y.count()
     if n > max_rows:
-        y = y.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+        y = y.where(F.pmod(F.xxhash64("own", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     texts = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    rows = texts.join(F.broadcast(y), texts["doc"] == y["id"]).select("id", F.coalesce("text", F.lit("")).alias("text"), "y")
-    return work.table(rows, f"train-{label}")
+    rows = texts.join(F.broadcast(y), texts["doc"] == y["own"]).groupBy("own", "y").agg(F.min("text").alias("text"))
+    return work.table(rows.select(F.xxhash64("own").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "y"), f"train-{label}")
 
 
 def gathered(rows: DataFrame, summarise: Callable[[Iterator[pa.RecordBatch]], list[bytes]], parts: int = 6) -> list[list[bytes]]:
@@ -49,7 +50,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
+    """The temperature of least log loss between exp(-3) and exp(3), by golden-section search on its logarithm."""
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
