@@ -1,13 +1,18 @@
 """WARC archives with revisit records for repeated payloads.
 
-Headers (id, payload digest, payload length) are shuffled by digest without their payloads; each group of equal payloads of
-at least ``least`` bytes keeps the record of the smallest id as its response, and the others revisit it.  The decisions join
-the payloads on the evenly spread id, so a payload shared by a third of all records makes no hot key.  The records are
-built by SQL expressions and written through Spark's file sink, which commits them on any file system; a file holds a
-run of complete records with fresh headers, compressed as one gzip stream.
+Headers (id, payload digest, payload length) are shuffled by digest without their payloads.  Each id's records of a payload are
+counted first; each group of equal payloads of at least ``least`` bytes keeps the record of the smallest id as its response,
+and the others revisit it.  Counts and groups are written before they are joined, so both sides of each join are plain
+shuffles, of which Spark can split the partition of a digest that a third of all records share; the payloads themselves
+join by id.  The records are built by SQL expressions and written through Spark's file sink, which commits them on any file
+system; a file begins with a warcinfo record and holds a run of complete records, compressed as one gzip stream.
+
+Record ids are unique: an id's only record of a payload is named by both, one of several also by its place in the output.  A
+revisit refers to its response by record id where the response is the only one, and always by target URI and date.
 
 Defined cases: a null payload is empty; rows with one id and one payload are all responses or all revisits; where all
-ids of a group are null all are responses; line breaks in a url become %0A and %0D.
+ids of a group are null all are responses; line breaks in a url become %0A and %0D.  A very long payload is one record, whole.
+Other columns of the pages aren't read.
 """
 
 from __future__ import annotations
@@ -35,12 +40,17 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page: Column) -> Column:
-    """A name-based URN for a page's record."""
-    h = F.md5(F.concat(F.lit("record|"), F.coalesce(page.cast("string"), F.lit("null"))))
+def record_id(*parts: Column) -> Column:
+    """A name-based URN for a record."""
+    h = F.md5(F.concat_ws("|", F.lit("record"), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
+def target(url: Column) -> Column:
+    """A url as a header's value."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest)."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
@@ -48,33 +58,48 @@ def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return out.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"))
 
 
-def revisits(heads: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the records that revisit another, each pair once."""
-    heads = heads.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    groups = heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    return heads.join(groups, "payload_digest").where("not (page_id <=> refers_to)").select("page_id", "payload_digest", "refers_to").distinct()
+def revisits(heads: DataFrame, work: Workspace, least: int = 0) -> DataFrame:
+    """(page_id, payload_digest, n, refers_to, refers_n, refers_url): one row for each id's records of a payload.
+
+    ``n`` counts the records.  ``refers_to``, null for responses, is the id of the record revisited, ``refers_n`` how many
+    records that id has of the payload, and ``refers_url`` the target of one of them.
+    """
+    own = heads.groupBy("page_id", "payload_digest").agg(F.count("*").alias("n"), F.min("url").alias("url"), F.max("payload_bytes").alias("bytes"))
+    own = work.table(own, "records")
+    shared = own.where(F.col("bytes") >= least).where("page_id is not null").groupBy("payload_digest").agg(F.min(F.struct("page_id", "n", "url")).alias("first"))
+    groups = work.table(shared.select(F.col("payload_digest").alias("digest"), F.col("first.page_id").alias("first"), F.col("first.n").alias("first_n"), F.col("first.url").alias("first_url")), "groups")
+    both = own.join(groups, F.col("payload_digest") == F.col("digest"), "left")
+    again = ~F.col("page_id").eqNullSafe(F.col("first"))
+    links = [F.when(again, F.col(c)).alias(name) for c, name in (("first", "refers_to"), ("first_n", "refers_n"), ("first_url", "refers_url"))]
+    return work.table(both.select("page_id", "payload_digest", "n", *links), "links")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 8 << 20, **columns: str) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 8 << 20, work: Workspace | None = None, **columns: str) -> None:
     """One record for each row of ``pages``; files hold about ``file_bytes`` of payload."""
     heads = headers(pages, **columns)
-    again = revisits(heads, least)
-    again = again.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "refers_to")
-    rows = heads.join(again, heads["page_id"].eqNullSafe(again["__id"]) & (heads["payload_digest"] == again["__digest"]), "left")
+    links = revisits(heads, work or Workspace(pages.sparkSession, "warc"), least)
+    links = links.withColumnsRenamed({"page_id": "__id", "payload_digest": "__digest"})
+    rows = heads.join(links, heads["page_id"].eqNullSafe(links["__id"]) & (heads["payload_digest"] == links["__digest"]))
     size = heads.agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("b")).first()
     per_file = max(1, int(file_bytes * size.n / max(size.b or 1, 1))) if size.n else 1
-    repeat = F.col("__id").isNotNull() | F.col("refers_to").isNotNull()
-    url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    repeat, place = F.col("refers_to").isNotNull(), F.col("__place")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
     block = F.when(repeat, http).otherwise(F.concat(http, "payload"))
     kind = F.when(repeat, F.lit("revisit")).otherwise(F.lit("response"))
-    link = F.when(repeat, F.concat(F.lit(f"WARC-Profile: {PROFILE}{_CRLF}WARC-Refers-To: "), record_id(F.col("refers_to")), F.lit(f"{_CRLF}WARC-Refers-To-Page: "), F.col("refers_to").cast("string"), F.lit(_CRLF))).otherwise(F.lit(""))
+    name = F.when(F.col("n") == 1, record_id(F.col("page_id"), F.col("payload_digest"))).otherwise(record_id(F.col("page_id"), F.col("payload_digest"), place))
+    response = F.when(F.col("refers_n") == 1, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"), F.col("payload_digest")), F.lit(_CRLF))).otherwise(F.lit(""))
+    link = F.concat(F.lit(f"WARC-Profile: {PROFILE}{_CRLF}"), response, F.lit("WARC-Refers-To-Target-URI: "), target(F.col("refers_url")), F.lit(f"{_CRLF}WARC-Refers-To-Date: {DATE}{_CRLF}WARC-Refers-To-Page: "), F.col("refers_to").cast("string"), F.lit(_CRLF))
     page = F.when(F.col("page_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("WARC-Page: "), F.col("page_id").cast("string"), F.lit(_CRLF)))
     record = F.concat(
-        F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), kind, F.lit(f"{_CRLF}WARC-Record-ID: "), record_id(F.col("page_id")), F.lit(f"{_CRLF}WARC-Date: {DATE}{_CRLF}WARC-Target-URI: "), url, F.lit(_CRLF), page, link,
+        F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), kind, F.lit(f"{_CRLF}WARC-Record-ID: "), name, F.lit(f"{_CRLF}WARC-Date: {DATE}{_CRLF}WARC-Target-URI: "), target(F.col("url")), F.lit(_CRLF), page, F.when(repeat, link).otherwise(F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"), "payload_digest", F.lit(f"{_CRLF}Content-Type: application/http;msgtype=response{_CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    fields = f"software: lexloom{_CRLF}format: WARC File Format 1.1{_CRLF}"
+    info = F.concat(F.lit(f"WARC/1.1{_CRLF}WARC-Type: warcinfo{_CRLF}WARC-Record-ID: "), record_id(F.lit("info"), place), F.lit(f"{_CRLF}WARC-Date: {DATE}{_CRLF}Content-Type: application/warc-fields{_CRLF}Content-Length: {len(fields)}{_END}{fields}"))
+    # the place's lower 33 bits count a task's rows, so a warcinfo record leads each file of per_file + 1 records
+    leads = F.pmod(F.col("__place").bitwiseAND((1 << 33) - 1), F.lit(per_file)) == 0
+    lines = rows.withColumn("__place", F.monotonically_increasing_id()).select(F.explode(F.when(leads, F.array(info, record)).otherwise(F.array(record))).alias("value"))
+    lines.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file + 1).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,6 +132,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
             for content in batch.column(0):
                 rows = []
                 for f, block in parse(gzip.decompress(content.as_buffer())):
+                    if f["warc-type"] == "warcinfo":
+                        continue
                     head, _, payload = block.partition(b"\r\n\r\n")
                     kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response":
@@ -129,5 +156,5 @@ def round_trip(pages: DataFrame, least: int = 0, work: Workspace | None = None)
     """Write the pages as archives and return what the archives hold."""
     spark = pages.sparkSession
     work = work or Workspace(spark, "warc")
-    write_archives(pages, work.at("archives"), least)
+    write_archives(pages, work.at("archives"), least, work=work)
     return read_archives(spark, work.at("archives"))
