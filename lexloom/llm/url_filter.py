@@ -5,8 +5,9 @@ The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 rule's; of several the longest decides.  Urls without a rule are judged by their words: a term counts where no letter
 a-z or digit stands beside it; one strict term or ``soft_limit`` different soft terms reject the url.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path; a null url has no terms and is allowed.
-Repeated rows and null ids are judged row by row.
+Defined cases: a null url, or one without ``://``, has an empty host and path; a null url has no terms and is allowed.  Of two
+rules for one host and path, block holds.  Rows are judged one by one, so ids may be null, repeated or of any type; other
+columns aren't read.  A very long url is scanned whole.  A term in both lists is strict; a soft term counts once.
 """
 
 from __future__ import annotations
