@@ -6,7 +6,8 @@ known licence texts and notices.  Units are the entire text and each of its line
 document that carries a licence notice are told apart.  Everything is SQL expressions; only matching lines are shuffled.
 
 Defined cases: a null text has no digest and no licence; an empty canonical form matches nothing; repeated rows each get a row;
-of several known licences with one canonical form the first in alphabetical order is reported.
+of several known licences with one canonical form the first in alphabetical order is reported; ids may be null or of any type.
+A very long text is split into lines and hashed whole.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small
+from .shared import Workspace, small
 
 #: Equivalent spellings, each pair (found, put in its place).  Canonical forms have single blanks.
 SPELLINGS = (
@@ -120,13 +121,16 @@ def titled_licenses() -> list[tuple[str, str, str]]:
     return out
 
 
+def canonical_line(low: Column) -> Column:
+    """The canonical form of a line (or lines) in lower case."""
+    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    stated = F.when(marked, F.regexp_replace(low, F.lit(COPYRIGHT_LINE), F.lit(" "))).otherwise(low)
+    return F.trim(F.regexp_replace(stated, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null for null."""
-    low = F.lower(text)
-    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
-    out = F.when(marked, F.regexp_replace(low, F.lit(COPYRIGHT_LINE), F.lit(" "))).otherwise(low)
-    out = F.trim(F.regexp_replace(out, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))
-    return out
+    return canonical_line(F.lower(text))
 
 
 def respelled(form: Column) -> Column:
@@ -147,21 +151,31 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None
     return form.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min("kind").alias("kind"), F.min(F.left("form", F.lit(START))).alias("start"))
 
 
-def scan_licenses(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, starts: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, digest, lines): each text's digest, and number and digest of the lines that start like a known form.
+
+    Texts are put into canonical form once, line by line: a copyright statement never goes beyond its line, so the form of a
+    whole text is those of its lines, joined by blanks.  Spelling rules keep a form's start, so other lines can't match.
+    """
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = texts.select("id", F.md5("text").alias("mark"), F.split(F.lower("text"), "\n").alias("low"))
+    rows = rows.select("id", "mark", F.transform("low", canonical_line).alias("forms"))
+    like = F.filter(F.transform("forms", lambda form, n: F.struct(n.alias("line_no"), form.alias("form"))), lambda x: F.left(x["form"], F.lit(START)).isin(starts))
+    lines = F.transform(like, lambda x: F.struct(x["line_no"].alias("line_no"), _digest(respelled(x["form"])).alias("digest")))
+    return rows.select("id", "mark", _digest(respelled(F.array_join(F.filter("forms", lambda form: form != ""), " "))).alias("digest"), lines.alias("lines"))
+
+
+def scan_licenses(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """(id, text_digest, license, notices, n_notice_lines) of each row; ``notices`` joins the licences of lines with commas."""
     table = known_digests(docs.sparkSession, known)
-    digests, starts = F.broadcast(table.select("digest", "license")), F.broadcast(table.select("start").distinct())
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    whole = texts.select("id", F.md5("text").alias("mark"), _digest(respelled(canonical(F.col("text")))).alias("digest"))
-    lines = texts.select("id", F.md5("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "mark", "line_no", canonical(F.col("line")).alias("form"))
-    # spelling rules keep a form's start, so only lines that start like a known form can match
-    lines = lines.withColumn("start", F.left("form", F.lit(START))).join(starts, "start", "left_semi")
-    lines = lines.select("id", "mark", "line_no", _digest(respelled(F.col("form"))).alias("digest"))
+    digests, starts = F.broadcast(table.select("digest", "license")), [r.start for r in table.select("start").distinct().collect()]  # of the given list
+    work = work or Workspace(docs.sparkSession, "licenses")
+    whole = work.table(scanned(docs, starts, id_col, text_col), "scanned")
+    lines = whole.select("id", "mark", F.explode("lines").alias("line")).select("id", "mark", "line.line_no", "line.digest")
     # repeated rows find the same lines, so each line of an (id, text) counts once
     found = lines.join(digests, "digest").groupBy("id", "mark").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count_distinct("line_no").alias("n_notice_lines"))
-    found = found.withColumnsRenamed({"id": "__id", "mark": "__mark"})
-    out = whole.join(digests, "digest", "left").join(found, whole["id"].eqNullSafe(F.col("__id")) & (whole["mark"] == F.col("__mark")), "left")
+    found = work.table(found.withColumnsRenamed({"id": "__id", "mark": "__mark"}), "found")
+    out = whole.drop("lines").join(digests, "digest", "left").join(found, whole["id"].eqNullSafe(F.col("__id")) & (whole["mark"] == F.col("__mark")), "left")
     return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), "license", "notices", F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines"))
 
 
