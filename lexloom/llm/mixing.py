@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free, small
+from .shared import Workspace, free, small
 
 NO_SOURCE = "\u0000null"
 
@@ -53,11 +53,13 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(low + 1, F.ceil(rate + spread).cast("int")), start, step, lambda acc: acc["n"])
 
 
-def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text", total: float | None = None, other: float = 0.0, most_rate: float | None = None) -> DataFrame:
-    """(source_key, rate): one row per source.  Without ``weights`` all sources weigh the same; ``total`` is in characters."""
+def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text", total: float | None = None, other: float = 0.0, most_rate: float | None = None, work: Workspace | None = None) -> DataFrame:
+    """(source_key, rate): one row per source, written once.  Without ``weights`` all sources weigh the same; ``total`` is in characters."""
     spark = docs.sparkSession
     key = F.coalesce(docs[source_col].cast("string"), F.lit(NO_SOURCE))
     have = docs.select(key.alias("source_key"), F.length(docs[text_col]).alias("n")).groupBy("source_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
+    work = work or Workspace(spark, "rates")
+    have = work.table(have, "characters")
     if weights is None:
         have = have.withColumn("weight", F.lit(1.0))
     else:
@@ -66,7 +68,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     sums = have.agg(F.sum("weight").alias("w"), F.sum("chars").alias("c"))
     # one row of sums against one row per source
     rates = have.crossJoin(F.broadcast(sums)).select("source_key", F.when(F.col("chars") > 0, F.col("weight") / F.col("w") * (F.lit(float(total)) if total else F.col("c")) / F.col("chars")).otherwise(0.0).alias("rate"))
-    return rates if most_rate is None else rates.withColumn("rate", F.least("rate", F.lit(float(most_rate))))
+    rates = rates if most_rate is None else rates.withColumn("rate", F.least("rate", F.lit(float(most_rate))))
+    return work.table(rates, "rates")
 
 
 #: Sources up to which their rates are broadcast: a few dozen bytes each.
