@@ -2,17 +2,25 @@
 
 Only documents carry labels, so tokens are labelled first: a word is offensive if the texts that hold it are marked toxic
 so often that chance can't explain it (exact binomial tail, Bonferroni over the patterns tested); so is the beginning of a word.  Near copies count once for
-this: texts with the same least shingle hash are one witness.  The tokens of offensive words in toxic texts are the positives.
+this: texts with the same least shingle hash are one witness.  The tokens of offensive words in toxic texts are the first positives.
 
-The field has two states, weights for hashed words, and transition weights, fitted by forward-backward gradients.
+The field has two states, transition weights, and weights for what stands at a word: the word or its offensive pattern, the
+words before and after it, its first and last bytes, its shape, and its place in the chain.  It is fitted by forward-backward
+gradients, and then the token labels are estimated anew from it, ``rounds`` times: words of texts marked clean stay 0, words of a
+toxic text get their marginal given that at least one word of the text is toxic.  So words that the tests can't single out
+are learnt from their company, and a text without any offensive pattern still says something.
 A chain is a sentence: the words between sentence ends or line ends, in pieces of at most ``CHAIN`` words, so memory is
 bounded and every word of a text is tagged.  A document's evidence is -sum(log(1 - p)) over its words' toxic marginals p of ``FLOOR`` or more;
 a logistic curve fitted on training documents that the field hasn't seen turns it into a probability.
 Labels, language, source and id are not inputs of the score.
 
+The fit takes at most about ``max_rows`` labelled rows, at most about ``max_chains`` chains of toxic texts with offensive words (or
+of toxic texts without any) and as many others, both uniform by hash of what is there; scoring covers every word.
+
 Defined cases: null and empty texts have no evidence and get the curve's score for that; without labelled rows of both
-classes the score is the smoothed share of label 1.  Offsets count code points.  Each row is scored alone, so repeated rows
-and null ids are harmless.
+classes, or without offensive words, the score is the smoothed share of label 1.  Offsets count code points.  Each row is scored
+alone, so ids may be null, repeated or of any type, and repeated rows get equal scores; no rows give no rows.  A very long
+text is tagged whole, in one slice.
 """
 
 from __future__ import annotations
@@ -31,33 +39,72 @@ from .shared import Workspace, bare, held_out
 from .training import gathered, sigmoid, training_rows, unit_hash
 
 BUCKETS, CHAIN = 1 << 18, 128
+CONTEXT = 17  # bits of the table that the words around, affixes, shapes and places share
+FEATURES = 7
 STEMS = (4, 5, 6, 7, 8, 9)
-FLOOR = 0.1  # marginals below this are background
+FLOOR = 0.03  # marginals below this are background
 _END = np.zeros(256, bool)
 _END[[0x0A, ord("."), ord("!"), ord("?")]] = True
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """starts, ends, hashes of each pattern (0 where the word has none), words per row.
+@dataclass
+class Words:
+    """The words of some rows.
 
-    A word's patterns are the whole word and, if it is longer, its first bytes of each length in ``STEMS``.
+    ``patterns`` has the hashes of each pattern, 0 where the word has none: the whole word and, if it is longer, its first bytes
+    of each length in ``STEMS``.
     """
-    starts, ends, whole, _ = bs.lexemes(data, offsets, signs=False)
-    pre, out = bs.prefix(bs.LOWER[data]), [whole]
-    for k in STEMS:
-        at = np.flatnonzero(ends - starts > k)
-        h = np.zeros(len(starts), np.uint64)
-        h[at] = bs.span_hash(pre, starts[at], starts[at] + k) ^ np.uint64(k)
-        out.append(h)
-    return starts, ends, out, bs.counts(starts, offsets)
+
+    starts: np.ndarray
+    ends: np.ndarray
+    patterns: list[np.ndarray]
+    per_row: np.ndarray
+    shape: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Words:
+        starts, ends, whole, caps = bs.lexemes(data, offsets, signs=False)
+        pre, out, size = bs.prefix(bs.LOWER[data]), [whole], ends - starts
+        for k in STEMS:
+            at = np.flatnonzero(size > k)
+            h = np.zeros(len(starts), np.uint64)
+            h[at] = bs.span_hash(pre, starts[at], starts[at] + k) ^ np.uint64(k)
+            out.append(h)
+        short = np.minimum(size, 4)
+        first = data[starts] if len(starts) else np.zeros(0, np.uint8)
+        shape = caps * 4 + ((first >= 65) & (first <= 90)) * 2 + ((first >= 48) & (first <= 57)) + 8 * np.minimum(size, 15)
+        return Words(starts, ends, out, bs.counts(starts, offsets), shape.astype(np.uint64), bs.span_hash(pre, starts, starts + short), bs.span_hash(pre, ends - short, ends))
 
 
 @dataclass
 class Vocabulary:
-    """Numbers of words: each offensive pattern has one, all other words share ``BUCKETS`` hashed ones."""
+    """Numbers of features: each offensive pattern has one, all other words share ``BUCKETS`` hashed ones, the rest its own table."""
 
     bad: np.ndarray  # sorted hashes
 
+    @property
+    def size(self) -> int:
+        return BUCKETS + len(self.bad) + (1 << CONTEXT)
+
+    def features(self, w: Words, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """words x ``FEATURES``: numbers of what stands at each word of the chains, which cover all words in order."""
+        n = len(w.starts)
+        out = np.empty((n, FEATURES), np.int32)
+        out[:, 0] = self.numbers(w.patterns)
+        left, right = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        left[1:], right[:-1] = w.patterns[0][:-1], w.patterns[0][1:]
+        last = first + length - 1
+        left[first], right[last] = 1, 1  # no neighbour
+        place = np.zeros(n, np.uint64)
+        place[first] += np.uint64(1)
+        place[last] += np.uint64(2)
+        for k, values in enumerate((left, right, w.head, w.tail, w.shape, place), 1):
+            spread = (values + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 ^ (k << 33))
+            out[:, k] = BUCKETS + len(self.bad) + (spread >> np.uint64(64 - CONTEXT)).astype(np.int32)
+        return out
+
     def numbers(self, patterns: list[np.ndarray]) -> np.ndarray:
         """The number of the word's longest offensive pattern (the whole word first), else of its bucket."""
         out = (patterns[0] >> np.uint64(46)).astype(np.int64)
@@ -146,10 +193,11 @@ class ToxicModel:
 
     def marginals(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """starts, ends and marginals of the words, and words per row."""
-        starts, ends, hashes, n = _words(data, offsets)
-        first, length = _chains(data, offsets, starts, n)
-        p, _ = _forward_backward(self.weights[self.words.numbers(hashes)].astype(np.float64), self.trans, first, length)
-        return starts, ends, p, n
+        w = Words.of(data, offsets)
+        first, length = _chains(data, offsets, w.starts, w.per_row)
+        e = self.weights[self.words.features(w, first, length)].sum(1, dtype=np.float64)
+        p, _ = _forward_backward(e, self.trans, first, length)
+        return w.starts, w.ends, p, w.per_row
 
     def evidence(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
         p = np.where(p < FLOOR, 0, np.minimum(p, 1 - 1e-9))
@@ -182,7 +230,8 @@ def _witnesses(rows: DataFrame, label: int, wanted: np.ndarray | None = None) ->
         for batch in batches:
             batch = batch.filter(pa.array((batch.column(2).to_numpy(zero_copy_only=False) == 1) == (label == 1)))
             for lo, hi, data, offsets in bs.slices(batch.column(1)):
-                _, _, patterns, n = _words(data, offsets)
+                words = Words.of(data, offsets)
+                patterns, n = words.patterns, words.per_row
                 rows_of = np.repeat(np.arange(len(n)), n)
                 grams, at = bs.shingles(patterns[0], rows_of, 3)
                 group = np.arange(hi - lo, dtype=np.uint64)
@@ -217,33 +266,81 @@ def offensive_words(rows: DataFrame, chance: float = 1e-3) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _fit_field(e_bucket: np.ndarray, y: np.ndarray, first: np.ndarray, length: np.ndarray, more: int, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Word weights and transition potentials of highest penalised likelihood, by Adam."""
-    used, place = np.unique(e_bucket, return_inverse=True)
-    w, bias, logt = np.zeros(len(used)), -2.0, np.zeros((2, 2))
+@dataclass
+class Chains:
+    """Gathered chains: features, first labels, and for each chain its length, document and whether that is marked toxic."""
+
+    x: np.ndarray
+    y: np.ndarray
+    length: np.ndarray
+    owner: np.ndarray
+    toxic: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+
+def _empty_log(e: np.ndarray, trans: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The logarithm of each chain's probability that no word is toxic."""
+    out, weight = np.zeros(len(first)), np.exp(np.clip(e, -30, 30))
+    order = np.argsort(-length, kind="stable")
+    first, size = first[order], length[order]
+    active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
+    share, total = np.zeros(0), np.zeros(len(first))
+    for t, n in enumerate(active):
+        w = weight[first[:n] + t]
+        zero, one = (np.ones(n), w) if t == 0 else (share[:n] * trans[0, 0] + (1 - share[:n]) * trans[1, 0], (share[:n] * trans[0, 1] + (1 - share[:n]) * trans[1, 1]) * w)
+        share = zero / (zero + one)
+        total[:n] += np.log(zero + one)
+    out[order] = (size - 1) * np.log(trans[0, 0]) - total
+    return out
+
+
+def _relabelled(c: Chains, e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Token labels from the field: 0 in clean texts, marginals given at least one toxic word of the text in toxic ones."""
+    p, _ = _forward_backward(e, trans, c.first, c.length)
+    who, place = np.unique(c.owner, return_inverse=True)
+    none = np.exp(np.bincount(place, _empty_log(e, trans, c.first, c.length), len(who)))
+    some = np.maximum(1 - none, 1e-9)[place]
+    return np.where(np.repeat(c.toxic, c.length), np.minimum(p / np.repeat(some, c.length), 1.0), 0.0)
+
+
+def _fit_field(c: Chains, size: int, rounds: int, steps: int = 100, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transition potentials of highest penalised likelihood, by Adam; labels are estimated anew after each round but the last."""
+    used, place = np.unique(c.x, return_inverse=True)
+    place = place.reshape(c.x.shape)
+    params, y = [np.zeros(len(used)), np.array([-2.0]), np.zeros((2, 2))], c.y.astype(np.float64)
     inner = np.ones(len(y), bool)
-    inner[first] = False  # words with a predecessor in their chain
+    inner[c.first] = False  # words with a predecessor in their chain
     at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1], y[at]), 1)
-    observed = np.bincount(place, y, len(used))
-    params = [w, np.array([bias]), logt]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, rounds + 1):
-        e = params[0][place] + params[1][0]
-        p, pairs = _forward_backward(e, np.exp(params[2]), first, length, pair_sums=True)
-        grads = [np.bincount(place, p, len(used)) - observed + 0.02 * params[0], np.array([(p - y).sum()]), pairs - seen + 0.1 * params[2]]
-        for k, g in enumerate(grads):
-            m[k] = 0.8 * m[k] + 0.2 * g
-            v[k] = 0.98 * v[k] + 0.02 * g * g
-            params[k] = params[k] - 0.3 * (1 - t / (rounds + 1)) * (m[k] / (1 - 0.8**t)) / (np.sqrt(v[k] / (1 - 0.98**t)) + 1e-8)
-    weights = np.full(BUCKETS + more, params[1][0], np.float32)
-    weights[used] += params[0]
+    for turn in range(rounds + 1):
+        before, after = np.stack([1 - y[at - 1], y[at - 1]]), np.stack([1 - y[at], y[at]])
+        seen = before @ after.T
+        observed = np.bincount(place.ravel(), np.repeat(y, FEATURES), len(used))
+        m, v = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
+        many = steps if turn == 0 else steps // 2
+        for t in range(1, many + 1):
+            e = params[0][place].sum(1) + params[1][0]
+            p, pairs = _forward_backward(e, np.exp(params[2]), c.first, c.length, pair_sums=True)
+            grads = [np.bincount(place.ravel(), np.repeat(p, FEATURES), len(used)) - observed + 0.02 * params[0], np.array([(p - y).sum()]), (pairs - seen + 0.1 * params[2]) * chain]
+            for k, g in enumerate(grads):
+                m[k] = 0.8 * m[k] + 0.2 * g
+                v[k] = 0.98 * v[k] + 0.02 * g * g
+                params[k] = params[k] - (0.3 if turn == 0 else 0.1) * (1 - t / (many + 1)) * (m[k] / (1 - 0.8**t)) / (np.sqrt(v[k] / (1 - 0.98**t)) + 1e-8)
+        if turn < rounds:
+            y = _relabelled(c, params[0][place].sum(1) + params[1][0], np.exp(params[2]))
+    weights = np.zeros(size, np.float32)
+    weights[used] = params[0]
+    weights[: size - (1 << CONTEXT)] += params[1][0]  # every word has one number of this part
     return weights, np.exp(params[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_chains: int = 30_000, work: Workspace | None = None) -> ToxicModel:
-    """Fit on at most about ``max_rows`` labelled rows; a third of them only fits the final curve."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_chains: int = 30_000, rounds: int = 2, chain: bool = True, work: Workspace | None = None) -> ToxicModel:
+    """Fit on at most about ``max_rows`` labelled rows; a third of them only fits the final curve.
+
+    Without ``chain`` the transitions stay even, so each word is judged by itself.
+    """
     rows = training_rows(docs, labels, "toxic", max_rows, work or Workspace(docs.sparkSession, "toxicity"))
     stats = rows.agg(F.count("*"), F.sum((F.col("y") == 1).cast("long"))).first()
     n, positive = stats[0], stats[1] or 0
@@ -254,37 +351,54 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_chains:
     if not len(bad):
         return none
     words = Vocabulary(bad)
-    share = min(1.0, max_chains / 40 / max(n, 1))
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> list[bytes]:
-        """Chains with offensive words of training texts, and a share of the other chains."""
-        out: list[list[np.ndarray]] = [[], [], []]
+    def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Words, features, labels, chains and their documents of texts that the curve doesn't need; which chains are wanted first."""
         for batch in batches:
-            ids, label = batch.column(0).cast(pa.int64()).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, label = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in bs.slices(batch.column(1)):
-                starts, _, hashes, per = _words(data, offsets)
-                b = words.numbers(hashes)
-                first, length = _chains(data, offsets, starts, per)
-                owner = np.repeat(np.arange(lo, hi), per)[first] if len(first) else np.zeros(0, np.int64)
-                y = (b >= BUCKETS) & (np.repeat(label[lo:hi], per) == 1)
-                has = np.add.reduceat(y.astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool)
-                luck = unit_hash(ids[owner] * 1_000_003 + first - (np.cumsum(per) - per)[owner - lo], 7) < share
-                use = np.flatnonzero((unit_hash(ids[owner], 99) >= 1 / 3) & (has | luck))
-                take = np.concatenate([np.arange(first[k], first[k] + length[k]) for k in use]) if len(use) else np.zeros(0, np.int64)
-                for store, x in zip(out, (b[take], y[take].astype(np.int64), length[use])):
-                    store.append(x)
-        return [np.concatenate(x or [np.zeros(0)]).astype(np.int64).tobytes() for x in out]
+                w = Words.of(data, offsets)
+                first, length = _chains(data, offsets, w.starts, w.per_row)
+                if not len(first):
+                    continue
+                owner = np.repeat(np.arange(hi - lo), w.per_row)[first]
+                x = words.features(w, first, length)
+                toxic = label[lo:hi] == 1
+                y = (x[:, 0] >= BUCKETS) & np.repeat(toxic, w.per_row)
+                has = np.add.reduceat(y.astype(np.int64), first) > 0
+                bare_text = toxic & (np.bincount(owner, has, hi - lo) == 0)  # marked toxic, without any offensive word
+                learn = unit_hash(ids[lo:hi], 99)[owner] >= 1 / 3
+                luck = unit_hash(ids[lo:hi][owner] * 1_000_003 + first - (np.cumsum(w.per_row) - w.per_row)[owner], 7)
+                yield x, y, first, length, ids[lo:hi][owner], toxic[owner], (has | bare_text[owner]) & learn, learn, luck
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> list[bytes]:
+        found = np.zeros(2, np.int64)
+        for *_, wanted, learn, _ in slices_of(batches):
+            found += (wanted.sum(), (learn & ~wanted).sum())
+        return [found.tobytes()]
+
+    found = sum(np.frombuffer(g[0], np.int64) for g in gathered(rows, sizes))
+    shares = np.minimum(1.0, max_chains / np.maximum(found, 1))
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> list[bytes]:
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for x, y, first, length, owner, toxic, wanted, learn, luck in slices_of(batches):
+            use = np.flatnonzero(learn & (luck < np.where(wanted, *shares)))
+            take = np.repeat(first[use], length[use]) + np.arange(length[use].sum()) - np.repeat(np.cumsum(length[use]) - length[use], length[use])
+            for store, values in zip(out, (x[take], y[take], length[use], owner[use], toxic[use])):
+                store.append(values)
+        return [np.concatenate(values or [np.zeros(0)]).astype(k).tobytes() for values, k in zip(out, _KINDS)]
 
     got = gathered(rows, chains)
-    b, y, length = (np.concatenate([np.frombuffer(g[k], np.int64) for g in got]) for k in range(3))
+    x, y, length, owner, toxic = (np.concatenate([np.frombuffer(g[k], kind) for g in got]) for k, kind in enumerate(_KINDS))
     if not y.any():
         return none
-    model = ToxicModel(*_fit_field(b, y, np.cumsum(length) - length, length, len(bad)), none.prior, words)
+    model = ToxicModel(*_fit_field(Chains(x.reshape(-1, FEATURES), y, length, owner, toxic), words.size, rounds, chain=chain), none.prior, words)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> list[bytes]:
         out: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            ids, label = batch.column(0).cast(pa.int64()).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, label = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             for _, _, data, offsets in bs.slices(batch.column(1)):
                 _, _, p, per = model.marginals(data, offsets)
                 out[0].append(model.evidence(p, per))
@@ -299,6 +413,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_chains:
     return model
 
 
+_KINDS = (np.int32, bool, np.int64, np.int64, bool)
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic slope and offset by Newton steps with a light penalty; the slope isn't let below 0.1."""
     order = np.lexsort((y, x))
@@ -341,7 +458,7 @@ def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     return bare(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, work: Workspace | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of each document."""
-    out = tag(docs, fit(docs, labels, max_rows))
+    out = tag(docs, fit(docs, labels, max_rows, work=work))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
