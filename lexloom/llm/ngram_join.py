@@ -12,9 +12,14 @@
 Buckets and components above ``block`` nodes are dealt out as pairs of blocks, each a bounded unit of work:
 no group is capped, sampled or gathered in one task.
 
+Word sequences are told apart by 128-bit hashes: of n different texts two share one with probability n^2 / 2^129, which is 4e-19
+for 10^10 texts.  Buckets with the same members are told by their size and two sums of 40 and 64 bits of hashed keys; of m
+buckets two that differ fall together, and lose a pair that shares no other band, with probability m^2 / 2^105.
+
 Defined cases: a text of fewer than ``width`` words has one shingle, its whole word sequence; a text without words
 (or null) links to nothing; white space between words does not count; letter case does.
-Repeated rows and null ids keep one result row per input row.
+Repeated rows and null ids keep one result row per input row; ids may be of any orderable type; no rows give no rows.  A very
+long text is scanned whole, in one slice.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .components import components
-from .shared import Workspace, bare, bound_batches, whole_groups
+from .shared import Workspace, bare, bound_batches, free, whole_groups
 
 HASHES, BAND = 64, 3
 _SALT = np.random.default_rng(11).integers(1, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -369,23 +374,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each similarity class, that of the least id, and every row without words."""
     work = work or Workspace(docs.sparkSession, "dedup")
     found = work.table(similarity_classes(docs, id_col, text_col, width, threshold, work=work), "classes-of-rows")
+    own_id, own_key = (free(c, docs.columns) for c in ("_id", "_key"))
     words = found.where("n_words > 0 and key = rep_key").where(F.col(id_col).eqNullSafe(F.col("class_id")))
-    kept = words.groupBy("key").agg(F.min(id_col).alias("__id"), F.count("*").alias("__n"))
+    kept = words.groupBy("key").agg(F.min(id_col).alias(own_id)).select(own_id, F.col("key").alias(own_key))
     # repeated rows of one id need a second look at their texts; usually there are none
     repeated = found.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    wordless = found.where("n_words = 0").select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
-    ids = kept.select("__id", F.col("key").alias("__key")).unionByName(wordless)
-    out = docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids["__id"]))  # the list grows with the rows: one plan at every size
+    wordless = found.where("n_words = 0").select(F.col(id_col).alias(own_id), F.col("key").alias(own_key)).distinct()
+    ids = kept.unionByName(wordless)
+    out = docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids[own_id]))  # the list grows with the rows: one plan at every size
     if not repeated:
-        return out.select(*[docs[c] for c in docs.columns])
-    return _settle(out, docs.columns, text_col, width)
+        return out.select(*[docs[f"`{c}`"] for c in docs.columns])
+    return _settle(out, docs.columns, text_col, own_key, width)
 
 
-def _settle(rows: DataFrame, names: list[str], text_col: str, width: int) -> DataFrame:
+def _settle(rows: DataFrame, names: list[str], text_col: str, key: str, width: int) -> DataFrame:
     """Of rows fetched by a repeated id: those whose text has the wanted key, one row per key with words."""
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-    schema = StructType([*[f for f in rows.schema.fields], StructField("__own", BinaryType()), StructField("__words", LongType())])
+    found, words = (free(c, rows.columns) for c in ("_found", "_words"))
+    schema = StructType([*[f for f in rows.schema.fields], StructField(found, BinaryType()), StructField(words, LongType())])
     at = rows.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +400,8 @@ def _settle(rows: DataFrame, names: list[str], text_col: str, width: int) -> Dat
             parts = [_digests(d, o, width)[:2] for _, _, d, o in bs.slices(batch.column(at))]
             if parts:
                 own, n = _binary(np.concatenate([k for _, k in parts])), pa.array(np.concatenate([c for c, _ in parts]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, own, n], names=[*batch.schema.names, "__own", "__words"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, own, n], names=[*batch.schema.names, found, words])
 
-    good = rows.mapInArrow(add, schema).where("__own = __key")
-    once = good.where("__words > 0").dropDuplicates(["__key"])
-    return once.unionByName(good.where("__words = 0")).select(*names)
+    good = rows.mapInArrow(add, schema).where(F.col(found) == F.col(key))
+    once = good.where(F.col(words) > 0).dropDuplicates([key])
+    return once.unionByName(good.where(F.col(words) == 0)).select(*[F.col(f"`{c}`") for c in names])
