@@ -1,7 +1,10 @@
 """A corpus pipeline out of the training-data operators (part of the subpackage ``llm``).
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's ``docs``.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, whatever other columns there are, under their names and unchanged.
+
+Defined cases, for every stage: no rows give no rows; null columns are allowed; very long texts are taken whole; repeated rows are
+judged like any others.  What a null or empty text means is stated at each stage.
 """
 
 from __future__ import annotations
@@ -17,27 +20,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; a null or empty text gets the score of a text without words."""
     return quality_model.keep_good(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, repeated rows included; every document without words stays."""
     return ngram_join.drop_near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources weigh the same, in a shuffled order."""
+    """Documents repeated so that all sources weigh the same, in a shuffled order; a null source is one of its own, a source without characters goes."""
     return mixing.mix_sources(docs, mixing.source_rates(docs)).select(*docs.columns)
 
 
 def token_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shards' index: the place, documents and checksum of every sequence."""
+    """The shards' index: the place, documents and checksum of every sequence; a null or empty text is its end mark only."""
     return token_shards.shard_index(docs)
 
 
