@@ -58,21 +58,18 @@ def kanji_number(n: Column) -> Column:
     return F.when(n.between(1, 9999), F.concat(*[place(d, m) for d, m in zip(digits, ("千", "百", "十", ""))])).otherwise(F.lit(""))
 
 
+#: Every tabled reading by number and unit; the days from 11 to 99 follow from tens and tails.
+COUNTER_READINGS = (
+    {f"{n}{unit}": reading for unit, table in COUNTER_SOLO.items() for n, reading in table.items()}
+    | {f"{10 * tens + tail}日": spoken + reading for tens, spoken in enumerate(TENS, 1) for tail, reading in DAY_TAILS.items()}
+    | {f"{n}{unit}": reading for (unit, n), reading in COUNTER_WHOLE.items()}
+)
+
+
 def counter_reading(number: Column, counter: Column) -> Column:
     """The irregular reading of a number with a unit; empty where there is none."""
-    ok = number.rlike(r"^[1-9]\d{0,8}$")
-    n = F.when(ok, number).try_cast("int")
-    out = F.lit("")
-    tail, tens = n % 10, F.floor(n / 10).cast("int")
-    day = F.coalesce(*[F.when(tail == k, F.lit(v)) for k, v in DAY_TAILS.items()])
-    spoken = F.when(tens.between(1, 9), F.element_at(F.array(*map(F.lit, TENS)), F.greatest(F.least(tens, F.lit(9)), F.lit(1))))
-    out = F.when((counter == "日") & (n > 10) & day.isNotNull() & spoken.isNotNull(), F.concat(spoken, day)).otherwise(out)
-    for unit, table in COUNTER_SOLO.items():
-        for k, v in table.items():
-            out = F.when((counter == unit) & (n == k), F.lit(v)).otherwise(out)
-    for (unit, k), v in COUNTER_WHOLE.items():
-        out = F.when((counter == unit) & (n == k), F.lit(v)).otherwise(out)
-    return F.coalesce(F.when(ok, out), F.lit(""))
+    table = F.create_map(*[F.lit(x) for pair in COUNTER_READINGS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.concat(number, counter)), F.lit(""))
 
 
 def counter_spelling(c: Column | str) -> Column:

@@ -11,11 +11,11 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..operators.explanations import LineStream, Tidier
 
-_STATE = StructType([StructField("rest", StringType()), StructField("blanks", IntegerType()), StructField("bullets", IntegerType()), StructField("seen", StringType())])
+_STATE = StructType([StructField("rest", StringType()), StructField("blanks", IntegerType()), StructField("seen", StringType())])
 
 
 class TidyLines(StatefulProcessor):
-    """State of an explanation: the unfinished line, pending blanks, bullets so far and patterns seen."""
+    """State of an explanation: the unfinished line, pending blanks and patterns seen."""
 
     def __init__(self, most: int):
         self.most = most
@@ -25,15 +25,15 @@ class TidyLines(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows)).sort_values("seq")
-        held = self.state.get() if self.state.exists() else ("", 0, 0, "")
-        stream = LineStream(Tidier(self.most, set(filter(None, held[3].split("\x00"))), held[2]), held[0], held[1])
+        held = self.state.get() if self.state.exists() else ("", 0, "")
+        stream = LineStream(Tidier(self.most, set(filter(None, held[2].split("\x00")))), held[0], held[1])
         text = "".join(map(stream.feed, pdf["delta"]))
         done = bool(pdf["done"].any())
         if done:
             text += stream.close()
             self.state.clear()
         else:
-            self.state.update((stream.rest, stream.blanks, stream.tidier.bullets, "\x00".join(sorted(stream.tidier.seen))))
+            self.state.update((stream.rest, stream.blanks, "\x00".join(sorted(stream.tidier.seen))))
         yield pd.DataFrame({"explanation_id": [key[0]], "last_seq": [int(pdf["seq"].max())], "text": [text], "done": [done]})
 
     def close(self) -> None:
