@@ -40,7 +40,9 @@ class Engine:
             tables.replace_table(kanji.join(browse.character_words(self.table("entries")), "literal", "left"), f"{self.path}/kanji")
         if encoder:
             tables.replace_table(encoded(self.table("entries"), encoder, "id", "text"), f"{self.path}/vectors")
-        tables.write_metadata(self.spark, f"{self.path}/metadata", dictionary=dictionary)
+        built = {n: self.table(n) for n in ("entries", "match_keys", "form_index", "kanji", "vectors") if self.has(n)}
+        dated = markup.generation_dates(self.spark, dictionary).agg(F.max("date")).first()[0]
+        tables.write_metadata(self.spark, f"{self.path}/metadata", built, dictionary=dictionary, dictionary_date=dated or "")
 
     def _derive(self, rows: DataFrame) -> None:
         tables.replace_table(rows, f"{self.path}/entries")

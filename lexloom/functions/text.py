@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 JAPANESE = "぀-ヿ㐀-䶿一-鿿"
 OPENING = " \t\r\n　\"'“”‘’「」『』（）()【】[]〜~・…"
 
-#: Question frames, in the order in which they are tried; the group is what is asked for.
-FRAMES = (
-    r"^(?:how (?:do|would|can) (?:you|i|we) say|how to say)\s+(.+?)(?:\s+in japanese)?$",
-    r"^(?:what(?:'s| is) (?:the )?(?:japanese )?(?:word|term|verb|noun|adjective) for)\s+(.+)$",
-    r"^(?:japanese (?:word |term )?for|word for|meaning of|translate)\s+(.+)$",
-    r"^(?:a|an|the)\s+(?:word|term)\s+(?:for|meaning|that means)\s+(.+)$",
-)
+#: What questions open with, by kind; who asks how to say something may close with "in japanese".
+ASKING_HOW = [f"how {verb} {who} say" for verb in ("do", "would", "can") for who in ("you", "i", "we")] + ["how to say"]
+ASKING_WHAT = [f"{opener} {the}{japanese}{noun} for" for opener in ("what's", "what is") for the in ("the ", "") for japanese in ("japanese ", "") for noun in ("word", "term", "verb", "noun", "adjective")]
+NAMING = ["japanese for", "japanese word for", "japanese term for", "word for", "meaning of", "translate"]
+DESCRIBING = [f"{article} {noun} {link}" for article in ("a", "an", "the") for noun in ("word", "term") for link in ("for", "meaning", "that means")]
+
+
+def _frame(openers: list[str], closing: str = "", loose: bool = False) -> str:
+    """A pattern of one of the openers and, as its group, what is asked for; ``loose`` openers may have any white space between words."""
+    spoken = "|".join(r"\s+".join(o.split(" ")) if loose else o for o in openers)
+    return rf"^(?:{spoken})\s+(.+{'?' if closing else ''}){closing}$"
+
+
+#: Question frames, in the order in which they are tried.
+FRAMES = (_frame(ASKING_HOW, r"(?:\s+in japanese)?"), _frame(ASKING_WHAT), _frame(NAMING), _frame(DESCRIBING, loose=True))
 #: White space of every script: as characters to trim, and as a class for patterns (cheaper than Unicode classes by flag).
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -14,39 +14,43 @@ COMMON_MARKS, SECOND_MARKS = ("news1", "ichi1", "spec1", "spec2", "gai1"), ("new
 NO_HEAD = ("to ", "and ", "or ", "be ")
 
 #: Part-of-speech codes by tag, tags in badge order.
-POS_CODES = {
-    "verb": "vt vi vr vk vn vz v-unspec v1 v1-s v5r v5s v5k v5u v5m v5t v5g v5b v5n v5aru v5r-i v5k-s v5u-s v5uru vs vs-i vs-s vs-c v2a-s v2b-k v2b-s v2d-k v2d-s v2g-k v2g-s v2h-k v2h-s v2k-k v2k-s v2m-k v2m-s v2n-s v2r-k v2r-s v2s-s v2t-k v2t-s v2w-s v2y-k v2y-s v2z-s v4b v4g v4h v4k v4m v4n v4r v4s v4t",
-    "adj-i": "adj-i adj-ix adj-ku adj-shiku adj-t adj-kari",
-    "adj-na": "adj-na adj-nari adj-no adj-pn",
-    "adv": "adv adv-to",
-    "intj": "int",
-    "phrase": "exp",
-    "noun": "n n-suf n-pref n-adv n-t n-pr",
-    "other": "adj-f suf pn prt pref conj ctr aux-v num aux unc cop aux-adj",
+POS_TAGS = {
+    "verb": ["vt", "vi", "vr", "vk", "vn", "vz", "v-unspec", "v1", "v1-s", "v5r", "v5s", "v5k", "v5u", "v5m", "v5t", "v5g", "v5b", "v5n", "v5aru", "v5r-i", "v5k-s", "v5u-s", "v5uru", "vs", "vs-i", "vs-s", "vs-c", "v2a-s", "v2b-k", "v2b-s", "v2d-k", "v2d-s", "v2g-k", "v2g-s", "v2h-k", "v2h-s", "v2k-k", "v2k-s", "v2m-k", "v2m-s", "v2n-s", "v2r-k", "v2r-s", "v2s-s", "v2t-k", "v2t-s", "v2w-s", "v2y-k", "v2y-s", "v2z-s", "v4b", "v4g", "v4h", "v4k", "v4m", "v4n", "v4r", "v4s", "v4t"],
+    "adj-i": ["adj-i", "adj-ix", "adj-ku", "adj-shiku", "adj-t", "adj-kari"],
+    "adj-na": ["adj-na", "adj-nari", "adj-no", "adj-pn"],
+    "adv": ["adv", "adv-to"],
+    "intj": ["int"],
+    "phrase": ["exp"],
+    "noun": ["n", "n-suf", "n-pref", "n-adv", "n-t", "n-pr"],
+    "other": ["adj-f", "suf", "pn", "prt", "pref", "conj", "ctr", "aux-v", "num", "aux", "unc", "cop", "aux-adj"],
 }
 #: Usage codes by tag, tags in badge order.
-MISC_CODES = {
-    "on-mim": "on-mim",
-    "idiom": "yoji id proverb",
-    "abbr": "abbr",
-    "kana": "uk",
-    "formal": "form hon",
-    "archaic": "arch rare hist obs dated poet",
-    "colloquial": "col sl net-sl m-sl derog vulg joc hum fam serv chn pol",
-    "sensitive": "sens",
-    "name": "org work company product person place surname given dei ship station ev obj doc creat fict leg myth relig group unclass",
-    "other": "fem male char quote euph oth X",
+MISC_TAGS = {
+    "on-mim": ["on-mim"],
+    "idiom": ["yoji", "id", "proverb"],
+    "abbr": ["abbr"],
+    "kana": ["uk"],
+    "formal": ["form", "hon"],
+    "archaic": ["arch", "rare", "hist", "obs", "dated", "poet"],
+    "colloquial": ["col", "sl", "net-sl", "m-sl", "derog", "vulg", "joc", "hum", "fam", "serv", "chn", "pol"],
+    "sensitive": ["sens"],
+    "name": ["org", "work", "company", "product", "person", "place", "surname", "given", "dei", "ship", "station", "ev", "obj", "doc", "creat", "fict", "leg", "myth", "relig", "group", "unclass"],
+    "other": ["fem", "male", "char", "quote", "euph", "oth", "X"],
 }
 
 
-def coded_tags(codes: Column, table: dict[str, str]) -> Column:
+#: The same tables with blank-separated codes.
+POS_CODES, MISC_CODES = ({tag: " ".join(codes) for tag, codes in table.items()} for table in (POS_TAGS, MISC_TAGS))
+
+
+def coded_tags(codes: Column, table: dict[str, list[str]]) -> Column:
     """The tags of codes, once each and in badge order; unknown codes are dropped."""
-    return F.array_compact(F.array(*[F.when(F.arrays_overlap(codes, F.array(*map(F.lit, members.split()))), F.lit(tag)) for tag, members in table.items()]))
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(codes, F.array(*map(F.lit, members))), F.lit(tag)) for tag, members in table.items()]))
 
 
-def unmapped_codes(elements: DataFrame, codes: Column, table: dict[str, str], n: int = 10) -> DataFrame:
+def unmapped_codes(elements: DataFrame, codes: Column, table: dict[str, list[str]], n: int = 10) -> DataFrame:
     """(code, count): the most frequent codes that no tag has."""
-    known = [c for members in table.values() for c in members.split()]
+    known = [c for members in table.values() for c in members]
     rows = elements.select(F.explode(codes).alias("code")).where(~F.col("code").isin(known))
     return rows.groupBy("code").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "code").limit(n)
 
@@ -106,7 +110,7 @@ def senses(raw: Column) -> Column:
 
     def one(s: Column) -> Column:
         return F.struct(
-            english(s["glosses"]).alias("glosses"), coded_tags(s["pos"], POS_CODES).alias("pos"), coded_tags(s["misc"], MISC_CODES).alias("misc"), F.array_sort(F.array_distinct(s["field"])).alias("field"),
+            english(s["glosses"]).alias("glosses"), coded_tags(s["pos"], POS_TAGS).alias("pos"), coded_tags(s["misc"], MISC_TAGS).alias("misc"), F.array_sort(F.array_distinct(s["field"])).alias("field"),
             F.array_sort(s["dial"]).alias("dial"), s["s_inf"].alias("s_inf"), s["stagk"].alias("stagk"), s["stagr"].alias("stagr"), F.slice(pairs(s["examples"]), 1, 3).alias("examples"), cross_references(s["xrefs"]).alias("xrefs"),
         )
 
@@ -163,9 +167,14 @@ def build_entries(raw: DataFrame, frequencies: DataFrame | None = None) -> DataF
     return out.join(conjugation.tables(words), "id", "left").drop("pos_texts", "counted_form").withColumn("has_lsource", F.size("lsource") > 0)
 
 
-def signature(columns: list[str]) -> Column:
-    """Sixteen hex digits over the named columns in their order: equal rows have equal signatures."""
-    return F.substring(F.sha1(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})), 1, 16)
+def signature(columns: list[str], rows: DataFrame | None = None) -> Column:
+    """Sixteen hex digits over the named columns in the order of their names: equal rows have equal signatures.
+
+    Maps have no order, so those that ``rows`` has among the columns are taken as sorted entries.
+    """
+    kinds = dict(rows.dtypes) if rows is not None else {}
+    values = [F.array_sort(F.map_entries(c)).alias(c) if kinds.get(c, "").startswith("map") else F.col(c) for c in sorted(columns)]
+    return F.substring(F.sha1(F.to_json(F.struct(*values), {"ignoreNullFields": "false"})), 1, 16)
 
 
 def payload(entries: DataFrame) -> DataFrame:
@@ -176,7 +185,7 @@ def payload(entries: DataFrame) -> DataFrame:
         default = empty[kind] if kind in empty else {"boolean": F.lit(False), "double": F.lit(0.0)}.get(kind)
         cols.append(F.coalesce(name, default).alias(name) if default is not None else F.col(name))
     plain = entries.select(*cols)
-    return plain.withColumn("sig", signature([n for n, t in plain.dtypes if n != "sig" and not t.startswith("map")]))
+    return plain.withColumn("sig", signature([n for n, _ in plain.dtypes if n != "sig"], plain))
 
 
 def variants(entry: Column | None = None) -> Column:

@@ -51,19 +51,25 @@ def recent(visits: DataFrame, n: int = 8, key: str = "user_id", item: str = "ite
 
 
 class SlidingWindow:
-    """Admitted hits of one key: at most ``limit`` in any window; rejected hits leave no trace."""
+    """Admission of one key's hits in order of time: at most ``limit`` in any window; rejected hits leave no trace.
+
+    Only the last ``limit`` admitted times matter: a hit is admitted when the oldest of them has left the window.
+    """
 
     def __init__(self, limit: int, window: float, held: list[float] | None = None):
-        self.limit, self.window, self.held = limit, window, deque(held or ())
+        self.limit, self.window, self.last = limit, window, deque(held or (), maxlen=limit)
+
+    @property
+    def held(self) -> list[float]:
+        return list(self.last)
 
     def hit(self, now: float) -> float:
         """0 if admitted, else the seconds until a place is free."""
-        while self.held and self.held[0] <= now - self.window:
-            self.held.popleft()
-        if len(self.held) < self.limit:
-            self.held.append(now)
-            return 0.0
-        return max(self.held[0] + self.window - now, 0.001)
+        free_at = self.last[0] + self.window if len(self.last) == self.limit else now
+        if free_at > now:
+            return max(free_at - now, 0.001)
+        self.last.append(now)
+        return 0.0
 
 
 def admissions(events: DataFrame, limit: int, window: float, key: str = "user_id", id_col: str = "event_id", ts_col: str = "ts") -> DataFrame:

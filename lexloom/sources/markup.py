@@ -159,3 +159,8 @@ def generation_date(head: Column) -> Column:
     """The date of a file's "created" line."""
     found = F.regexp_extract(head, r"(?i)created:\s*(\d{4}-\d{2}-\d{2})", 1)
     return F.when(found != "", found.cast("date"))
+
+
+def generation_dates(spark: SparkSession, path: str) -> DataFrame:
+    """(date) of the lines of a file that state one."""
+    return spark.read.text(path).select(generation_date(F.col("value")).alias("date")).where("date is not null")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
+#: Temporary folders of one-process applications without a shared folder.
+_LOCAL: dict[str, str] = {}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -43,10 +45,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lexloom-"))
     path = f"{root.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,9 +71,9 @@ def write_index(index: DataFrame, path: str, parts: int = 8) -> None:
     index.repartitionByRange(parts, "form").sortWithinPartitions("form", "ord").write.mode("overwrite").parquet(path)
 
 
-def write_metadata(spark: SparkSession, path: str, **facts: str | int) -> None:
-    """One row of provenance: schema version and whatever else is named."""
-    row = {"schema_version": SCHEMA_VERSION} | facts
+def write_metadata(spark: SparkSession, path: str, counts: dict[str, DataFrame] | None = None, **facts: str | int) -> None:
+    """One row of provenance: schema version, the rows of each of ``counts``, and whatever else is named."""
+    row = {"schema_version": SCHEMA_VERSION} | facts | {f"rows_{name}": df.count() for name, df in (counts or {}).items()}
     spark.createDataFrame([tuple(str(v) for v in row.values())], ", ".join(f"{k} string" for k in row)).write.mode("overwrite").json(path)
 
 
@@ -135,7 +136,20 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A report's rows as a Markdown table."""
-    data = rows.limit(most).collect()
+    """A report's rows as a Markdown table; more than ``most`` rows are an error, as a report file takes any number."""
+    data = rows.limit(most + 1).collect()
+    if len(data) > most:
+        raise ValueError(f"more than {most} rows: use write_report")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in data)])
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """All rows of a report as JSON lines or CSV with a header."""
+    writer = rows.write.mode("overwrite")
+    if kind == "json":
+        writer.option("ignoreNullFields", "false").json(path)
+    elif kind == "csv":
+        writer.option("header", "true").csv(path)
+    else:
+        raise ValueError(f"unknown kind of report: {kind}")
