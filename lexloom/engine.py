@@ -35,8 +35,9 @@ class Engine:
         self._derive(entries.common_subset(rows) if common_only else rows)
         if characters:
             kanji = markup.characters(self.spark, characters)
-            if strokes:
-                kanji = kanji.join(markup.stroke_files(self.spark, strokes, kanji), "codepoint_hex", "left")
+            # missing drawings leave the column empty; a missing character table is an error
+            found = markup.stroke_files(self.spark, strokes, kanji) if strokes and tables.exists(self.spark, strokes) else None
+            kanji = browse.with_strokes(kanji, found)
             tables.replace_table(kanji.join(browse.character_words(self.table("entries")), "literal", "left"), f"{self.path}/kanji")
         if encoder:
             tables.replace_table(encoded(self.table("entries"), encoder, "id", "text"), f"{self.path}/vectors")
@@ -105,8 +106,7 @@ class Engine:
 
     def cards(self, characters: DataFrame, words: int = 8) -> DataFrame:
         """(literal, badges, readings, words...) of characters (literal); unknown ones have nulls.  The own word comes first."""
-        own = F.array_sort(F.transform("common_words", lambda w: F.struct((w["kanji_form"] != F.col("literal")).cast("int").alias("other"), w["rank"].alias("rank"), w["kanji_form"].alias("kanji_form"), w["reading"].alias("reading"), w["meanings"].alias("meanings"))))
-        kanji = self.table("kanji").withColumns({"words": F.slice(own, 1, words), "badges": J.badges(F.col("stroke_count"), F.col("grade"), F.col("jlpt_level"), F.col("freq")), "on": F.transform("on_yomi", J.reading_chip), "kun": F.transform("kun_yomi", J.reading_chip)})
+        kanji = self.table("kanji").withColumns({"words": browse.own_word_first(F.col("literal"), F.col("common_words"), words), "badges": J.badges(F.col("stroke_count"), F.col("grade"), F.col("jlpt_level"), F.col("freq")), "on": F.transform("on_yomi", J.reading_chip), "kun": F.transform("kun_yomi", J.reading_chip)})
         return characters.dropDuplicates(["literal"]).join(kanji.drop("common_words"), "literal", "left")
 
     def group(self, by: str, value: int | str, n: int = 40, offset: int = 0) -> DataFrame | None:
@@ -115,6 +115,10 @@ class Engine:
     def groups(self) -> DataFrame:
         return browse.character_facets(self.table("kanji")).orderBy("by", "ord")
 
+    def verified_character(self, seed: int) -> DataFrame:
+        """A random character that has common words, if eight tries find one."""
+        return browse.verified_pick(self.table("kanji"), self.table("kanji").where("size(common_words) > 0"), seed)
+
     def random_character(self, seed: int, level: str | None = None) -> DataFrame:
         """A character with a frequency rank, of a level if that has any."""
         kanji = self.table("kanji")
@@ -122,10 +126,10 @@ class Engine:
         return browse.random_character(within if within.limit(1).count() else kanji, seed)
 
     def loanword_facets(self) -> DataFrame:
-        return browse.loanword_facets(browse.loanwords(self.table("entries").where("has_lsource")))
+        return browse.loanword_counts(self.table("entries").where("has_lsource"))
 
     def loanword_page(self, lang: str, offset: int = 0, limit: int = 50) -> DataFrame:
-        return browse.loanword_page(browse.loanwords(self.table("entries").where("has_lsource")), lang, offset, limit)
+        return browse.loanword_page_of(self.table("entries").where("has_lsource"), lang, offset, limit)
 
     def related(self, ids: Column | None = None, n: int = 8) -> DataFrame:
         """Words that share characters with entries, all of them or those of a condition."""

@@ -245,3 +245,15 @@ def checked_input(c: Column | str, most: int = 200) -> Column:
     """struct(text, ok): white space collapsed; ok if neither empty nor longer than ``most``."""
     text = one_spaced(c)
     return F.struct(text.alias("text"), F.length(text).between(1, most).alias("ok"))
+
+
+#: The most characters of a sentence and of its meaning, and where a hint is cut.
+MOST_SENTENCE, MOST_MEANING, HINT_CUT = 200, 400, 600
+
+
+def checked_request(sentence: Column | str, meaning: Column | str, hint: Column | str) -> Column:
+    """struct(sentence, meaning, hint, problem): white space collapsed, the hint cut, and what is wrong, null if nothing is."""
+    s, m = one_spaced(F.coalesce(col(sentence), F.lit(""))), one_spaced(F.coalesce(col(meaning), F.lit("")))
+    cut = F.left(stripped(F.coalesce(col(hint), F.lit(""))), F.lit(HINT_CUT))
+    problem = F.when(s == "", F.lit("empty sentence")).when(F.length(s) > MOST_SENTENCE, F.lit("long sentence")).when(F.length(m) > MOST_MEANING, F.lit("long meaning"))
+    return F.struct(s.alias("sentence"), m.alias("meaning"), cut.alias("hint"), problem.alias("problem"))

@@ -74,6 +74,27 @@ def random_character(kanji: DataFrame, seed: int) -> DataFrame:
     return kanji.where("freq is not null and freq <> 0").orderBy(F.rand(seed), "literal").limit(1)
 
 
+def verified_pick(kanji: DataFrame, verified: DataFrame, seed: int, tries: int = 8, constant: str = "日") -> DataFrame:
+    """(literal): of ``tries`` random ranked characters the first that ``verified`` (literal) has, else the first, else a constant."""
+    drawn = kanji.where("freq is not null and freq <> 0").select("literal", F.rand(seed).alias("r")).orderBy("r", "literal").limit(tries)
+    known = drawn.join(verified.select("literal").distinct().withColumn("ok", F.lit(True)), "literal", "left")
+    best = known.agg(F.min_by("literal", F.struct(F.col("ok").isNull(), "r", "literal")).alias("literal"))
+    return best.select(F.coalesce("literal", F.lit(constant)).alias("literal"))
+
+
+def own_word_first(literal: Column, words: Column, n: int = 8) -> Column:
+    """A character's words, the one that is the character itself before the others, ``n`` of them."""
+    keyed = F.transform(words, lambda w: F.struct((w["kanji_form"] != literal).cast("int").alias("other"), w["rank"].alias("rank"), w["kanji_form"].alias("kanji_form"), w["reading"].alias("reading"), w["meanings"].alias("meanings")))
+    return F.slice(F.array_sort(keyed), 1, n)
+
+
+def with_strokes(kanji: DataFrame, drawings: DataFrame | None) -> DataFrame:
+    """Characters with their drawings; without any drawings the column is null."""
+    if drawings is None:
+        return kanji.withColumn("strokes", F.lit(None).cast("struct<view_box:string,strokes:array<string>,numbers:array<struct<x:double,y:double,value:int>>>"))
+    return kanji.join(drawings, "codepoint_hex", "left")
+
+
 def inverted_top(entries: DataFrame, terms: Column, order: list[Column], k: int = 10, id_col: str = "id") -> DataFrame:
     """(term, rank, id): the k best entries of each term.
 
@@ -117,25 +138,44 @@ def related_by_terms(heads: DataFrame, top: DataFrame, n: int = 8) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "rank", "other")
 
 
-def loanwords(entries: DataFrame) -> DataFrame:
-    """(lang, ord, id, ...): entries by source language, once per language, best first; made-in-Japan words join a bucket of their own."""
+def _buckets(entries: DataFrame) -> DataFrame:
+    """Entries, once for each source language; made-in-Japan words join a bucket of their own."""
     langs = F.transform("lsource", lambda x: F.coalesce(x["lang"], F.lit("")))
     made = F.when(F.exists("lsource", lambda x: F.coalesce(x["wasei"], F.lit(False))), F.array(F.lit("wasei"))).otherwise(F.array().cast("array<string>"))
-    rows = entries.where(F.size("lsource") > 0).withColumn("lang", F.explode(F.array_distinct(F.concat(langs, made))))
-    order = [F.coalesce("is_common", F.lit(False)).desc(), F.coalesce("wf_score", F.lit(0.0)).desc(), F.coalesce("kanji_form", "reading", F.lit("")), F.coalesce("reading", F.lit("")), "id"]
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return entries.where(F.size("lsource") > 0).withColumn("lang", F.explode(F.array_distinct(F.concat(langs, made))))
+
+
+def _loan_order() -> list[Column]:
+    return [F.coalesce("is_common", F.lit(False)).desc(), F.coalesce("wf_score", F.lit(0.0)).desc(), F.coalesce("kanji_form", "reading", F.lit("")), F.coalesce("reading", F.lit("")), F.col("id")]
+
+
+def loanwords(entries: DataFrame, most: int | None = None) -> DataFrame:
+    """(lang, ord, id, ...): each language's words, best first, the first ``most`` of each if that is given."""
+    rows = _buckets(entries).withColumn("ord", F.row_number().over(Window.partitionBy("lang").orderBy(*_loan_order())))
+    return rows if most is None else rows.where(F.col("ord") <= most)
 
 
 def loanword_facets(buckets: DataFrame) -> DataFrame:
-    """(lang, count), most first, without the made-in-Japan bucket; ties by language."""
+    """(lang, count), most first, without the made-in-Japan bucket; ties by language.  ``buckets`` has a row for each word of a language."""
     return buckets.where("lang <> 'wasei'").groupBy("lang").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "lang")
 
 
+def loanword_counts(entries: DataFrame) -> DataFrame:
+    """The facets straight from the entries: counted without an order."""
+    return loanword_facets(_buckets(entries))
+
+
 def loanword_page(buckets: DataFrame, lang: str, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of one language's words with their total; an unknown language has none."""
     return page(buckets.where(F.col("lang") == lang), [F.col("ord")], offset, limit)
 
 
+def loanword_page_of(entries: DataFrame, lang: str, offset: int = 0, limit: int = 50) -> DataFrame:
+    """The same straight from the entries: the first offset + limit words of the one language are ordered, nothing else."""
+    rows = page(_buckets(entries).where(F.col("lang") == lang), _loan_order(), offset, limit)
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*_loan_order())) + offset)  # a page's rows
+
+
 def ambiguous_options(cands: Column, most: int = 8) -> Column:
     """array<string>: candidates, common first, then frequent, as "reading — two meanings"; beyond ``most`` a count."""
     keyed = F.array_sort(F.transform(cands, lambda c, i: F.struct((~F.coalesce(c["is_common"], F.lit(False))).cast("int").alias("a"), (-F.coalesce(c["wf_score"], F.lit(0.0))).alias("b"), i.alias("i"), F.concat(F.coalesce(F.when(c["reading"] != "", c["reading"]), F.lit("—")), F.lit(" — "), F.array_join(F.slice(c["meanings"], 1, 2), "; ")).alias("line"))))

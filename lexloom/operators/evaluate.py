@@ -19,20 +19,30 @@ def query_metrics(results: DataFrame, relevant: DataFrame, queries: DataFrame, k
     ``results`` has qid, id, rank; ``relevant`` qid, id.
     """
     rel = relevant.select("qid", "id").distinct()
-    n_rel = rel.groupBy("qid").agg(F.count("*").alias("n_relevant"))
-    flagged = results.where(F.col("rank") <= k).join(rel.withColumn("rel", F.lit(1)), ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    flagged = results.where(F.col("rank") <= k).join(rel.withColumn("rel", F.lit(True)), ["qid", "id"], "left")
+    counted = queries.select("qid").distinct().join(rel.groupBy("qid").agg(F.count("*").alias("n_relevant")), "qid", "left")
+    return flagged_metrics(flagged, counted, k)
+
+
+def flagged_metrics(results: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The same where relevance is a column: ``results`` has qid, rank, rel, ``queries`` qid and n_relevant (0 without it).
+
+    What is relevant by an attribute is counted and compared, so no pairs of queries and relevant entries are written out.
+    """
+    flagged = results.where(F.col("rank") <= k).withColumn("rel", F.coalesce(F.col("rel").cast("int"), F.lit(0)))
     upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     flagged = flagged.withColumn("found", F.sum("rel").over(upto))
     per = flagged.groupBy("qid").agg(
         F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.sum("rel").alias("hits"),
         F.sum(F.when(F.col("rel") == 1, 1 / F.log2(F.col("rank") + F.lit(1.0)))).alias("dcg"), F.sum(F.when(F.col("rel") == 1, F.col("found") / F.col("rank"))).alias("precisions"),
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n_relevant").cast("int"), F.lit(k)), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
-    rows = queries.select("qid").distinct().join(n_rel, "qid", "left").join(per, "qid", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    hits = [F.coalesce(F.col("first") <= j, F.lit(False)).cast("int").alias(f"hit{j}") for j in (1, 2, 3, 5) if j <= k]
-    r6 = lambda c, name: F.round(zero(c), 6).alias(name)
-    return rows.select("qid", F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"), *hits, r6(1 / F.col("first"), "rr"), r6(F.col("dcg") / ideal, "ndcg"), r6(F.col("precisions") / F.col("n_relevant"), "ap"), r6(F.col("hits") / F.col("n_relevant"), "recall"))
+    n_relevant = F.col("n_relevant") if "n_relevant" in queries.columns else F.lit(0)
+    # a query without relevant entries has none to divide by
+    rows = queries.select("qid", F.when(n_relevant > 0, n_relevant).cast("long").alias("n")).dropDuplicates(["qid"]).join(per, "qid", "left")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n").cast("int"), F.lit(k)), F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
+    hits = [F.coalesce(F.col("first") <= j, F.lit(False)).cast("int").alias(f"hit{j}") for j in (1, 2, 3, 5, 10) if j <= k]
+    r6 = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(name)
+    return rows.select("qid", F.coalesce("n", F.lit(0)).alias("n_relevant"), *hits, r6(1 / F.col("first"), "rr"), r6(F.col("dcg") / ideal, "ndcg"), r6(F.col("precisions") / F.col("n"), "ap"), r6(F.col("hits") / F.col("n"), "recall"))
 
 
 def averages(metrics: DataFrame, *by: str) -> DataFrame:

@@ -47,3 +47,9 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
 def transplant(decisions: DataFrame, vectors: DataFrame, id_col: str = "id") -> DataFrame:
     """The stored vectors that may be kept."""
     return vectors.join(decisions.where("decision = 'reuse'"), id_col, "left_semi")
+
+
+def seeded(new: DataFrame, other_entries: DataFrame, other_vectors: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(vectors, decisions): what another store's vectors give to new entries, and why the rest must be encoded."""
+    decisions = reuse_decisions(other_entries, new, id_col)
+    return transplant(decisions, other_vectors, id_col), decisions

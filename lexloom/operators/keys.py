@@ -60,6 +60,15 @@ def form_index(entries: DataFrame, order_col: str = "id") -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+#: What the form index is built from.
+HEADWORD_COLUMNS = ("kanji_form", "kanji_forms", "reading", "readings", "meanings", "is_common", "wf_score")
+
+
+def headwords(entries: DataFrame) -> DataFrame:
+    """The seven columns that a scan of headwords reads, with the id."""
+    return entries.select("id", *HEADWORD_COLUMNS)
+
+
 def candidates(index: DataFrame) -> DataFrame:
     """(form, candidates): the candidates in their order; a form has a handful of them."""
     rest = [c for c in index.columns if c not in ("form", "ord")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import browse, evaluate, keys, retrieval
+from ..sources.tables import staged
 from . import sqltext as S
 from .registry import Registry, table
 
@@ -205,14 +206,17 @@ def related_items(spark: SparkSession, d: str) -> DataFrame:
     return browse.related_by_terms(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.tokens("text").alias("terms")), top)
 
 
-def _vector_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every vector as a query, its label's other vectors as the relevant ones."""
+def _vector_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector as a query with the number of its label's other vectors, and its five nearest others with their relevance: the same label."""
     rows = table(spark, d, "embeddings")
     queries = rows.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").cast("string").alias("category"))
     found = retrieval.dense(queries, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 6).where("qid <> id")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("rank <= 5")
-    relevant = rows.select(F.col("vec_id").alias("qid"), "label").join(rows.select(F.col("vec_id").alias("id"), "label"), "label").where("qid <> id").select("qid", "id")
-    return queries, found, relevant
+    sizes = queries.groupBy("category").agg((F.count("*") - 1).alias("n_relevant"))
+    queries = queries.join(sizes, "category").select("qid", "category", "n_relevant")
+    own = rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("own"))
+    found = found.join(own, "id").join(queries.select("qid", "category"), "qid")
+    return queries, found.select("qid", "id", "rank", (F.col("own") == F.col("category")).alias("rel"))
 
 
 _IR = f"""WITH near AS (SELECT a.vec_id AS qid, b.vec_id AS id, a.label = b.label AS rel, {_COS} AS score FROM embeddings a, embeddings b),
@@ -228,22 +232,20 @@ _MEANS = ", ".join(f"round(avg({c}), 5) AS {c}" for c in ("hit1", "hit2", "hit3"
 
 @query(f"{_IR} SELECT qid, n_relevant, hit1, hit2, hit3, hit5, rr, ndcg, ap, recall FROM q")
 def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    queries, found, relevant = _vector_run(spark, d)
-    return evaluate.query_metrics(found, relevant, queries)
+    queries, found = _vector_run(spark, d)
+    return evaluate.flagged_metrics(found, queries)
 
 
 @query(f"{_IR} SELECT category, count(*) AS n, {_MEANS} FROM q GROUP BY 1 UNION ALL SELECT NULL, count(*), {_MEANS} FROM q")
 def ir_by_category(spark: SparkSession, d: str) -> DataFrame:
-    queries, found, relevant = _vector_run(spark, d)
-    m = evaluate.query_metrics(found, relevant, queries).join(queries.select("qid", "category"), "qid")
+    queries, found = _vector_run(spark, d)
+    m = staged(evaluate.flagged_metrics(found, queries).join(queries.select("qid", "category"), "qid"), "metrics")
     return evaluate.averages(m, "category").unionByName(evaluate.averages(m.drop("category")).withColumn("category", F.lit(None).cast("string")))
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
-    queries, found, _ = _vector_run(spark, d)
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("own"))
-    flagged = found.join(labels, "id").join(queries.select("qid", "category"), "qid")
-    return evaluate.rank_of_expected(flagged, queries, F.col("own") == F.col("category")).join(queries.select("qid", "category"), "qid")
+    queries, found = _vector_run(spark, d)
+    return evaluate.rank_of_expected(found, queries, F.col("rel")).join(queries.select("qid", "category"), "qid")
 
 
 _HITS = "count(*) AS n, sum((hit_rank = 1)::INTEGER) AS hit1, sum((hit_rank BETWEEN 1 AND 2)::INTEGER) AS hit2, sum((hit_rank BETWEEN 1 AND 5)::INTEGER) AS hit5"

@@ -118,7 +118,7 @@ def strokes(svg: Column) -> Column:
 
 def stroke_files(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """(codepoint_hex, strokes) of a folder of drawings named by five hex digits; ``wanted`` (codepoint_hex) narrows it."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract("_metadata.file_name", r"^([0-9a-f]{5})\.svg$", 1).alias("codepoint_hex"), "value").where("codepoint_hex <> ''")
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([0-9a-f]{5})\.svg$", 1).alias("codepoint_hex"), "value").where("codepoint_hex <> ''")
     if wanted is not None:
         rows = rows.join(wanted.select("codepoint_hex").distinct(), "codepoint_hex", "left_semi")
     return rows.select("codepoint_hex", strokes(F.col("value")).alias("strokes"))
@@ -143,13 +143,13 @@ def category_notes(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """(locale, key, text) of files named by locale, each a JSON object of strings."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract("_metadata.file_name", r"^([\w-]+)\.json$", 1).alias("locale"), F.from_json("value", "map<string,string>").alias("m"))
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([\w-]+)\.json$", 1).alias("locale"), F.from_json("value", "map<string,string>").alias("m"))
     return rows.where("locale <> ''").select("locale", F.explode("m").alias("key", "text"))
 
 
 def kana_chart(spark: SparkSession, path: str) -> DataFrame:
     """(table, row, column, kana, romaji) of a chart of JSON tables of rows of cells; empty cells are skipped."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     tables = text.select(F.explode(F.from_json("value", "map<string,array<array<map<string,string>>>>")).alias("table", "rows"))
     cells = tables.select("table", F.posexplode("rows").alias("row", "cells")).select("table", "row", F.posexplode("cells").alias("column", "cell")).where("cell is not null")
     return cells.select("table", "row", "column", F.col("cell")["kana"].alias("kana"), F.col("cell")["romaji"].alias("romaji"))

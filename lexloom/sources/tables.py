@@ -37,20 +37,35 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(away, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read again: a cut in the lineage.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``.
 
     A temporary folder stands in only where the setting is missing and Spark runs in one process.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lexloom-"))
-    path = f"{root.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: a cut in the lineage."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> str:
+    """A small text file, on any file system; its path."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
 
 
 def write_json(df: DataFrame, path: str) -> None:
