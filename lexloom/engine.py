@@ -16,7 +16,7 @@ from .sources import markup, tables
 
 @dataclass
 class Engine:
-    """Tables under one path: entries, match_keys, form_index, kanji, kanji_words, and vectors if an encoder was given."""
+    """Tables under one path: entries, match_keys, form_index, postings, corpus, kanji, and vectors if an encoder was given."""
 
     spark: SparkSession
     path: str
@@ -49,6 +49,9 @@ class Engine:
         tables.replace_table(rows, f"{self.path}/entries")
         known = self.table("entries")
         tables.replace_table(keys.match_keys(known).repartitionByRange("key").sortWithinPartitions("key"), f"{self.path}/match_keys")
+        words = known.select("id", F.col("sparse_text").alias("text"))
+        tables.replace_table(keys.postings(words).repartitionByRange("term").sortWithinPartitions("term", "id"), f"{self.path}/postings")
+        tables.replace_table(keys.corpus_size(words), f"{self.path}/corpus")
         tables.replace_table(keys.form_index(known).repartitionByRange("form").sortWithinPartitions("form", "ord"), f"{self.path}/form_index")
 
     def refresh(self, dictionary: str, frequencies: DataFrame | None = None, encoder: Encoder | None = None, full: bool = True) -> DataFrame:
@@ -67,7 +70,7 @@ class Engine:
     # searching
 
     def store(self) -> retrieval.Store:
-        return retrieval.Store(self.table("entries").withColumn("text", F.col("sparse_text")), self.table("match_keys"), self.table("vectors") if self.has("vectors") else None)
+        return retrieval.Store(self.table("entries").withColumn("text", F.col("sparse_text")), self.table("match_keys"), self.table("vectors") if self.has("vectors") else None, self.table("postings"), self.table("corpus"))
 
     def search(self, queries: DataFrame, n: int = 10, mode: str = "auto", rewrite_mode: str = "heuristic") -> DataFrame:
         """Results (qid, rank, score, entry fields, variants, ruby, inflection) of queries (qid, query[, qv][, japanese]).

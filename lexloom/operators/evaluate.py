@@ -76,7 +76,8 @@ def latency_summary(rows: DataFrame, *by: str) -> DataFrame:
 
 def sweep(ranks: DataFrame, variants: list[str]) -> DataFrame:
     """A row for each query with its hit rank under each variant; ``ranks`` has qid, variant, hit_rank."""
-    return ranks.groupBy("qid").pivot("variant", variants).agg(F.first("hit_rank"))
+    # by the number as a struct: see retrieval.summed
+    return ranks.groupBy(F.struct("qid").alias("key")).pivot("variant", variants).agg(F.first("hit_rank")).select("key.qid", *variants)
 
 
 def best_config(report: DataFrame, default: str) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,11 @@ K1, B, RRF_K = 1.2, 0.75, 60
 #: Weights of the formula, and the least pool.
 EXACT, COMMON, CANONICAL, HEAD = 1.0, 1.0, 3.0, 1.5
 POOL = 200
-#: Most queries whose vectors are sent to every task at once (8 bytes a dimension); more are taken in blocks.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are sent to every task at once, bytes of best rows that a task holds, and most queries whose words
+#: are sent; more queries are taken in blocks, each written before the next.
+VECTOR_BYTES, BEST_BYTES, WORD_BLOCK = 64 << 20, 128 << 20, 4096
+#: Scores that are worked out side by side.
+SCORES = 4 << 20
 
 
 def pool_size(n: int) -> int:
@@ -37,55 +41,217 @@ def ranked(scored: DataFrame, k: int, by: list[Column] | None = None) -> DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str = "id", text_col: str = "text", q_col: str = "q") -> DataFrame:
-    """(qid, id, score) of every entry that shares a term with a query.
+@dataclass
+class Store:
+    """What is searched: entries (id, text, commonness, wf_score), their match keys, vectors (id, v) if there are any, and the stored
+    ``postings`` (term, id, tf, dl) with the ``corpus`` row (n_docs, avg_dl), without which texts are tokenised for each search."""
+
+    entries: DataFrame
+    keys: DataFrame
+    vectors: DataFrame | None = None
+    postings: DataFrame | None = None
+    corpus: DataFrame | None = None
+
+
+class Best:
+    """The k best entries of each query so far, by falling score and then by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.ids = k, np.full((queries, k), -np.inf), None
 
-    Only tokens that some query has are counted and shuffled; lengths are taken before that.
+    def add(self, first: int, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries from ``first`` on (rows) for entries in the order of their ids (columns); -inf for none."""
+        rows, k = slice(first, first + len(score)), min(self.k, score.shape[1])
+        if self.ids is None:
+            self.ids = np.zeros(self.score.shape, ids.dtype)
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        top = np.empty((len(score), k), np.int64)
+        for r, bound in enumerate(least):
+            at = np.flatnonzero(score[r] >= bound)
+            top[r] = at[np.argsort(-score[r, at], kind="stable")[:k]]
+        both, own = np.concatenate([self.score[rows], np.take_along_axis(score, top, 1)], 1), np.concatenate([self.ids[rows], ids[top]], 1)
+        by = np.argsort(own, axis=1, kind="stable")
+        by = np.take_along_axis(by, np.argsort(-np.take_along_axis(both, by, 1), axis=1, kind="stable"), 1)[:, : self.k]
+        self.score[rows], self.ids[rows] = np.take_along_axis(both, by, 1), np.take_along_axis(own, by, 1)
+
+    def rows(self, queries: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(qid, id, score) in bounded batches."""
+        for at in range(0, len(self.score) if self.ids is not None else 0, 4096):
+            q, c = np.nonzero(self.score[at : at + 4096] > -np.inf)
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q + at)), pa.array(self.ids[at : at + 4096][q, c], kind), pa.array(self.score[at : at + 4096][q, c])], names=["qid", "id", "score"])
+
+
+def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """Queries in parts of about ``size`` by a hash of qid."""
+    n = -(-queries.count() // size)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) for b in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Blocks' results."""
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@dataclass
+class Corpus:
+    """A block of queries' words and the entries' counts of them: entry id, length, and (number of the word, count) for each word.
+
+    ``words`` gives each query's words by number; the entries' rows lie with their ids, so a common word makes no hot key.
     """
-    wanted = queries.select("qid", F.explode(F.array_distinct(T.tokens(q_col))).alias("term"))
-    posts = K.postings(docs, id_col, text_col, wanted)
-    n = K.corpus_size(docs, text_col)
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    weighted = posts.join(df, "term").crossJoin(F.broadcast(n)).select("term", "id", (idf * norm).alias("w"))
-    return weighted.join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+
+    qids: pa.Array
+    words: list[np.ndarray]
+    known: list[str]
+    rows: DataFrame  # id, dl, n array<int>, tf array<int>
+    n_docs: int
+    avg_dl: float
+    df: np.ndarray
+
+    @staticmethod
+    def of(queries: DataFrame, docs: DataFrame | None, id_col: str = "id", text_col: str = "text", q_col: str = "q", stored: tuple[DataFrame, DataFrame] | None = None) -> Corpus:
+        """From texts, or from ``stored`` (postings, corpus) tables as the engine keeps them."""
+        asked = queries.select("qid", F.array_distinct(T.tokens(q_col)).alias("t")).orderBy("qid").toArrow()  # a block of queries
+        t = asked["t"].combine_chunks()
+        known = pc.unique(t.flatten()) if len(t) else pa.array([], pa.string())
+        numbers = pc.index_in(t.flatten(), value_set=known).to_numpy(zero_copy_only=False) if len(t) else np.zeros(0, np.int32)
+        ends = np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False)) if len(t) else np.zeros(0, np.int64)
+        words = np.split(numbers.astype(np.int64), ends[:-1]) if len(t) else []
+        spark = queries.sparkSession
+        if stored is None:
+            rows = staged(_counted(docs.select(docs[id_col].alias("id"), T.tokens(text_col).alias("t")), known), "corpus")
+            size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
+        else:
+            postings, corpus = stored
+            table = spark.createDataFrame(pa.table({"term": known, "w": pa.array(range(len(known)), pa.int32())}))
+            hits = postings.join(F.broadcast(table), "term")  # a block's words
+            rows = staged(hits.groupBy("id", "dl").agg(F.collect_list(F.struct("w", F.col("tf").cast("int").alias("tf"))).alias("x")).select("id", F.col("dl").cast("int").alias("dl"), F.col("x.w").alias("n"), F.col("x.tf").alias("tf")), "corpus")
+            size = corpus.select(F.col("n_docs").alias("n"), F.col("avg_dl").alias("a")).first()
+        df = np.zeros(len(known), np.int64)
+        for r in rows.select(F.explode("n").alias("n")).groupBy("n").agg(F.count("*").alias("df")).collect():  # one row for each word
+            df[r.n] = r.df
+        return Corpus(asked["qid"].combine_chunks(), words, known.to_pylist(), rows, size.n, size.a or 1.0, df)
+
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.n_docs - self.df + 0.5) / (self.df + 0.5))
+
+    def top(self, k: int) -> DataFrame:
+        """(qid, id, score) of the k best of each query in each task: no more is shuffled."""
+        counts = np.bincount(np.concatenate([*self.words, np.zeros(0, np.int64)]), minlength=len(self.known))
+        order = np.argsort(np.concatenate([*self.words, np.zeros(0, np.int64)]), kind="stable")
+        asking = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])[order]  # queries by word
+        begin, idf, avg, qids, kind = np.cumsum(counts) - counts, self.idf(), self.avg_dl, self.qids, dict(self.rows.dtypes)["id"]
+        qkind = {"string": "string", "int64": "long", "int32": "int"}[str(qids.type).removeprefix("large_")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, own = Best(len(qids), k), pa.int64()
+            for batch in batches:
+                own, n = batch.column(0).type, batch.num_rows
+                if not n or not len(qids):
+                    continue
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                by = np.argsort(ids, kind="stable")
+                place = np.empty(n, np.int64)
+                place[by] = np.arange(n)
+                sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+                word, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+                row = np.repeat(place, sizes)
+                dl = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), sizes)
+                weight = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+                for first in range(0, n, step := max(1, SCORES // len(qids))):
+                    at = np.flatnonzero((row >= first) & (row < first + step))
+                    times = counts[word[at]]
+                    who = asking[np.repeat(begin[word[at]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                    width = min(step, n - first)
+                    score = np.bincount(who * width + np.repeat(row[at] - first, times), np.repeat(weight[at], times), len(qids) * width).reshape(len(qids), width)
+                    best.add(0, np.where(score > 0, np.round(score, 6), -np.inf), ids[by][first : first + width])
+            yield from best.rows(qids, own)
+
+        return self.rows.select("id", "dl", "n", "tf").mapInArrow(run, f"qid {qkind}, id {kind}, score double")
+
+    def of_pairs(self, pairs: DataFrame) -> DataFrame:
+        """(qid, id, score) of given pairs (qid, id) that share a word."""
+        spark = self.rows.sparkSession
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, self.words)]).astype(np.int32), pa.array(np.concatenate([*self.words, np.zeros(0, np.int64)]), pa.int32()))
+        asked = spark.createDataFrame(pa.table({"qid": self.qids, "words": lists}))
+        idf = spark.createDataFrame(pa.table({"w": pa.array(range(len(self.known)), pa.int32()), "idf": pa.array(self.idf())}))
+        shared = pairs.select("qid", "id").join(F.broadcast(asked), "qid").join(self.rows, "id")
+        shared = shared.select("qid", "id", "dl", F.explode(F.filter(F.arrays_zip("n", "tf"), lambda x: F.array_contains("words", x["n"]))).alias("x"))
+        norm = F.col("x.tf") * (K1 + 1) / (F.col("x.tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(self.avg_dl))))
+        scored = shared.join(F.broadcast(idf), F.col("x.n") == F.col("w"))
+        return scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("idf") * norm), 6).alias("score"))
+
+
+def _counted(docs: DataFrame, known: pa.Array) -> DataFrame:
+    """(id, dl, n, tf) of documents (id, tokens): counts of the known words, one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(1)
+            dl = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+            word = pc.index_in(t.flatten(), value_set=known)
+            at = np.flatnonzero(pc.is_valid(word).to_numpy(zero_copy_only=False))
+            code = np.repeat(np.arange(len(dl)), dl)[at] * max(len(known), 1) + word.take(pa.array(at)).to_numpy(zero_copy_only=False)
+            code, times = np.unique(code, return_counts=True)
+            ends = pa.array(np.searchsorted(code, np.arange(len(dl) + 1) * max(len(known), 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code % max(len(known), 1), times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl.astype(np.int32)), *lists], names=["id", "dl", "n", "tf"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, dl int, n array<int>, tf array<int>")
+
+
+def corpora(queries: DataFrame, store: Store) -> list[Corpus]:
+    """The store's corpus for each block of queries."""
+    stored = (store.postings, store.corpus) if store.postings is not None else None
+    return [Corpus.of(block, store.entries, stored=stored) for block in _blocks(queries, WORD_BLOCK)]
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best entries that share a word with each query, exactly."""
+    return text_top(corpora(queries, Store(docs, docs)), k)
+
+
+def text_top(found: list[Corpus], k: int) -> DataFrame:
+    return ranked(_union([c.top(k) for c in found]), k)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", v_col: str = "v", q_col: str = "qv") -> DataFrame:
     """(qid, id, score, rank): the k nearest entries by cosine, exactly.
 
-    Queries are broadcast in blocks; each batch of entries meets a block in one matrix product and passes on its k best
-    per query only, so what is shuffled is k rows per query and task.
+    Queries are broadcast in blocks of bounded bytes; each task multiplies its entries with the block and holds the k best of
+    each query, so only k rows per query and task are shuffled.
     """
     held = queries.where(F.col(q_col).isNotNull()).select("qid", F.col(q_col).cast("array<double>").alias("qv"))
     kind, qkind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["qid"]
-    blocks = -(-held.count() // QUERY_BLOCK)
-    out = queries.sparkSession.createDataFrame([], f"qid {qkind}, id {kind}, score double")
-    for n in range(blocks):
-        block = (held if blocks == 1 else held.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)).orderBy("qid").toPandas()
-        if not len(block):
-            continue
-        ids = pa.array(block["qid"])
-        m = np.array(block["qv"].tolist(), np.float64).reshape(len(block), -1)
+    size = (held.select(F.size("qv").alias("n")).first() or [1])[0]
+    source = vectors.where(F.col(v_col).isNotNull()).select(id_col, F.col(v_col).cast("array<double>").alias("v"))
+    blocks = _blocks(held, max(1, min(VECTOR_BYTES // (8 * max(size, 1)), BEST_BYTES // (16 * k))))
+    out = []
+    for part in blocks:
+        block = part.orderBy("qid").toArrow()
+        ids = block["qid"].combine_chunks()
+        m = block["qv"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, m: np.ndarray = m) -> Iterator[pa.RecordBatch]:
+            best, own = Best(len(ids), k), pa.int64()
             for batch in batches:
+                own = batch.column(0).type
                 if not len(ids) or not batch.num_rows:
                     continue
-                own = batch.column(0)
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                score = np.round(m @ v.T, 6) + 0.0
-                order = np.argsort(own.to_numpy(zero_copy_only=False), kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                q = np.repeat(np.arange(len(m)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), own.take(pa.array(best.ravel())), pa.array(score[q, best.ravel()])], names=["qid", "id", "score"])
+                names = batch.column(0).to_numpy(zero_copy_only=False)
+                by = np.argsort(names, kind="stable")
+                for first in range(0, len(m), step := max(1, SCORES // batch.num_rows)):
+                    best.add(first, np.round(m[first : first + step] @ v[by].T, 6) + 0.0, names[by])
+            yield from best.rows(ids, own)
 
-        source = vectors.where(F.col(v_col).isNotNull()).select(id_col, F.col(v_col).cast("array<double>").alias("v"))
-        out = out.unionByName(source.mapInArrow(run, f"qid {qkind}, id {kind}, score double"))
-    return ranked(out, k)
+        found = source.mapInArrow(run, f"qid {qkind}, id {kind}, score double")
+        out.append(staged(found, "nearest") if len(blocks) > 1 else found)
+    return ranked(_union(out), k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -95,25 +261,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
 
 
+def summed(rows: DataFrame, *sums: Column) -> DataFrame:
+    """Sums for each (qid, id) of a union, grouped by the pair as one value.
+
+    Spark 4.1 takes a union whose parts are all dealt out by qid as dealt out by it, but runs it otherwise where parts read a
+    reused shuffle, and rows of one pair then stay apart.  It can't tell how the parts are dealt out by the pair.
+    """
+    return rows.groupBy(F.struct("qid", "id").alias("pair")).agg(*sums).select("pair.*", "score")
+
+
 def fuse(arms: list[tuple[DataFrame, float]], k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
     """(qid, id, score[, rank]): weighted reciprocal rank fusion; an arm that lacks an entry adds nothing."""
     rows = None
     for arm, weight in arms:
         part = arm.select("qid", "id", (F.lit(float(weight)) / (rrf_k + F.col("rank"))).alias("s"))
         rows = part if rows is None else rows.unionByName(part)
-    fused = rows.groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    fused = summed(rows, F.round(F.sum("s"), 6).alias("score"))
     return ranked(fused, k) if k else fused
 
 
-@dataclass
-class Store:
-    """What is searched: entries (id, text, commonness, wf_score), their match keys, and vectors (id, v) if there are any."""
-
-    entries: DataFrame
-    keys: DataFrame
-    vectors: DataFrame | None = None
-
-
 def with_formula(fused: DataFrame, store: Store, flags: DataFrame, route: str) -> DataFrame:
     """Fused scores plus priors: ja adds commonness and the canonical term, en_word also exactness and heads.
 
@@ -132,7 +298,7 @@ def hybrid(queries: DataFrame, store: Store, n: int = 5) -> DataFrame:
     """Unweighted fusion of dense, BM25, and dense within the exact matches."""
     p = pool_size(n)
     flags = K.exact_matches(queries, store.keys)
-    arms = [(ranked(bm25(queries, store.entries), p), 1.0)]
+    arms = [(text_top(corpora(queries, store), p), 1.0)]
     if store.vectors is not None:
         arms += [(dense(queries, store.vectors, p), 1.0), (ranked(_dense_of(queries, store, flags), p), 1.0)]
     return fuse(arms, n)
@@ -150,9 +316,9 @@ def routed(queries: DataFrame, store: Store, n: int = 5) -> DataFrame:
     Queries are parted by route before any arm runs, so a route without queries costs next to nothing.
     """
     p = pool_size(n)
-    flags = K.exact_matches(queries.where("route <> 'en_sentence'"), store.keys)
-    text = bm25(queries, store.entries)
-    by_text = ranked(text, p)
+    flags = staged(K.exact_matches(queries.where("route <> 'en_sentence'"), store.keys), "flags")
+    words = corpora(queries, store)
+    by_text = staged(text_top(words, p), "by-text")
     of = {r: queries.where(F.col("route") == r).select("qid") for r in ("ja", "en_word", "en_sentence")}
     only = lambda df, r: df.join(of[r], "qid", "left_semi")
     exact = flags.where("exact = 1")
@@ -160,15 +326,15 @@ def routed(queries: DataFrame, store: Store, n: int = 5) -> DataFrame:
     common = exact.join(store.entries.select("id", F.coalesce("commonness", F.lit(0.0)).alias("score")), "id").select("qid", "id", "score")
     ja = with_formula(fuse([(only(by_text, "ja"), 1.0), (only(ranked(common, p), "ja"), 2.0)], p), store, flags, "ja")
     # en_word: four equal arms, a pool twice as large
-    arms = [(only(by_text, "en_word"), 1.0), (only(ranked(text.join(exact.select("qid", "id"), ["qid", "id"], "left_semi"), p), "en_word"), 1.0)]
+    arms = [(only(by_text, "en_word"), 1.0), (ranked(_union([c.of_pairs(only(exact, "en_word")) for c in words]), p), 1.0)]
     sentence = [(only(by_text, "en_sentence"), 1.0)]
     if store.vectors is not None:
-        near = dense(queries.where("route <> 'ja'"), store.vectors, p)
+        near = staged(dense(queries.where("route <> 'ja'"), store.vectors, p), "near")
         arms += [(only(near, "en_word"), 1.0), (only(ranked(_dense_of(queries, store, flags), p), "en_word"), 1.0)]
         sentence.append((only(near, "en_sentence"), 2.0))
     word = with_formula(fuse(arms, 2 * p), store, flags, "en_word")
     scored = ja.unionByName(word).unionByName(fuse(sentence))
-    return ranked(scored, n)
+    return ranked(summed(scored, F.max("score").alias("score")), n)
 
 
 def search(queries: DataFrame, store: Store, n: int = 5, mode: str = "auto", rewrite_mode: str = "heuristic") -> DataFrame:
@@ -178,26 +344,30 @@ def search(queries: DataFrame, store: Store, n: int = 5, mode: str = "auto", rew
     """
     ja = queries["japanese"] if "japanese" in queries.columns else None
     vec = "qv" if "qv" in queries.columns else None
-    store = store if vec else Store(store.entries, store.keys)  # without query vectors the dense arms stay out
+    # without query vectors the dense arms stay out
+    store = store if vec else Store(store.entries, store.keys, postings=store.postings, corpus=store.corpus)
     ok = queries.where(~T.too_long("query"))
     asked = ok.withColumn("__r", T.rewrite(F.lower(T.one_spaced("query")), rewrite_mode, japanese=ja))
     tried = F.array_distinct(F.when(F.lit(mode == "auto"), F.concat(F.col("__r.japanese"), F.array("__r.query"))).otherwise(F.array("__r.query")))
     # a query's own vector stands for its own text; candidates are Japanese and need none
-    keep = ["qid", F.col("__r.method").alias("method"), F.posexplode(tried).alias("candidate", "q")] + ([F.col(vec)] if vec else [])
-    # every arm reads the rewritten queries, so they are worked out once
-    rows = staged(asked.select(*keep).withColumn("route", T.route("q")), "queries").where("q <> ''")
-    rows = rows.withColumn("owner", F.col("qid")).withColumn("qid", F.concat_ws("/", F.col("owner").cast("string"), F.col("candidate").cast("string")))
+    own = F.col(vec) if vec else F.lit(None).cast("array<double>")
+    asked = asked.select("qid", F.col("__r.method").alias("method"), tried.alias("tried"), own.alias("qv"))
+    asked = staged(asked.withColumn("owner", F.sha2(F.to_json(F.struct("tried", "qv")), 256)), "questions")
+    # equal questions are answered once; every arm reads the rewritten ones, so they are worked out once
+    once = asked.groupBy("owner").agg(F.first("tried").alias("tried"), F.first("qv").alias("qv"))
+    rows = once.select("owner", F.posexplode("tried").alias("candidate", "q"), "qv").where("q <> ''")
+    rows = staged(rows.withColumns({"route": T.route("q"), "qid": F.concat_ws("/", "owner", F.col("candidate").cast("string"))}), "queries")
     if mode == "text":
-        found = ranked(bm25(rows, store.entries), n)
+        found = text_top(corpora(rows, store), n)
     elif mode == "vector":
         found = dense(rows, store.vectors, n)
     elif mode == "hybrid":
         found = hybrid(rows, store, n)
     else:
         found = routed(rows, store, n)
-    named = found.join(rows.select("qid", "owner", "candidate", "q", "method"), "qid")
+    named = found.join(rows.select("qid", "owner", "candidate", "q"), "qid").drop("qid")
     first = named.groupBy("owner").agg(F.min("candidate").alias("candidate"))
-    return named.join(first, ["owner", "candidate"]).select(F.col("owner").alias("qid"), "id", "score", "rank", "q", "method")
+    return named.join(first, ["owner", "candidate"]).join(asked.select("owner", "qid", "method"), "owner").select("qid", "id", "score", "rank", "q", "method")
 
 
 def first_nonempty(results: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def match_keys_semijoin(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_Q}, {_BM25} {_top('SELECT * FROM bm', 5)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(retrieval.bm25(normal_questions(spark, d), entries(spark, d)), 5)
+    return retrieval.bm25(normal_questions(spark, d), entries(spark, d), 5)
 
 
 @query(f"WITH {_Q}, {_DENSE} {_top('SELECT * FROM near', 5)}")
@@ -119,13 +119,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_Q}, {_BM25}, {_DENSE} {_top(_fuse([(_top('SELECT * FROM bm', 50), 1.0), (_top('SELECT * FROM near', 50), 1.0)]), 5)}")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     q, s = normal_questions(spark, d), store(spark, d)
-    return retrieval.fuse([(retrieval.ranked(retrieval.bm25(q, s.entries), 50), 1.0), (retrieval.dense(q, s.vectors, 50), 1.0)], 5)
+    return retrieval.fuse([(retrieval.bm25(q, s.entries, 50), 1.0), (retrieval.dense(q, s.vectors, 50), 1.0)], 5)
 
 
 @query(f"WITH {_Q}, {_BM25}, {_DENSE} {_top(_fuse([(_top('SELECT * FROM bm', 50), 1.0), (_top('SELECT * FROM near', 50), 2.0)]), 5)}")
 def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
     q, s = normal_questions(spark, d), store(spark, d)
-    return retrieval.fuse([(retrieval.ranked(retrieval.bm25(q, s.entries), 50), 1.0), (retrieval.dense(q, s.vectors, 50), 2.0)], 5)
+    return retrieval.fuse([(retrieval.bm25(q, s.entries, 50), 1.0), (retrieval.dense(q, s.vectors, 50), 2.0)], 5)
 
 
 def _formula(fused: str, word: bool) -> str:
@@ -269,7 +269,7 @@ SELECT qid, {", ".join(f"coalesce(max(CASE WHEN variant = '{n}' THEN rank END),
 def knob_sweep_pivot(spark: SparkSession, d: str) -> DataFrame:
     """The rank of the entry numbered like the item, under three weightings of two arms."""
     q, s = normal_questions(spark, d), store(spark, d)
-    text, near = retrieval.ranked(retrieval.bm25(q, s.entries), 50), retrieval.dense(q, s.vectors, 50)
+    text, near = retrieval.bm25(q, s.entries, 50), retrieval.dense(q, s.vectors, 50)
     rows = None
     for name, a, b in _KNOBS:
         found = retrieval.fuse([(text, a), (near, b)], 20)
