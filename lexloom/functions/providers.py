@@ -63,3 +63,41 @@ def replies(df: DataFrame, models: Sequence[Generator], id_col: str, system_col:
             yield pd.DataFrame({id_col: pdf[id_col], "reply": out})
 
     return df.select(id_col, system_col, user_col).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, reply string")
+
+
+class Answering(Protocol):
+    """A prompt and a budget of tokens to (answer, whether it was cut off), or None where the model fails."""
+
+    def answer(self, system: str, user: str, tokens: int) -> tuple[str, bool] | None: ...
+
+
+#: Fixed value: how much larger the budget of a second try is after an answer was cut off.
+GROWTH = 1.5
+
+
+def answers(df: DataFrame, models: Sequence[Answering], id_col: str, system_col: str, user_col: str, budget_col: str) -> DataFrame:
+    """(id, reply, model, tokens, cut) along a ladder of models: an answer that is cut off is asked for once more with a larger budget.
+
+    An answer that is still cut off counts only if no later model has a whole one; ``model`` is the number of the one that answered.
+    """
+
+    def ladder(system: str, user: str, budget: int) -> tuple:
+        best = (None, None, None, None)
+        for n, model in enumerate(models):
+            for tokens in (budget, int(budget * GROWTH)):
+                got = model.answer(system, user, tokens)
+                if got is None:
+                    break
+                if not got[1]:
+                    return (got[0], n, tokens, False)
+                best = best if best[0] else (got[0], n, tokens, True)
+        return best
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [ladder(s, u, int(b)) for s, u, b in zip(pdf[system_col], pdf[user_col], pdf[budget_col])]
+            out = pd.DataFrame(rows, columns=["reply", "model", "tokens", "cut"]).astype({"model": "Int32", "tokens": "Int32", "cut": "boolean"})
+            out.insert(0, id_col, pdf[id_col].to_numpy())
+            yield out
+
+    return df.select(id_col, system_col, user_col, budget_col).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, reply string, model int, tokens int, cut boolean")

@@ -131,10 +131,11 @@ def reuse_decision(spark: SparkSession, d: str) -> DataFrame:
     return incremental.decision_counts(incremental.reuse_decisions(*_versions(spark, d)))
 
 
-@query("SELECT doc_id AS id, substr(sha1(lang || '|' || source || '|' || n_chars::VARCHAR), 1, 16) AS sig FROM documents")
+@query("""SELECT doc_id AS id, substr(sha1('{"lang":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"source":' || coalesce(to_json(source)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}'), 1, 16) AS sig FROM documents""")
 def content_signature(spark: SparkSession, d: str) -> DataFrame:
-    """A signature over named columns; the general one goes over the row's JSON."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.sha1(F.concat_ws("|", "lang", "source", F.col("n_chars").cast("string"))), 1, 16).alias("sig"))
+    """The signature of the whole row, its text included."""
+    rows = table(spark, d, "documents")
+    return rows.select(F.col("doc_id").alias("id"), entries.signature([c for c in rows.columns if c != "doc_id"], rows).alias("sig"))
 
 
 _MSG = "SELECT lang AS locale, source AS key, 'n' || count(*)::VARCHAR || CASE WHEN count(*) % 2 = 0 THEN ' {x}' ELSE '' END AS text FROM documents WHERE length(source) <= 4 OR lang <> 'es' GROUP BY 1, 2"
@@ -174,21 +175,23 @@ def commonness_prior(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", entries.commonness(F.col("marks"), band).alias("commonness"), band.alias("freq_band"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda s: {S.gloss_key("s")}), lambda k: k <> ''))), '|') AS keys FROM documents""")
+_GLOSSES = f"""SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda s: {S.gloss_key("s")}), lambda k: k <> '') AS keys FROM documents"""
+_HEADS = "list_transform(list_filter(keys, lambda k: contains(k, ' ') AND NOT regexp_matches(k, '^(to |and |or |be )') AND regexp_matches(string_split(k, ' ')[1], '^\\p{L}+$')), lambda k: string_split(k, ' ')[1])"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(keys, list_transform(list_filter(keys, lambda k: k LIKE 'to %'), lambda k: substr(k, 4))), {_HEADS}))), '|') AS keys FROM ({_GLOSSES})""")
 def gloss_key_sets(spark: SparkSession, d: str) -> DataFrame:
-    found = F.filter(F.transform(F.split("text", r"[.\n]"), T.gloss_key), lambda k: k != "")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("keys"))
+    """Sentences as glosses: their keys, those without "to ", and head words."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(entries.key_set(F.split("text", r"[.\n]")), "|").alias("keys"))
 
 
-@query("""WITH w AS (SELECT o_custkey AS id, l_partkey AS part, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
-SELECT id, rank, part FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY n DESC, part) AS rank FROM w) WHERE rank <= 10""")
+@query("""WITH w AS (SELECT l_partkey AS term, l_orderkey AS id, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+SELECT term, rank, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY o_totalprice DESC, id) AS rank FROM w JOIN orders ON o_orderkey = id) WHERE rank <= 10""")
 def top_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Ten most ordered parts of each customer: an inverted index with a windowed top ten."""
-    from pyspark.sql import Window
-
-    pairs = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part")).join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id")), F.col("l_orderkey") == F.col("o_orderkey"))
-    n = pairs.groupBy("id", "part").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "part"))).where("rank <= 10").select("id", "rank", "part")
+    """Orders as entries, their parts as characters: the ten dearest orders of each part."""
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))  # an order has at most seven lines
+    orders = table(spark, d, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), "parts", "o_totalprice")
+    return browse.inverted_top(orders, F.col("parts"), [F.col("o_totalprice")])
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

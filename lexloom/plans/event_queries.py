@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_prefix
 from ..operators import evaluate, events
+from ..sources import tables
+from ..streaming import admission, explanations, sinks
 from .registry import Registry, table
 
 query = Registry()
@@ -26,19 +30,15 @@ def retention_filter(spark: SparkSession, d: str) -> DataFrame:
     return events.retained(rows.crossJoin(F.broadcast(newest)), 7, F.col("newest")).select("event_id", "user_id")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
-def sliding_count(spark: SparkSession, d: str) -> DataFrame:
-    """A plain window count, for comparison: it is not the admission rule, which forgets rejected hits."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-int(DAY) * 1_000_000, 0)
-    return table(spark, d, "events").select("event_id", F.count("*").over(w).alias("n"))
-
-
-@query("""
+_ADMITTED = """
 WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, event_id, t, n, [t] AS held, true AS admitted FROM o WHERE n = 1
 UNION ALL SELECT o.user_id, o.event_id, o.t, o.n, CASE WHEN len(list_filter(r.held, lambda x: x > o.t - 86400)) < 2 THEN list_append(list_filter(r.held, lambda x: x > o.t - 86400), o.t) ELSE list_filter(r.held, lambda x: x > o.t - 86400) END,
 len(list_filter(r.held, lambda x: x > o.t - 86400)) < 2 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
-SELECT user_id, event_id, admitted FROM r""")
+SELECT user_id, event_id, admitted FROM r"""
+
+
+@query(_ADMITTED)
 def rate_limit_admission(spark: SparkSession, d: str) -> DataFrame:
     rows = events.admissions(table(spark, d, "events"), 2, DAY)
     return rows.select("user_id", "event_id", (F.col("wait") == 0).alias("admitted"))
@@ -66,10 +66,88 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.latency_summary(table(spark, d, "events").withColumnRenamed("value", "latency_ms"), "event_type")
 
 
+# streams: each is run to its end over files in the shared folder
+
+
+def _states(spark: SparkSession) -> None:
+    """Custom state needs this store; a setting of the session that has one stays."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, admission.STATE_STORE)
+
+
+def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
+    checkpoint = tables.scratch(stream.sparkSession, "stream")
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+@query(_ADMITTED)
+def streamed_admission(spark: SparkSession, d: str) -> DataFrame:
+    """The rate limit on a stream of the events in three batches in time order."""
+    _states(spark)
+    rows, path, out = table(spark, d, "events").select("user_id", "event_id", "ts"), tables.scratch(spark, "hits"), tables.scratch(spark, "admitted")
+    edges = [F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-11").cast("timestamp_ntz"), F.lit("2024-01-21").cast("timestamp_ntz")]
+    for n in range(3):
+        part = rows if n == 0 else rows.where(F.col("ts") >= edges[n])
+        part = part if n == 2 else part.where(F.col("ts") < edges[n + 1])
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _drained(admission.admission_stream(stream, 2, DAY), sinks.append_to(out))
+    return spark.read.parquet(out).select("user_id", "event_id", (F.col("wait") == 0).alias("admitted"))
+
+
+_DELTAS = [(1, 0, "- **は** (は) — topic\n- **", False), (1, 1, "は** — again\n\n\n\nend", True), (2, 0, "- **が** — subject\n", False), (2, 1, "", True), (3, 0, "", True)]
+
+
+def _tidied(spark: SparkSession) -> DataFrame:
+    _states(spark)
+    path = tables.scratch(spark, "deltas")
+    spark.createDataFrame(_DELTAS, "explanation_id long, seq long, delta string, done boolean").coalesce(1).write.parquet(path)
+    return explanations.tidy_stream(spark.readStream.schema("explanation_id long, seq long, delta string, done boolean").parquet(path), 5)
+
+
+@query("SELECT * FROM (VALUES (1, 1, '- **は** — topic' || chr(10) || chr(10) || chr(10) || 'end', true), (2, 1, '- **が** — subject' || chr(10), true), (3, 0, '', true)) t(explanation_id, last_seq, text, done)")
+def streamed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments re-framed to lines and tidied: repeated patterns go, and runs of blank lines shrink to two."""
+    stream, out = _tidied(spark), tables.scratch(spark, "lines")
+    _drained(stream, sinks.append_to(out))
+    return spark.read.parquet(out).select("explanation_id", "last_seq", "text", "done")
+
+
+@query("""SELECT * FROM (VALUES (1, 1, 'text', '{"text":"- **は** — topic\\n\\n\\nend"}'), (1, 2, 'done', '{"id":1,"latency_ms":40}'), (2, 1, 'text', '{"text":"- **が** — subject\\n"}'), (2, 2, 'error', '{"error":"cut off"}'), (3, 1, 'done', '{"id":3}')) t(explanation_id, seq, kind, data)""")
+def explanation_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of a stream of explanations: text, then done with its latency or an error."""
+    ends = spark.createDataFrame([(1, None, 40), (2, "cut off", None)], "explanation_id long, error string, latency_ms long")
+    stream, out = _tidied(spark), tables.scratch(spark, "events")
+    _drained(stream, explanations.event_writer(out, ends))
+    return spark.read.parquet(out).select("explanation_id", "seq", "kind", "data")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def event_sink(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines as they come appended to a table; a sink that fails doesn't keep the rows from the other, and a second run adds nothing."""
+    rows, path, out, checkpoint = table(spark, d, "events"), tables.scratch(spark, "json-lines"), tables.scratch(spark, "sink"), tables.scratch(spark, "sink-state")
+    events.as_json(rows.select("event_id", "user_id", "event_type")).write.text(path)
+    stream = sinks.read_json_lines(spark, path, "event_id bigint, user_id bigint, event_type string")
+
+    def broken(batch: DataFrame, batch_id: int) -> None:
+        raise RuntimeError("this sink is down")
+
+    for _ in range(2):
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sinks.isolated(broken, sinks.append_to(out))).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The batch form of the streaming extension."""
-    return table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+    """An extension: counts by hour on a stream; the last hours, which no watermark has passed, come from a closing event far ahead."""
+    rows, path, out = table(spark, d, "events").select("event_id", "ts", "event_type"), tables.scratch(spark, "hours"), tables.scratch(spark, "counts")
+    rows.coalesce(1).write.parquet(path)
+    for n in (1, 2):
+        spark.sql(f"select -{n}L as event_id, timestamp_ntz'2100-01-0{n} 00:00:00' as ts, 'close' as event_type").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _drained(sinks.hourly_counts(stream, "1 hour"), sinks.append_to(out))
+    return spark.read.parquet(out).where("event_type <> 'close'").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -685,4 +685,23 @@ def model_replies(spark: SparkSession, d: str) -> DataFrame:
     return explanations.tidy_texts(providers.replies(asked, models, "id", "system", "user"), 3, "id", "reply").select("id", F.col("text").alias("reply"))
 
 
+class _Bounded:
+    """A stand-in that needs so many tokens for each prompt; prompts that it doesn't know fail."""
+
+    def __init__(self, needs: dict[str, int]):
+        self.needs = needs
+
+    def answer(self, system: str, user: str, tokens: int) -> tuple[str, bool] | None:
+        need = self.needs.get(user)
+        return None if need is None else (f"{user} in {min(need, tokens)}", need > tokens)
+
+
+@query(expected("id, reply, model, tokens, cut", (1, "a in 90", 0, 100, False), (2, "b in 140", 0, 150, False), (3, "c in 100", 1, 100, False), (4, "d in 100", 1, 100, True), (5, None, None, None, None), (6, "f in 50", 1, 100, False)))
+def failover_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A cut answer is asked for once more with half as many tokens again; then the next model's turn comes."""
+    models = [_Bounded({"a": 90, "b": 140, "f": 400}), _Bounded({"a": 10, "c": 100, "d": 900, "f": 50})]
+    asked = spark.createDataFrame([(n, "s", u, 100) for n, u in enumerate("abcdef", 1) if u != "e"] + [(5, "s", "e", 100)], "id int, system string, user string, budget int")
+    return providers.answers(asked, models, "id", "system", "user", "budget")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
 SCHEMA_VERSION = 1
 #: Temporary folders of one-process applications without a shared folder.
 _LOCAL: dict[str, str] = {}
@@ -68,6 +73,32 @@ def write_file(spark: SparkSession, path: str, text: str) -> str:
     return path
 
 
+class Refreshed:
+    """A table that is held and read anew once it is older than ``seconds``; if reading fails the old one stays."""
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 600.0, clock: Callable[[], float] = time.monotonic):
+        self.load, self.seconds, self.clock, self.lock = load, seconds, clock, threading.Lock()
+        self.held: DataFrame | None = None
+        self.since = 0.0
+
+    def get(self) -> DataFrame:
+        with self.lock:
+            if self.held is None or self.clock() - self.since >= self.seconds:
+                try:
+                    new = self.load().persist()
+                    new.count()
+                except Exception:
+                    if self.held is None:
+                        raise
+                    LOG.exception("a table could not be read anew")
+                else:
+                    old, self.held = self.held, new
+                    if old is not None:
+                        old.unpersist()
+                self.since = self.clock()
+            return self.held
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
