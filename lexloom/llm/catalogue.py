@@ -96,6 +96,21 @@ SELECT doc_id, text, lang, source, n_chars, c.c::INTEGER AS copy, md5('order7|'
 FROM counted, range(0, n) AS c(c)""",
     "op1_license_scan": licenses.oracle_sql(),
     "op8_url_filter": _url_sql(),
+    # every pair of texts that share a shingle, and every pair within a class: for small tables
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+k AS (SELECT doc_id, len(words) AS n, array_to_string(words, ' ') AS seq, words FROM w),
+nodes AS (SELECT seq, min(doc_id) AS rep, count(*) AS copies, any_value(words) AS words FROM k WHERE n > 0 GROUP BY 1),
+sh AS (SELECT DISTINCT rep, CASE WHEN len(words) >= 5 THEN array_to_string(list_slice(words, x.i, x.i + 4), ' ') ELSE seq || ' .' END AS s FROM nodes, range(1, greatest(len(words) - 4, 1) + 1) x(i)),
+size AS (SELECT rep, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
+half AS (SELECT a, b FROM common JOIN size x ON x.rep = a JOIN size y ON y.rep = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT rep AS a, rep AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1),
+linked AS (SELECT l.a, sum(n.copies) AS n FROM links l JOIN nodes n ON n.rep = l.b GROUP BY 1)
+SELECT doc_id, CASE WHEN k.n > 0 THEN class_id ELSE doc_id END AS class_id, CASE WHEN k.n > 0 THEN coalesce(l.n, 0)::BIGINT + copies - 1 ELSE 0 END AS n_links, coalesce(copies, 1) AS copies
+FROM k LEFT JOIN nodes USING (seq) LEFT JOIN class ON class.a = rep LEFT JOIN linked l ON l.a = rep""",
     "op9_warc_revisits": """
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
