@@ -171,9 +171,9 @@ def loanword_page(buckets: DataFrame, lang: str, offset: int = 0, limit: int = 5
 
 
 def loanword_page_of(entries: DataFrame, lang: str, offset: int = 0, limit: int = 50) -> DataFrame:
-    """The same straight from the entries: the first offset + limit words of the one language are ordered, nothing else."""
+    """The same straight from the entries: only the one language's first offset + limit words are ordered."""
     rows = page(_buckets(entries).where(F.col("lang") == lang), _loan_order(), offset, limit)
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*_loan_order())) + offset)  # a page's rows
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy(*_loan_order())) + offset)  # over one page
 
 
 def ambiguous_options(cands: Column, most: int = 8) -> Column:

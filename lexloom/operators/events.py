@@ -75,7 +75,8 @@ class SlidingWindow:
 def admissions(events: DataFrame, limit: int, window: float, key: str = "user_id", id_col: str = "event_id", ts_col: str = "ts") -> DataFrame:
     """(key, id, wait): each event's wait, 0 if admitted, deciding each key's events in order.
 
-    Rows are dealt out by key and streamed in order, so only one key's window is held at a time, however many events it has.
+    Rows are dealt out by key and streamed in order, so only one key's window is held at a time, however many events it has.  The
+    rule is sequential: whether a hit is admitted depends on all the key's hits before it, so one key's events are one task's.
     A limit of 0 or less admits all.
     """
     kinds = dict(events.dtypes)

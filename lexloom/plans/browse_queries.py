@@ -73,12 +73,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY is_common DESC, wf
 
 @query(f"{_LOANS} SELECT lang, count(*) AS count FROM o WHERE lang <> 'wasei' GROUP BY 1")
 def lang_facets(spark: SparkSession, d: str) -> DataFrame:
-    return browse.loanword_facets(browse.loanwords(_borrowed(spark, d)))
+    return browse.loanword_counts(_borrowed(spark, d))
 
 
 @query(f"{_LOANS} SELECT id, ord, (SELECT count(*) FROM o WHERE lang = 'wasei') AS total FROM o WHERE lang = 'wasei' AND ord BETWEEN 11 AND 60")
 def lang_page(spark: SparkSession, d: str) -> DataFrame:
-    return browse.loanword_page(browse.loanwords(_borrowed(spark, d)), "wasei", 10, 50).select("id", "ord", "total")
+    return browse.loanword_page_of(_borrowed(spark, d), "wasei", 10, 50).select("id", "ord", "total")
 
 
 @query("""WITH d AS (SELECT doc_id, lang, regexp_extract(source, '(\\d+)', 1)::INTEGER AS n, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' ELSE lang END AS name FROM documents)
