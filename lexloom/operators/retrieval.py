@@ -44,13 +44,15 @@ def ranked(scored: DataFrame, k: int, by: list[Column] | None = None) -> DataFra
 @dataclass
 class Store:
     """What is searched: entries (id, text, commonness, wf_score), their match keys, vectors (id, v) if there are any, and the stored
-    ``postings`` (term, id, tf, dl) with the ``corpus`` row (n_docs, avg_dl), without which texts are tokenised for each search."""
+    ``postings`` (term, id, tf, dl) with the ``corpus`` row (n_docs, avg_dl), without which the ``texts`` (id, text), those of the entries
+    if there are no others, are tokenised for each search."""
 
     entries: DataFrame
     keys: DataFrame
     vectors: DataFrame | None = None
     postings: DataFrame | None = None
     corpus: DataFrame | None = None
+    texts: DataFrame | None = None
 
 
 class Best:
@@ -205,7 +207,8 @@ def _counted(docs: DataFrame, known: pa.Array) -> DataFrame:
 def corpora(queries: DataFrame, store: Store) -> list[Corpus]:
     """The store's corpus for each block of queries."""
     stored = (store.postings, store.corpus) if store.postings is not None else None
-    return [Corpus.of(block, store.entries, stored=stored) for block in _blocks(queries, WORD_BLOCK)]
+    texts = store.entries if store.texts is None else store.texts
+    return [Corpus.of(block, texts, stored=stored) for block in _blocks(queries, WORD_BLOCK)]
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -345,7 +348,7 @@ def search(queries: DataFrame, store: Store, n: int = 5, mode: str = "auto", rew
     ja = queries["japanese"] if "japanese" in queries.columns else None
     vec = "qv" if "qv" in queries.columns else None
     # without query vectors the dense arms stay out
-    store = store if vec else Store(store.entries, store.keys, postings=store.postings, corpus=store.corpus)
+    store = store if vec else Store(store.entries, store.keys, postings=store.postings, corpus=store.corpus, texts=store.texts)
     ok = queries.where(~T.too_long("query"))
     asked = ok.withColumn("__r", T.rewrite(F.lower(T.one_spaced("query")), rewrite_mode, japanese=ja))
     tried = F.array_distinct(F.when(F.lit(mode == "auto"), F.concat(F.col("__r.japanese"), F.array("__r.query"))).otherwise(F.array("__r.query")))

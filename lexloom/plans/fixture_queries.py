@@ -704,4 +704,53 @@ def failover_answers(spark: SparkSession, d: str) -> DataFrame:
     return providers.answers(asked, models, "id", "system", "user", "budget")
 
 
+def _engine(spark: SparkSession):
+    from ..engine import Engine
+
+    engine = Engine(spark, tables.scratch(spark, "engine"))
+    engine.build(_dictionary(spark), _file(spark, "characters.xml", CHARACTERS))
+    return engine
+
+
+@query(expected("name, n", ("ready", 5), ("entries", 5), ("kanji", 3), ("corpus", 1), ("before", 0)))
+def store_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of a built store; a store that isn't built counts nothing."""
+    from ..engine import Engine
+
+    engine = _engine(spark)
+    rows = [("ready", engine.ready()), *[(t, engine.table(t).count()) for t in ("entries", "kanji", "corpus")], ("before", Engine(spark, tables.scratch(spark, "none")).ready())]
+    return spark.createDataFrame(rows, "name string, n int")
+
+
+@query(expected("qid, rank, id, reading, inflection", (1, 1, 10, "かく", "Past"), (2, 1, 11, "パン", None), (3, 1, 16, "たかい", None), (4, 1, 14, "あした", None)))
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    """A built store answers an inflected form, a question, a gloss and a written form from its stored postings and keys."""
+    asked = spark.createDataFrame([(1, "書いた"), (2, "What is the word for bread?"), (3, "high"), (4, "明日")], "qid long, query string")
+    return _engine(spark).search(asked).select("qid", "rank", "id", "reading", "inflection")
+
+
+@query(expected("literal, words", ("書", "書く"), ("犬", None), ("𠮟", None), ("無", None)))
+def character_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Characters with their common words; an unknown one has nulls."""
+    cards = _engine(spark).cards(spark.createDataFrame([("書",), ("犬",), ("𠮟",), ("無",)], "literal string"))
+    return cards.select("literal", joined(F.transform("words", lambda w: w["kanji_form"])).alias("words"))
+
+
+@query(expected("at, n", (0, 1), (9, 1), (10, 2), (20, 2), (30, 4)))
+def refreshed_table(spark: SparkSession, d: str) -> DataFrame:
+    """A held table is read anew after ten seconds; at 20 that fails, and the old one stays."""
+    now, reads = [0], []
+
+    def load() -> DataFrame:
+        reads.append(now[0])
+        if now[0] == 20:
+            raise OSError("the source is down")
+        return spark.range(len(reads))
+
+    held, rows = tables.Refreshed(load, 10, lambda: now[0]), []
+    for now[0] in (0, 9, 10, 20, 30):
+        rows.append((now[0], held.get().count()))
+    return spark.createDataFrame(rows, "at int, n int")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

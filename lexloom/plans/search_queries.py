@@ -42,10 +42,14 @@ def normal_questions(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).where(~T.too_long("query")).select("qid", T.normalise("query").alias("q"), "qv").withColumn("route", T.route("q"))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 def store(spark: SparkSession, d: str) -> retrieval.Store:
-    docs = entries(spark, d)
+    """Priors and texts apart, so that no join carries texts."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return retrieval.Store(docs, sentence_keys(docs), vectors)
+    return retrieval.Store(entries(spark, d).drop("text"), sentence_keys(texts(spark, d)), vectors, texts=texts(spark, d))
 
 
 POOL = retrieval.pool_size(5)
@@ -88,12 +92,12 @@ def form_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_Q}, {_KEYS} SELECT qid, id, exact, prim AS primary, head FROM flags")
 def match_keys_semijoin(spark: SparkSession, d: str) -> DataFrame:
-    return keys.exact_matches(normal_questions(spark, d), sentence_keys(entries(spark, d)))
+    return keys.exact_matches(normal_questions(spark, d), sentence_keys(texts(spark, d)))
 
 
 @query(f"WITH {_Q}, {_BM25} {_top('SELECT * FROM bm', 5)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(normal_questions(spark, d), entries(spark, d), 5)
+    return retrieval.bm25(normal_questions(spark, d), texts(spark, d), 5)
 
 
 @query(f"WITH {_Q}, {_DENSE} {_top('SELECT * FROM near', 5)}")
@@ -119,13 +123,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_Q}, {_BM25}, {_DENSE} {_top(_fuse([(_top('SELECT * FROM bm', 50), 1.0), (_top('SELECT * FROM near', 50), 1.0)]), 5)}")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     q, s = normal_questions(spark, d), store(spark, d)
-    return retrieval.fuse([(retrieval.bm25(q, s.entries, 50), 1.0), (retrieval.dense(q, s.vectors, 50), 1.0)], 5)
+    return retrieval.fuse([(retrieval.bm25(q, s.texts, 50), 1.0), (retrieval.dense(q, s.vectors, 50), 1.0)], 5)
 
 
 @query(f"WITH {_Q}, {_BM25}, {_DENSE} {_top(_fuse([(_top('SELECT * FROM bm', 50), 1.0), (_top('SELECT * FROM near', 50), 2.0)]), 5)}")
 def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
     q, s = normal_questions(spark, d), store(spark, d)
-    return retrieval.fuse([(retrieval.bm25(q, s.entries, 50), 1.0), (retrieval.dense(q, s.vectors, 50), 2.0)], 5)
+    return retrieval.fuse([(retrieval.bm25(q, s.texts, 50), 1.0), (retrieval.dense(q, s.vectors, 50), 2.0)], 5)
 
 
 def _formula(fused: str, word: bool) -> str:
@@ -173,7 +177,7 @@ hits AS (SELECT DISTINCT qid, candidate, id FROM c JOIN sentences ON {S.gloss_ke
 def pivot_first_nonempty(spark: SparkSession, d: str) -> DataFrame:
     """Each item's pieces are tried in order as exact glosses; the first piece with matches answers."""
     pieces = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.split("text", r"[.,\n]")).alias("candidate", "s"))
-    known = sentence_keys(entries(spark, d)).where(F.col("kind") == keys.ALL).select("key", "id")
+    known = sentence_keys(texts(spark, d)).where(F.col("kind") == keys.ALL).select("key", "id")
     hits = pieces.select("qid", "candidate", T.gloss_key(F.trim("s")).alias("key")).join(known, "key").select("qid", F.col("candidate").cast("long").alias("candidate"), "id").distinct()
     return retrieval.first_nonempty(hits)
 
@@ -183,7 +187,7 @@ seg AS (SELECT qid, x.n AS rank, list_extract(string_split(q, ' '), x.n) AS surf
 SELECT * FROM res UNION ALL SELECT qid, NULL, 0.0, rank, surface FROM seg WHERE rank <= 5 AND qid NOT IN (SELECT qid FROM res)""")
 def promote_segments(spark: SparkSession, d: str) -> DataFrame:
     q = normal_questions(spark, d)
-    found = retrieval.ranked(keys.exact_matches(q, sentence_keys(entries(spark, d))).select("qid", "id", F.lit(1.0).alias("score")), 5)
+    found = retrieval.ranked(keys.exact_matches(q, sentence_keys(texts(spark, d))).select("qid", "id", F.lit(1.0).alias("score")), 5)
     return retrieval.promoted(q, found, q.select("qid", F.posexplode(F.split("q", " ")).alias("pos", "surface")))
 
 
@@ -269,7 +273,7 @@ SELECT qid, {", ".join(f"coalesce(max(CASE WHEN variant = '{n}' THEN rank END),
 def knob_sweep_pivot(spark: SparkSession, d: str) -> DataFrame:
     """The rank of the entry numbered like the item, under three weightings of two arms."""
     q, s = normal_questions(spark, d), store(spark, d)
-    text, near = retrieval.bm25(q, s.entries, 50), retrieval.dense(q, s.vectors, 50)
+    text, near = retrieval.bm25(q, s.texts, 50), retrieval.dense(q, s.vectors, 50)
     rows = None
     for name, a, b in _KNOBS:
         found = retrieval.fuse([(text, a), (near, b)], 20)
