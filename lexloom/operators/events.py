@@ -65,9 +65,8 @@ class SlidingWindow:
 
     def hit(self, now: float) -> float:
         """0 if admitted, else the seconds until a place is free."""
-        free_at = self.last[0] + self.window if len(self.last) == self.limit else now
-        if free_at > now:
-            return max(free_at - now, 0.001)
+        if len(self.last) == self.limit and self.last[0] > now - self.window:
+            return max(self.last[0] + self.window - now, 0.001)
         self.last.append(now)
         return 0.0
 
