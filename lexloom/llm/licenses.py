@@ -7,7 +7,7 @@ document that carries a licence notice are told apart.  Everything is SQL expres
 
 Defined cases: a null text has no digest and no licence; an empty canonical form matches nothing; repeated rows each get a row;
 of several known licences with one canonical form the first in alphabetical order is reported; ids may be null or of any type.
-A very long text is split into lines and hashed whole.  Other columns aren't read.
+A very long text is split into lines and hashed whole.  Other columns aren't read.  Long licences are known by digest alone.
 """
 
 from __future__ import annotations
@@ -121,6 +121,32 @@ def titled_licenses() -> list[tuple[str, str, str]]:
     return out
 
 
+#: Fixed values: (licence, opening words of the canonical form, digest of the canonical form) of long published texts; where
+#: a text ends with an appendix on how to apply it, the first digest is with it, the second up to "END OF TERMS AND CONDITIONS".
+DIGESTS = (
+    ("Apache-2.0", "apache license", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "apache license", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Artistic-1.0-Perl", "the artistic license", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "all rights reserved", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "creative commons", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "gnu free documentation license", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "gnu free documentation license", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "gnu general public license", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    ("GPL-1.0", "gnu general public license", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "gnu general public license", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    ("GPL-2.0", "gnu general public license", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "gnu general public license", "5e06bcb7b8c914d3ffb433229937b503a624ae6c7bb9ac1cad01e35a324bcb6d"),
+    ("GPL-3.0", "gnu general public license", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "gnu library general public license", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.0", "gnu library general public license", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "gnu lesser general public license", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-2.1", "gnu lesser general public license", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "gnu lesser general public license", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "mozilla public license", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "mozilla public license", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+)
+
+
 def canonical_line(low: Column) -> Column:
     """The canonical form of a line (or lines) in lower case."""
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
@@ -145,10 +171,13 @@ def _digest(form: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(digest, license, kind, start), one row per digest: a bounded list, made of the given texts."""
+    """(digest, license, kind, start), one row per digest: a bounded list, made of the given texts; without them of all that is known here."""
     table = small(spark, [tuple(k) for k in (known if known is not None else known_licenses() + titled_licenses())], "license string, kind string, text string")
     form = table.select("license", "kind", respelled(canonical(F.col("text"))).alias("form")).where("form <> ''")
-    return form.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min("kind").alias("kind"), F.min(F.left("form", F.lit(START))).alias("start"))
+    rows = form.select(_digest(F.col("form")).alias("digest"), "license", "kind", F.left("form", F.lit(START)).alias("start"))
+    if known is None:
+        rows = rows.unionByName(small(spark, [(digest, name, "text", opening[:START]) for name, opening, digest in DIGESTS], "digest string, license string, kind string, start string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("kind").alias("kind"), F.min("start").alias("start"))
 
 
 def scanned(docs: DataFrame, starts: list[str], id_col: str, text_col: str) -> DataFrame:
