@@ -11,23 +11,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """A folder of written tables under ``spark.checkpoint.dir``.
 
     Tables written here cut lineage and survive lost executors.  The setting is read from the session;
-    a temporary folder is taken only where it is unset (local tests).
+    a temporary folder is taken only where it is unset (local tests).  With ``tidy`` a write's shuffle files go when it is done.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
-        self.spark, self.path = spark, f"{root.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.tidy, self.path = spark, tidy, f"{root.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and return the written table."""
-        df.write.option("compression", codec).parquet(self.at(name))
+        before = self.spark.conf.get(_TIDY, "false")
+        try:
+            if self.tidy:
+                self.spark.conf.set(_TIDY, "true")
+            df.write.option("compression", codec).parquet(self.at(name))
+        finally:
+            self.spark.conf.set(_TIDY, before)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, name: str) -> None:
