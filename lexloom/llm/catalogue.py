@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, ngram_join, quality_model, quality_rules, repeats, token_shards, toxicity, url_filter, warc
+from . import centroids, decontaminate, licenses, mixing, ngram_join, quality_model, quality_rules, repeats, token_shards, toxicity, url_filter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +54,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_totals(found, books).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centers = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found, centers).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.without_repeats(_table(spark, sf_dir, "documents")))
 
 
 _ALL = (
     op1_license_scan, op2_token_shards, op3_decontamination, op4_ngram_join, op5_quality_rules, op6_quality_classifier, op7_source_mixing, op8_url_filter, op9_warc_revisits, op10_toxicity,
-    op13_suffix_dedup,
+    op11_vector_codes, op12_centroid_clusters, op13_suffix_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -101,6 +111,8 @@ SELECT doc_id, text, lang, source, n_chars, c.c::INTEGER AS copy, md5('order7|'
 FROM counted, range(0, n) AS c(c)""",
     "op1_license_scan": licenses.oracle_sql(),
     "op8_url_filter": _url_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_centroid_clusters": centroids.oracle_sql(),
     "op13_suffix_dedup": repeats.oracle_sql(),
     # every pair of texts that share a shingle, and every pair within a class: for small tables
     "op4_ngram_join": r"""

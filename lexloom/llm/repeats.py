@@ -273,7 +273,8 @@ def oracle_sql(width: int = WIDTH) -> str:
     """The same by every window of every text: for small tables."""
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_number() OVER () AS r FROM documents),
-w AS (SELECT r, doc_id, i.i AS i, md5_number(substr(x, 2 * i.i + 1, {2 * width})) AS s FROM d, range(0, len(x) // 2 - {width - 1}) AS i(i)),
+p AS (SELECT r, doc_id, c.c AS c, substr(x, 2 * c.c + 1, {2 * (256 + width - 1)}) AS x FROM d, range(0, len(x) // 2 - {width - 1}, 256) AS c(c)),
+w AS (SELECT r, doc_id, c + i.i AS i, md5_number(substr(x, 2 * i.i + 1, {2 * width})) AS s FROM p, range(0, len(x) // 2 - {width - 1}) AS i(i)),
 least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
 hit AS (SELECT r, i FROM w JOIN least USING (s) WHERE m IS NOT NULL AND (doc_id IS NULL OR m < doc_id)),
 marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {width} THEN 0 ELSE 1 END AS new FROM hit),
