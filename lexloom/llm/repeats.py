@@ -91,8 +91,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.withColumn("rk", F.unhex(F.md5(named)))
 
 
+def _longs(digests: list[bytes]) -> list[pa.Array]:
+    """128-bit digests as two columns."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def _pieces(keyed: DataFrame, width: int, cut: int, kind: str) -> DataFrame:
-    """(rk, d, key, spans): the different pieces of each text and where their windows begin and end."""
+    """(rk, d, k1, k2, spans, hs): the different pieces of each text, where their windows begin and end, and their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,24 +106,26 @@ def _pieces(keyed: DataFrame, width: int, cut: int, kind: str) -> DataFrame:
                 begin, end, _, row, h = ranges(data, offsets, width)
                 if not len(begin):
                     continue
-                first = (h % np.uint64(cut) == 0) | np.r_[True, row[1:] != row[:-1]]
-                c = np.flatnonzero(first)
+                c = np.flatnonzero((h % np.uint64(cut) == 0) | np.r_[True, row[1:] != row[:-1]])
                 last = np.r_[c[1:], len(begin)] - 1
                 raw, own = data.tobytes(), offsets[row[c]]
-                found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-                for r, s, e, o in zip(row[c].tolist(), begin[c].tolist(), end[last].tolist(), own.tolist()):
-                    found.setdefault((r, blake2b(raw[s : e + width], digest_size=16).digest()), []).append((s - o, e - o))
-                rows = pa.array([lo + r for r, _ in found])
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(0).take(rows), pa.array([k for _, k in found], pa.binary()), _spans(list(found.values()))], names=["rk", "d", "key", "spans"])
+                found: dict[tuple[int, bytes], tuple[int, list[tuple[int, int]]]] = {}
+                for n, (r, s, e, o) in enumerate(zip(row[c].tolist(), begin[c].tolist(), end[last].tolist(), own.tolist())):
+                    found.setdefault((r, blake2b(raw[s : e + width], digest_size=16).digest()), (n, []))[1].append((s - o, e - o))
+                rows, first = pa.array([lo + r for r, _ in found]), np.array([n for n, _ in found.values()])
+                size = (last - c + 1)[first]
+                anchors = h[np.repeat(c[first], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].view(np.int64)
+                cols = [batch.column(2).take(rows), batch.column(0).take(rows), *_longs([k for _, k in found]), _spans([x for _, x in found.values()]), _lists(size.tolist(), pa.array(anchors))]
+                yield pa.RecordBatch.from_arrays(cols, names=["rk", "d", "k1", "k2", "spans", "hs"])
 
-    return keyed.mapInArrow(run, f"rk binary, d {kind}, key binary, spans {_SPAN}")
+    return keyed.mapInArrow(run, f"rk binary, d {kind}, k1 long, k2 long, spans {_SPAN}, hs array<long>")
 
 
 def _open(begin: np.ndarray, row: np.ndarray, offsets: np.ndarray, decided: pa.Array) -> np.ndarray:
     """Which ranges lie in no decided span of their row; spans begin and end with ranges."""
     size = int(offsets[-1]) + 1
     edge = np.zeros(size + 1, np.int32)
-    n = pc_lengths(decided)
+    n = _lengths(decided)
     if n.sum():
         flat, at = decided.flatten(), np.repeat(offsets[:-1], n)
         np.add.at(edge, at + flat.field("s").to_numpy(zero_copy_only=False), 1)
@@ -125,31 +133,13 @@ def _open(begin: np.ndarray, row: np.ndarray, offsets: np.ndarray, decided: pa.A
     return np.cumsum(edge)[begin] == 0
 
 
-def pc_lengths(lists: pa.Array) -> np.ndarray:
+def _lengths(lists: pa.Array) -> np.ndarray:
     """Lengths of the lists; 0 for null ones."""
     return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _anchors(keyed: DataFrame, width: int, kind: str) -> DataFrame:
-    """(rk, d, h): the different anchors of each text (d, text, rk, spans) outside its decided spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in bs.slices(batch.column(1), SLICE):
-                begin, _, _, row, h = ranges(data, offsets, width)
-                use = _open(begin, row, offsets, batch.column(3).slice(lo, hi - lo)) if len(begin) else np.zeros(0, bool)
-                row, h = row[use], h[use]
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)]
-                rows = pa.array(row[new] + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(0).take(rows), pa.array(h[new].view(np.int64))], names=["rk", "d", "h"])
-
-    return keyed.select("d", "text", "rk", "spans").mapInArrow(run, f"rk binary, d {kind}, h long")
-
-
 def _contexts(keyed: DataFrame, width: int, kind: str) -> DataFrame:
-    """(rk, d, h, key, off, n, ctx, starts): the different open ranges of each text (d, text, rk, spans, met) whose anchors are met.
+    """(rk, d, h, k1, k2, off, n, ctx, starts): the different open ranges of each text (d, text, rk, spans, met) whose anchors are met.
 
     ``ctx`` holds the bytes of the range's ``n`` windows, ``off`` is the anchor's place in it, ``starts`` are its places.
     """
@@ -170,63 +160,73 @@ def _contexts(keyed: DataFrame, width: int, kind: str) -> DataFrame:
                     found.setdefault((r, a - s, raw[s : e + width]), (x, []))[1].append(s - o)
                 rows = pa.array([lo + r for r, _, _ in found], pa.int64())
                 off, ctx, starts = [o for _, o, _ in found], [c for _, _, c in found], [s for _, s in found.values()]
-                cols = [pa.array([x for x, _ in found.values()], pa.int64()), pa.array([blake2b(b"%d|" % o + c, digest_size=16).digest() for o, c in zip(off, ctx)], pa.binary()), pa.array(off, pa.int32()), pa.array([len(c) - width + 1 for c in ctx], pa.int32()), pa.array(ctx, pa.binary())]
+                cols = [pa.array([x for x, _ in found.values()], pa.int64()), *_longs([blake2b(b"%d|" % o + c, digest_size=16).digest() for o, c in zip(off, ctx)]), pa.array(off, pa.int32()), pa.array([len(c) - width + 1 for c in ctx], pa.int32()), pa.array(ctx, pa.binary())]
                 flat = pa.array(np.array([s for one in starts for s in one], np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(0).take(rows), *cols, _lists([len(s) for s in starts], flat)], names=["rk", "d", "h", "key", "off", "n", "ctx", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(0).take(rows), *cols, _lists([len(s) for s in starts], flat)], names=["rk", "d", "h", "k1", "k2", "off", "n", "ctx", "starts"])
 
-    return keyed.select("d", "text", "rk", "spans", "met").mapInArrow(run, f"rk binary, d {kind}, h long, key binary, off int, n int, ctx binary, starts array<int>")
+    return keyed.select("d", "text", "rk", "spans", "met").mapInArrow(run, f"rk binary, d {kind}, h long, k1 long, k2 long, off int, n int, ctx binary, starts array<int>")
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
+def _repeated(rows: DataFrame, *key: str) -> DataFrame:
     """(key, least): the keys that stand in two documents or more, with the least id; null ids are one document after all others."""
-    found = rows.groupBy(key).agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("named"), F.count("*").alias("all"))
-    return found.where("least < most or named > 0 and named < all").select(key, "least")
+    found = rows.groupBy(*key).agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("named"), F.count("*").alias("all"))
+    return found.where("least < most or named > 0 and named < all").select(*key, "least")
 
 
 #: Of a row joined with its key's least id: whether that is an earlier document's.
 _LATER = "least is not null and (d is null or least < d)"
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys or a text's decisions, to be hashed in each partition, so that the far more rows they meet aren't sorted."""
+    return keys.hint("shuffle_hash")
+
+
 def _found(keyed: DataFrame, width: int, cut: int, work: Workspace) -> DataFrame:
     """(rk, spans): for each text that has any, its windows that also begin in an earlier document, as spans of starts."""
     kind, k, half = dict(keyed.dtypes)["d"], anchor_bytes(width), (width - anchor_bytes(width)) // 2
+    both = ["k1", "k2"]
     pieces = work.table(_pieces(keyed, width, cut, kind), "pieces")
-    twice = work.table(_repeated(pieces, "key"), "piece-keys")
-    whole = pieces.join(twice, "key").where(_LATER)
+    twice = work.table(_repeated(pieces, *both), "piece-keys")
+    whole = pieces.drop("hs").join(_few(twice), both).where(_LATER)
     whole = work.table(whole.groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans")), "whole-pieces")  # one text's spans
+    left = pieces.drop("spans").join(_few(twice), both, "left").where(f"not coalesce({_LATER}, false)")
+    anchors = work.table(left.select("rk", "d", F.explode("hs").alias("h")), "anchors")
     work.drop("pieces")
     work.drop("piece-keys")
 
-    anchors = work.table(_anchors(keyed.join(whole, "rk", "left"), width, kind), "anchors")
     twice = work.table(_repeated(anchors, "h").select("h"), "anchor-keys")
-    met = work.table(anchors.join(twice, "h").groupBy("rk").agg(F.collect_list("h").alias("met")), "met")  # one text's anchors
+    met = work.table(anchors.join(_few(twice), "h").groupBy("rk").agg(F.collect_list("h").alias("met")), "met")  # one text's anchors
     work.drop("anchors")
     work.drop("anchor-keys")
 
-    contexts = work.table(_contexts(keyed.join(met.join(whole, "rk", "left"), "rk"), width, kind), "contexts")
+    contexts = _contexts(keyed.join(_few(met.join(whole, "rk", "left")), "rk"), width, kind)
+    contexts = work.table(contexts.withColumn("cid", F.monotonically_increasing_id()), "contexts")  # written, the numbers stay
     work.drop("met")
-    twice = work.table(_repeated(contexts, "key"), "context-keys")
-    decided = contexts.join(twice, "key", "left").withColumn("later", F.coalesce(F.expr(_LATER), F.lit(False)))
-    decided = work.table(decided.drop("least", "key"), "decided")
-    work.drop("contexts")
+    twice = work.table(_repeated(contexts, *both), "context-keys")
+    later = work.table(contexts.select("cid", "d", *both).join(_few(twice), both).where(_LATER).select("cid"), "later")
+    first = contexts.drop("rk", "starts").join(_few(twice), both, "left").where(f"not coalesce({_LATER}, false)")
+    first = work.table(first.select("cid", "d", "h", "off", "n", "ctx"), "first")
+    work.drop("context-keys")
 
     # windows begin up to ``half`` bytes before the anchor, or more than that
     near = F.struct(F.lit(0).alias("side"), F.expr(f"substring(ctx, off + 1, {width - half})").alias("part"), F.greatest(F.col("off") - F.lit(half), F.lit(0)).alias("lo"), F.col("n").alias("hi"))
     far = F.struct(F.lit(1).alias("side"), F.expr(f"substring(ctx, off - {half}, {k + half + 1})").alias("part"), F.lit(0).alias("lo"), F.least(F.col("n"), F.col("off") - F.lit(half)).alias("hi"))
     sides = F.filter(F.array(near, far), lambda x: x["lo"] < x["hi"])
-    halves = decided.where("not later").select("rk", "d", "h", "ctx", "starts", F.explode(sides).alias("x")).withColumn("cell", F.xxhash64("h", "x.side", "x.part"))
+    halves = first.select("cid", "d", "h", "ctx", F.explode(sides).alias("x")).select("cid", "d", "ctx", "x.lo", "x.hi", F.xxhash64("h", "x.side", "x.part").alias("cell"))
     twice = work.table(_repeated(halves.select("cell", "d"), "cell").select("cell"), "half-keys")
-    at = F.explode(F.expr("sequence(x.lo, x.hi - 1)"))
-    windows = halves.join(twice, "cell").select("rk", "d", "ctx", "starts", at.alias("at"))
-    windows = windows.select("rk", "d", F.unhex(F.md5(F.expr(f"substring(ctx, at + 1, {width})"))).alias("key"), F.transform("starts", lambda s: s + F.col("at")).alias("starts"))
-    windows = work.table(windows, "windows")
-    twice = work.table(_repeated(windows, "key"), "window-keys")
-    single = windows.join(twice, "key").where(_LATER).select("rk", F.transform("starts", lambda s: F.struct(s.alias("s"), s.alias("e"))).alias("spans"))
-    ranged = decided.where("later").select("rk", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("n") - 1).alias("e"))).alias("spans"))
-    everything = whole.unionByName(ranged).unionByName(single)
-    # union first: grouped by the key as a struct, as parts may be dealt out differently
-    out = work.table(everything.groupBy(F.struct("rk").alias("rk")).agg(F.flatten(F.collect_list("spans")).alias("spans")).select("rk.rk", "spans"), "spans")
-    for name in ("whole-pieces", "context-keys", "decided", "half-keys", "windows", "window-keys"):
+    windows = halves.join(_few(twice), "cell").select("cid", "d", "ctx", F.explode(F.expr("sequence(lo, hi - 1)")).alias("at"))
+    text = F.expr(f"substring(ctx, at + 1, {width})")
+    windows = work.table(windows.select("cid", "d", "at", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")), "windows")
+    twice = work.table(_repeated(windows, *both), "window-keys")
+    single = windows.join(_few(twice), both).where(_LATER).groupBy("cid").agg(F.collect_list("at").alias("ats"))  # one range's windows
+
+    marks = work.table(later.select("cid", F.lit(None).cast("array<int>").alias("ats")).unionByName(single), "marks")
+    ends = F.when(F.col("ats").isNull(), F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("n") - 1).alias("e"))))
+    ends = ends.otherwise(F.flatten(F.transform("starts", lambda s: F.transform("ats", lambda a: F.struct((s + a).alias("s"), (s + a).alias("e"))))))
+    ranged = work.table(contexts.select("cid", "rk", "starts", "n").join(_few(marks), "cid").select("rk", ends.alias("spans")), "ranged")
+    out = work.table(whole.unionByName(ranged).groupBy(F.struct("rk").alias("own")).agg(F.flatten(F.collect_list("spans")).alias("spans")).select("own.rk", "spans"), "spans")
+    for name in ("whole-pieces", "contexts", "later", "first", "half-keys", "windows", "window-keys", "marks", "ranged"):
         work.drop(name)
     return out
 
@@ -246,7 +246,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for lo, hi, data, offsets in bs.slices(batch.column(1), SLICE):
                 found = batch.column(2).slice(lo, hi - lo)
-                n, rows = pc_lengths(found), hi - lo
+                n, rows = _lengths(found), hi - lo
                 edge = np.zeros(len(data) + 1, np.int32)
                 if n.sum():
                     flat, at = found.flatten(), np.repeat(offsets[:-1], n)
@@ -260,7 +260,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 removed = pa.StructArray.from_arrays([pa.array((x - offsets[row]).astype(np.int32)) for x in (begin, end)], ["start", "end"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(np.diff(offsets)), kept, _lists(np.bincount(row, minlength=rows).tolist(), removed)], names=["id", "n_bytes", "kept", "removed"])
 
-    out = keyed.join(spans, "rk", "left").select("d", "text", "spans").mapInArrow(run, f"id {kind}, n_bytes long, kept binary, removed array<struct<start:int,end:int>>")
+    out = keyed.join(_few(spans), "rk", "left").select("d", "text", "spans").mapInArrow(run, f"id {kind}, n_bytes long, kept binary, removed array<struct<start:int,end:int>>")
     return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "removed")
 
 
