@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_prefix
 from ..operators import evaluate, events
 from ..sources import tables
-from ..streaming import admission, explanations, sinks
+from ..streaming import admission, sinks
 from .registry import Registry, table
 
 query = Registry()
@@ -96,33 +96,6 @@ def streamed_admission(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("user_id", "event_id", (F.col("wait") == 0).alias("admitted"))
 
 
-_DELTAS = [(1, 0, "- **は** (は) — topic\n- **", False), (1, 1, "は** — again\n\n\n\nend", True), (2, 0, "- **が** — subject\n", False), (2, 1, "", True), (3, 0, "", True)]
-
-
-def _tidied(spark: SparkSession) -> DataFrame:
-    _states(spark)
-    path = tables.scratch(spark, "deltas")
-    spark.createDataFrame(_DELTAS, "explanation_id long, seq long, delta string, done boolean").coalesce(1).write.parquet(path)
-    return explanations.tidy_stream(spark.readStream.schema("explanation_id long, seq long, delta string, done boolean").parquet(path), 5)
-
-
-@query("SELECT * FROM (VALUES (1, 1, '- **は** — topic' || chr(10) || chr(10) || chr(10) || 'end', true), (2, 1, '- **が** — subject' || chr(10), true), (3, 0, '', true)) t(explanation_id, last_seq, text, done)")
-def streamed_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Fragments re-framed to lines and tidied: repeated patterns go, and runs of blank lines shrink to two."""
-    stream, out = _tidied(spark), tables.scratch(spark, "lines")
-    _drained(stream, sinks.append_to(out))
-    return spark.read.parquet(out).select("explanation_id", "last_seq", "text", "done")
-
-
-@query("""SELECT * FROM (VALUES (1, 1, 'text', '{"text":"- **は** — topic\\n\\n\\nend"}'), (1, 2, 'done', '{"id":1,"latency_ms":40}'), (2, 1, 'text', '{"text":"- **が** — subject\\n"}'), (2, 2, 'error', '{"error":"cut off"}'), (3, 1, 'done', '{"id":3}')) t(explanation_id, seq, kind, data)""")
-def explanation_events(spark: SparkSession, d: str) -> DataFrame:
-    """The events of a stream of explanations: text, then done with its latency or an error."""
-    ends = spark.createDataFrame([(1, None, 40), (2, "cut off", None)], "explanation_id long, error string, latency_ms long")
-    stream, out = _tidied(spark), tables.scratch(spark, "events")
-    _drained(stream, explanations.event_writer(out, ends))
-    return spark.read.parquet(out).select("explanation_id", "seq", "kind", "data")
-
-
 @query("SELECT event_id, user_id, event_type FROM events")
 def event_sink(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines as they come appended to a table; a sink that fails doesn't keep the rows from the other, and a second run adds nothing."""

@@ -8,7 +8,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
+os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{ROOT / 'tests'}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 
 SF = "/root/testdata/sf0.001"
 

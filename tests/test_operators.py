@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.operators import browse, conjugation, entries, events, evaluate, explanations, incremental, keys, retrieval, segmentation
-from lexloom.plans import text_queries as TQ
+import fixture_texts as TQ
 
 
 def rows(df, *cols):
