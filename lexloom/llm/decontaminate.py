@@ -11,7 +11,7 @@ written before the next block is read, so the driver holds one block at a time.
 
 Defined cases: a passage of fewer than ``WHOLE`` normalised bytes counts only as whole words: it is searched with a blank
 before and after it, and every document has blanks around it.  Passages without letters or digits (or null) are in no
-document.  ``leaks`` names passages by id and so leaves out those with a null id; ``drop_contaminated`` searches them too.
+document.  Ids of documents and of passages may be of any orderable type.  ``leaks`` names passages by id and so leaves out those with a null id; ``drop_contaminated`` searches them too.
 Null and empty texts hold no passage; repeated rows are judged each.  A passage found several times in a row of documents is
 reported once: fewest edits, then the earliest end, then the latest start.  A very long text is taken whole, in one slice,
 and its hits in portions; its memory is a small multiple of its bytes.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytescan as bs
 from .shared import Workspace, bare, bound_batches
@@ -151,11 +152,11 @@ class Index:
 class Passages:
     """A block of the benchmark, indexed by q-grams."""
 
-    ids: list[int | None]
+    ids: list
     parts: list[Index]
 
     @staticmethod
-    def of(items: list[tuple[int | None, str]], rate: float = RATE) -> Passages | None:
+    def of(items: list[tuple], rate: float = RATE) -> Passages | None:
         if not 0 <= rate < 1:
             raise ValueError("the share of edits must be in [0, 1)")
         raw = [(t or "").encode() for _, t in items]
@@ -171,7 +172,7 @@ class Passages:
             return None
         return Passages([i for i, _ in items], [Index.of(*key, *map(list, zip(*rows))) for key, rows in sorted(groups.items())])
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int]]:
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         """(row, item id, edits, start, end): the best region of each passage in each row, in code points."""
         norm, offs, places = normalise(data, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -240,7 +241,7 @@ def _aligned(use: np.ndarray, passages: list[bytes], length: np.ndarray, data: n
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, named: bool) -> list[DataFrame]:
     """The benchmark's passages in parts of about ``BLOCK`` bytes."""
-    items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).where("t is not null")
+    items = benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].alias("t")).where("t is not null")
     items = (items.where("i is not null") if named else items).distinct()
     n = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK) or 1
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b) for b in range(n)]
@@ -255,8 +256,8 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, work: Workspace | None = None
 ) -> DataFrame:
     """(id, item_id, edits, start, end) of every passage found in a document; offsets count the document's code points."""
-    spark, schema = docs.sparkSession, f"{id_col} {dict(docs.dtypes)[id_col]}, item_id long, edits int, start int, end int"
-    out, parts = None, _parts(benchmark, item_col, item_text, named=True)
+    spark, schema = docs.sparkSession, f"{id_col} {dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}, edits int, start int, end int"
+    out, parts, kind = None, _parts(benchmark, item_col, item_text, named=True), to_arrow_type(benchmark.schema[item_col].dataType)
     if len(parts) > 1:
         work = work or Workspace(spark, "leaks")
     for b, part in enumerate(parts):
@@ -264,12 +265,12 @@ def leaks(
         if block is None:
             continue
 
-        def run(batches: Iterator[pa.RecordBatch], block: Passages = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Passages = block, kind: pa.DataType = kind) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, _, data, offsets in bs.slices(batch.column(1)):
                     if found := block.search(data, offsets):
-                        r, *cols = (np.array(x, np.int64) for x in zip(*found))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r + lo)), pa.array(cols[0]), *(pa.array(c.astype(np.int32)) for c in cols[1:])], names=[id_col, "item_id", "edits", "start", "end"])
+                        r, items, *cols = zip(*found)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(r, np.int64) + lo)), pa.array(items, kind), *(pa.array(c, pa.int32()) for c in cols)], names=[id_col, "item_id", "edits", "start", "end"])
 
         rows = bare(docs, id_col, text_col).mapInArrow(run, schema)
         rows = work.table(rows, f"block-{b}") if len(parts) > 1 else rows

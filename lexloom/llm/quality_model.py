@@ -6,8 +6,11 @@ so words never seen still have one.  A document is pooled as the mean of its vec
 products of vectors 1, 2 and 3 places apart (which see repetition), with the share of capitalised words added as a vector
 of its own.  Labels, language, source and id are not inputs of the score.
 
+A fifth of each class's rows, those of the least hashes, only calibrates the temperature, which is 1 where
+there are none.
+
 Defined cases: null and empty texts pool to zeros and get the network's score for that; without labelled rows of both
-classes the score is the smoothed share of label 1 everywhere.  Ids may be null, repeated or of any type: each row is scored
+classes there is nothing to tell apart, and the score is the smoothed share of label 1 everywhere.  Ids may be null, repeated or of any type: each row is scored
 alone, so repeated rows get equal scores.  A very long text is pooled whole, in one slice.
 """
 
@@ -146,15 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, hidden: int
     got = gathered(rows, examples)
     ids, y = (np.concatenate([np.frombuffer(g[k], np.int64) for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
     prior = (float((y == 1).sum()) + 1) / (len(y) + 2)
-    if len(y) < 20 or len(set(y.tolist())) < 2:
+    if len(set((y == 1).tolist())) < 2:
         return QualityModel(vectors, None, prior)
     x = np.concatenate([np.frombuffer(g[2], np.float32).reshape(-1, DIM * (1 + len(LAGS)) + 1) for g in got]).astype(np.float64)
     order = np.argsort(ids, kind="stable")  # the order of parts doesn't matter
     ids, y, x = ids[order], (y[order] == 1).astype(np.float64), x[order]
-    calibrate = unit_hash(ids, 99) < 0.2
+    calibrate, luck = np.zeros(len(y), bool), unit_hash(ids, 99)
+    for own in (np.flatnonzero(y == c) for c in (0, 1)):
+        calibrate[own[np.argsort(luck[own], kind="stable")[: len(own) // 5]]] = True
     model = QualityModel(vectors, _network(x[~calibrate], y[~calibrate], hidden, epochs), prior)
-    if calibrate.sum() > 20:
-        model.heat = temperature(model.logits(x[calibrate]), y[calibrate])
+    model.heat = temperature(model.logits(x[calibrate]), y[calibrate])
     return model
 
 

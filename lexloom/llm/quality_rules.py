@@ -145,10 +145,19 @@ def upper_bound(k: int, n: int, error: float) -> float:
 MOST_STRATA = 20_000
 
 
-def sequence(stats: list[dict], stratum: str) -> list[tuple[str, int]]:
-    """(rule, cutoff's number) in the order in which a stratum's settings grow; stricter cutoffs of a rule come later."""
-    cost = {(rule, j): sum(s["n"] for s in stats if s["stratum"] != stratum and s[rule] >= len(cutoffs) - j) for rule, (_, cutoffs) in RULES.items() for j in range(len(cutoffs))}
-    return sorted(cost, key=lambda x: (cost[x], (x[1] + 1) / len(RULES[x[0]][1])))
+def losses(stats: list[dict]) -> dict[tuple[str, int], int]:
+    """The good texts that each cutoff rejects, by (rule, cutoff's number)."""
+    return {(rule, j): sum(s["n"] for s in stats if s[rule] >= len(cutoffs) - j) for rule, (_, cutoffs) in RULES.items() for j in range(len(cutoffs))}
+
+
+def sequence(stats: list[dict], stratum: str, total: dict[tuple[str, int], int] | None = None) -> list[tuple[str, int]]:
+    """(rule, cutoff's number) in the order in which a stratum's settings grow; stricter cutoffs of a rule come later.
+
+    The order goes by what the cutoffs reject in the other strata: the ``total`` of all, which is counted once, less the own.
+    """
+    own = losses([s for s in stats if s["stratum"] == stratum])
+    total = losses(stats) if total is None else total
+    return sorted(own, key=lambda x: (total[x] - own[x], (x[1] + 1) / len(RULES[x[0]][1])))
 
 
 def certified(stats: list[dict], risk: float, error: float) -> list[tuple[str, str, float]]:
@@ -156,24 +165,25 @@ def certified(stats: list[dict], risk: float, error: float) -> list[tuple[str, s
 
     ``stats`` has rows (stratum, n, one number for each rule): n good texts, and how many of the rule's cutoffs they pass.
     """
-    sizes: dict[str, int] = {}
+    by: dict[str, list[dict]] = {}
     for s in stats:
-        sizes[s["stratum"]] = sizes.get(s["stratum"], 0) + s["n"]
+        by.setdefault(s["stratum"], []).append(s)
+    sizes, total = {stratum: sum(s["n"] for s in own) for stratum, own in by.items()}, losses(stats)
     # the most strata that can all certify a setting at their share of the error
     large = sorted(sizes, key=lambda x: (-sizes[x], x))
-    able = max((k for k in range(1, len(large) + 1) if upper_bound(0, sizes[large[k - 1]], error / k) <= risk), default=0)
+    able = max((k for k in range(1, len(large) + 1) if binomial_tail(0, sizes[large[k - 1]], risk) <= error / k), default=0)
     out = []
     for stratum in sorted(large[:able]):
-        steps = sequence(stats, stratum)
+        steps = sequence(by[stratum], stratum, total)
         place = {x: t for t, x in enumerate(steps)}
         lost = [0] * len(steps)  # good texts by the first setting that rejects them
-        for s in stats:
-            if s["stratum"] == stratum and (met := [place[rule, len(cutoffs) - s[rule]] for rule, (_, cutoffs) in RULES.items() if s[rule]]):
+        for s in by[stratum]:
+            if (met := [place[rule, len(cutoffs) - s[rule]] for rule, (_, cutoffs) in RULES.items() if s[rule]]):
                 lost[min(met)] += s["n"]
         safe, k = {}, 0
         for (rule, j), more in zip(steps, lost):
             k += more
-            if k / sizes[stratum] > risk or upper_bound(k, sizes[stratum], error / able) > risk:
+            if k / sizes[stratum] > risk or binomial_tail(k, sizes[stratum], risk) > error / able:  # the upper bound lies above the risk
                 break
             safe[rule] = RULES[rule][1][j]
         out += [(stratum, rule, cutoff) for rule, cutoff in safe.items()]

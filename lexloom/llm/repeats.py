@@ -5,7 +5,7 @@ into groups by one digit after another, all of a digit's groups at once in a shu
 with and leaves, and groups that are equal to the full depth are exactly the repeated windows.  Digits are chosen so that
 neighbouring windows, which share most of their bytes, have them in common and travel as one row:
 
-1. *Pieces.*  A window's anchor is the least of its strings of ``width // 2 + 1`` bytes by a hash, the first of equals.  Which
+1. *Pieces.*  A window's anchor is the least of its strings of ``2 * width // 5 + 2`` bytes by a hash, the first of equals.  Which
    one that is depends on the window's bytes alone, so equal windows have equal anchors at equal places.  Windows in a row
    with one anchor form a range, ranges between anchors chosen by hash form a piece.  Pieces with equal bytes hold equal
    windows: those that also stand in an earlier document are decided as a whole.
@@ -47,7 +47,7 @@ _SPAN = "array<struct<s:int,e:int>>"
 
 
 def anchor_bytes(width: int) -> int:
-    return width // 2 + 1
+    return 2 * width // 5 + 2
 
 
 def ranges(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

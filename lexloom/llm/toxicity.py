@@ -255,7 +255,12 @@ def _witnesses(rows: DataFrame, label: int, wanted: np.ndarray | None = None) ->
 
 
 def offensive_words(rows: DataFrame, chance: float = 1e-3) -> np.ndarray:
-    """Sorted hashes of the patterns whose witnesses are toxic too often for chance at the family-wise level ``chance``."""
+    """Sorted hashes of the patterns whose witnesses are toxic too often for chance at the family-wise level ``chance``.
+
+    Beside that exact test a pattern must have three toxic witnesses, as one or two say nothing about a word however rare toxic texts
+    are, and more than three in five of its witnesses must be toxic: a common word that only leans to toxic texts passes the test in
+    a large sample, but doesn't make a text toxic.
+    """
     bad = _witnesses(rows, 1)
     toxic_groups = bad.pop(0, 0)
     words = np.sort(np.array(list(bad), np.int64).view(np.uint64))
@@ -417,7 +422,7 @@ _KINDS = (np.int32, bool, np.int64, np.int64, bool)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and offset by Newton steps with a light penalty; the slope isn't let below 0.1."""
+    """Logistic slope and offset by Newton steps with a light penalty; the slope isn't let below 0.1, so that more evidence never lowers a score."""
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     a = np.zeros(2)

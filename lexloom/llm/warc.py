@@ -5,12 +5,14 @@ counted first; each group of equal payloads of at least ``least`` bytes keeps th
 and the others revisit it.  Counts and groups are written before they are joined, so both sides of each join are plain
 shuffles, of which Spark can split the partition of a digest that a third of all records share; the payloads themselves
 join by id.  The records are built by SQL expressions and written through Spark's file sink, which commits them on any file
-system; a file begins with a warcinfo record and holds a run of complete records, compressed as one gzip stream.
+system; a file begins with a warcinfo record and holds a run of complete records, compressed as one gzip stream.  Each task
+numbers its files by the bytes of the records so far, so a file is cut before it grows beyond ``file_bytes``; only a single larger
+record makes a larger file.
 
 Record ids are unique: an id's only record of a payload is named by both, one of several also by its place in the output.  A
 revisit refers to its response by record id where the response is the only one, and always by target URI and date.
 
-Defined cases: a null payload is empty; rows with one id and one payload are all responses or all revisits; where all
+Defined cases: ids may be of any type with a text form, which the archives hold in url encoding; a null payload is empty; rows with one id and one payload are all responses or all revisits; where all
 ids of a group are null all are responses; line breaks in a url become %0A and %0D.  A very long payload is one record, whole.
 Other columns of the pages aren't read.
 """
@@ -20,9 +22,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +56,11 @@ def target(url: Column) -> Column:
     return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
+def named(page: Column) -> Column:
+    """An id as a header's value, of visible signs only."""
+    return F.url_encode(page.cast("string"))
+
+
 def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest)."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
@@ -75,31 +85,47 @@ def revisits(heads: DataFrame, work: Workspace, least: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 8 << 20, work: Workspace | None = None, **columns: str) -> None:
-    """One record for each row of ``pages``; files hold about ``file_bytes`` of payload."""
+    """One record for each row of ``pages``; files hold ``file_bytes`` of records at most, or one longer record."""
+    bound_batches(pages.sparkSession)
     heads = headers(pages, **columns)
     links = revisits(heads, work or Workspace(pages.sparkSession, "warc"), least)
     links = links.withColumnsRenamed({"page_id": "__id", "payload_digest": "__digest"})
     rows = heads.join(links, heads["page_id"].eqNullSafe(links["__id"]) & (heads["payload_digest"] == links["__digest"]))
-    size = heads.agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("b")).first()
-    per_file = max(1, int(file_bytes * size.n / max(size.b or 1, 1))) if size.n else 1
-    repeat, place = F.col("refers_to").isNotNull(), F.col("__place")
+    repeat, place = F.col("refers_to").isNotNull(), F.monotonically_increasing_id()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
     block = F.when(repeat, http).otherwise(F.concat(http, "payload"))
     kind = F.when(repeat, F.lit("revisit")).otherwise(F.lit("response"))
     name = F.when(F.col("n") == 1, record_id(F.col("page_id"), F.col("payload_digest"))).otherwise(record_id(F.col("page_id"), F.col("payload_digest"), place))
     response = F.when(F.col("refers_n") == 1, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"), F.col("payload_digest")), F.lit(_CRLF))).otherwise(F.lit(""))
-    link = F.concat(F.lit(f"WARC-Profile: {PROFILE}{_CRLF}"), response, F.lit("WARC-Refers-To-Target-URI: "), target(F.col("refers_url")), F.lit(f"{_CRLF}WARC-Refers-To-Date: {DATE}{_CRLF}WARC-Refers-To-Page: "), F.col("refers_to").cast("string"), F.lit(_CRLF))
-    page = F.when(F.col("page_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("WARC-Page: "), F.col("page_id").cast("string"), F.lit(_CRLF)))
+    link = F.concat(F.lit(f"WARC-Profile: {PROFILE}{_CRLF}"), response, F.lit("WARC-Refers-To-Target-URI: "), target(F.col("refers_url")), F.lit(f"{_CRLF}WARC-Refers-To-Date: {DATE}{_CRLF}WARC-Refers-To-Page: "), named(F.col("refers_to")), F.lit(_CRLF))
+    page = F.when(F.col("page_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("WARC-Page: "), named(F.col("page_id")), F.lit(_CRLF)))
     record = F.concat(
         F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), kind, F.lit(f"{_CRLF}WARC-Record-ID: "), name, F.lit(f"{_CRLF}WARC-Date: {DATE}{_CRLF}WARC-Target-URI: "), target(F.col("url")), F.lit(_CRLF), page, F.when(repeat, link).otherwise(F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"), "payload_digest", F.lit(f"{_CRLF}Content-Type: application/http;msgtype=response{_CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block,
     )
-    fields = f"software: lexloom{_CRLF}format: WARC File Format 1.1{_CRLF}"
-    info = F.concat(F.lit(f"WARC/1.1{_CRLF}WARC-Type: warcinfo{_CRLF}WARC-Record-ID: "), record_id(F.lit("info"), place), F.lit(f"{_CRLF}WARC-Date: {DATE}{_CRLF}Content-Type: application/warc-fields{_CRLF}Content-Length: {len(fields)}{_END}{fields}"))
-    # the place's lower 33 bits count a task's rows, so a warcinfo record leads each file of per_file + 1 records
-    leads = F.pmod(F.col("__place").bitwiseAND((1 << 33) - 1), F.lit(per_file)) == 0
-    lines = rows.withColumn("__place", F.monotonically_increasing_id()).select(F.explode(F.when(leads, F.array(info, record)).otherwise(F.array(record))).alias("value"))
-    lines.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file + 1).text(path)
+    lines = rows.select(record.alias("value")).mapInArrow(lambda batches: _filed(batches, file_bytes), "value string, file int, n long")
+    lines = lines.sortWithinPartitions("file", "n").select("value", "file")  # the sink takes a file's records together
+    lines.write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").text(path)
+
+
+def _filed(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A task's records with the numbers of their files; a warcinfo record leads each file."""
+    fields, part, file, used = f"software: lexloom{_CRLF}format: WARC File Format 1.1{_CRLF}", TaskContext.get().partitionId(), -1, 0
+    n = 0
+    for batch in batches:
+        values, files = [], []
+        for record in batch.column(0).to_pylist():
+            size = len(record.encode()) + len(_END)
+            if file < 0 or used + size > file_bytes:
+                file, used = file + 1, 0
+                name = uuid.UUID(hashlib.md5(f"info|{part}|{file}".encode()).hexdigest())
+                values.append(f"WARC/1.1{_CRLF}WARC-Type: warcinfo{_CRLF}WARC-Record-ID: <urn:uuid:{name}>{_CRLF}WARC-Date: {DATE}{_CRLF}Content-Type: application/warc-fields{_CRLF}Content-Length: {len(fields)}{_END}{fields}")
+                files.append(file)
+            used += size
+            values.append(record)
+            files.append(file)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(files, pa.int32()), pa.array(np.arange(n, n + len(values)))], names=["value", "file", "n"])
+        n += len(values)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -118,13 +144,13 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + n
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = False, id_type: str = "long") -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of each record.
 
     A response's length and digest are taken from the payload that is there, and the digest must be the stated one;
-    a revisit's are the stated ones of the payload that it stands for.
+    a revisit's are the stated ones of the payload that it stands for.  Ids are given as ``id_type``.
     """
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload string" * payloads
+    schema = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string" + ", payload string" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +169,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     else:
                         n = int(next(x for x in head.decode().split("\r\n") if x.lower().startswith("content-length:")).partition(":")[2])
                     page, refers = f.get("warc-page"), f.get("warc-refers-to-page")
-                    rows.append((page and int(page), f["warc-target-uri"], kind, n, digest, refers and int(refers), payload.decode())[: len(names)])
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+                    rows.append((page, f["warc-target-uri"], kind, n, digest, refers, payload.decode())[: len(names)])
+                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds[: len(names)]], names=names)
 
     bound_batches(spark)
-    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"part-[^/]*$") & (F.col("length") > 0))
-    return files.select("content").mapInArrow(run, schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"part-[^/]*$") & (F.col("length") > 0))
+    found = files.select("content").mapInArrow(run, schema)
+    return found.withColumns({c: F.url_decode(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, least: int = 0, work: Workspace | None = None) -> DataFrame:
@@ -157,4 +184,4 @@ def round_trip(pages: DataFrame, least: int = 0, work: Workspace | None = None)
     spark = pages.sparkSession
     work = work or Workspace(spark, "warc")
     write_archives(pages, work.at("archives"), least, work=work)
-    return read_archives(spark, work.at("archives"))
+    return read_archives(spark, work.at("archives"), id_type=dict(pages.dtypes)["page_id"])

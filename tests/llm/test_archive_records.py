@@ -11,7 +11,7 @@ from lexloom.llm.shared import Workspace
 def records(path):
     """The records of each file, by hand."""
     out = []
-    for p in sorted(Path(path).glob("part-*")):
+    for p in sorted(Path(path).rglob("part-*")):
         data, one = gzip.decompress(p.read_bytes()), []
         while data:
             head, _, rest = data.partition(b"\r\n\r\n")
@@ -48,3 +48,21 @@ def test_long_payloads_and_extra_columns(spark):
     pages = spark.createDataFrame([(1, "u", long, "x"), (2, "v", long, "y"), (None, None, "", "z")], "page_id long, url string, html string, n string").selectExpr("*", "'c' as refers_to", "'d' as payload_digest")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
     assert got == {1: (1_800_000, "response", None), 2: (1_800_000, "revisit", 1), None: (0, "response", None)}
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", ("%06d" % i) * (25_000 if 100 <= i < 140 else 20)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(pages, f"file://{tmp_path}/a", file_bytes=1 << 20, work=Workspace(spark, "t"))
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in Path(tmp_path / "a").rglob("part-*")]
+    assert max(sizes) <= 2 << 20 and sum(sizes) > 40 * 150_000
+    got = warc.read_archives(spark, f"file://{tmp_path}/a", payloads=True).collect()
+    assert sorted((r.page_id, r.payload) for r in got) == [(i, t) for i, _, t in rows]
+
+
+def test_ids_of_other_types(spark):
+    pages = spark.createDataFrame([("a b+c", "u", "x"), ("é\r\nX: 1", "v", "x"), ("b", "w", "y"), (None, "z", "x")], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {"a b+c": ("response", None), "é\r\nX: 1": ("revisit", "a b+c"), "b": ("response", None), None: ("revisit", "a b+c")}
+    small = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id int, url string, html string")
+    assert dict(warc.round_trip(small).dtypes)["page_id"] == "int" and {r.refers_to for r in warc.round_trip(small).collect()} == {None, 1}

@@ -92,3 +92,12 @@ def test_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 400)
     assert Counter((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in D.leaks(df, bench).collect()) == whole
     assert sorted(r.doc_id for r in D.drop_contaminated(df, bench).collect()) == kept
+
+
+def test_passages_with_ids_of_other_types(spark):
+    texts = docs(spark, [(1, "x " + "the quick brown fox jumps over the lazy dog again and again " + "y"), (2, "nothing here")])
+    bench = spark.createDataFrame([("q0", "The quick brown fox jumps over the lazy dog, again and again!"), (None, "nothing here")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.edits) for r in D.leaks(texts, bench).collect()] == [(1, "q0", 0)]
+    assert D.drop_contaminated(texts, bench).count() == 0
+    narrow = bench.selectExpr("cast(7 as int) as item_id", "text").limit(1)
+    assert [(r.item_id, t) for r in D.leaks(texts, narrow).collect() for t in [dict(D.leaks(texts, narrow).dtypes)["item_id"]]] == [(7, "int")]

@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from lexloom.llm import quality_model as Q
+from lexloom.llm.shared import held_out
 from lexloom.llm.training import temperature
 
 from conftest import SF
@@ -100,3 +101,16 @@ def test_stage_keeps_what_scores_well(spark):
     model = Q.fit(docs_, spark.read.parquet(f"{SF}/labels.parquet"))
     want = {r.doc_id for r in Q.score(docs_, model).where("score >= 0.5").collect()}
     assert {r.doc_id for r in corpus_pipeline.good_quality(spark, docs_, SF).collect()} == want
+
+
+def test_few_labels_and_empty_documents(spark):
+    rng = random.Random(8)
+    texts = [(3 * i, prose(rng, 40) if i % 2 else " | ".join(prose(rng, 40).split())) for i in range(30)]
+    df = docs(spark, texts + [(1000, None), (1001, ""), (1002, " ")])
+    for n in (2, 3, 7):  # any number of labels of both classes gives a network
+        labels = spark.createDataFrame([(i, n % 2) for n, (i, _) in enumerate(texts)], "doc_id long, quality int").where(~held_out("doc_id")).limit(n)
+        model = Q.fit(df, labels)
+        assert (model.weights is not None) == (len({r.quality for r in labels.collect()}) == 2) and 0.04 < model.heat < 21
+    got = {r.doc_id: r.score for r in Q.quality_scores(df, spark.createDataFrame([(i, n % 2) for n, (i, _) in enumerate(texts)], "doc_id long, quality int")).collect()}
+    assert len({got[i] for i in (1000, 1001, 1002)}) == 1 and all(0 <= s <= 1 for s in got.values())
+    assert temperature(np.zeros(0), np.zeros(0)) == pytest.approx(1, rel=1e-3)

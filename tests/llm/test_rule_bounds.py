@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -99,3 +100,17 @@ def test_long_texts_and_text_ids(spark):
     df = spark.createDataFrame([("a", long, None), ("a", long, None), (None, "x", "en")], "doc_id string, text string, lang string")
     got = R.rule_quality(df, spark.createDataFrame([("a", 1)], "doc_id string, quality int")).collect()
     assert sorted((r.doc_id or "", r.n_words, r.n_repeat_words, r.kept) for r in got) == [("", 1, 0, False), ("a", 300_000, 300_000, False), ("a", 300_000, 300_000, False)]
+
+
+def test_many_strata_take_linear_time():
+    rng, rows = np.random.default_rng(3), []
+    for stratum in range(2000):
+        rows += [{"stratum": f"s{stratum}", "n": 40} | {r: int(rng.integers(0, 3)) for r in R.RULES} for _ in range(30)]
+    began = time.process_time()
+    certified = R.certified(rows, 0.03, 0.05)
+    assert time.process_time() - began < 20 and len({s for s, _, _ in certified}) <= 2000
+    few = [r for r in rows if r["stratum"] in ("s1", "s2", "s3")]
+    other = lambda s, rule, j: sum(r["n"] for r in few if r["stratum"] != s and r[rule] >= len(R.RULES[rule][1]) - j)
+    for s in ("s1", "s2", "s3"):
+        costs = [other(s, *x) for x in R.sequence(few, s)]
+        assert costs == sorted(costs)
