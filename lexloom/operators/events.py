@@ -95,3 +95,40 @@ def admissions(events: DataFrame, limit: int, window: float, key: str = "user_id
             yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "wait": waits})
 
     return rows.repartition(key).sortWithinPartitions(key, "t", id_col).mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, wait double")
+
+
+def quiet_pieces(events: DataFrame, window: float, key: str = "user_id", ts_col: str = "ts") -> DataFrame:
+    """``events`` with ``t`` in seconds and ``piece``: a key's history is cut where nothing happened for a window or longer.
+
+    Such a gap lies between two slots of the window's length, as the two events are a slot apart, and they are the last of the one and the
+    first of the other.  So gaps are found among the slots' first and last times, which are summed up before a key's rows meet.
+    """
+    rows = events.withColumn("t", F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6).withColumn("__slot", F.floor(F.col("t") / window))
+    slots = rows.groupBy(F.col(key).alias("__key"), F.col("__slot").alias("__at")).agg(F.min("t").alias("__first"), F.max("t").alias("__last"))
+    by = Window.partitionBy("__key").orderBy("__at")
+    quiet = F.coalesce(~(F.lag("__last").over(by) > F.col("__first") - window), F.lit(True))
+    slots = slots.withColumn("__new", quiet.cast("int")).withColumn("piece", F.sum("__new").over(by)).select("__key", "__at", "piece")
+    return rows.join(slots, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slot") == F.col("__at"))).drop("__key", "__at", "__slot")
+
+
+def split_admissions(events: DataFrame, limit: int, window: float, key: str = "user_id", id_col: str = "event_id", ts_col: str = "ts") -> DataFrame:
+    """(key, id, piece, wait) as ``admissions`` decides, each piece of a key's history by itself: after a gap no earlier hit counts.
+
+    So a key with a long history is many tasks' work; one task has a piece's rows, not a key's.
+    """
+    kinds = dict(events.dtypes)
+    rows = quiet_pieces(events.select(key, id_col, ts_col), window, key, ts_col).select(key, id_col, "piece", "t")
+    if limit <= 0:
+        return rows.select(key, id_col, "piece", F.lit(0.0).alias("wait"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, gate = None, None
+        for pdf in batches:
+            waits = []
+            for k, p, t in zip(pdf[key], pdf["piece"], pdf["t"]):
+                if gate is None or (k, p) != now:
+                    now, gate = (k, p), SlidingWindow(limit, window)
+                waits.append(gate.hit(t))
+            yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "piece": pdf["piece"], "wait": waits})
+
+    return rows.repartition(key, "piece").sortWithinPartitions(key, "piece", "t", id_col).mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, piece long, wait double")

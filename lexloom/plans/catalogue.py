@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse_queries, event_queries, storage_queries, search_queries, text_queries
+from . import browse_queries, event_queries, search_queries, storage_queries, stored_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text_queries, search_queries, browse_queries, event_queries, storage_queries):
+for _part in (text_queries, search_queries, browse_queries, event_queries, storage_queries, stored_queries):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

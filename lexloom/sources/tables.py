@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = logging.getLogger(__name__)
@@ -28,6 +28,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder: what it holds becomes visible at once."""
+    fs, s = _fs(spark, source)
+    t = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if fs.exists(t) or not fs.rename(s, t):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write beside the table and swap: readers see the old or the new one, and a failed write leaves the old."""
     spark, staged, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
@@ -131,19 +150,28 @@ def up_to_date(spark: SparkSession, path: str, **facts: str | int) -> bool:
     return all(str(have.get(k)) == str(v) for k, v in ({"schema_version": SCHEMA_VERSION} | facts).items())
 
 
+def content(df: DataFrame) -> DataFrame:
+    """(rows, a, b): one row that tells a table's content whatever its order and files: the number of rows and sums of two hashes of them."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(name) for seed, name in ((1, "a"), (2, "b"))]
+    return df.agg(F.count("*").alias("rows"), *sums)
+
+
 def copy_table(spark: SparkSession, source: str, target: str) -> int:
-    """Copy a table's files and check sizes, digests and the row count; the number of rows."""
-    fs, s = _fs(spark, source)
-    gs, t = _fs(spark, target)
-    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, s, gs, t, False, spark._jsparkSession.sessionState().newHadoopConf())
-    digests = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha"))
-    a, b = digests(source), digests(target)
-    if a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count():
-        raise OSError(f"{target} differs from {source}")
-    rows, copied = spark.read.parquet(source).count(), spark.read.parquet(target).count()
-    if rows != copied:
-        raise OSError(f"{copied} of {rows} rows")
-    return copied
+    """Copy a table and check its content; the number of rows.
+
+    Tasks read ranges of the source's files and write the copy, on whatever file systems both are; nothing passes through the driver,
+    and no file is held as a whole.  The copy appears by a rename once it agrees.
+    """
+    aside = f"{target}.new-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(source)
+    rows.write.parquet(aside)
+    wanted, copied = content(rows).first(), content(spark.read.parquet(aside)).first()
+    if wanted != copied:
+        remove(spark, aside)
+        raise OSError(f"{aside} differs from {source}: {copied} instead of {wanted}")
+    move(spark, aside, target)
+    return copied["rows"]
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -171,6 +199,59 @@ def expire(spark: SparkSession, path: str, days: int, now: str, ts_col: str = "t
     return before - after
 
 
+def write_daily(events: DataFrame, path: str, ts_col: str = "ts") -> None:
+    """Events dealt out by day, each day in a folder of its own."""
+    events.withColumn("day", F.to_date(ts_col)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def expire_daily(spark: SparkSession, path: str, days: int, now: str, ts_col: str = "ts") -> list[str]:
+    """Remove what is older than ``days`` before ``now`` from a table dealt out by day; the days that were touched.
+
+    Whole days go without being read; only the day of the edge is rewritten, and no other file is.  0 or less keeps all.
+    """
+    if days <= 0:
+        return []
+    rows = spark.read.parquet(path)
+    edge = spark.range(1).select((F.lit(now).cast(dict(rows.dtypes)[ts_col]) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("edge")).select("edge", F.to_date("edge").cast("string").alias("day")).first()
+    old = sorted(n for n in names(spark, path) if n.startswith("day=") and n[4:] < edge.day)
+    touched = [n[4:] for n in old]
+    if edge.day in {n[4:] for n in names(spark, path) if n.startswith("day=")}:
+        day = rows.where(F.col("day") == F.lit(edge.day).cast("date"))
+        kept = day.where(F.col(ts_col) >= F.lit(now).cast(dict(rows.dtypes)[ts_col]) - F.expr(f"INTERVAL {int(days)} DAYS"))
+        if kept.count() < day.count():
+            kept = staged(kept, "edge-day")
+            if kept.limit(1).count():
+                kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+            else:
+                old.append(f"day={edge.day}")
+            touched.append(edge.day)
+    for n in old:
+        remove(spark, f"{path}/{n}")
+    return touched
+
+
+def write_ordered(df: DataFrame, path: str, key: str, parts: int | None = None) -> None:
+    """A table in files of one range of the key each, sorted, beside a small table of fences: each file's least and largest key."""
+    ranged = df.repartitionByRange(*([parts] if parts else []), key).sortWithinPartitions(key)
+    ranged.write.parquet(f"{path}/rows")
+    rows = df.sparkSession.read.parquet(f"{path}/rows")
+    fences = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+    fences.coalesce(1).write.parquet(f"{path}/fences")
+
+
+def page(spark: SparkSession, path: str, key: str, after=None, n: int = 100) -> DataFrame:
+    """The ``n`` rows that follow the key ``after`` (from the start, if none): only the files that hold them are read.
+
+    A deep page costs what the first one does, as it is found by its key and not by an offset.  Keys are unique and not null.
+    """
+    fences = spark.read.parquet(f"{path}/fences")
+    ahead = (fences if after is None else fences.where(F.col("high") > F.lit(after))).orderBy("low")
+    # a row for each file that may be needed: the first holds one row more than ``after`` at least
+    found = ahead.withColumn("before", F.sum("n").over(Window.orderBy("low")) - F.col("n")).where(F.col("before") <= n + F.first("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).limit(n + 1).collect()
+    rows = spark.read.schema(spark.read.parquet(f"{path}/rows").schema).parquet(*[r.file for r in found]) if found else spark.read.parquet(f"{path}/rows").limit(0)
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(n)
+
+
 def export_messages(messages: DataFrame, locales: list[str]) -> DataFrame:
     """(key, one column for each locale) with backslashes, tabs and line feeds escaped."""
     text = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
