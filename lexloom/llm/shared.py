@@ -24,6 +24,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
+        self.named: list[str] = []  # tables of the catalogue that lie here
         self.spark, self.tidy, self.path = spark, tidy, f"{root.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:
@@ -46,6 +47,8 @@ class Workspace:
 
     def remove(self) -> None:
         """Remove the folder with all its tables."""
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self._delete(self.path)
 
     def _delete(self, where: str) -> None:
@@ -59,6 +62,12 @@ class Workspace:
         self.remove()
 
 
+def file_names(spark: SparkSession, where: str) -> list[str]:
+    """The names in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return [x.getPath().getName() for x in path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)]
+
+
 _LOCAL: dict[str, str] = {}
 
 

@@ -21,6 +21,7 @@ or of any orderable type.  A very long text is one slice by itself, tokenised wh
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import Workspace, bare, small
+from .shared import Workspace, bare, file_names, small
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
@@ -114,6 +115,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, ranks: bytes) -> Dat
 def _bucketed(df: DataFrame, work: Workspace, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` written in buckets of ``key``, each task its own rows: later joins on the key don't shuffle it."""
     spark, table = df.sparkSession, f"lexloom_{name}_{uuid.uuid4().hex[:12]}"
+    work.named.append(table)
     df.write.bucketBy(buckets, key).option("path", work.at(name)).option("compression", "uncompressed").format("parquet").saveAsTable(table)
     return spark.table(table)
 
@@ -285,10 +287,14 @@ class Shards:
         spark, lay = self.placed.sparkSession, self.layout
         length, per = lay.length, lay.per_shard
         last = min(lay.sequences, lay.sequences if count is None else first + count)
-        files = spark.read.format("binaryFile").load(self.path).select("path", "content")
         name = r"part-(\d+)-[^/]*-c(\d+)[^/]*$"
         shard = F.regexp_extract("path", name, 1).cast("long") * lay.per_task + F.regexp_extract("path", name, 2).cast("long")
-        files = files.where(F.col("path").rlike(name) & (shard >= first // per) & (shard <= max(last - 1, 0) // per))
+        wanted = range(first // per, max(last - 1, 0) // per + 1)
+        paths = [f"{self.path}/{x}" for x in file_names(spark, self.path) if (m := re.search(name, x)) and int(m[1]) * lay.per_task + int(m[2]) in wanted]
+        if first >= last or not paths:
+            return spark.createDataFrame([], "slot long, found long" if checksums else "slot long, ids binary")
+        # all shards are named by their folder; some of them one by one, so that no other is opened
+        files = spark.read.format("binaryFile").load(self.path if len(wanted) * per >= lay.sequences else paths).select("path", "content").where(F.col("path").rlike(name))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -100,3 +100,19 @@ def test_long_texts_and_text_ids(spark):
     index = T.shard_index(df).collect()
     assert all(r.intact for r in index)
     assert sum(p.n_tokens for r in index for p in r.docs if p.doc_id == "a") == sum(p.n_tokens for r in index for p in r.docs if p.doc_id is None) > 100_000
+
+
+def test_reading_opens_the_wanted_shards_only(spark):
+    from lexloom.llm.shared import Workspace
+
+    with Workspace(spark, "t") as work:
+        shards = T.write_shards(docs(spark, rows()), length=64, shard_bytes=2048, work=work)
+        per, every = shards.layout.per_shard, held(shards)
+        assert shards.sequences > 3 * per
+        for first, count in ((0, 1), (per, 1), (per - 1, 2), (2 * per + 1, per)):
+            part = shards.read(first, count)
+            assert len(part.inputFiles()) == len({s // per for s in range(first, first + count)})
+            assert {r.slot: bytes(r.ids) for r in part.collect()} == {s: every[s] for s in range(first, first + count)}
+        assert shards.read(shards.sequences, 5).count() == 0 and shards.read(0, 0).count() == 0
+        assert work.named and all(spark.catalog.tableExists(n) for n in work.named)
+    assert not any(spark.catalog.tableExists(n) for n in work.named)
