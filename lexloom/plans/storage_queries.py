@@ -1,10 +1,15 @@
 """Queries of storage and evaluation over the given tables: loads, round trips, copies, expiry, reports, kept vectors."""
 
 from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from ..functions import text as T
 from ..operators import entries, evaluate, incremental, keys, retrieval
 from ..sources import tables
+from . import search_queries
+from . import sqltext as S
 from .registry import Registry
 
 query = Registry()
@@ -109,4 +114,13 @@ def dense_hits(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.flagged_metrics(found, queries, 10).select("qid", "hit1", "hit5", "hit10")
 
 
+@query(f"""WITH g AS (SELECT DISTINCT item_id, {S.gloss_key("s")} AS k FROM (SELECT item_id, unnest(string_split_regex(text, '[.\n]')) AS s FROM benchmark)),
+f AS (SELECT DISTINCT doc_id, {S.gloss_key("s")} AS k FROM (SELECT doc_id, unnest(string_split_regex(text, '[.\n]')) AS s FROM documents)) SELECT DISTINCT item_id AS qid, doc_id AS id FROM g JOIN f USING (k) WHERE k <> ''""")
+def relevant_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of which some form is one of a query's expected answers: sentences of documents and of benchmark items."""
+    gold = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.transform(F.split("text", r"[.\n]"), T.gloss_key).alias("expected"))
+    forms = search_queries.sentence_keys(search_queries.texts(spark, d)).where(F.col("kind") == keys.ALL).select(F.col("key").alias("form"), "id")
+    return evaluate.gold_relevance(gold.select("qid", F.filter("expected", lambda k: k != "").alias("expected")), forms)
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -246,8 +246,10 @@ def page(spark: SparkSession, path: str, key: str, after=None, n: int = 100) ->
     """
     fences = spark.read.parquet(f"{path}/fences")
     ahead = (fences if after is None else fences.where(F.col("high") > F.lit(after))).orderBy("low")
-    # a row for each file that may be needed: the first holds one row more than ``after`` at least
-    found = ahead.withColumn("before", F.sum("n").over(Window.orderBy("low")) - F.col("n")).where(F.col("before") <= n + F.first("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).limit(n + 1).collect()
+    # the first file holds one row more than ``after`` at least, the following ones count whole
+    upto = Window.orderBy("low")
+    ahead = ahead.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "first": F.first("n").over(upto)})
+    found = ahead.where(F.col("before") <= n + F.col("first")).orderBy("low").limit(n + 1).collect()  # a row for each file that may be needed
     rows = spark.read.schema(spark.read.parquet(f"{path}/rows").schema).parquet(*[r.file for r in found]) if found else spark.read.parquet(f"{path}/rows").limit(0)
     return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(n)
 
