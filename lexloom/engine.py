@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .functions import japanese as J
 from .functions import text as T
 from .functions.providers import Encoder, encoded
-from .operators import browse, entries, incremental, keys, retrieval, segmentation
+from .operators import browse, entries, incremental, keys, maintained, retrieval, segmentation
 from .sources import markup, tables
 
+#: The share of stored postings' entries that may have gone before an index is compacted.
+WORN = 0.3
+
 
 @dataclass
 class Engine:
-    """Tables under one path: entries, match_keys, form_index, postings, corpus, kanji, and vectors if an encoder was given."""
+    """Tables under one path: entries, match_keys, form_index, the text index in segments, corpus, kanji, and vectors if an encoder was given."""
 
     spark: SparkSession
     path: str
@@ -32,7 +35,7 @@ class Engine:
     def build(self, dictionary: str, characters: str | None = None, strokes: str | None = None, frequencies: DataFrame | None = None, encoder: Encoder | None = None, common_only: bool = False) -> None:
         """All tables from the sources; each replaces its predecessor as a whole."""
         rows = entries.payload(entries.build_entries(markup.dictionary(self.spark, dictionary), frequencies))
-        self._derive(entries.common_subset(rows) if common_only else rows)
+        self._derive(entries.common_subset(rows) if common_only else rows, renew=True)
         if characters:
             kanji = markup.characters(self.spark, characters)
             # missing drawings leave the column empty; a missing character table is an error
@@ -45,13 +48,21 @@ class Engine:
         dated = markup.generation_dates(self.spark, dictionary).agg(F.max("date")).first()[0]
         tables.write_metadata(self.spark, f"{self.path}/metadata", built, dictionary=dictionary, dictionary_date=dated or "")
 
-    def _derive(self, rows: DataFrame) -> None:
+    def _derive(self, rows: DataFrame, renew: bool = False) -> None:
         tables.replace_table(rows, f"{self.path}/entries")
         known = self.table("entries")
         tables.replace_table(keys.match_keys(known).repartitionByRange("key").sortWithinPartitions("key"), f"{self.path}/match_keys")
-        words = known.select("id", F.col("sparse_text").alias("text"))
-        tables.replace_table(keys.postings(words).repartitionByRange("term").sortWithinPartitions("term", "id"), f"{self.path}/postings")
-        tables.replace_table(keys.corpus_size(words), f"{self.path}/corpus")
+        words, index = known.select("id", F.col("sparse_text").alias("text"), "sig"), f"{self.path}/index"
+        # a new version of the entries writes the postings of what differs; much that doesn't count is cleared away
+        if renew or not self.has("index"):
+            maintained.build(words, index)
+        else:
+            maintained.refresh(words, index)
+            if maintained.overhead(self.spark, index) > WORN:
+                maintained.compact(self.spark, index)
+        maintained.sweep(self.spark, index)
+        now = maintained.read(self.spark, index)
+        tables.replace_table(self.spark.createDataFrame([(now.n_docs, now.avg_dl)], "n_docs long, avg_dl double"), f"{self.path}/corpus")
         tables.replace_table(keys.form_index(known).repartitionByRange("form").sortWithinPartitions("form", "ord"), f"{self.path}/form_index")
 
     def refresh(self, dictionary: str, frequencies: DataFrame | None = None, encoder: Encoder | None = None, full: bool = True) -> DataFrame:
@@ -70,7 +81,7 @@ class Engine:
     # searching
 
     def store(self) -> retrieval.Store:
-        return retrieval.Store(self.table("entries").withColumn("text", F.col("sparse_text")), self.table("match_keys"), self.table("vectors") if self.has("vectors") else None, self.table("postings"), self.table("corpus"))
+        return retrieval.Store(self.table("entries").withColumn("text", F.col("sparse_text")), self.table("match_keys"), self.table("vectors") if self.has("vectors") else None, index=maintained.read(self.spark, f"{self.path}/index"))
 
     def search(self, queries: DataFrame, n: int = 10, mode: str = "auto", rewrite_mode: str = "heuristic") -> DataFrame:
         """Results (qid, rank, score, entry fields, variants, ruby, inflection) of queries (qid, query[, qv][, japanese]).

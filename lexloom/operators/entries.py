@@ -75,14 +75,23 @@ def commonness(marks: Column, band: Column) -> Column:
 
 def head_words(glosses: Column) -> Column:
     """First words of glosses of several words that don't open like a verb or a conjunction."""
-    keys = F.transform(glosses, T.gloss_key)
+    return _heads(F.transform(glosses, T.gloss_key))
+
+
+def _heads(keys: Column) -> Column:
     good = F.filter(keys, lambda k: k.contains(" ") & ~k.rlike("^(?:" + "|".join(NO_HEAD) + ")") & F.split(k, " ")[0].rlike(r"^\p{L}+$"))
     return F.transform(good, lambda k: F.split(k, " ")[0])
 
 
 def key_set(glosses: Column, heads: bool = True) -> Column:
-    keys = F.flatten(F.transform(glosses, T.gloss_keys))
-    return F.array_sort(F.array_distinct(F.concat(keys, head_words(glosses)) if heads else keys))
+    """Sorted keys of glosses, and their head words."""
+
+    def derived(keys: Column) -> Column:
+        plain = F.flatten(F.transform(keys, T.keys_of))
+        return F.array_sort(F.array_distinct(F.concat(plain, _heads(keys)) if heads else plain))
+
+    # as an argument of a function the keys are worked out once, not at each use
+    return F.get(F.transform(F.array(F.transform(glosses, T.gloss_key)), derived), F.lit(0))
 
 
 def restrictions(readings: Column) -> Column:

@@ -80,8 +80,9 @@ def _tokenised(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, path: str, size: int = pruned.BLOCK) -> None:
-    """An index of ``docs`` (id, text, sig); ``sig`` tells whether an entry has changed."""
-    _write(docs.sparkSession, path, (0, True), _tokenised(docs), None, (0, 0), size)
+    """An index of ``docs`` (id, text, sig), in the place of any that is there; ``sig`` tells whether an entry has changed."""
+    before = [n for n, _ in _segments(docs.sparkSession, path)]
+    _write(docs.sparkSession, path, (before[-1] + 1 if before else 0, True), _tokenised(docs), None, (0, 0), size)
 
 
 def refresh(docs: DataFrame, path: str, full: bool = True, size: int = pruned.BLOCK) -> DataFrame:

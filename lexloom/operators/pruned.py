@@ -120,12 +120,17 @@ class Index:
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (seg, id, ...) of entries that count."""
-        return rows if self.gone is None else rows.join(self.gone, ["seg", "id"], "left_anti")
+        return rows if self.gone is None else rows.join(self.gone, ["seg", "id"], "left_anti").select(*rows.columns)
 
     @property
     def forward(self) -> DataFrame:
         return self.live(self.stored)
 
+    def hits(self, words: DataFrame) -> DataFrame:
+        """(w, id, tf, dl): the postings of words (term, w) that count; blocks of other words aren't unpacked."""
+        rows = self.blocks.join(F.broadcast(words), "term").select("seg", "w", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return self.live(rows.select("seg", "w", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))).drop("seg")
+
     def grown(self, value: Column) -> Column:
         """A bound on a contribution under today's average length."""
         return value * F.greatest(F.lit(1.0), F.lit(self.avg_dl) / F.col("built"))

@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import staged
 from . import keys as K
 
+if TYPE_CHECKING:
+    from .pruned import Index
+
 #: Published constants of BM25 and of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Weights of the formula, and the least pool.
@@ -53,6 +57,8 @@ class Store:
     postings: DataFrame | None = None
     corpus: DataFrame | None = None
     texts: DataFrame | None = None
+    #: Stored segments in the place of the postings and the corpus row (``pruned.Index``).
+    index: Index | None = None
 
 
 class Best:
@@ -113,8 +119,8 @@ class Corpus:
     df: np.ndarray
 
     @staticmethod
-    def of(queries: DataFrame, docs: DataFrame | None, id_col: str = "id", text_col: str = "text", q_col: str = "q", stored: tuple[DataFrame, DataFrame] | None = None) -> Corpus:
-        """From texts, or from ``stored`` (postings, corpus) tables as the engine keeps them."""
+    def of(queries: DataFrame, docs: DataFrame | None, id_col: str = "id", text_col: str = "text", q_col: str = "q", stored: tuple[DataFrame, DataFrame] | Index | None = None) -> Corpus:
+        """From texts, from ``stored`` (postings, corpus) tables, or from segments as the engine keeps them."""
         asked = queries.select("qid", F.array_distinct(T.tokens(q_col)).alias("t")).orderBy("qid").toArrow()  # a block of queries
         t = asked["t"].combine_chunks()
         known = pc.unique(t.flatten()) if len(t) else pa.array([], pa.string())
@@ -126,11 +132,10 @@ class Corpus:
             rows = staged(_counted(docs.select(docs[id_col].alias("id"), T.tokens(text_col).alias("t")), known), "corpus")
             size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
         else:
-            postings, corpus = stored
-            table = spark.createDataFrame(pa.table({"term": known, "w": pa.array(range(len(known)), pa.int32())}))
-            hits = postings.join(F.broadcast(table), "term")  # a block's words
+            table = spark.createDataFrame(pa.table({"term": known, "w": pa.array(range(len(known)), pa.int32())}))  # a block's words
+            hits = stored[0].join(F.broadcast(table), "term") if isinstance(stored, tuple) else stored.hits(table)
             rows = staged(hits.groupBy("id", "dl").agg(F.collect_list(F.struct("w", F.col("tf").cast("int").alias("tf"))).alias("x")).select("id", F.col("dl").cast("int").alias("dl"), F.col("x.w").alias("n"), F.col("x.tf").alias("tf")), "corpus")
-            size = corpus.select(F.col("n_docs").alias("n"), F.col("avg_dl").alias("a")).first()
+            size = stored[1].select(F.col("n_docs").alias("n"), F.col("avg_dl").alias("a")).first() if isinstance(stored, tuple) else Row(n=stored.n_docs, a=stored.avg_dl)
         df = np.zeros(len(known), np.int64)
         for r in rows.select(F.explode("n").alias("n")).groupBy("n").agg(F.count("*").alias("df")).collect():  # one row for each word
             df[r.n] = r.df
@@ -206,7 +211,7 @@ def _counted(docs: DataFrame, known: pa.Array) -> DataFrame:
 
 def corpora(queries: DataFrame, store: Store) -> list[Corpus]:
     """The store's corpus for each block of queries."""
-    stored = (store.postings, store.corpus) if store.postings is not None else None
+    stored = store.index or ((store.postings, store.corpus) if store.postings is not None else None)
     texts = store.entries if store.texts is None else store.texts
     return [Corpus.of(block, texts, stored=stored) for block in _blocks(queries, WORD_BLOCK)]
 
@@ -348,7 +353,7 @@ def search(queries: DataFrame, store: Store, n: int = 5, mode: str = "auto", rew
     ja = queries["japanese"] if "japanese" in queries.columns else None
     vec = "qv" if "qv" in queries.columns else None
     # without query vectors the dense arms stay out
-    store = store if vec else Store(store.entries, store.keys, postings=store.postings, corpus=store.corpus, texts=store.texts)
+    store = store if vec else Store(store.entries, store.keys, postings=store.postings, corpus=store.corpus, texts=store.texts, index=store.index)
     ok = queries.where(~T.too_long("query"))
     asked = ok.withColumn("__r", T.rewrite(F.lower(T.one_spaced("query")), rewrite_mode, japanese=ja))
     tried = F.array_distinct(F.when(F.lit(mode == "auto"), F.concat(F.col("__r.japanese"), F.array("__r.query"))).otherwise(F.array("__r.query")))
