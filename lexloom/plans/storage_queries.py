@@ -114,6 +114,21 @@ def dense_hits(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.flagged_metrics(found, queries, 10).select("qid", "hit1", "hit5", "hit10")
 
 
+@query(f"""WITH f AS (SELECT doc_id, unnest(list_distinct({S.tokens("text")})) AS form FROM documents), w AS (SELECT DISTINCT unnest({S.tokens("text")}) AS form FROM benchmark)
+SELECT form, min(doc_id) AS ord, count(*) AS n FROM f WHERE form IN (SELECT form FROM w) GROUP BY 1""")
+def form_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the benchmark looked up in a written index of the documents' words, beside words that aren't there: joined, and few of them by filter."""
+    words = lambda name, c: spark.read.parquet(f"{d}/{name}.parquet").select(c, F.explode(F.array_distinct(T.tokens("text"))).alias("form"))
+    path = tables.scratch(spark, "forms")
+    tables.write_index(words("documents", F.col("doc_id").alias("id")).groupBy("form").agg(F.min("id").alias("ord"), F.count("*").alias("n")), path)
+    wanted = words("benchmark", "item_id").select("form").distinct()
+    few = wanted.orderBy("form").limit(50)
+    found = tables.staged(tables.lookup(spark, path, wanted.unionByName(wanted.select(F.concat(F.lit("~"), "form").alias("form")))), "found")
+    by_filter = tables.lookup(spark, path, few.unionByName(few.select(F.concat(F.lit("~"), "form").alias("form"))))
+    same = tables.content(by_filter.select("form", "ord", "n")).first() == tables.content(found.join(few, "form", "left_semi").select("form", "ord", "n")).first()
+    return found.select("form", "ord", "n").where(F.lit(same))
+
+
 @query(f"""WITH g AS (SELECT DISTINCT item_id, {S.gloss_key("s")} AS k FROM (SELECT item_id, unnest(string_split_regex(text, '[.\n]')) AS s FROM benchmark)),
 f AS (SELECT DISTINCT doc_id, {S.gloss_key("s")} AS k FROM (SELECT doc_id, unnest(string_split_regex(text, '[.\n]')) AS s FROM documents)) SELECT DISTINCT item_id AS qid, doc_id AS id FROM g JOIN f USING (k) WHERE k <> ''""")
 def relevant_entries(spark: SparkSession, d: str) -> DataFrame:

@@ -132,8 +132,24 @@ def load_entries(spark: SparkSession, path: str, common_only: bool = False, limi
 
 
 def write_index(index: DataFrame, path: str, parts: int = 8) -> None:
-    """A form index, dealt out by form and sorted, so lookups skip files by their least and largest form."""
-    index.repartitionByRange(parts, "form").sortWithinPartitions("form", "ord").write.mode("overwrite").parquet(path)
+    """A form index, dealt out by form and sorted, with a Bloom filter of each row group's forms: lookups skip files and row groups by
+    their least and largest form, and those that hold no wanted form between them by their filters."""
+    sorted_rows = index.repartitionByRange(parts, "form").sortWithinPartitions("form", "ord")
+    sorted_rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#form", "true").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
+#: Bytes of a row group of a form index, and forms up to which a lookup names them in its filter.
+ROW_GROUP, NAMED = 1 << 20, 1000
+
+
+def lookup(spark: SparkSession, path: str, forms: DataFrame, form_col: str = "form") -> DataFrame:
+    """The rows of a written form index for wanted forms.
+
+    Up to ``NAMED`` forms go into the scan's filter, by which row groups without any are skipped; more are joined.
+    """
+    rows, wanted = spark.read.parquet(path), forms.select(F.col(form_col).alias("form")).where("form is not null").distinct()
+    few = [r.form for r in wanted.limit(NAMED + 1).collect()]
+    return rows.where(F.col("form").isin(few)) if len(few) <= NAMED else rows.join(wanted, "form", "left_semi")
 
 
 def write_metadata(spark: SparkSession, path: str, counts: dict[str, DataFrame] | None = None, **facts: str | int) -> None:

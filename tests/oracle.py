@@ -41,4 +41,5 @@ def differences(df, con, sql: str) -> tuple[list, list]:
     theirs = sorted(repr(tuple(norm(r[i]) for i in at)) for r in cur.fetchall())
     if ours == theirs:
         return [], []
-    return [x for x in ours if x not in set(theirs)][:3] or ["repeated"], [x for x in theirs if x not in set(ours)][:3] or ["repeated"]
+    a, b = set(ours), set(theirs)
+    return [x for x in ours if x not in b][:3] or ["repeated"], [x for x in theirs if x not in a][:3] or ["repeated"]
