@@ -85,10 +85,10 @@ def _spans(groups: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, text, rk): the row's key is a digest of id and text, equal for rows that get the same result."""
+    """(d, text, r1, r2): the row's key is a digest of id and text, equal for rows that get the same result."""
     own = bare(docs, id_col, text_col).toDF("d", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    named = F.concat(F.coalesce(F.concat(F.lit("="), F.col("d").cast("string")), F.lit("")), F.lit("\u0000"), F.col("text"))
-    return own.withColumn("rk", F.unhex(F.md5(named)))
+    named = [F.coalesce(F.concat(F.lit("="), F.col("d").cast("string")), F.lit("")), F.col("text")]
+    return own.withColumns({"r1": F.xxhash64(F.lit(1), *named), "r2": F.xxhash64(F.lit(2), *named)})
 
 
 def _longs(digests: list[bytes]) -> list[pa.Array]:
@@ -98,7 +98,7 @@ def _longs(digests: list[bytes]) -> list[pa.Array]:
 
 
 def _pieces(keyed: DataFrame, width: int, cut: int, kind: str) -> DataFrame:
-    """(rk, d, k1, k2, spans, hs): the different pieces of each text, where their windows begin and end, and their anchors."""
+    """(r1, r2, d, k1, k2, spans, hs): the different pieces of each text, where their windows begin and end, and their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +115,10 @@ def _pieces(keyed: DataFrame, width: int, cut: int, kind: str) -> DataFrame:
                 rows, first = pa.array([lo + r for r, _ in found]), np.array([n for n, _ in found.values()])
                 size = (last - c + 1)[first]
                 anchors = h[np.repeat(c[first], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].view(np.int64)
-                cols = [batch.column(2).take(rows), batch.column(0).take(rows), *_longs([k for _, k in found]), _spans([x for _, x in found.values()]), _lists(size.tolist(), pa.array(anchors))]
-                yield pa.RecordBatch.from_arrays(cols, names=["rk", "d", "k1", "k2", "spans", "hs"])
+                cols = [batch.column(2).take(rows), batch.column(3).take(rows), batch.column(0).take(rows), *_longs([k for _, k in found]), _spans([x for _, x in found.values()]), _lists(size.tolist(), pa.array(anchors))]
+                yield pa.RecordBatch.from_arrays(cols, names=["r1", "r2", "d", "k1", "k2", "spans", "hs"])
 
-    return keyed.mapInArrow(run, f"rk binary, d {kind}, k1 long, k2 long, spans {_SPAN}, hs array<long>")
+    return keyed.mapInArrow(run, f"r1 long, r2 long, d {kind}, k1 long, k2 long, spans {_SPAN}, hs array<long>")
 
 
 def _open(begin: np.ndarray, row: np.ndarray, offsets: np.ndarray, decided: pa.Array) -> np.ndarray:
@@ -139,7 +139,7 @@ def _lengths(lists: pa.Array) -> np.ndarray:
 
 
 def _contexts(keyed: DataFrame, width: int, kind: str) -> DataFrame:
-    """(rk, d, h, k1, k2, off, n, ctx, starts): the different open ranges of each text (d, text, rk, spans, met) whose anchors are met.
+    """(r1, r2, d, h, k1, k2, off, n, ctx, starts): the different open ranges of each text (d, text, r1, r2, spans, met) whose anchors are met.
 
     ``ctx`` holds the bytes of the range's ``n`` windows, ``off`` is the anchor's place in it, ``starts`` are its places.
     """
@@ -150,10 +150,10 @@ def _contexts(keyed: DataFrame, width: int, kind: str) -> DataFrame:
                 begin, end, at, row, h = ranges(data, offsets, width)
                 if not len(begin):
                     continue
-                met = batch.column(4).slice(lo, hi - lo)
+                met = batch.column(5).slice(lo, hi - lo)
                 wanted = met.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 # hashes of all rows of the slice: a hash that only another row has met costs a row, not a result
-                use = _open(begin, row, offsets, batch.column(3).slice(lo, hi - lo)) & np.isin(h, wanted)
+                use = _open(begin, row, offsets, batch.column(4).slice(lo, hi - lo)) & np.isin(h, wanted)
                 raw = data.tobytes()
                 found: dict[tuple[int, int, bytes], tuple[int, list[int]]] = {}
                 for r, s, e, a, o, x in zip(row[use].tolist(), begin[use].tolist(), end[use].tolist(), at[use].tolist(), offsets[row[use]].tolist(), h[use].view(np.int64).tolist()):
@@ -162,15 +162,21 @@ def _contexts(keyed: DataFrame, width: int, kind: str) -> DataFrame:
                 off, ctx, starts = [o for _, o, _ in found], [c for _, _, c in found], [s for _, s in found.values()]
                 cols = [pa.array([x for x, _ in found.values()], pa.int64()), *_longs([blake2b(b"%d|" % o + c, digest_size=16).digest() for o, c in zip(off, ctx)]), pa.array(off, pa.int32()), pa.array([len(c) - width + 1 for c in ctx], pa.int32()), pa.array(ctx, pa.binary())]
                 flat = pa.array(np.array([s for one in starts for s in one], np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(0).take(rows), *cols, _lists([len(s) for s in starts], flat)], names=["rk", "d", "h", "k1", "k2", "off", "n", "ctx", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(3).take(rows), batch.column(0).take(rows), *cols, _lists([len(s) for s in starts], flat)], names=["r1", "r2", "d", "h", "k1", "k2", "off", "n", "ctx", "starts"])
 
-    return keyed.select("d", "text", "rk", "spans", "met").mapInArrow(run, f"rk binary, d {kind}, h long, k1 long, k2 long, off int, n int, ctx binary, starts array<int>")
+    return keyed.select("d", "text", "r1", "r2", "spans", "met").mapInArrow(run, f"r1 long, r2 long, d {kind}, h long, k1 long, k2 long, off int, n int, ctx binary, starts array<int>")
 
 
-def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """(key, least): the keys that stand in two documents or more, with the least id; null ids are one document after all others."""
-    found = rows.groupBy(*key).agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("named"), F.count("*").alias("all"))
-    return found.where("least < most or named > 0 and named < all").select(*key, "least")
+def _repeated(rows: DataFrame, nameless: bool, *key: str) -> DataFrame:
+    """(key, least): the keys that stand in two documents or more, with the least id.
+
+    With ``nameless`` some ids may be null; these are one document after all others, and are counted apart.
+    """
+    found = [F.min("d").alias("least"), F.max("d").alias("most")]
+    if nameless:
+        rows = rows.groupBy(*key).agg(*found, F.max(F.col("d").isNull()).alias("null"))
+        return rows.where("least < most or least is not null and null").select(*key, "least")
+    return rows.groupBy(*key).agg(*found).where("least < most").select(*key, "least")
 
 
 #: Of a row joined with its key's least id: whether that is an earlier document's.
@@ -182,30 +188,30 @@ def _few(keys: DataFrame) -> DataFrame:
     return keys.hint("shuffle_hash")
 
 
-def _found(keyed: DataFrame, width: int, cut: int, work: Workspace) -> DataFrame:
-    """(rk, spans): for each text that has any, its windows that also begin in an earlier document, as spans of starts."""
+def _found(keyed: DataFrame, width: int, cut: int, nameless: bool, work: Workspace) -> DataFrame:
+    """(r1, r2, spans): for each text that has any, its windows that also begin in an earlier document, as spans of starts."""
     kind, k, half = dict(keyed.dtypes)["d"], anchor_bytes(width), (width - anchor_bytes(width)) // 2
-    both = ["k1", "k2"]
+    both, own = ["k1", "k2"], ["r1", "r2"]
     pieces = work.table(_pieces(keyed, width, cut, kind), "pieces")
-    twice = work.table(_repeated(pieces, *both), "piece-keys")
+    twice = work.table(_repeated(pieces, nameless, *both), "piece-keys")
     whole = pieces.drop("hs").join(_few(twice), both).where(_LATER)
-    whole = work.table(whole.groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans")), "whole-pieces")  # one text's spans
+    whole = work.table(whole.groupBy(*own).agg(F.flatten(F.collect_list("spans")).alias("spans")), "whole-pieces")  # one text's spans
     left = pieces.drop("spans").join(_few(twice), both, "left").where(f"not coalesce({_LATER}, false)")
-    anchors = work.table(left.select("rk", "d", F.explode("hs").alias("h")), "anchors")
+    anchors = work.table(left.select(*own, "d", F.explode("hs").alias("h")), "anchors")
     work.drop("pieces")
     work.drop("piece-keys")
 
-    twice = work.table(_repeated(anchors, "h").select("h"), "anchor-keys")
-    met = work.table(anchors.join(_few(twice), "h").groupBy("rk").agg(F.collect_list("h").alias("met")), "met")  # one text's anchors
+    twice = work.table(_repeated(anchors, nameless, "h").select("h"), "anchor-keys")
+    met = work.table(anchors.join(_few(twice), "h").groupBy(*own).agg(F.collect_list("h").alias("met")), "met")  # one text's anchors
     work.drop("anchors")
     work.drop("anchor-keys")
 
-    contexts = _contexts(keyed.join(_few(met.join(whole, "rk", "left")), "rk"), width, kind)
+    contexts = _contexts(keyed.join(_few(met.join(whole, own, "left")), own), width, kind)
     contexts = work.table(contexts.withColumn("cid", F.monotonically_increasing_id()), "contexts")  # written, the numbers stay
     work.drop("met")
-    twice = work.table(_repeated(contexts, *both), "context-keys")
+    twice = work.table(_repeated(contexts, nameless, *both), "context-keys")
     later = work.table(contexts.select("cid", "d", *both).join(_few(twice), both).where(_LATER).select("cid"), "later")
-    first = contexts.drop("rk", "starts").join(_few(twice), both, "left").where(f"not coalesce({_LATER}, false)")
+    first = contexts.drop(*own, "starts").join(_few(twice), both, "left").where(f"not coalesce({_LATER}, false)")
     first = work.table(first.select("cid", "d", "h", "off", "n", "ctx"), "first")
     work.drop("context-keys")
 
@@ -214,19 +220,23 @@ def _found(keyed: DataFrame, width: int, cut: int, work: Workspace) -> DataFrame
     far = F.struct(F.lit(1).alias("side"), F.expr(f"substring(ctx, off - {half}, {k + half + 1})").alias("part"), F.lit(0).alias("lo"), F.least(F.col("n"), F.col("off") - F.lit(half)).alias("hi"))
     sides = F.filter(F.array(near, far), lambda x: x["lo"] < x["hi"])
     halves = first.select("cid", "d", "h", "ctx", F.explode(sides).alias("x")).select("cid", "d", "ctx", "x.lo", "x.hi", F.xxhash64("h", "x.side", "x.part").alias("cell"))
-    twice = work.table(_repeated(halves.select("cell", "d"), "cell").select("cell"), "half-keys")
+    twice = work.table(_repeated(halves.select("cell", "d"), nameless, "cell").select("cell"), "half-keys")
     windows = halves.join(_few(twice), "cell").select("cid", "d", "ctx", F.explode(F.expr("sequence(lo, hi - 1)")).alias("at"))
     text = F.expr(f"substring(ctx, at + 1, {width})")
     windows = work.table(windows.select("cid", "d", "at", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")), "windows")
-    twice = work.table(_repeated(windows, *both), "window-keys")
+    work.drop("first")
+    work.drop("half-keys")
+    twice = work.table(_repeated(windows, nameless, *both), "window-keys")
     single = windows.join(_few(twice), both).where(_LATER).groupBy("cid").agg(F.collect_list("at").alias("ats"))  # one range's windows
 
     marks = work.table(later.select("cid", F.lit(None).cast("array<int>").alias("ats")).unionByName(single), "marks")
+    work.drop("windows")
+    work.drop("window-keys")
     ends = F.when(F.col("ats").isNull(), F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("n") - 1).alias("e"))))
     ends = ends.otherwise(F.flatten(F.transform("starts", lambda s: F.transform("ats", lambda a: F.struct((s + a).alias("s"), (s + a).alias("e"))))))
-    ranged = work.table(contexts.select("cid", "rk", "starts", "n").join(_few(marks), "cid").select("rk", ends.alias("spans")), "ranged")
-    out = work.table(whole.unionByName(ranged).groupBy(F.struct("rk").alias("own")).agg(F.flatten(F.collect_list("spans")).alias("spans")).select("own.rk", "spans"), "spans")
-    for name in ("whole-pieces", "contexts", "later", "first", "half-keys", "windows", "window-keys", "marks", "ranged"):
+    ranged = work.table(contexts.select("cid", *own, "starts", "n").join(_few(marks), "cid").select(*own, ends.alias("spans")), "ranged")
+    out = work.table(whole.unionByName(ranged).groupBy(F.struct(*own).alias("own")).agg(F.flatten(F.collect_list("spans")).alias("spans")).select("own.*", "spans"), "spans")
+    for name in ("whole-pieces", "contexts", "later", "marks", "ranged"):
         work.drop(name)
     return out
 
@@ -240,7 +250,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("windows have 4 bytes at least")
     work = work or Workspace(docs.sparkSession, "repeats", tidy=True)
     keyed = _keyed(docs, id_col, text_col)
-    spans, kind = _found(keyed, width, cut, work), dict(keyed.dtypes)["d"]
+    nameless = keyed.where("d is null").limit(1).count() > 0
+    spans, kind = _found(keyed, width, cut, nameless, work), dict(keyed.dtypes)["d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +271,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 removed = pa.StructArray.from_arrays([pa.array((x - offsets[row]).astype(np.int32)) for x in (begin, end)], ["start", "end"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(np.diff(offsets)), kept, _lists(np.bincount(row, minlength=rows).tolist(), removed)], names=["id", "n_bytes", "kept", "removed"])
 
-    out = keyed.join(_few(spans), "rk", "left").select("d", "text", "spans").mapInArrow(run, f"id {kind}, n_bytes long, kept binary, removed array<struct<start:int,end:int>>")
+    out = keyed.join(_few(spans), ["r1", "r2"], "left").select("d", "text", "spans").mapInArrow(run, f"id {kind}, n_bytes long, kept binary, removed array<struct<start:int,end:int>>")
     return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "removed")
 
 
