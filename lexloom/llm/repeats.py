@@ -174,8 +174,8 @@ def _repeated(rows: DataFrame, nameless: bool, *key: str) -> DataFrame:
     """
     found = [F.min("d").alias("least"), F.max("d").alias("most")]
     if nameless:
-        rows = rows.groupBy(*key).agg(*found, F.max(F.col("d").isNull()).alias("null"))
-        return rows.where("least < most or least is not null and null").select(*key, "least")
+        rows = rows.groupBy(*key).agg(*found, F.max(F.col("d").isNull()).alias("unnamed"))
+        return rows.where("least < most or least is not null and unnamed").select(*key, "least")
     return rows.groupBy(*key).agg(*found).where("least < most").select(*key, "least")
 
 
