@@ -57,7 +57,7 @@ def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: Dat
     folder = f"{path}/new-{uuid.uuid4().hex[:12]}"
     at = lambda name: spark.read.parquet(f"{folder}/{name}")
     forward = fresh.select("id", F.size("tokens").alias("dl"), "tokens", "sig")
-    forward.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/forward")
+    forward.write.parquet(f"{folder}/forward")
     total = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("l")).first()
     new, old = total(at("forward")), (0, 0)
     if gone is not None:
@@ -66,7 +66,7 @@ def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: Dat
     n, length = new[0] - old[0], new[1] - old[1]
     spark.createDataFrame([(n, length)], "n_docs long, length long").write.parquet(f"{folder}/sizes")
     built = (before[1] + length) / (before[0] + n) if before[1] + length else 1.0
-    pruned.blocks(at("forward"), built, size).withColumns({"b": F.monotonically_increasing_id(), "built": F.lit(built)}).write.parquet(f"{folder}/blocks")
+    pruned.blocks(at("forward"), built, size, new[1]).withColumns({"b": F.monotonically_increasing_id(), "built": F.lit(built)}).write.parquet(f"{folder}/blocks")
     terms = at("blocks").groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("best").alias("top"), F.max_by("b", F.struct("best", -F.col("b"))).alias("b"))
     if gone is not None:
         lost = at("gone").select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
@@ -76,7 +76,8 @@ def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: Dat
 
 
 def _tokenised(docs: DataFrame) -> DataFrame:
-    return docs.select("id", T.tokens("text").alias("tokens"), "sig")
+    """Entries in the order of their ids; texts are dealt out before they are cut, as words take more room and cutting them time."""
+    return docs.select("id", "text", "sig").repartitionByRange("id").sortWithinPartitions("id").select("id", T.tokens("text").alias("tokens"), "sig")
 
 
 def build(docs: DataFrame, path: str, size: int = pruned.BLOCK) -> None:

@@ -19,20 +19,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import staged
-from .retrieval import K1, B, ranked
+from .retrieval import K1, B, _counted, ranked
 
 #: Postings of a block.
 BLOCK = 32
 #: Scores are rounded to six decimals before they are ranked; bounds give way by more than that.
 SLACK = 1e-5
+#: Words of a range of postings, entries that are counted at once, and cells and pairs that are scored at once.
+RANGE, COUNTED, CELLS, PAIRS = 4 << 20, 1024, 1 << 20, 1 << 16
+#: Pairs up to which their entries are picked before they are counted, and queries' words that are sent to the tasks at once.
+FEW, WORDS = 1 << 18, 1 << 16
 
 
 def weight(tf: Column, dl: Column, avg_dl: Column | float) -> Column:
@@ -50,14 +56,15 @@ def tokenised(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return words.select("id", F.size("tokens").alias("dl"), "tokens")
 
 
-def blocks(forward: DataFrame, avg_dl: float, size: int = BLOCK) -> DataFrame:
+def blocks(forward: DataFrame, avg_dl: float, size: int = BLOCK, length: int | None = None) -> DataFrame:
     """(term, best, ids, tfs, dls): postings of a word in blocks of falling contribution, dealt out by word and contribution.
 
-    A word's postings may lie in several tasks: a common word is cut like any other range.
+    A word's postings may lie in several tasks: a common word is cut like any other range.  ``length`` is the number of all words, by
+    which the ranges are made so many that none grows with the corpus.
     """
     kind = dict(forward.dtypes)["id"]
-    rows = forward.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    rows = rows.withColumn("w", weight(F.col("tf"), F.col("dl"), avg_dl))
+    rows = forward.select("id", "dl", "tokens").mapInArrow(_counts, f"term string, id {kind}, tf int, dl int")
+    w = weight(F.col("tf"), F.col("dl"), avg_dl)  # not carried along: it follows from the two
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -74,8 +81,28 @@ def blocks(forward: DataFrame, avg_dl: float, size: int = BLOCK) -> DataFrame:
         if rest is not None:
             yield from _cut(rest, size)
 
-    dealt = rows.repartitionByRange("term", F.desc("w"), "id").sortWithinPartitions("term", F.desc("w"), "id")
-    return dealt.select("term", "w", "id", "tf", "dl").mapInArrow(cut, f"term string, best double, ids array<{kind}>, tfs array<int>, dls array<int>")
+    parts = -(-(length or 0) // RANGE)
+    many = [parts] if parts > int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []  # so that a task's share is bounded
+    dealt = rows.repartitionByRange(*many, "term", w.desc(), "id").sortWithinPartitions("term", w.desc(), "id")
+    return dealt.select("term", w.alias("w"), "id", "tf", "dl").mapInArrow(cut, f"term string, best double, ids array<{kind}>, tfs array<int>, dls array<int>")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, id, tf, dl) of entries (id, dl, tokens): an entry's words are counted where it lies."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, COUNTED):
+            part = batch.slice(first, COUNTED)
+            row, code, terms = _coded(part.column(2))
+            key, tf = np.unique(row * max(len(terms), 1) + code, return_counts=True)
+            at = pa.array(key // max(len(terms), 1))
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(key % max(len(terms), 1))), part.column(0).take(at), pa.array(tf, pa.int32()), part.column(1).take(at)], names=["term", "id", "tf", "dl"])
+
+
+def _coded(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, word's number) of all tokens, and the words."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    words = tokens.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
 
 
 def _last_start(terms: pa.ChunkedArray) -> int:
@@ -156,19 +183,79 @@ def _postings(read: DataFrame, index: Index) -> DataFrame:
     return index.live(rows).drop("seg")
 
 
-def _exact(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
-    """(qid, id, score) of pairs, from the stored tokens."""
-    words = asked.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("words"))  # one query's words
-    rows = pairs.select("qid", "id").join(words, "qid").join(index.forward.select("id", "dl", "tokens"), "id")
-    tf = lambda w: F.size(F.filter("tokens", lambda t: t == w["term"]))
-    one = lambda w: F.when(tf(w) > 0, w["idf"] * weight(tf(w), F.col("dl"), index.avg_dl)).otherwise(0.0)
-    return rows.select("qid", "id", F.round(F.aggregate("words", F.lit(0.0), lambda s, w: s + one(w)), 6).alias("score"))
+@dataclass
+class Words:
+    """A block of queries, in the order of their numbers, and their words: query i has the words ``word[begin[i] : begin[i + 1]]``."""
+
+    block: Column | None
+    qids: np.ndarray
+    begin: np.ndarray
+    word: np.ndarray
+    known: pa.Array
+    idf: np.ndarray
+
+    @staticmethod
+    def of(asked: DataFrame) -> list[Words]:
+        n = max(1, -(-asked.count() // WORDS))
+        blocks = [F.pmod(F.xxhash64("qid"), F.lit(n)) == b for b in range(n)] if n > 1 else [None]
+        return [Words._of(asked, block) for block in blocks]
+
+    @staticmethod
+    def _of(asked: DataFrame, block: Column | None) -> Words:
+        t = (asked if block is None else asked.where(block)).select("qid", "term", "idf").orderBy("qid", "term").toArrow()  # a block
+        qids, begin = np.unique(t["qid"].to_numpy(), return_index=True)
+        known = pc.unique(t["term"].combine_chunks())
+        word = pc.index_in(t["term"].combine_chunks(), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+        idf = np.zeros(len(known))
+        idf[word] = t["idf"].to_numpy()
+        return Words(block, qids, np.r_[begin, len(word)], word, known, idf)
+
+
+def _exact(pairs: DataFrame, words: list[Words], index: Index) -> DataFrame:
+    """(qid, id, score) of pairs, from the stored tokens: each entry's words are counted once, whatever the number of its queries."""
+    kind, few, out = dict(index.stored.dtypes)["id"], pairs.count() <= FEW, None
+    for w in words:
+        wanted = (pairs if w.block is None else pairs.where(w.block)).groupBy("id").agg(F.collect_list("qid").alias("qids"))  # a block's queries at most
+        docs = index.forward.select("id", F.col("tokens").alias("t"))
+        docs = docs.join(F.broadcast(wanted.select("id")), "id", "left_semi") if few else docs
+        rows = _counted(docs, w.known).where("size(n) > 0").join(wanted, "id")
+        part = rows.select("qids", "id", "dl", "n", "tf").mapInArrow(partial(_scored, w.qids, w.begin, w.word, w.idf, index.avg_dl), f"qid long, id {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored(qids: np.ndarray, begin: np.ndarray, word: np.ndarray, idf: np.ndarray, avg_dl: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, id, score) of entries (qids, id, dl, n, tf): their queries, and the numbers and counts of their known words."""
+    sizes = np.diff(begin)
+    for batch in batches:
+        step = max(1, CELLS // max(len(idf), 1))
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            lengths = lambda c: pc.list_value_length(part.column(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            flat = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+            row, tf = np.repeat(np.arange(part.num_rows), lengths(3)), flat(4)
+            dl = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)[row]
+            cells = np.zeros((part.num_rows, len(idf)))
+            n = flat(3)
+            cells[row, n] = idf[n] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
+            who, query = np.repeat(np.arange(part.num_rows), lengths(0)), np.searchsorted(qids, flat(0))
+            for a in range(0, len(who), PAIRS):
+                r, q = who[a : a + PAIRS], query[a : a + PAIRS]
+                times = sizes[q]
+                pair = np.repeat(np.arange(len(q)), times)
+                at = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times) + begin[q][pair]
+                score = np.round(np.bincount(pair, cells[r[pair], word[at]], len(q)), 6)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), part.column(1).take(pa.array(r)), pa.array(score)], names=["qid", "id", "score"])
 
 
 def search(queries: DataFrame, index: Index, k: int, q_col: str = "q") -> tuple[DataFrame, DataFrame]:
     """((qid, id, score, rank): the k best entries that share a word with each query, exactly; (qid, had, read): the postings of its
     words, and how many of them were read)."""
-    asked = staged(_asked(queries, index, q_col), "asked")
+    # queries go by numbers, as what names them may be as long as their text
+    named = staged(queries.select(F.col("qid").alias("name")).distinct().withColumn("qid", F.monotonically_increasing_id()), "names")
+    numbered = queries.select(F.col("qid").alias("name"), q_col).join(named, "name")
+    asked = staged(_asked(numbered, index, q_col), "asked")
+    words = Words.of(asked)
     at = lambda df: df.join(index.blocks.drop("term"), (F.col("lead.seg") == F.col("seg")) & (F.col("lead.b") == F.col("b")))
     parts = _postings(at(asked.select("qid", "idf", "lead")), index).groupBy("qid", "id").agg(F.sum("part").alias("score"))
     bound = staged(_kth(parts, k, "bound"), "first-bounds")
@@ -185,11 +272,12 @@ def search(queries: DataFrame, index: Index, k: int, q_col: str = "q") -> tuple[
     limits = plan.select("qid", "bound", "rest").distinct()
     found = sums.join(limits, "qid").where(F.col("bound").isNull() | (F.col("part") + F.col("rest") >= F.col("bound") - SLACK))
     found = staged(found.select("qid", "id", "part", "rest"), "candidates")
-    ahead = staged(_exact(ranked(found.select("qid", "id", F.col("part").alias("score")), 2 * k), asked, index), "ahead")
+    promising = staged(ranked(found.select("qid", "id", F.col("part").alias("score")), 2 * k).select("qid", "id"), "promising")
+    ahead = staged(_exact(promising, words, index), "ahead")
     better = _kth(ahead, k, "better")
     left = found.join(better, "qid", "left").where(F.col("better").isNull() | (F.col("part") + F.col("rest") >= F.col("better") - SLACK))
     left = staged(left.select("qid", "id").join(ahead.select("qid", "id"), ["qid", "id"], "left_anti"), "left")
-    scored = ahead.unionByName(_exact(left, asked, index))
+    scored = ahead.unionByName(_exact(left, words, index))
     counts = [
         asked.select("qid", F.col("df").alias("had"), F.lit(0).alias("read")),
         read.select("qid", F.lit(0).alias("had"), F.size("ids").alias("read")),
@@ -201,4 +289,5 @@ def search(queries: DataFrame, index: Index, k: int, q_col: str = "q") -> tuple[
     for part in counts[1:]:
         report = report.unionByName(part)
     report = report.groupBy("qid").agg(F.sum("had").cast("long").alias("had"), F.sum("read").cast("long").alias("read"))
-    return ranked(scored.where("score > 0"), k), report
+    by_name = lambda df, *columns: df.join(named, "qid").select(F.col("name").alias("qid"), *columns)
+    return by_name(ranked(scored.where("score > 0"), k), "id", "score", "rank"), by_name(report, "had", "read")
