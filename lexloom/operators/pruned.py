@@ -216,9 +216,10 @@ def _exact(pairs: DataFrame, words: list[Words], index: Index) -> DataFrame:
     kind, few, out = dict(index.stored.dtypes)["id"], pairs.count() <= FEW, None
     for w in words:
         wanted = (pairs if w.block is None else pairs.where(w.block)).groupBy("id").agg(F.collect_list("qid").alias("qids"))  # a block's queries at most
-        docs = index.forward.select("id", F.col("tokens").alias("t"))
-        docs = docs.join(F.broadcast(wanted.select("id")), "id", "left_semi") if few else docs
-        rows = _counted(docs, w.known).where("size(n) > 0").join(wanted, "id")
+        docs = index.stored.join(F.broadcast(wanted.select("id")), "id", "left_semi") if few else index.stored
+        rows = _counted(docs.select(F.struct("seg", "id").alias("id"), F.col("tokens").alias("t")), w.known).where("size(n) > 0")
+        # what has gone leaves once words are counted, so that no tokens are shuffled
+        rows = index.live(rows.select("id.seg", "id.id", "dl", "n", "tf")).drop("seg").join(wanted, "id")
         part = rows.select("qids", "id", "dl", "n", "tf").mapInArrow(partial(_scored, w.qids, w.begin, w.word, w.idf, index.avg_dl), f"qid long, id {kind}, score double")
         out = part if out is None else out.unionByName(part)
     return out
