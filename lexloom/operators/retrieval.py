@@ -30,9 +30,9 @@ EXACT, COMMON, CANONICAL, HEAD = 1.0, 1.0, 3.0, 1.5
 POOL = 200
 #: Bytes of query vectors that are sent to every task at once, bytes of best rows that a task holds, and most queries whose words
 #: are sent; more queries are taken in blocks, each written before the next.
-VECTOR_BYTES, BEST_BYTES, WORD_BLOCK = 64 << 20, 128 << 20, 4096
-#: Scores that are worked out side by side.
-SCORES = 4 << 20
+VECTOR_BYTES, BEST_BYTES, WORD_BLOCK = 16 << 20, 32 << 20, 4096
+#: Scores, or parts of them, that are worked out side by side, and entries whose words are counted at once.
+SCORES, COUNTED = 1 << 20, 1024
 
 
 def pool_size(n: int) -> int:
@@ -167,13 +167,14 @@ class Corpus:
                 row = np.repeat(place, sizes)
                 dl = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), sizes)
                 weight = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
-                for first in range(0, n, step := max(1, SCORES // len(qids))):
-                    at = np.flatnonzero((row >= first) & (row < first + step))
-                    times = counts[word[at]]
+                by_row = np.argsort(row, kind="stable")
+                row, word, weight, ids = row[by_row], word[by_row], weight[by_row], ids[by]
+                for first, last in _spans(np.bincount(row, counts[word], n), max(1, SCORES // len(qids)), SCORES):
+                    at = slice(*np.searchsorted(row, (first, last)))
+                    times, width = counts[word[at]], last - first
                     who = asking[np.repeat(begin[word[at]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                    width = min(step, n - first)
                     score = np.bincount(who * width + np.repeat(row[at] - first, times), np.repeat(weight[at], times), len(qids) * width).reshape(len(qids), width)
-                    best.add(0, np.where(score > 0, np.round(score, 6), -np.inf), ids[by][first : first + width])
+                    best.add(0, np.where(score > 0, np.round(score, 6), -np.inf), ids[first:last])
             yield from best.rows(qids, own)
 
         return self.rows.select("id", "dl", "n", "tf").mapInArrow(run, f"qid {qkind}, id {kind}, score double")
@@ -191,20 +192,32 @@ class Corpus:
         return scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("idf") * norm), 6).alias("score"))
 
 
+def _spans(load: np.ndarray, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Spans of up to ``rows`` rows each, whose loads add up to ``most`` at the most (but for a row that has more alone)."""
+    upto, first = np.cumsum(load), 0
+    while first < len(load):
+        last = int(np.searchsorted(upto, (upto[first - 1] if first else 0) + most, "right"))
+        last = max(first + 1, min(last, first + rows, len(load)))
+        yield first, last
+        first = last
+
+
 def _counted(docs: DataFrame, known: pa.Array) -> DataFrame:
     """(id, dl, n, tf) of documents (id, tokens): counts of the known words, one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = batch.column(1)
-            dl = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
-            word = pc.index_in(t.flatten(), value_set=known)
-            at = np.flatnonzero(pc.is_valid(word).to_numpy(zero_copy_only=False))
-            code = np.repeat(np.arange(len(dl)), dl)[at] * max(len(known), 1) + word.take(pa.array(at)).to_numpy(zero_copy_only=False)
-            code, times = np.unique(code, return_counts=True)
-            ends = pa.array(np.searchsorted(code, np.arange(len(dl) + 1) * max(len(known), 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code % max(len(known), 1), times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl.astype(np.int32)), *lists], names=["id", "dl", "n", "tf"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, COUNTED):
+                batch = whole.slice(first, COUNTED)
+                t = batch.column(1)
+                dl = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+                word = pc.index_in(t.flatten(), value_set=known)
+                at = np.flatnonzero(pc.is_valid(word).to_numpy(zero_copy_only=False))
+                code = np.repeat(np.arange(len(dl)), dl)[at] * max(len(known), 1) + word.take(pa.array(at)).to_numpy(zero_copy_only=False)
+                code, times = np.unique(code, return_counts=True)
+                ends = pa.array(np.searchsorted(code, np.arange(len(dl) + 1) * max(len(known), 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code % max(len(known), 1), times)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl.astype(np.int32)), *lists], names=["id", "dl", "n", "tf"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, dl int, n array<int>, tf array<int>")
 

@@ -93,3 +93,21 @@ def test_exact_scores_in_parts(monkeypatch):
     part = lambda w, i: idf[w] * tf[i][has[i].index(w)] * 2.2 / (tf[i][has[i].index(w)] + 1.2 * (0.25 + 0.75 * dl[i] / 11.0))
     want = {(q, i): sum(part(w, i) for w in asked[q] if w in has[i]) for i in range(rows) for q in of[i]}
     assert max(p.num_rows for p in parts) <= 5 and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_spans_are_bounded_by_rows_and_load():
+    load = np.array([1, 1, 5, 9, 0, 0, 2, 2, 2])
+    assert list(retrieval._spans(load, 3, 6)) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 9)]
+    assert list(retrieval._spans(load[:0], 3, 6)) == []
+
+
+def test_gone_entries_leave_without_their_tokens(spark, tmp_path, monkeypatch):
+    path, docs = f"file://{tmp_path}/index", entries(spark)
+    maintained.build(docs, path, size=4)
+    maintained.refresh(docs.where("id % 5 <> 2").withColumn("sig", F.when(F.col("id") % 5 == 1, "other").otherwise(F.col("sig"))), path, size=4)
+    kept, live = [], pruned.Index.live
+    monkeypatch.setattr(pruned.Index, "live", lambda self, rows: (kept.append(rows.columns), live(self, rows))[1])
+    monkeypatch.setattr(pruned, "FEW", 0)
+    queries = spark.createDataFrame([(n, f"w{n} w1") for n in range(6)], "qid long, q string")
+    same(pruned.search(queries, maintained.read(spark, path), 3)[0], retrieval.bm25(queries, docs.where("id % 5 <> 2"), 3))
+    assert kept and not any("tokens" in columns for columns in kept)
