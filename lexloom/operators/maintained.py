@@ -12,7 +12,12 @@ segment; ids are unique within one version.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +47,19 @@ def read(spark: SparkSession, path: str) -> pruned.Index:
             out = part if out is None else out.unionByName(part)
         return out
 
-    size = table("sizes").agg(F.sum("n_docs").alias("n"), F.sum("length").alias("l")).first()
+    size = table("sizes").agg(F.sum("n_docs").alias("n"), F.sum("length").alias("l"), F.sum("n_gone").alias("g")).first()
     terms = table("terms").withColumn("lead", F.when(F.col("b").isNotNull(), F.struct("seg", "b")))
     # what has gone names the segment in which it stands
     gone = None
     for s in segments[1:]:
         part = spark.read.parquet(f"{_at(path, s)}/gone").select("seg", "id")
         gone = part if gone is None else gone.unionByName(part)
-    return pruned.Index(table("blocks"), terms, table("forward"), gone, size.n, size.l)
+    return pruned.Index(table("blocks"), terms, table("forward"), gone, size.n, size.l, size.g)
 
 
-def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: DataFrame, gone: DataFrame | None, before: tuple[int, int], size: int) -> None:
-    """A segment of the ``fresh`` entries (id, tokens, sig) beside ``before`` (n_docs, length); ``gone`` has rows (seg, id, dl, tokens)."""
+def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: DataFrame, gone: DataFrame | None, before: tuple[int, int], size: int, lists: DataFrame | None = None) -> None:
+    """A segment of the ``fresh`` entries (id, tokens, sig) beside ``before`` (n_docs, length); ``gone`` has rows (seg, id, dl, tokens),
+    and ``lists`` the entries' postings if they are there already."""
     folder = f"{path}/new-{uuid.uuid4().hex[:12]}"
     at = lambda name: spark.read.parquet(f"{folder}/{name}")
     forward = fresh.select("id", F.size("tokens").alias("dl"), "tokens", "sig")
@@ -64,20 +70,32 @@ def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: Dat
         gone.write.parquet(f"{folder}/gone")
         old = total(at("gone"))
     n, length = new[0] - old[0], new[1] - old[1]
-    spark.createDataFrame([(n, length)], "n_docs long, length long").write.parquet(f"{folder}/sizes")
+    spark.createDataFrame([(n, length, old[0])], "n_docs long, length long, n_gone long").coalesce(1).write.parquet(f"{folder}/sizes")
     built = (before[1] + length) / (before[0] + n) if before[1] + length else 1.0
-    pruned.blocks(at("forward"), built, size, new[1]).withColumns({"b": F.monotonically_increasing_id(), "built": F.lit(built)}).write.parquet(f"{folder}/blocks")
-    terms = at("blocks").groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("best").alias("top"), F.max_by("b", F.struct("best", -F.col("b"))).alias("b"))
+    blocks = pruned.blocks(at("forward"), built, size, new[1], new[0]) if lists is None else pruned.dealt(lists, dict(fresh.dtypes)["id"], built, size, new[1])
+    blocks.withColumns({"b": F.monotonically_increasing_id(), "built": F.lit(built)}).write.parquet(f"{folder}/blocks")
+    terms = at("blocks").where("n is not null").select("term", F.col("n").cast("long").alias("df"), F.col("best").alias("top"), "b")
+    terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top"), F.max_by("b", F.struct("top", -F.col("b"))).alias("b"))
     if gone is not None:
-        lost = at("gone").select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+        lost = at("gone").select("tokens").mapInArrow(_words, "term string, n long").groupBy("term").agg((-F.sum("n")).alias("df"))
         terms = terms.unionByName(lost.selectExpr("term", "df", "cast(0 as double) as top", "cast(null as long) as b"))
-    terms.withColumn("built", F.lit(built)).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    terms.withColumn("built", F.lit(built)).write.parquet(f"{folder}/terms")
     tables.move(spark, folder, _at(path, segment))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of entries (tokens): how many of a few entries have each word."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, pruned.COUNTED):
+            row, code, terms = pruned._coded(batch.slice(first, pruned.COUNTED).column(0))
+            each = np.unique(code * batch.num_rows + row) // batch.num_rows
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(each, minlength=len(terms)))], names=["term", "n"])
+
+
 def _tokenised(docs: DataFrame) -> DataFrame:
-    """Entries in the order of their ids; texts are dealt out before they are cut, as words take more room and cutting them time."""
-    return docs.select("id", "text", "sig").repartitionByRange("id").sortWithinPartitions("id").select("id", T.tokens("text").alias("tokens"), "sig")
+    """Entries with their words; texts are dealt out before they are cut, as words take more room and cutting them time."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parts aren't put together, as each takes its time
+    return docs.select("id", "text", "sig").repartition(parts, "id").select("id", T.tokens("text").alias("tokens"), "sig")
 
 
 def build(docs: DataFrame, path: str, size: int = pruned.BLOCK) -> None:
@@ -91,9 +109,9 @@ def refresh(docs: DataFrame, path: str, full: bool = True, size: int = pruned.BL
     spark = docs.sparkSession
     index, segments = read(spark, path), _segments(spark, path)
     changes = tables.staged(incremental.diff(docs.select("id", "sig"), index.forward.select("id", "sig"), full), "changes")
-    if changes.limit(1).count():
-        fresh = _tokenised(docs.join(changes.where("change <> 'gone'"), "id", "left_semi"))
-        gone = index.forward.join(changes.where("change <> 'new'"), "id", "left_semi").select("seg", "id", "dl", "tokens")
+    if n := changes.count():
+        fresh = _tokenised(docs.join(pruned.sent(changes.where("change <> 'gone'"), n), "id", "left_semi"))
+        gone = index.forward.join(pruned.sent(changes.where("change <> 'new'"), n), "id", "left_semi").select("seg", "id", "dl", "tokens")
         _write(spark, path, (segments[-1][0] + 1, False), fresh, gone, (index.n_docs, index.length), size)
     return changes
 
@@ -108,7 +126,7 @@ def compact(spark: SparkSession, path: str, size: int = pruned.BLOCK) -> None:
     """One segment in the place of all: entries that have gone leave the files.  Earlier segments stay for those who still read them."""
     index, segments = read(spark, path), _segments(spark, path)
     live = index.forward.select("id", "tokens", "sig")
-    _write(spark, path, (segments[-1][0] + 1, True), live, None, (0, 0), size)
+    _write(spark, path, (segments[-1][0] + 1, True), live, None, (0, 0), size, _live_lists(index))
 
 
 def sweep(spark: SparkSession, path: str) -> int:
@@ -120,10 +138,40 @@ def sweep(spark: SparkSession, path: str) -> int:
     return len(old)
 
 
+def _live_lists(index: pruned.Index) -> DataFrame:
+    """(term, salt, ids, tfs, dls): the stored postings of the entries that count, as they lie in blocks."""
+    kind, salts = dict(index.stored.dtypes)["id"], pruned._salts(index.n_docs)
+    if index.n_gone > pruned.GONE:
+        one = lambda c: F.array(F.col(c)).alias(f"{c}s")
+        return postings(index).select("term", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), one("id"), one("tf"), one("dl"))
+    rows = [] if index.gone is None else index.gone.select("seg", "id").toArrow()  # a bounded number
+    away = {s: rows.filter(pc.field("seg") == s)["id"].combine_chunks() for s in pc.unique(rows["seg"]).to_pylist()} if len(rows) else {}
+    shared = index.blocks.sparkSession.sparkContext.broadcast(away)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
+        for batch in batches:
+            seg, (ids, *others) = batch.column(0).to_numpy(), (batch.column(c) for c in (2, 3, 4))
+            sizes = pc.list_value_length(ids).to_numpy()
+            at, flat, stays = np.repeat(seg, sizes), ids.flatten(), np.ones(int(sizes.sum()), bool)
+            for s, gone in shared.value.items():
+                own = np.flatnonzero(at == s)
+                if len(own):
+                    stays[own] = ~pc.is_in(flat.take(pa.array(own)), value_set=gone).to_numpy(zero_copy_only=False)
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[stays], minlength=len(sizes))
+            offsets, mask, some = pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(stays), pa.array(left > 0)
+            lists = [pa.ListArray.from_arrays(offsets, v.filter(mask)) for v in (flat, *(o.flatten() for o in others))]
+            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.full(len(sizes), turn % salts, np.int32)), *lists], names=["term", "salt", "ids", "tfs", "dls"])
+            yield out.filter(some)
+            turn += 1
+
+    return index.blocks.select("seg", "term", "ids", "tfs", "dls").mapInArrow(keep, pruned._listed(kind))
+
+
 def postings(index: pruned.Index) -> DataFrame:
     """(term, id, tf, dl) of the entries that count."""
-    rows = index.blocks.select("seg", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-    return index.live(rows.select("seg", "term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))).drop("seg")
+    rows = index.blocks.select("seg", "term", "tfs", "dls", F.posexplode("ids").alias("n", "id"))
+    return index.live(rows.select("seg", "term", "id", F.get("tfs", "n").alias("tf"), F.get("dls", "n").alias("dl"))).drop("seg")
 
 
 def frequencies(index: pruned.Index) -> DataFrame:

@@ -24,19 +24,23 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import staged
-from .retrieval import K1, B, _counted, ranked
+from .retrieval import K1, B, _counted, _spans, ranked
 
 #: Postings of a block.
 BLOCK = 32
 #: Scores are rounded to six decimals before they are ranked; bounds give way by more than that.
 SLACK = 1e-5
-#: Words of a range of postings, entries that are counted at once, and cells and pairs that are scored at once.
-RANGE, COUNTED, CELLS, PAIRS = 4 << 20, 1024, 1 << 20, 1 << 16
+#: Words of a part of the postings, most postings of a word that meet, entries and words that are counted at once, and cells and pairs
+#: that are scored at once.
+RANGE, HOT, COUNTED, TOKENS, CELLS, PAIRS = 1 << 20, 1 << 20, 8192, 1 << 21, 1 << 20, 1 << 16
+#: Entries that have gone, up to which they are sent to the tasks.
+GONE = 1 << 20
 #: Pairs up to which their entries are picked before they are counted, and queries' words that are sent to the tasks at once.
 FEW, WORDS = 1 << 18, 1 << 16
 
@@ -56,46 +60,59 @@ def tokenised(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return words.select("id", F.size("tokens").alias("dl"), "tokens")
 
 
-def blocks(forward: DataFrame, avg_dl: float, size: int = BLOCK, length: int | None = None) -> DataFrame:
-    """(term, best, ids, tfs, dls): postings of a word in blocks of falling contribution, dealt out by word and contribution.
+def blocks(forward: DataFrame, avg_dl: float, size: int = BLOCK, length: int | None = None, entries: int = 0) -> DataFrame:
+    """The blocks (see ``dealt``) of entries (id, dl, tokens): a word's postings of many entries are shuffled as one row."""
+    kind = dict(forward.dtypes)["id"]
+    rows = forward.select("id", "dl", "tokens").mapInArrow(partial(_lists, _salts(entries)), _listed(kind))
+    return dealt(rows, kind, avg_dl, size, length)
+
+
+def _salts(entries: int) -> int:
+    """Parts of a word's postings: none is larger than ``HOT``, by which a task's memory is bounded."""
+    return max(1, -(-entries // HOT))
+
 
-    A word's postings may lie in several tasks: a common word is cut like any other range.  ``length`` is the number of all words, by
-    which the ranges are made so many that none grows with the corpus.
+def _listed(kind: str) -> str:
+    return f"term string, salt int, ids array<{kind}>, tfs array<int>, dls array<int>"
+
+
+def dealt(lists: DataFrame, kind: str, avg_dl: float, size: int = BLOCK, length: int | None = None) -> DataFrame:
+    """(term, best, n, ids, tfs, dls): lists (term, salt, ids, tfs, dls) of postings joined and cut anew, those of a word and salt in
+    blocks of falling contribution; ``n`` is their number at the first of these blocks, else null.
+
+    ``length`` is the number of all words, by which the parts are made so many that none grows with the corpus.
     """
-    kind = dict(forward.dtypes)["id"]
-    rows = forward.select("id", "dl", "tokens").mapInArrow(_counts, f"term string, id {kind}, tf int, dl int")
-    w = weight(F.col("tf"), F.col("dl"), avg_dl)  # not carried along: it follows from the two
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None or not rest.num_rows else pa.concat_tables([rest, t])
-            keep = _last_start(t["term"])
-            yield from _cut(t.slice(0, keep), size)
-            rest = t.slice(keep)
-            if rest.num_rows > 64 * size:  # a very common word goes out in whole blocks
-                whole = rest.num_rows // size * size
-                yield from _cut(rest.slice(0, whole), size)
-                rest = rest.slice(whole)
-        if rest is not None:
-            yield from _cut(rest, size)
-
-    parts = -(-(length or 0) // RANGE)
-    many = [parts] if parts > int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []  # so that a task's share is bounded
-    dealt = rows.repartitionByRange(*many, "term", w.desc(), "id").sortWithinPartitions("term", w.desc(), "id")
-    return dealt.select("term", w.alias("w"), "id", "tf", "dl").mapInArrow(cut, f"term string, best double, ids array<{kind}>, tfs array<int>, dls array<int>")
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, id, tf, dl) of entries (id, dl, tokens): an entry's words are counted where it lies."""
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) if length is None else max(1, -(-length // RANGE))
+    rows = lists.repartition(parts, "term", "salt").sortWithinPartitions("term", "salt")
+    return rows.mapInArrow(partial(_joined, avg_dl, size), f"term string, best double, n int, ids array<{kind}>, tfs array<int>, dls array<int>")
+
+
+def _lists(salts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, salt, ids, tfs, dls) of entries (id, dl, tokens): words are counted where they lie, a list for each word of a few entries."""
+    turn = TaskContext.get().partitionId()
     for batch in batches:
-        for first in range(0, batch.num_rows, COUNTED):
-            part = batch.slice(first, COUNTED)
+        for first, end in _spans(batch.column(1).to_numpy(zero_copy_only=False), COUNTED, TOKENS):
+            part = batch.slice(first, end - first)
             row, code, terms = _coded(part.column(2))
-            key, tf = np.unique(row * max(len(terms), 1) + code, return_counts=True)
-            at = pa.array(key // max(len(terms), 1))
-            yield pa.RecordBatch.from_arrays([terms.take(pa.array(key % max(len(terms), 1))), part.column(0).take(at), pa.array(tf, pa.int32()), part.column(1).take(at)], names=["term", "id", "tf", "dl"])
+            key, tf = np.unique(code * part.num_rows + row, return_counts=True)
+            code, row = np.divmod(key, part.num_rows)
+            offsets, at = pa.array(np.searchsorted(code, np.arange(len(terms) + 1)).astype(np.int32)), pa.array(row)
+            values = (part.column(0).take(at), pa.array(tf, pa.int32()), part.column(1).take(at))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(terms), turn % salts, np.int32)), *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=["term", "salt", "ids", "tfs", "dls"])
+            turn += 1
+
+
+def _joined(avg_dl: float, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted lists; the last word's wait for what may follow."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        keep = _last_start(t)
+        yield from _cut(t.slice(0, keep), avg_dl, size)
+        rest = t.slice(keep)
+    if rest is not None:
+        yield from _cut(rest, avg_dl, size)
 
 
 def _coded(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -105,34 +122,46 @@ def _coded(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
 
 
-def _last_start(terms: pa.ChunkedArray) -> int:
-    """The first row of the last word; rows are sorted by word."""
-    last, lo, hi = terms[len(terms) - 1].as_py() if len(terms) else None, 0, max(len(terms) - 1, 0)
+def _last_start(t: pa.Table) -> int:
+    """The first row of the last word and salt; rows are sorted by these."""
+    at = lambda n: (t["term"][n].as_py(), t["salt"][n].as_py())
+    lo, hi = 0, max(t.num_rows - 1, 0)
     while lo < hi:
         mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if terms[mid].as_py() == last else (mid + 1, hi)
+        lo, hi = (lo, mid) if at(mid) == at(t.num_rows - 1) else (mid + 1, hi)
     return lo
 
 
-def _cut(t: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
+def _cut(t: pa.Table, avg_dl: float, size: int) -> Iterator[pa.RecordBatch]:
     if not t.num_rows:
         return
     t = t.combine_chunks()
-    term = t["term"].combine_chunks().dictionary_encode().indices.to_numpy()
-    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    n = np.diff(np.r_[first, t.num_rows])
-    starts = np.concatenate([np.arange(a, a + c, size) for a, c in zip(first, n)])
-    offsets = pa.array(np.r_[starts, t.num_rows].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, t[c].combine_chunks()) for c in ("id", "tf", "dl")]
-    at = pa.array(starts)
-    yield pa.RecordBatch.from_arrays([t["term"].combine_chunks().take(at), t["w"].combine_chunks().take(at), *lists], names=["term", "best", "ids", "tfs", "dls"])
+    column = lambda c: t[c].chunk(0)
+    term, salt = column("term").dictionary_encode().indices.to_numpy(), column("salt").to_numpy()
+    begins = np.r_[True, (term[1:] != term[:-1]) | (salt[1:] != salt[:-1])]
+    group = np.repeat(np.cumsum(begins) - 1, pc.list_value_length(column("ids")).to_numpy())
+    ids, tf, dl = (column(c).flatten() for c in ("ids", "tfs", "dls"))
+    tfs, dls = tf.to_numpy().astype(np.float64), dl.to_numpy().astype(np.float64)
+    w = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * dls / avg_dl))  # as ``weight``
+    place = ids.to_numpy() if pa.types.is_integer(ids.type) else pc.rank(ids, tiebreaker="first").to_numpy()
+    order = np.lexsort((place, -w, group))
+    # a group's blocks, one after another
+    n = np.bincount(group)
+    first, many = np.cumsum(n) - n, -(-n // size)
+    of = np.repeat(np.arange(len(n)), many)
+    nth = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+    starts = first[of] + nth * size
+    offsets, at = pa.array(np.r_[starts, len(order)].astype(np.int32)), pa.array(order)
+    lists = [pa.ListArray.from_arrays(offsets, v.take(at)) for v in (ids, tf, dl)]
+    terms = column("term").take(pa.array(np.flatnonzero(begins)[of]))
+    yield pa.RecordBatch.from_arrays([terms, pa.array(w[order[starts]]), pa.array(n[of].astype(np.int32), mask=nth > 0), *lists], names=["term", "best", "n", "ids", "tfs", "dls"])
 
 
 @dataclass
 class Index:
-    """Stored segments (see ``maintained``): blocks (seg, b, term, best, built, ids, tfs, dls), terms (seg, term, df, top, built, lead),
-    forward (seg, id, dl, tokens, sig) and gone (seg, id), the entries of a segment that don't count any more; ``n_docs`` entries
-    of ``length`` words together.  ``built`` is the average length by which a segment's contributions were worked out."""
+    """Stored segments (see ``maintained``): blocks (seg, b, term, best, n, built, ids, tfs, dls), terms (seg, term, df, top, built, lead),
+    forward (seg, id, dl, tokens, sig) and the ``n_gone`` rows of gone (seg, id), the entries of a segment that don't count any more;
+    ``n_docs`` entries of ``length`` words together.  ``built`` is the average length by which a segment's contributions were worked out."""
 
     blocks: DataFrame
     terms: DataFrame
@@ -140,6 +169,7 @@ class Index:
     gone: DataFrame | None
     n_docs: int
     length: int
+    n_gone: int = 0
 
     @property
     def avg_dl(self) -> float:
@@ -147,7 +177,9 @@ class Index:
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (seg, id, ...) of entries that count."""
-        return rows if self.gone is None else rows.join(self.gone, ["seg", "id"], "left_anti").select(*rows.columns)
+        if self.gone is None:
+            return rows
+        return rows.join(sent(self.gone, self.n_gone), ["seg", "id"], "left_anti").select(*rows.columns)
 
     @property
     def forward(self) -> DataFrame:
@@ -163,6 +195,11 @@ class Index:
         return value * F.greatest(F.lit(1.0), F.lit(self.avg_dl) / F.col("built"))
 
 
+def sent(ids: DataFrame, n: int) -> DataFrame:
+    """``n`` rows of ids, broadcast in a join as long as they are few: what they are joined with stays where it is."""
+    return F.broadcast(ids) if n <= GONE else ids
+
+
 def _kth(scored: DataFrame, k: int, name: str) -> DataFrame:
     """(qid, bound): each query's k-th best score, for the queries that have so many."""
     return ranked(scored, k).where(F.col("rank") == k).select("qid", F.col("score").alias(name))
