@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import maintained, pruned
+from lexloom.operators import maintained, pruned, segmentation
 from lexloom.sources import tables
 
 
@@ -50,3 +52,13 @@ def test_content_is_the_sum_of_hashes(spark):
     want = [sum(r.h for r in df.select(F.xxhash64(F.lit(seed), "id", "s").alias("h")).collect()) for seed in (1, 2)]
     assert [int(x) for x in tables.content(df).first()] == [1000, *want]
     assert tables.content(df.limit(0)).first().rows == 0
+
+
+def test_pieces_of_few_sentences_are_held(monkeypatch):
+    texts = ["ab c" * 5] * 40 + ["", "犬"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["h", "target"])
+    monkeypatch.setattr(segmentation, "SCANNED", 3 * segmentation.MAX_LENGTH)
+    parts = list(segmentation._scanned(np.full(1 << 17, 255, np.uint8), iter([batch])))
+    want = [(h, a, t[a : a + k]) for h, t in enumerate(texts) for a in range(len(t)) for k in range(1, segmentation.LONGEST + 1) if a + k <= len(t) and (k > 1 or t == "犬")]
+    assert sorted(tuple(r.values()) for p in parts for r in p.to_pylist()) == sorted(want)
+    assert len(parts) == 14 and max(len(set(p["h"].to_pylist())) for p in parts) == 3
