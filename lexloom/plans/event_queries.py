@@ -76,8 +76,8 @@ def _states(spark: SparkSession) -> None:
         spark.conf.set(name, admission.STATE_STORE)
 
 
-def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
-    checkpoint = tables.scratch(stream.sparkSession, "stream")
+def _drained(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
+    checkpoint = checkpoint or tables.scratch(stream.sparkSession, "stream")
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
@@ -87,12 +87,13 @@ def streamed_admission(spark: SparkSession, d: str) -> DataFrame:
     _states(spark)
     rows, path, out = table(spark, d, "events").select("user_id", "event_id", "ts"), tables.scratch(spark, "hits"), tables.scratch(spark, "admitted")
     edges = [F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-11").cast("timestamp_ntz"), F.lit("2024-01-21").cast("timestamp_ntz")]
-    for n in range(3):
+    checkpoint = tables.scratch(spark, "stream")
+    for n in range(3):  # a batch is what has come since the last one, in any number of files
         part = rows if n == 0 else rows.where(F.col("ts") >= edges[n])
         part = part if n == 2 else part.where(F.col("ts") < edges[n + 1])
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    _drained(admission.admission_stream(stream, 2, DAY), sinks.append_to(out))
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        _drained(admission.admission_stream(stream, 2, DAY), sinks.append_to(out), checkpoint)
     return spark.read.parquet(out).select("user_id", "event_id", (F.col("wait") == 0).alias("admitted"))
 
 
