@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +73,11 @@ def _write(spark: SparkSession, path: str, segment: tuple[int, bool], fresh: Dat
     n, length = new[0] - old[0], new[1] - old[1]
     spark.createDataFrame([(n, length, old[0])], "n_docs long, length long, n_gone long").coalesce(1).write.parquet(f"{folder}/sizes")
     built = (before[1] + length) / (before[0] + n) if before[1] + length else 1.0
-    blocks = pruned.blocks(at("forward"), built, size, new[1], new[0]) if lists is None else pruned.dealt(lists, dict(fresh.dtypes)["id"], built, size, new[1])
+    blocks = pruned.blocks(at("forward"), built, size, new[1], new[0]) if lists is None else pruned.dealt(lists, dict(fresh.dtypes)["id"], pruned._parts(spark, new[1]), built, size)
     blocks.withColumns({"b": F.monotonically_increasing_id(), "built": F.lit(built)}).write.parquet(f"{folder}/blocks")
     terms = at("blocks").where("n is not null").select("term", F.col("n").cast("long").alias("df"), F.col("best").alias("top"), "b")
-    terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top"), F.max_by("b", F.struct("top", -F.col("b"))).alias("b"))
+    if pruned._salts(new[0]) > 1:  # else a word lies in one part
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top"), F.max_by("b", F.struct("top", -F.col("b"))).alias("b"))
     if gone is not None:
         lost = at("gone").select("tokens").mapInArrow(_words, "term string, n long").groupBy("term").agg((-F.sum("n")).alias("df"))
         terms = terms.unionByName(lost.selectExpr("term", "df", "cast(0 as double) as top", "cast(null as long) as b"))
@@ -139,11 +141,10 @@ def sweep(spark: SparkSession, path: str) -> int:
 
 
 def _live_lists(index: pruned.Index) -> DataFrame:
-    """(term, salt, ids, tfs, dls): the stored postings of the entries that count, as they lie in blocks."""
-    kind, salts = dict(index.stored.dtypes)["id"], pruned._salts(index.n_docs)
+    """The stored postings of the entries that count, packed for ``pruned.dealt``."""
+    kind, salts, parts = dict(index.stored.dtypes)["id"], pruned._salts(index.n_docs), pruned._parts(index.blocks.sparkSession, index.length)
     if index.n_gone > pruned.GONE:
-        one = lambda c: F.array(F.col(c)).alias(f"{c}s")
-        return postings(index).select("term", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), one("id"), one("tf"), one("dl"))
+        return postings(index).select("term", "id", "tf", "dl").mapInArrow(partial(_single, salts, parts), pruned._listed(kind))
     rows = [] if index.gone is None else index.gone.select("seg", "id").toArrow()  # a bounded number
     away = {s: rows.filter(pc.field("seg") == s)["id"].combine_chunks() for s in pc.unique(rows["seg"]).to_pylist()} if len(rows) else {}
     shared = index.blocks.sparkSession.sparkContext.broadcast(away)
@@ -159,15 +160,28 @@ def _live_lists(index: pruned.Index) -> DataFrame:
                 if len(own):
                     stays[own] = ~pc.is_in(flat.take(pa.array(own)), value_set=gone).to_numpy(zero_copy_only=False)
             left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[stays], minlength=len(sizes))
-            offsets, mask, some = pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(stays), pa.array(left > 0)
+            offsets, mask = pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(stays)
             lists = [pa.ListArray.from_arrays(offsets, v.filter(mask)) for v in (flat, *(o.flatten() for o in others))]
-            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.full(len(sizes), turn % salts, np.int32)), *lists], names=["term", "salt", "ids", "tfs", "dls"])
-            yield out.filter(some)
+            part = pruned._part(batch.column(1), turn % salts, parts)
+            order = np.argsort(part, kind="stable")
+            order = order[left[order] > 0]
+            at = pa.array(order)
+            yield pruned._packed(part[order], batch.column(1).take(at), left[order], *(v.take(at).flatten() for v in lists))
             turn += 1
 
     return index.blocks.select("seg", "term", "ids", "tfs", "dls").mapInArrow(keep, pruned._listed(kind))
 
 
+def _single(salts: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed lists of postings (term, id, tf, dl)."""
+    turn = TaskContext.get().partitionId()
+    for batch in batches:
+        part = pruned._part(batch.column(0), turn % salts, parts)
+        order = np.argsort(part, kind="stable")
+        yield pruned._packed(part[order], batch.column(0).take(pa.array(order)), np.ones(len(order), np.int64), *(batch.column(c).take(pa.array(order)) for c in (1, 2, 3)))
+        turn += 1
+
+
 def postings(index: pruned.Index) -> DataFrame:
     """(term, id, tf, dl) of the entries that count."""
     rows = index.blocks.select("seg", "term", "tfs", "dls", F.posexplode("ids").alias("n", "id"))

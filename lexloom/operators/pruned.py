@@ -22,10 +22,11 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -61,91 +62,81 @@ def tokenised(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
 
 
 def blocks(forward: DataFrame, avg_dl: float, size: int = BLOCK, length: int | None = None, entries: int = 0) -> DataFrame:
-    """The blocks (see ``dealt``) of entries (id, dl, tokens): a word's postings of many entries are shuffled as one row."""
-    kind = dict(forward.dtypes)["id"]
-    rows = forward.select("id", "dl", "tokens").mapInArrow(partial(_lists, _salts(entries)), _listed(kind))
-    return dealt(rows, kind, avg_dl, size, length)
+    """The blocks (see ``dealt``) of entries (id, dl, tokens): the words of a few entries are shuffled as one row for each part."""
+    kind, parts = dict(forward.dtypes)["id"], _parts(forward.sparkSession, length)
+    return dealt(forward.select("id", "dl", "tokens").mapInArrow(partial(_lists, parts, _salts(entries)), _listed(kind)), kind, parts, avg_dl, size)
+
+
+def _parts(spark: SparkSession, length: int | None) -> int:
+    """Parts of the postings: so many for ``length`` words together that none grows with the corpus."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) if length is None else max(1, -(-length // RANGE))
 
 
 def _salts(entries: int) -> int:
-    """Parts of a word's postings: none is larger than ``HOT``, by which a task's memory is bounded."""
+    """Parts that a word's postings go to: no more than ``HOT`` go to one, by which a task's memory is bounded."""
     return max(1, -(-entries // HOT))
 
 
 def _listed(kind: str) -> str:
-    return f"term string, salt int, ids array<{kind}>, tfs array<int>, dls array<int>"
+    return f"part int, terms array<string>, sizes array<int>, ids array<{kind}>, tfs array<int>, dls array<int>"
+
+
+def dealt(lists: DataFrame, kind: str, parts: int, avg_dl: float, size: int = BLOCK) -> DataFrame:
+    """(term, best, n, ids, tfs, dls): lists of postings (see ``_packed``) joined and cut anew, those of a word in a part in blocks of
+    falling contribution; ``n`` is their number at the first of these blocks, else null."""
+    return lists.repartitionById(parts, "part").drop("part").mapInArrow(partial(_joined, avg_dl, size), f"term string, best double, n int, ids array<{kind}>, tfs array<int>, dls array<int>")
 
 
-def dealt(lists: DataFrame, kind: str, avg_dl: float, size: int = BLOCK, length: int | None = None) -> DataFrame:
-    """(term, best, n, ids, tfs, dls): lists (term, salt, ids, tfs, dls) of postings joined and cut anew, those of a word and salt in
-    blocks of falling contribution; ``n`` is their number at the first of these blocks, else null.
+def _part(terms: pa.Array, salt: int, parts: int) -> np.ndarray:
+    """The part that each word's postings go to."""
+    return (pd.util.hash_array(terms.cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False) % parts + salt).astype(np.int64) % parts
 
-    ``length`` is the number of all words, by which the parts are made so many that none grows with the corpus.
-    """
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) if length is None else max(1, -(-length // RANGE))
-    rows = lists.repartition(parts, "term", "salt").sortWithinPartitions("term", "salt")
-    return rows.mapInArrow(partial(_joined, avg_dl, size), f"term string, best double, n int, ids array<{kind}>, tfs array<int>, dls array<int>")
 
+def _packed(part: np.ndarray, terms: pa.Array, sizes: np.ndarray, ids: pa.Array, tfs: pa.Array, dls: pa.Array) -> pa.RecordBatch:
+    """(part, terms, sizes, ids, tfs, dls): one row for each part, with its words and how many postings each has; words are sorted by part."""
+    which, first = np.unique(part, return_index=True)
+    ends = np.r_[first, len(part)].astype(np.int32)
+    upto = np.r_[0, np.cumsum(sizes)][ends].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(at), v) for at, v in ((ends, terms), (ends, pa.array(sizes, pa.int32())), (upto, ids), (upto, tfs), (upto, dls))]
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *lists], names=["part", "terms", "sizes", "ids", "tfs", "dls"])
 
-def _lists(salts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, salt, ids, tfs, dls) of entries (id, dl, tokens): words are counted where they lie, a list for each word of a few entries."""
+
+def _lists(parts: int, salts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed lists of entries (id, dl, tokens): words are counted where they lie, a list for each word of a few entries."""
     turn = TaskContext.get().partitionId()
     for batch in batches:
         for first, end in _spans(batch.column(1).to_numpy(zero_copy_only=False), COUNTED, TOKENS):
-            part = batch.slice(first, end - first)
-            row, code, terms = _coded(part.column(2))
-            key, tf = np.unique(code * part.num_rows + row, return_counts=True)
-            code, row = np.divmod(key, part.num_rows)
-            offsets, at = pa.array(np.searchsorted(code, np.arange(len(terms) + 1)).astype(np.int32)), pa.array(row)
-            values = (part.column(0).take(at), pa.array(tf, pa.int32()), part.column(1).take(at))
-            yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(terms), turn % salts, np.int32)), *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=["term", "salt", "ids", "tfs", "dls"])
+            few = batch.slice(first, end - first)
+            row, code, terms = _coded(few.column(2))
+            part = _part(terms, turn % salts, parts)
+            order = np.argsort(part, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            key, tf = np.unique(rank[code] * few.num_rows + row, return_counts=True)
+            code, row = np.divmod(key, few.num_rows)
+            at = pa.array(row)
+            yield _packed(part[order], terms.take(pa.array(order)), np.bincount(code, minlength=len(order)), few.column(0).take(at), pa.array(tf, pa.int32()), few.column(1).take(at))
             turn += 1
 
 
 def _joined(avg_dl: float, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of sorted lists; the last word's wait for what may follow."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        keep = _last_start(t)
-        yield from _cut(t.slice(0, keep), avg_dl, size)
-        rest = t.slice(keep)
-    if rest is not None:
-        yield from _cut(rest, avg_dl, size)
-
-
-def _coded(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(row, word's number) of all tokens, and the words."""
-    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-    words = tokens.flatten().dictionary_encode()
-    return np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
-
-
-def _last_start(t: pa.Table) -> int:
-    """The first row of the last word and salt; rows are sorted by these."""
-    at = lambda n: (t["term"][n].as_py(), t["salt"][n].as_py())
-    lo, hi = 0, max(t.num_rows - 1, 0)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if at(mid) == at(t.num_rows - 1) else (mid + 1, hi)
-    return lo
-
-
-def _cut(t: pa.Table, avg_dl: float, size: int) -> Iterator[pa.RecordBatch]:
-    if not t.num_rows:
+    """Blocks of a part's lists (terms, sizes, ids, tfs, dls), words in order."""
+    rows = [batch for batch in batches if batch.num_rows]  # a part, which is bounded
+    if not rows:
+        return
+    flat = lambda c: pa.concat_arrays([batch.column(c).flatten() for batch in rows])
+    words, (sizes, ids, tf, dl) = flat(0).dictionary_encode(), map(flat, range(1, 5))
+    if not len(ids):
         return
-    t = t.combine_chunks()
-    column = lambda c: t[c].chunk(0)
-    term, salt = column("term").dictionary_encode().indices.to_numpy(), column("salt").to_numpy()
-    begins = np.r_[True, (term[1:] != term[:-1]) | (salt[1:] != salt[:-1])]
-    group = np.repeat(np.cumsum(begins) - 1, pc.list_value_length(column("ids")).to_numpy())
-    ids, tf, dl = (column(c).flatten() for c in ("ids", "tfs", "dls"))
+    inorder = pc.sort_indices(words.dictionary)
+    rank = np.empty(len(inorder), np.int64)
+    rank[inorder.to_numpy()] = np.arange(len(inorder))
+    group = np.repeat(rank[words.indices.to_numpy()], sizes.to_numpy())
     tfs, dls = tf.to_numpy().astype(np.float64), dl.to_numpy().astype(np.float64)
     w = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * dls / avg_dl))  # as ``weight``
     place = ids.to_numpy() if pa.types.is_integer(ids.type) else pc.rank(ids, tiebreaker="first").to_numpy()
     order = np.lexsort((place, -w, group))
-    # a group's blocks, one after another
+    # a word's blocks, one after another
     n = np.bincount(group)
     first, many = np.cumsum(n) - n, -(-n // size)
     of = np.repeat(np.arange(len(n)), many)
@@ -153,10 +144,17 @@ def _cut(t: pa.Table, avg_dl: float, size: int) -> Iterator[pa.RecordBatch]:
     starts = first[of] + nth * size
     offsets, at = pa.array(np.r_[starts, len(order)].astype(np.int32)), pa.array(order)
     lists = [pa.ListArray.from_arrays(offsets, v.take(at)) for v in (ids, tf, dl)]
-    terms = column("term").take(pa.array(np.flatnonzero(begins)[of]))
+    terms = words.dictionary.take(inorder).take(pa.array(of))
     yield pa.RecordBatch.from_arrays([terms, pa.array(w[order[starts]]), pa.array(n[of].astype(np.int32), mask=nth > 0), *lists], names=["term", "best", "n", "ids", "tfs", "dls"])
 
 
+def _coded(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, word's number) of all tokens, and the words."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    words = tokens.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+
+
 @dataclass
 class Index:
     """Stored segments (see ``maintained``): blocks (seg, b, term, best, n, built, ids, tfs, dls), terms (seg, term, df, top, built, lead),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,16 @@ def test_entries_are_counted_once_and_words_travel_in_lists(spark):
     assert lists == [(0, 2), (2, 4)]
 
 
+def test_words_travel_in_one_row_for_each_part(spark):
+    forward = pruned.tokenised(entries(spark).coalesce(1))
+    rows = forward.mapInArrow(partial(pruned._lists, 3, 1), pruned._listed("long")).collect()  # these few entries are counted at once
+    assert sorted(r.part for r in rows) == [0, 1, 2] and all(sum(r.sizes) == len(r.ids) == len(r.tfs) == len(r.dls) for r in rows)
+    spread = [r.part for r in forward.mapInArrow(partial(pruned._lists, 3, 1), pruned._listed("long")).select("part", F.explode("terms").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("part")).collect()]
+    assert len(spread) == 42 and set(spread) == {1}
+    held = sorted((t, i) for r in rows for t, i in zip((t for t, n in zip(r.terms, r.sizes, strict=True) for _ in range(n)), r.ids, strict=True))
+    assert held == sorted(map(tuple, forward.select(F.explode(F.array_distinct("tokens")).alias("t"), "id").collect()))
+
+
 @pytest.mark.parametrize("gone, hot", [(0, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 16), (0, 16)])
 def test_compaction_joins_postings_without_counting_again(spark, tmp_path, monkeypatch, gone, hot):
     for name, value in (("GONE", gone), ("HOT", hot), ("COUNTED", 7), ("RANGE", 200)):
