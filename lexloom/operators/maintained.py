@@ -112,8 +112,8 @@ def refresh(docs: DataFrame, path: str, full: bool = True, size: int = pruned.BL
     index, segments = read(spark, path), _segments(spark, path)
     changes = tables.staged(incremental.diff(docs.select("id", "sig"), index.forward.select("id", "sig"), full), "changes")
     if n := changes.count():
-        fresh = _tokenised(docs.join(pruned.sent(changes.where("change <> 'gone'"), n), "id", "left_semi"))
-        gone = index.forward.join(pruned.sent(changes.where("change <> 'new'"), n), "id", "left_semi").select("seg", "id", "dl", "tokens")
+        some = lambda rows, but: pruned.among(rows, changes.where(F.col("change") != but), n, ["id"], "left_semi", index.length)
+        fresh, gone = _tokenised(some(docs, "gone")), some(index.forward.select("seg", "id", "dl", "tokens"), "new").select("seg", "id", "dl", "tokens")
         _write(spark, path, (segments[-1][0] + 1, False), fresh, gone, (index.n_docs, index.length), size)
     return changes
 

@@ -177,7 +177,7 @@ class Index:
         """Rows (seg, id, ...) of entries that count."""
         if self.gone is None:
             return rows
-        return rows.join(sent(self.gone, self.n_gone), ["seg", "id"], "left_anti").select(*rows.columns)
+        return among(rows, self.gone, self.n_gone, ["seg", "id"], "left_anti", self.length).select(*rows.columns)
 
     @property
     def forward(self) -> DataFrame:
@@ -193,9 +193,15 @@ class Index:
         return value * F.greatest(F.lit(1.0), F.lit(self.avg_dl) / F.col("built"))
 
 
-def sent(ids: DataFrame, n: int) -> DataFrame:
-    """``n`` rows of ids, broadcast in a join as long as they are few: what they are joined with stays where it is."""
-    return F.broadcast(ids) if n <= GONE else ids
+def among(rows: DataFrame, ids: DataFrame, n: int, on: list[str], how: str, length: int) -> DataFrame:
+    """Rows joined (semi or anti) with ``n`` rows of ids: as long as these are few they are broadcast, and the rows stay where they are.
+
+    Else both are dealt out, to so many parts for ``n`` and the ``length`` of all words together that none that is sorted grows with the corpus.
+    """
+    if n <= GONE:
+        return rows.join(F.broadcast(ids), on, how)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-length // RANGE), -(-n // COUNTED))
+    return rows.repartition(parts, *on).join(ids.repartition(parts, *on), on, how)
 
 
 def _kth(scored: DataFrame, k: int, name: str) -> DataFrame:

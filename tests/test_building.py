@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from functools import partial
 
 import numpy as np
@@ -58,6 +59,22 @@ def test_compaction_joins_postings_without_counting_again(spark, tmp_path, monke
     assert not counted and maintained.read(spark, path).blocks.agg(F.max(F.size("ids"))).first()[0] == 4
 
 
+def test_many_changes_are_dealt_out_by_the_size_of_the_corpus(spark, tmp_path, monkeypatch):
+    for name, value in (("GONE", 0), ("RANGE", 50), ("COUNTED", 7)):
+        monkeypatch.setattr(pruned, name, value)
+    path, docs = f"file://{tmp_path}/index", entries(spark)
+    maintained.build(docs, path, size=4)
+    words = maintained.read(spark, path).length
+    now = docs.where("id % 5 <> 2").withColumn("sig", F.when(F.col("id") % 5 == 1, "other").otherwise(F.col("sig")))
+    assert maintained.refresh(now, path, size=4).groupBy("change").count().sort("change").collect() == [("changed", 18), ("gone", 18)]
+    # what carries tokens is sorted in parts of a bounded number of words
+    index = maintained.read(spark, path)
+    plan = index.forward._jdf.queryExecution().executedPlan().toString()
+    assert words > 500 and set(re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)) == {str(-(-index.length // 50))} and "ENSURE_REQUIREMENTS" not in plan
+    gone = sorted(r.id for r in spark.read.parquet(f"{path}/seg-1/gone").collect())
+    assert gone == [i for i in range(90) if i % 5 in (1, 2)] and index.n_gone == 36 and index.forward.count() == 72
+
+
 def test_content_is_the_sum_of_hashes(spark):
     df = spark.range(1000, numPartitions=3).select("id", F.col("id").cast("string").alias("s"))
     want = [sum(r.h for r in df.select(F.xxhash64(F.lit(seed), "id", "s").alias("h")).collect()) for seed in (1, 2)]
