@@ -211,7 +211,8 @@ def _kth(scored: DataFrame, k: int, name: str) -> DataFrame:
 
 def _asked(queries: DataFrame, index: Index, q_col: str) -> DataFrame:
     """(qid, term, df, idf, most, lead) of the known words of queries; ``most`` is the most that a word can add."""
-    words = queries.select("qid", F.explode(F.array_distinct(T.tokens(q_col))).alias("term"))
+    # words are written first: Spark sees how few they are, and the stored words stay where they are
+    words = staged(queries.select("qid", F.explode(F.array_distinct(T.tokens(q_col))).alias("term")), "words")
     parts = words.join(index.terms, "term").withColumn("top", index.grown(F.col("top")))  # a row for each segment with the word
     known = parts.groupBy("qid", "term").agg(F.sum("df").alias("df"), F.max("top").alias("top"), F.max_by("lead", "top").alias("lead")).where("df > 0")
     known = known.withColumn("idf", rarity(F.lit(index.n_docs), F.col("df")))

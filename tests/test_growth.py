@@ -78,6 +78,16 @@ def test_names_of_queries_are_not_carried_along(spark, tmp_path, monkeypatch, fe
     assert set(kinds) == {"bigint"}
 
 
+def test_stored_words_stay_where_they_are(spark, tmp_path, monkeypatch):
+    path, names, keep = f"file://{tmp_path}/index", [], pruned.staged
+    maintained.build(entries(spark), path, size=4)
+    monkeypatch.setattr(pruned, "staged", lambda df, name: (names.append(name), keep(df, name))[1])
+    asked = pruned._asked(spark.createDataFrame([(1, "w1 w2 w2 other")], "qid long, q string"), maintained.read(spark, path), "q")
+    # the size of written words is known before the join is planned
+    assert names == ["words"] and "BroadcastHashJoin" in asked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.term for r in asked.collect()) == ["w1", "w2"]
+
+
 def test_exact_scores_in_parts(monkeypatch):
     rng = np.random.default_rng(3)
     known, rows = 7, 50
